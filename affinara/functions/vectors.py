@@ -39,13 +39,12 @@ def sparse(size: Column, entries: Column) -> Column:
 
 def dense(v: Column) -> Column:
     """Sparse vector to ``ARRAY<DOUBLE>`` (for export; the operators work on the sparse form)."""
-    lookup = F.map_from_arrays(v["indices"], v["values"])
+    def at(i):
+        return F.get(v["values"], (F.array_position(v["indices"], i) - 1).cast("int"))
+
     return F.when(
         v["size"] > 0,
-        F.transform(
-            F.sequence(F.lit(0), v["size"] - 1),
-            lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)),
-        ),
+        F.transform(F.sequence(F.lit(0), v["size"] - 1), lambda i: F.coalesce(at(i), F.lit(0.0))),
     ).otherwise(F.array().cast("array<double>"))
 
 

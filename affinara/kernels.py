@@ -13,9 +13,12 @@ import pyarrow.compute as pc
 
 # Scores (between -1 and 1) are compared as whole multiples of 1e-9, so that sum order never decides a rank.
 SCORE_UNIT = 1e9
-LOWEST = 2.0
-# Cells of one score matrix held at a time.
-CELLS = 2_000_000
+# Score of a pair that is not compared.
+HIDDEN = -2.0
+# Sides of the score matrix held at a time: small enough to stay in the processor's cache.
+TILE = 1024
+# An item that fills more than this share of a block's pairs is counted by matrix product.
+DENSE_SHARE = 1 / 128
 
 
 def column(table, name):
@@ -81,7 +84,7 @@ def plane_sides(count, seed):
     return sides
 
 
-# --- scorers: (queries, catalog rows) -> matrix; -inf marks a pair that is not compared ---
+# --- scorers: (queries, catalog rows) -> matrix of scores, HIDDEN where a pair is not compared ---
 
 
 class CosineScorer:
@@ -92,13 +95,16 @@ class CosineScorer:
         unit, ok = unit_rows(matrix(queries.column("vector")))
         return {"unit": unit, "ok": ok, "qid": column(queries, "qid")}
 
-    def score(self, prepared, pick, rows):
+    def prepare_rows(self, rows):
         unit, ok = unit_rows(matrix(rows.column("vector")))
-        out = prepared["unit"][pick] @ unit.T
-        out[~prepared["ok"][pick], :] = -np.inf
-        out[:, ~ok] = -np.inf
+        return {"unit": unit, "ok": ok, "id": column(rows, "id")}
+
+    def score(self, queries, pick, rows):
+        out = queries["unit"][pick] @ rows["unit"].T
+        out[~queries["ok"][pick], :] = HIDDEN
+        out[:, ~rows["ok"]] = HIDDEN
         if self.exclude_self:
-            hide_self(out, prepared["qid"].take(pa.array(pick)), column(rows, "id"))
+            hide_equal(out, queries["qid"].take(pa.array(pick)), rows["id"])
         return out
 
 
@@ -111,58 +117,82 @@ class MembershipScorer:
     def prepare(self, queries):
         return {"qid": column(queries, "qid")}
 
-    def score(self, prepared, pick, rows):
-        out = np.zeros((len(pick), rows.num_rows))
+    def prepare_rows(self, rows):
+        return {"id": column(rows, "id")}
+
+    def score(self, queries, pick, rows):
+        out = np.zeros((len(pick), len(rows["id"])))
         if self.exclude_self:
-            hide_self(out, prepared["qid"].take(pa.array(pick)), column(rows, "id"))
+            hide_equal(out, queries["qid"].take(pa.array(pick)), rows["id"])
         return out
 
 
 class AttributeScorer:
+    LISTS = ("genres", "writers", "directors")
+
     def __init__(self, weights, overlap, missing):
         self.weights, self.overlap, self.missing = weights, overlap, missing
 
-    def prepare(self, queries):
-        lists = {name: countable(column(queries, name), self.missing) for name in ("genres", "writers", "directors")}
+    def prepare(self, table):
+        values, at = np.unique(numbers(table), axis=0, return_inverse=True)
         return {
-            "title": column(queries, "title"),
-            "flag": number(queries, "flag"),
-            "runtime": np.nan_to_num(number(queries, "runtime")),
-            **lists,
+            "title": column(table, "title"),
+            "values": values,
+            "at": at.ravel(),
+            **{name: countable(column(table, name), self.missing) for name in self.LISTS},
         }
 
-    def score(self, prepared, pick, rows):
+    prepare_rows = prepare
+
+    def score(self, queries, pick, rows):
         w = self.weights
-        flag = number(rows, "flag")
-        a, b = prepared["runtime"][pick][:, None], np.nan_to_num(number(rows, "runtime"))[None, :]
-        out = w["flag"] * (prepared["flag"][pick][:, None] == flag[None, :])
-        out += w["runtime"] * (1.0 - np.abs(a - b) / (a + b + 0.01))
-        for name, weight in (("genres", w["genres"]), ("writers", w["writers"]), ("directors", w["directors"])):
-            own = countable(column(rows, name), self.missing)
-            out += weight * overlap_matrix(prepared[name], pick, own, self.overlap)
+        # flag and runtime take few distinct values: score those, then spread them over the pairs
+        a, b = queries["values"][:, None, :], rows["values"][None, :, :]
+        table = w["flag"] * (a[..., 0] == b[..., 0])
+        table = table + w["runtime"] * (1.0 - np.abs(a[..., 1] - b[..., 1]) / (a[..., 1] + b[..., 1] + 0.01))
+        out = table[queries["at"][pick]].take(rows["at"], axis=1)
+        for name in self.LISTS:
+            add_overlap(out, w[name], queries[name], pick, rows[name], self.overlap)
         out /= w["total"]
-        hide_same_title(out, prepared["title"].take(pa.array(pick)), column(rows, "title"))
+        titles = queries["title"].take(pa.array(pick))
+        hide_equal(out, titles, rows["title"])
+        # a title without a name is never compared
+        out[~titles.is_valid().to_numpy(zero_copy_only=False), :] = HIDDEN
+        out[:, ~rows["title"].is_valid().to_numpy(zero_copy_only=False)] = HIDDEN
         return out
 
 
-def number(table, name):
-    return column(table, name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+def numbers(table):
+    """Flag and runtime; a missing flag is its own value, a missing runtime is 0 minutes."""
+    flag, runtime = (
+        column(table, name).cast(pa.float64()).to_numpy(zero_copy_only=False) for name in ("flag", "runtime")
+    )
+    return np.stack([flag, np.nan_to_num(runtime)], axis=1)
+
 
+def hide_equal(out, theirs, own):
+    """Hide the pairs whose values are equal."""
+    known = pc.unique(theirs).drop_null()
+    code_q, code_c = codes(theirs, known), codes(own, known)
+    q, c = np.flatnonzero(code_q >= 0), np.flatnonzero(code_c >= 0)
+    out[meetings(q, code_q[q], c, code_c[c])] = HIDDEN
 
-def hide_self(out, qid, ids):
-    own = pc.index_in(qid.cast(ids.type), value_set=ids)
-    at = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
-    out[at, own.drop_null().to_numpy(zero_copy_only=False)] = -np.inf
 
+def codes(values, known):
+    """Place of each value in ``known``, -1 where it is not there."""
+    if values.type != known.type:
+        values = values.cast(known.type)
+    return pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
 
-def hide_same_title(out, theirs, own):
-    """Same-named titles are not compared, and neither is a title without a name."""
-    known = pc.unique(theirs)
-    code_q = pc.fill_null(pc.index_in(theirs, value_set=known), -1).to_numpy(zero_copy_only=False)
-    code_c = pc.fill_null(pc.index_in(own, value_set=known), -2).to_numpy(zero_copy_only=False)
-    out[code_q[:, None] == code_c[None, :]] = -np.inf
-    out[~theirs.is_valid().to_numpy(zero_copy_only=False), :] = -np.inf
-    out[:, ~own.is_valid().to_numpy(zero_copy_only=False)] = -np.inf
+
+def meetings(q, q_key, c, c_key):
+    """All (q, c) whose keys are equal: a merge of the two sides."""
+    order = np.argsort(c_key, kind="stable")
+    c, c_key = c[order], c_key[order]
+    start, stop = np.searchsorted(c_key, q_key, side="left"), np.searchsorted(c_key, q_key, side="right")
+    count = stop - start
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(q, count), c[np.repeat(start, count) + inside]
 
 
 def countable(lists, missing):
@@ -185,39 +215,45 @@ def countable(lists, missing):
     return {"row": r, "item": item.take(pa.array(order)), "nth": np.arange(len(r)) - first, "size": size}
 
 
-def overlap_matrix(q, pick, c, mode):
-    """Shared items (with repeats) over the longer list, for every pair in the block.
+def add_overlap(out, weight, q, pick, c, mode):
+    """Add ``weight`` x shared items (with repeats) over the longer list.
 
-    A product of 0/1 matrices whose columns are only the items that occur on both sides.
+    Rare items touch only the pairs that share them; an item that many pairs
+    share becomes a column of a 0/1 matrix product.
     """
     place = np.full(len(q["size"]), -1)
     place[pick] = np.arange(len(pick))
     mine = place[q["row"]] >= 0
     q_row, q_nth, q_item = place[q["row"]][mine], q["nth"][mine], q["item"].filter(pa.array(mine))
-    vocabulary = pc.unique(q_item)
-    c_code = pc.fill_null(pc.index_in(c["item"], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    known = pc.unique(q_item)
+    q_code, c_code = codes(q_item, known).astype(np.int64), codes(c["item"], known).astype(np.int64)
     hit = c_code >= 0
-    q_code = pc.index_in(q_item, value_set=vocabulary).to_numpy(zero_copy_only=False)
-    repeats = 1 + max(q_nth.max(initial=0), c["nth"].max(initial=0))
-    q_key = q_code.astype(np.int64) * repeats + q_nth
-    c_key = c_code[hit].astype(np.int64) * repeats + c["nth"][hit]
-    shared = np.intersect1d(q_key, c_key)
-    size_q, size_c = q["size"][pick][:, None], c["size"][None, :]
-    left = np.zeros((len(pick), len(shared)), dtype=np.float32)
-    right = np.zeros((len(c["size"]), len(shared)), dtype=np.float32)
-    fill(left, q_row, q_key, shared)
-    fill(right, c["row"][hit], c_key, shared)
-    common = (left @ right.T).astype(np.float64)
+    c_row, c_nth, c_code = c["row"][hit], c["nth"][hit], c_code[hit]
+    repeats = 1 + max(q_nth.max(initial=0), c_nth.max(initial=0))
+    q_key, c_key = q_code * repeats + q_nth, c_code * repeats + c_nth
+    pairs = np.bincount(q_key, minlength=len(known) * repeats) * np.bincount(c_key, minlength=len(known) * repeats)
+    dense = np.flatnonzero(pairs > DENSE_SHARE * out.size)
+    q_rare, c_rare = ~np.isin(q_key, dense), ~np.isin(c_key, dense)
+    rows, cols = meetings(q_row[q_rare], q_key[q_rare], c_row[c_rare], c_key[c_rare])
+    size_q, size_c = q["size"][pick], c["size"]
+    if len(dense):
+        left = np.zeros((len(size_q), len(dense)), dtype=np.float32)
+        right = np.zeros((len(size_c), len(dense)), dtype=np.float32)
+        left[q_row[~q_rare], np.searchsorted(dense, q_key[~q_rare])] = 1.0
+        right[c_row[~c_rare], np.searchsorted(dense, c_key[~c_rare])] = 1.0
+        common = (left @ right.T).astype(np.float64)
+        np.add.at(common, (rows, cols), 1.0)
+        rows, cols = slice(None), slice(None)
+        size_q, size_c = size_q[:, None], size_c[None, :]
+    else:
+        cell, common = np.unique(rows * len(size_c) + cols, return_counts=True)
+        rows, cols = cell // max(len(size_c), 1), cell % max(len(size_c), 1)
+        size_q, size_c = size_q[rows], size_c[cols]
     if mode == "exact":
-        return ((common == size_q) & (common == size_c) & (size_q > 0)).astype(np.float64)
-    return common / np.maximum(np.maximum(size_q, size_c), 1)
-
-
-def fill(target, row, key, shared):
-    at = np.searchsorted(shared, key)
-    ok = at < len(shared)
-    ok[ok] = shared[at[ok]] == key[ok]
-    target[row[ok], at[ok]] = 1.0
+        value = ((common == size_q) & (common == size_c) & (common > 0)).astype(np.float64)
+    else:
+        value = common / np.maximum(np.maximum(size_q, size_c), 1)
+    out[rows, cols] += weight * value
 
 
 # --- keeping the k best per query ---
@@ -230,40 +266,47 @@ class Best:
         self.scorer, self.k, self.carry, self.id_desc = scorer, k, carry, id_desc
         self.qid = column(queries, "qid")
         self.prepared = scorer.prepare(queries)
-        self.floor = np.full(len(self.qid), np.iinfo(np.int64).min)
+        self.floor = np.full(len(self.qid), -np.inf)
         self.parts, self.held = [], 0
 
     def add(self, rows, pick=None):
         """Score a block of catalog rows against all queries, or against the picked ones."""
         pick = np.arange(len(self.qid)) if pick is None else pick
-        if not len(pick) or not rows.num_rows:
-            return
-        step = max(1, CELLS // len(pick))
-        for start in range(0, rows.num_rows, step):
-            piece = rows.slice(start, step)
+        for start in range(0, rows.num_rows, TILE):
+            piece = rows.slice(start, TILE)
             ids = values_of(column(piece, "id"))
             if self.id_desc:
                 # one more than k, because a query's own row may be among them
                 last = np.argsort(ids)[::-1][: self.k + 1]
                 piece, ids = piece.take(pa.array(last)), ids[last]
-            score = self.scorer.score(self.prepared, pick, piece)
-            valid = score > -np.inf
-            score = np.rint(np.where(valid, score, -LOWEST) * SCORE_UNIT).astype(np.int64)
-            keep = valid & (score >= self.floor[pick][:, None])
-            if score.shape[1] > self.k:
-                # score and id in one number: no ties, so exactly k per query can stay
-                place = np.empty(len(ids), dtype=np.int64)
-                place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-                both = score * len(ids) + (place if self.id_desc else len(ids) - 1 - place)[None, :]
-                cut = len(ids) - self.k
-                keep &= both >= np.partition(both, cut, axis=1)[:, cut][:, None]
-            q, r = np.nonzero(keep)
-            if not len(q):
-                continue
-            self.parts.append((pick[q], score[q, r], piece.select(["id", *self.carry]).take(pa.array(r))))
-            self.held += len(q)
-            if self.held > 4 * self.k * len(self.qid) + 100_000:
-                self.prune()
+            # place in the order of ids, greatest for the id that wins a tie
+            place = np.empty(len(ids))
+            place[np.argsort(ids, kind="stable")] = np.arange(len(ids)) if self.id_desc else np.arange(len(ids))[::-1]
+            prepared = self.scorer.prepare_rows(piece)
+            for first in range(0, len(pick), TILE):
+                self.add_tile(piece, prepared, place, pick[first : first + TILE])
+
+    def add_tile(self, piece, prepared, place, pick):
+        n = len(place)
+        both = self.scorer.score(self.prepared, pick, prepared)
+        # score and id in one whole number: no ties, so exactly k per query can stay
+        both *= SCORE_UNIT
+        np.rint(both, out=both)
+        both *= n
+        both += place
+        bar = np.maximum(self.floor[pick], HIDDEN * SCORE_UNIT / 2) * n
+        keep = both >= bar[:, None]
+        if n > self.k and np.count_nonzero(keep) > 2 * self.k * len(pick):
+            keep &= both >= np.partition(both, n - self.k, axis=1)[:, n - self.k][:, None]
+        q, r = np.nonzero(keep)
+        if not len(q):
+            return
+        score = np.floor_divide(both[q, r], n)
+        self.parts.append((pick[q], score, piece.select(["id", *self.carry]).take(pa.array(r))))
+        self.held += len(q)
+        unset = n > self.k and self.floor[pick].min() == -np.inf
+        if unset or self.held > 4 * self.k * len(self.qid) + 100_000:
+            self.prune()
 
     def prune(self):
         """Cut to the k best per query. A row met in several buckets counts once."""

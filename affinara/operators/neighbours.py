@@ -14,6 +14,7 @@ is; the plan only ever ships the k best of each block. Two physical forms:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,10 @@ from affinara.shipping import by_value
 # A query batch is sent to every task only below both bounds.
 SMALL_BATCH_ROWS = 1024
 SMALL_BATCH_BYTES = 64 * 1024 * 1024
-# Sides of a block in the grid.
-CATALOG_BLOCK = 8192
-QUERY_BLOCK = 1024
+# Greatest sides of a block in the grid, and the side below which cutting finer is no use.
+CATALOG_BLOCK = 4096
+QUERY_BLOCK = 4096
+LEAST_BLOCK = 256
 BLOCK_KEYS = ["band", "band_key", "block_c", "block_q"]
 
 
@@ -75,6 +77,9 @@ def k_nearest(
             keys = BLOCK_KEYS[2:]
         # both sides may come from one table: give the query side's columns their own identity
         right = right.select([F.col(name).alias(name) for name in right.columns])
+        # by number, so that few bytes with much work are not merged into few tasks
+        parts = shuffle_partitions(catalog)
+        left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
         run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), id_desc)
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
     order = [F.desc("id")] if id_desc else [F.desc("score"), F.asc("id")]
@@ -97,8 +102,10 @@ def table_blocks(
     catalog: DataFrame, queries: DataFrame, catalog_block: int, query_block: int
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides with block numbers: every catalog row and query meet in exactly one block."""
-    n_c = blocks(catalog.select(F.count(F.lit(1))).scalar(), catalog_block)
-    n_q = blocks(queries.select(F.count(F.lit(1))).scalar(), query_block)
+    # at least enough blocks on each side for a few per partition
+    wanted = ceil(sqrt(4 * shuffle_partitions(catalog)))
+    n_c = blocks(catalog.select(F.count(F.lit(1))).scalar(), catalog_block, wanted)
+    n_q = blocks(queries.select(F.count(F.lit(1))).scalar(), query_block, wanted)
     return grid(catalog, queries, n_c, n_q)
 
 
@@ -131,8 +138,15 @@ def grid(catalog: DataFrame, queries: DataFrame, n_c: Column, n_q: Column) -> tu
     )
 
 
-def blocks(rows: Column, size: int) -> Column:
-    return F.greatest(F.ceil(rows / F.lit(size)).cast("int"), F.lit(1))
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def blocks(rows: Column, size: int, wanted: int = 1) -> Column:
+    """Number of blocks: none above ``size`` rows on average, and up to ``wanted`` if the rows allow."""
+    bounded = F.ceil(rows / F.lit(size))
+    useful = F.least(F.lit(wanted), F.ceil(rows / F.lit(min(size, LEAST_BLOCK))))
+    return F.greatest(bounded, useful, F.lit(1)).cast("int")
 
 
 def part_of(id_name: str, parts: Column) -> Column:

@@ -219,12 +219,12 @@ SQL: dict[str, str] = {
     "attribute_similarity_exact": attribute_pairs("exact"),
     "attribute_similarity_ratio": attribute_pairs("ratio"),
     "attribute_top50": attribute_ranked(
-        "ratio", "true", "SELECT qid, id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 50"
+        "ratio", "true", "SELECT qid, id, rank::INTEGER AS rank, score FROM ranked WHERE rank <= 50"
     ),
     "attribute_top50_exact": attribute_ranked(
         "exact",
         "c.kind IN ('ECONOMY', 'SMALL', 'STANDARD')",
-        "SELECT qid, id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 50",
+        "SELECT qid, id, rank::INTEGER AS rank, score FROM ranked WHERE rank <= 50",
     ),
     "attribute_predict": attribute_ranked(
         "ratio",
@@ -291,7 +291,7 @@ SQL: dict[str, str] = {
     ),
     "cosine_top10": sql(
         "vectors split exact",
-        "SELECT qid, id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
+        "SELECT qid, id, rank::INTEGER AS rank, score FROM ranked WHERE rank <= 10",
     ),
     "cosine_predict": sql(
         "vectors split exact", "SELECT qid, round(avg(rating), 6) AS predicted FROM ranked WHERE rank <= 10 GROUP BY qid"
@@ -331,7 +331,7 @@ SQL: dict[str, str] = {
     "lsh_candidates_tight": sql(LSH, "SELECT qid, cand_id FROM candidates", share=0.02),
     "lsh_top10": sql(
         LSH + " lsh_ranked",
-        "SELECT qid, id, rank::INTEGER AS rank, round(score, 6) AS score FROM lsh_ranked WHERE rank <= 10",
+        "SELECT qid, id, rank::INTEGER AS rank, score FROM lsh_ranked WHERE rank <= 10",
         share=0.5,
     ),
     "lsh_predict": sql(

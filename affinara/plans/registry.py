@@ -145,15 +145,14 @@ def hold_out_titles(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query
 def attribute_top50(spark, sf):
     catalog, batch = hold_out_titles(spark, sf)
-    found = P.attribute_neighbours(catalog, batch).select("qid", "id", "rank", "score")
-    return rounded(found, "score")
+    return P.attribute_neighbours(catalog, batch).select("qid", "id", "rank", "score")
 
 
 @query
 def attribute_top50_exact(spark, sf):
     catalog, batch = hold_out_titles(spark, sf)
-    found = P.attribute_neighbours(catalog, batch, overlap="exact", kinds=KINDS).select("qid", "id", "rank", "score")
-    return rounded(found, "score")
+    found = P.attribute_neighbours(catalog, batch, overlap="exact", kinds=KINDS)
+    return found.select("qid", "id", "rank", "score")
 
 
 @query
@@ -169,7 +168,7 @@ def attribute_predict(spark, sf):
 
 @query
 def runtime_centred(spark, sf):
-    out = Fe.centred_runtime(standin.catalog(spark, sf)).select("id", "runtime", "avg_runtime")
+    out = Fe.centred_runtime(standin.stored_catalog(spark, sf)).select("id", "runtime", "avg_runtime")
     return rounded(out.withColumn("filled", F.coalesce("avg_runtime", F.lit(0.0))), "avg_runtime", "filled")
 
 
@@ -182,7 +181,7 @@ def kind_onehot(spark, sf):
 @query
 def tag_multihot(spark, sf):
     """Genre flags in long form, zeros included."""
-    catalog = standin.catalog(spark, sf)
+    catalog = standin.stored_catalog(spark, sf)
     rows = catalog.withColumn("vocabulary", Fe.distinct_vocabulary(catalog, "genres"))
     flags = Fe.multihot(F.col("genres"), F.col("vocabulary"))
     return rows.select("id", F.posexplode(flags).alias("pos", "value"))
@@ -191,7 +190,7 @@ def tag_multihot(spark, sf):
 @query
 def maker_top_multihot(spark, sf):
     """Director flags in long form: the titles' directors that are among the most frequent 500."""
-    catalog = standin.catalog(spark, sf)
+    catalog = standin.stored_catalog(spark, sf)
     rows = catalog.withColumn("vocabulary", Fe.top_vocabulary(catalog, "directors", Fe.TOP_DIRECTORS))
     entries = Fe.hot_entries(F.col("directors"), F.col("vocabulary"), F.lit(0))
     return rows.select("id", F.explode(entries).alias("e")).select("id", "e.pos", "e.value")
@@ -200,7 +199,7 @@ def maker_top_multihot(spark, sf):
 @query
 def maker_top_multihot_compat(spark, sf):
     """As above, but leaving out the first rank instead of the missing mark."""
-    catalog = standin.catalog(spark, sf)
+    catalog = standin.stored_catalog(spark, sf)
     vocabulary = Fe.top_vocabulary(catalog, "directors", Fe.TOP_DIRECTORS, exclude=(), skip=1)
     rows = catalog.withColumn("vocabulary", vocabulary)
     entries = Fe.hot_entries(F.col("directors"), F.col("vocabulary"), F.lit(0))
@@ -209,14 +208,14 @@ def maker_top_multihot_compat(spark, sf):
 
 @query
 def vocabulary(spark, sf):
-    _, names = Fe.build_features(standin.catalog(spark, sf), KINDS)
+    _, names = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
     return names
 
 
 @query
 def feature_vector(spark, sf):
     """The vectors' non-zero positions and their length."""
-    features, _ = Fe.build_features(standin.catalog(spark, sf), KINDS)
+    features, _ = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
     cells = features.select(
         "id",
         F.col("vector.size").alias("length"),
@@ -284,7 +283,7 @@ def hold_out_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query
 def cosine_top10(spark, sf):
     train, batch = hold_out_vectors(spark, sf)
-    return rounded(P.cosine_neighbours(train, batch).select("qid", "id", "rank", "score"), "score")
+    return P.cosine_neighbours(train, batch).select("qid", "id", "rank", "score")
 
 
 @query
@@ -292,7 +291,7 @@ def cosine_top10_blocks(spark, sf):
     """The same through the grid of blocks that large query batches take."""
     train, batch = hold_out_vectors(spark, sf)
     found = P.cosine_neighbours(train, batch, small_batch_rows=0, catalog_block=512, query_block=128)
-    return rounded(found.select("qid", "id", "rank", "score"), "score")
+    return found.select("qid", "id", "rank", "score")
 
 
 @query
@@ -304,8 +303,8 @@ def cosine_predict(spark, sf):
 @query
 def cosine_predict_features(spark, sf):
     """Whole pipeline: catalog, feature vectors, split, exact cosine prediction."""
-    features, _ = Fe.build_features(standin.catalog(spark, sf), KINDS)
-    train, test = R.systematic_split(features)
+    features, _ = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
+    train, test = R.systematic_split(features)  # written once, read twice
     return rounded(P.cosine_predict(train, standin.as_batch(test)), "predicted")
 
 
@@ -369,7 +368,7 @@ def lsh_candidates_tight(spark, sf):
 @query
 def lsh_top10(spark, sf):
     index, batch = indexed(spark, sf)
-    return rounded(L.lsh_neighbours(index, batch).select("qid", "id", "rank", "score"), "score")
+    return L.lsh_neighbours(index, batch).select("qid", "id", "rank", "score")
 
 
 @query
@@ -461,7 +460,7 @@ def mean_seconds(spark, sf):
 
 @query
 def column_summary(spark, sf):
-    out = Pr.column_summary(standin.catalog(spark, sf))
+    out = Pr.column_summary(standin.stored_catalog(spark, sf))
     return rounded(out, "mean", "max", "min", "std", "q1", "q2", "q3")
 
 
@@ -472,7 +471,7 @@ def distinct_counts(spark, sf):
 
 @query
 def histogram10(spark, sf):
-    return rounded(Pr.histogram(standin.catalog(spark, sf), "rating"), "low", "high")
+    return rounded(Pr.histogram(standin.stored_catalog(spark, sf), "rating"), "low", "high")
 
 
 @query
@@ -512,7 +511,7 @@ def tsv_roundtrip(spark, sf):
 def feature_tsv_roundtrip(spark, sf):
     """Wide feature table written and read back: every position a number again."""
     path = scratch_path(spark, "features")
-    features, names = Fe.build_features(standin.catalog(spark, sf), KINDS)
+    features, names = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
     # the wide table's column names: as many as a row has columns
     columns = Fe.column_names([row["name"] for row in names.orderBy("pos").collect()])
     St.write_tsv(Fe.wide_features(features, columns), path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinara.functions.text import MISSING, split_list
+from affinara.shipping import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lists_per_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per part: rating, votes, and the suppliers of first and second lines as comma text.
 
-    Lines are first added up per part, supplier and line number, so a part with a
+    Lines are first added up per part and supplier of interest, so a part with a
     third of all lines is spread over its suppliers before it is put together.
     """
-    # Integer casts are exact: quantities are whole numbers.
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linenumber", "l_suppkey").agg(
-        F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines")
+    number, listed = F.col("l_linenumber"), F.col("l_linenumber").isin(1, 2)
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            "l_partkey", F.when(listed, number).alias("number"), F.when(listed, F.col("l_suppkey")).alias("supplier")
+        )
+        .agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"))
     )
 
     def suppliers(line_number: int):
-        own = F.when(F.col("l_linenumber") == line_number, F.col("l_suppkey").cast("string"))
-        found = F.array_sort(F.collect_list(own))
+        found = F.array_sort(F.collect_list(F.when(F.col("number") == line_number, F.col("supplier").cast("string"))))
         return F.when(F.size(found) > 0, F.concat_ws(",", found)).otherwise(MISSING)
 
     return lines.groupBy("l_partkey").agg(
@@ -50,6 +54,11 @@ def title_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(made, part["id"] == made["l_partkey"]).drop("l_partkey")
 
 
+def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as a written table, for jobs that read it several times."""
+    return written(catalog(spark, sf_dir), "catalog")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = ["genres", "directors", "writers"]
     return title_rows(spark, sf_dir).withColumns({name: split_list(F.col(name)) for name in lists})
