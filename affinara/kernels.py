@@ -374,7 +374,7 @@ def looked_into(queries):
     """Per band: bucket key -> numbers of the queries that look into it."""
     keys, kept = key_matrix(queries), column(queries, "kept")
     row = pc.list_parent_indices(kept).to_numpy(zero_copy_only=False)
-    band = pc.list_flatten(kept).to_numpy(zero_copy_only=False)
+    band = pc.struct_field(pc.list_flatten(kept), "band").to_numpy(zero_copy_only=False)
     return {b: {key: row[band == b][at] for key, at in rows_by_key(keys[row[band == b], b])} for b in np.unique(band)}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinara.functions.text import split_list
+from affinara.functions.text import MISSING, split_list
 
 LISTS = ["genres", "directors", "writers"]
 
@@ -39,15 +39,18 @@ def as_catalog(titles: DataFrame) -> DataFrame:
 
 
 def as_queries(titles: DataFrame) -> DataFrame:
-    """Query titles (8 columns, no id) as a query batch; ``qid`` is a digest of the row's own content."""
-    content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in titles.columns]
+    """Query titles (8 columns, no id) as a query batch; ``qid`` is a digest of the row's own content.
+
+    Equal rows share a ``qid``: a prediction scores them once and returns a row for each.
+    """
+    content = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in titles.columns]
     return with_lists(
         titles.select(
             F.sha2(F.concat_ws("\t", *content), 256).alias("qid"),
             *[F.col(old).alias(new) for old, new in NAMES.items() if old in titles.columns],
             *LISTS,
         )
-    ).dropDuplicates(["qid"])
+    )
 
 
 def with_lists(df: DataFrame) -> DataFrame:
@@ -59,5 +62,5 @@ def only_kinds(catalog: DataFrame, *kinds: str) -> DataFrame:
 
 
 def rows_with_ids(catalog: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id occurs in ``ids``: one join for the whole batch of ids."""
-    return catalog.join(ids.select("id"), "id", "left_semi")
+    """Rows whose id occurs in ``ids``: one join for the whole batch, repeats added up before the shuffle."""
+    return catalog.join(ids.select("id").distinct(), "id", "left_semi")

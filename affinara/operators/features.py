@@ -13,6 +13,8 @@ from affinara.functions.text import MISSING
 # The kinds that get a one-hot position, and the number of directors kept.
 KINDS = ["movie", "tvMovie", "tvSpecial"]
 TOP_DIRECTORS = 500
+# A block of the vector with one position per distinct value is refused above this length.
+MOST_POSITIONS = 100_000
 
 
 def tokens(catalog: DataFrame, name: str, keep: Sequence[str] = ("id",)) -> DataFrame:
@@ -41,8 +43,10 @@ def top_tokens(
 
 def distinct_vocabulary(catalog: DataFrame, name: str) -> Column:
     """All distinct items as one sorted array, as long as a dense block of the vector has positions."""
-    found = tokens(catalog, name, keep=()).distinct()
-    return found.agg(F.array_sort(F.collect_list("token"))).scalar()
+    found = tokens(catalog, name, keep=()).distinct().limit(MOST_POSITIONS + 1)
+    items = F.array_sort(F.collect_list("token"))
+    too_many = F.raise_error(F.lit(f"more than {MOST_POSITIONS} distinct values in {name}: too long for a vector"))
+    return found.agg(F.when(F.count(F.lit(1)) <= MOST_POSITIONS, items).otherwise(too_many)).scalar()
 
 
 def top_vocabulary(catalog: DataFrame, name: str, limit: int, exclude=(MISSING,), skip: int = 0) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from affinara.functions import bands as B
 from affinara.functions.text import round_half_up
 from affinara.operators.neighbours import BLOCK_KEYS, CATALOG_BLOCK, QUERY_BLOCK, bucket_blocks, k_nearest
 from affinara.operators.predict import for_every_query, mean_rating
+from affinara.shipping import broadcast_if_small, written
 
 
 def lsh_index(
@@ -42,50 +45,57 @@ def bucket_members(index: DataFrame) -> DataFrame:
     return in_bands(index).select("band", "band_key", "id")
 
 
-def kept_bands(index: DataFrame, queries: DataFrame, max_share: float = 0.5) -> DataFrame:
-    """``(qid, kept ARRAY<INT>)``: the bands in which each query looks into its bucket.
+def looked_into(
+    index: DataFrame, queries: DataFrame, columns: Sequence[str], max_share: float, sizes: DataFrame | None
+) -> DataFrame:
+    """``(qid, *columns, kept)``: the bands in which each query looks into its bucket, with the bucket's size.
 
     Buckets of more than ``floor(N * max_share)`` titles are left out; a query
     that would lose all its buckets keeps the smallest (ties: lowest band).
-    Queries that hit no bucket have no row.
+    Queries that hit no bucket have no row. Written, because a search reads it
+    several times.
     """
-    sizes = bucket_sizes(index)
+    sizes = written(bucket_sizes(index), "sizes") if sizes is None else sizes
     total = sizes.filter(F.col("band") == 0).agg(F.sum("size")).scalar()
     hits = (
         in_bands(queries.select("qid", "band_keys"))
-        .join(sizes, ["band", "band_key"])
+        .join(broadcast_if_small(sizes), ["band", "band_key"])
         .withColumn("small", F.col("size") <= F.floor(total * F.lit(max_share)))
     )
-    return (
+    bucket = F.struct("band", "size")
+    kept = (
         hits.groupBy("qid")  # at most one row per band
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("small"), F.col("band")))).alias("smalls"),
-            F.min_by("band", F.struct("size", "band")).alias("smallest"),
+            F.array_sort(F.collect_list(F.when(F.col("small"), bucket))).alias("smalls"),
+            F.min_by(bucket, F.struct("size", "band")).alias("smallest"),
         )
         .select("qid", F.when(F.size("smalls") > 0, F.col("smalls")).otherwise(F.array("smallest")).alias("kept"))
     )
+    return written(queries.select("qid", *columns).join(kept, "qid"), "looks")
 
 
 def lsh_candidates(
     index: DataFrame,
     queries: DataFrame,
     max_share: float = 0.5,
+    sizes: DataFrame | None = None,
     catalog_block: int = CATALOG_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """``(qid, cand_id)``: titles that share a kept bucket with the query, each once.
 
-    Hot buckets are cut into blocks on both sides. A pair that meets in several
-    kept buckets is emitted in the first of them only, so the pairs are distinct
-    without another shuffle.
+    ``queries`` is a batch that went through ``lsh_index``; ``sizes`` are the
+    index's bucket sizes, if they are at hand. Hot buckets are cut into blocks on
+    both sides. A pair that meets in several kept buckets is emitted in the first
+    of them only, so the pairs are distinct without another shuffle.
     """
-    looks = queries.select("qid", "band_keys").join(kept_bands(index, queries, max_share), "qid")
+    looks = looked_into(index, queries, ["band_keys"], max_share, sizes)
     left, right = bucket_blocks(index.select("id", "band_keys"), looks, catalog_block, query_block)
     right = right.withColumnRenamed("band_keys", "q_keys")
-    met = F.filter("kept", lambda b: F.get("q_keys", b) == F.get("band_keys", b))
+    met = F.filter("kept", lambda b: F.get("q_keys", b["band"]) == F.get("band_keys", b["band"]))
     return (
         left.join(right, BLOCK_KEYS)
-        .filter(F.get(met, F.lit(0)) == F.col("band"))
+        .filter(F.get(met, F.lit(0))["band"] == F.col("band"))
         .select("qid", F.col("id").alias("cand_id"))
     )
 
@@ -97,9 +107,10 @@ def lsh_neighbours(
     max_share: float = 0.5,
     neighbour_order: str = "similarity",
     include_self: bool = False,
+    sizes: DataFrame | None = None,
     **blocks,
 ) -> DataFrame:
-    """The k best among each query's candidates: ``(qid, id, score, rank, rating)``.
+    """The k best among each query's candidates: ``(qid, id, score, rating, rank)``.
 
     Similarity is computed bucket by bucket; candidate pairs are never written out.
     ``neighbour_order="id_desc"`` takes the k largest ids instead of the most similar.
@@ -108,11 +119,10 @@ def lsh_neighbours(
         raise ValueError(f"unknown neighbour order: {neighbour_order}")
     by_id = neighbour_order == "id_desc"
     data = ["band_keys"] if by_id else ["band_keys", "vector"]
-    looks = queries.select("qid", *data).join(kept_bands(index, queries, max_share), "qid")
     scorer = (kernels.MembershipScorer if by_id else kernels.CosineScorer)(exclude_self=not include_self)
     return k_nearest(
         index.select("id", *data, "rating"),
-        looks,
+        looked_into(index, queries, data, max_share, sizes),
         scorer,
         k,
         carry=["rating"],

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from affinara import kernels
-from affinara.shipping import by_value
+from affinara.shipping import broadcast_if_small, by_value
 
 # A query batch is sent to every task only below both bounds.
 SMALL_BATCH_ROWS = 1024
@@ -51,8 +51,8 @@ def k_nearest(
 
     ``catalog`` has ``id``, the scorer's columns and ``carry``; ``queries`` has
     ``qid`` and the scorer's columns. With ``in_buckets`` both sides have
-    ``band_keys``, the queries also ``kept``, and only rows that share the key of
-    a kept band meet.
+    ``band_keys``, the queries also ``kept`` (bands and bucket sizes), and only
+    rows that share the key of a kept band meet.
     """
     by_value(kernels)
     schema = T.StructType(
@@ -115,16 +115,20 @@ def bucket_blocks(
     """Both sides once per band and bucket they share, with block numbers inside the bucket."""
     on = BLOCK_KEYS[:2]
     rows = catalog.select(F.posexplode("band_keys").alias(*on), *catalog.columns)
-    looks = queries.withColumn("band", F.explode("kept")).withColumn("band_key", F.get("band_keys", F.col("band")))
-    # One row per bucket that both sides have, far fewer than either side's rows. No
-    # hint: Spark sends it to every task if its measured size allows.
-    sizes_c = (
-        catalog.select(F.posexplode("band_keys").alias(*on)).groupBy(*on).agg(F.count(F.lit(1)).alias("rows_c"))
+    looks = (
+        queries.withColumn("_look", F.explode("kept"))
+        .withColumn("band", F.col("_look.band"))
+        .withColumn("band_key", F.get("band_keys", F.col("band")))
+        .withColumn("rows_c", F.col("_look.size"))
+        .drop("_look")
+    )
+    # one row per bucket that is looked into: far fewer than either side's rows
+    sizes = broadcast_if_small(
+        looks.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_q"), F.max("rows_c").alias("rows_c"))
     )
-    sizes = sizes_c.join(looks.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_q")), on)
     left, right = grid(
         rows.join(sizes, on),
-        looks.join(sizes, on),
+        looks.drop("rows_c").join(sizes, on),
         blocks(F.col("rows_c"), catalog_block),
         blocks(F.col("rows_q"), query_block),
     )

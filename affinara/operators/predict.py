@@ -45,7 +45,8 @@ def attribute_neighbours(
 
 def attribute_predict(catalog: DataFrame, queries: DataFrame, k: int = 50, **options) -> DataFrame:
     """``(qid, predicted)``: mean rating of the k most alike titles, weighted by votes and similarity."""
-    found = attribute_neighbours(catalog, queries, k, **options)
+    # equal query rows share a qid and are scored once
+    found = attribute_neighbours(catalog, queries.dropDuplicates(["qid"]), k, **options)
     weight = F.col("votes") * F.col("score")
     means = found.groupBy("qid").agg(
         F.try_divide(F.sum(F.col("rating") * weight), F.sum(weight)).alias("predicted")

@@ -37,7 +37,7 @@ def shifted(sliced: DataFrame, inside: Column, slice_sum: Column, name: str) ->
     sums = sliced.groupBy("_slice").agg(slice_sum.alias("_sum"))
     # one row per slice here: bounded by the slice count, however many rows there are
     before = F.sum("_sum").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
-    starts = sums.select("_slice", F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = written(sums.select("_slice", F.coalesce(before, F.lit(0)).alias("_start")), "starts")
     return (
         sliced.withColumn("_inside", inside)
         .join(F.broadcast(starts), "_slice")

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A table is sent to every task only if counting proves it has no more rows than this.
+BROADCAST_ROWS = 500_000
 
 
 def by_value(module) -> None:
@@ -40,3 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a narrow table for broadcast after counting its rows; beyond the bound it stays a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
