@@ -345,10 +345,16 @@ def scan_scorer(queries, scorer, k, carry, in_buckets, id_desc=False):
     """For ``mapInArrow``: every task scores its catalog rows against the whole small query batch."""
 
     def run(batches):
+        if not queries.num_rows:
+            for _ in batches:
+                pass
+            return
         best = Best(queries, scorer, k, carry, id_desc)
         bands = looked_into(queries) if in_buckets else {}
         for batch in batches:
             rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
+                continue
             if not in_buckets:
                 best.add(rows)
                 continue
