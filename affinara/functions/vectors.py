@@ -27,16 +27,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), magnitude(a) * magnitude(b))
 
 
-def sparse(size: Column, entries: Column) -> Column:
-    """Sparse vector from an array of ``(pos, value)`` structs; zero values are left out."""
-    kept = F.array_sort(F.filter(entries, lambda e: e["value"] != 0.0))
+def sparse(size: Column, indices: Column, values: Column) -> Column:
+    """Sparse vector from the positions of its non-zero values, in ascending order."""
     return F.struct(
         size.cast("int").alias("size"),
-        F.transform(kept, lambda e: e["pos"].cast("int")).alias("indices"),
-        F.transform(kept, lambda e: e["value"].cast("double")).alias("values"),
+        indices.cast("array<int>").alias("indices"),
+        values.cast("array<double>").alias("values"),
     )
 
 
+def sparse_of(v: Column) -> Column:
+    """Dense vector to sparse form."""
+    used = F.filter(F.transform(v, lambda x, i: F.when(x != 0.0, i)), lambda i: i.isNotNull())
+    return sparse(F.size(v), used, F.filter(v, lambda x: x != 0.0))
+
+
 def dense(v: Column) -> Column:
     """Sparse vector to ``ARRAY<DOUBLE>`` (for export; the operators work on the sparse form)."""
     def at(i):

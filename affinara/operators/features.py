@@ -76,17 +76,11 @@ def multihot(items: Column, vocabulary: Column) -> Column:
     return F.transform(vocabulary, lambda v: F.when(F.array_contains(items, v), 1.0).otherwise(0.0))
 
 
-def hot_entries(items: Column, vocabulary: Column, start: Column) -> Column:
-    """``multihot`` in sparse form: ``(pos, value)`` of the items that occur, counted from ``start``."""
-    found = F.transform(F.array_distinct(items), lambda t: F.array_position(vocabulary, t).cast("int"))
-    hits = F.filter(found, lambda p: p > 0)
-    return F.coalesce(
-        F.transform(hits, lambda p: entry(start + p - 1, F.lit(1.0))), F.array().cast("array<struct<pos:int,value:double>>")
-    )
-
-
-def entry(pos: Column, value: Column) -> Column:
-    return F.struct(pos.cast("int").alias("pos"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
+def hot_positions(items: Column, vocabulary: Column) -> Column:
+    """``multihot`` in sparse form: ascending positions of the items that occur in the vocabulary."""
+    found = F.transform(F.array_distinct(items), lambda t: F.array_position(vocabulary, t) - 1)
+    hits = F.sort_array(F.filter(found, lambda p: p >= 0))
+    return F.coalesce(hits, F.array()).cast("array<int>")
 
 
 def build_features(
@@ -113,25 +107,39 @@ def build_features(
     genres, directors = F.col("_genres"), F.col("_directors")
     at_runtime = F.lit(1) + F.size(genres)
     at_directors = at_runtime + 1 + len(kinds)
-    length = at_directors + F.size(directors)
+    length = at_directors + F.size(directors) + (1 if include_votes else 0)
     flags = kind_flags(F.col("kind"), kinds)
-    entries = [
-        F.array(
-            entry(F.lit(0), F.col("flag")),
-            entry(at_runtime, F.col("runtime") - F.col("_mean")),
-            *[entry(at_runtime + 1 + i, flag) for i, flag in enumerate(flags.values())],
-            *([entry(length, F.col("votes"))] if include_votes else []),
-        ),
-        hot_entries(F.col("genres"), genres, F.lit(1)),
-        hot_entries(F.col("directors"), directors, at_directors),
+
+    def single(pos: Column, value: Column) -> tuple[Column, Column]:
+        """A position with one number: left out where it is zero or missing."""
+        used = value.cast("double") != 0.0
+        none = F.array()
+        return (
+            F.when(used, F.array(pos.cast("int"))).otherwise(none.cast("array<int>")),
+            F.when(used, F.array(value.cast("double"))).otherwise(none.cast("array<double>")),
+        )
+
+    def block(hot: Column, start: Column) -> tuple[Column, Column]:
+        """The hot positions of a 1.0/0.0 block that begins at ``start``."""
+        return F.transform(hot, lambda p: p + start), F.array_repeat(F.lit(1.0), F.size(hot))
+
+    parts = [
+        single(F.lit(0), F.col("flag")),
+        block(F.col("_genre_hot"), F.lit(1)),
+        single(at_runtime, F.col("runtime") - F.col("_mean")),
+        *[single(at_runtime + 1 + i, flag) for i, flag in enumerate(flags.values())],
+        block(F.col("_director_hot"), at_directors),
+        *([single(length - 1, F.col("votes"))] if include_votes else []),
     ]
-    features = catalog.withColumns(summary).select(
-        "id",
-        "title",
-        "rating",
-        "votes",
-        V.sparse(length + 1 if include_votes else length, F.concat(*entries)).alias("vector"),
+    # the positions are looked up in a step of their own, because several columns use them
+    looked_up = catalog.withColumns(summary).withColumns(
+        {
+            "_genre_hot": hot_positions(F.col("genres"), genres),
+            "_director_hot": hot_positions(F.col("directors"), directors),
+        }
     )
+    indices, values = (F.concat(*[part[i] for part in parts]) for i in (0, 1))
+    features = looked_up.select("id", "title", "rating", "votes", V.sparse(length, indices, values).alias("vector"))
     names = F.concat(
         F.array(F.lit("flag")),
         F.transform(genres, lambda g: F.concat(F.lit("is_"), g)),
@@ -164,5 +172,4 @@ def wide_features(features: DataFrame, names: Sequence[str]) -> DataFrame:
 def narrow_features(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     """Wide rows (as read from delimited text) back to sparse vectors; a null becomes 0.0."""
     values = V.dense_from_row(*[F.col(f"`{name}`") for name in names])
-    entries = F.transform(values, lambda x, i: entry(i, x))
-    return wide.select("id", "rating", "votes", "title", V.sparse(F.lit(len(names)), entries).alias("vector"))
+    return wide.select("id", "rating", "votes", "title", V.sparse_of(values).alias("vector"))

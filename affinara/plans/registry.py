@@ -192,8 +192,8 @@ def maker_top_multihot(spark, sf):
     """Director flags in long form: the titles' directors that are among the most frequent 500."""
     catalog = standin.stored_catalog(spark, sf)
     rows = catalog.withColumn("vocabulary", Fe.top_vocabulary(catalog, "directors", Fe.TOP_DIRECTORS))
-    entries = Fe.hot_entries(F.col("directors"), F.col("vocabulary"), F.lit(0))
-    return rows.select("id", F.explode(entries).alias("e")).select("id", "e.pos", "e.value")
+    hot = Fe.hot_positions(F.col("directors"), F.col("vocabulary"))
+    return rows.select("id", F.explode(hot).alias("pos")).withColumn("value", F.lit(1.0))
 
 
 @query
@@ -202,8 +202,8 @@ def maker_top_multihot_compat(spark, sf):
     catalog = standin.stored_catalog(spark, sf)
     vocabulary = Fe.top_vocabulary(catalog, "directors", Fe.TOP_DIRECTORS, exclude=(), skip=1)
     rows = catalog.withColumn("vocabulary", vocabulary)
-    entries = Fe.hot_entries(F.col("directors"), F.col("vocabulary"), F.lit(0))
-    return rows.select("id", F.explode(entries).alias("e")).select("id", "e.pos", "e.value")
+    hot = Fe.hot_positions(F.col("directors"), F.col("vocabulary"))
+    return rows.select("id", F.explode(hot).alias("pos")).withColumn("value", F.lit(1.0))
 
 
 @query
@@ -304,7 +304,7 @@ def cosine_predict(spark, sf):
 def cosine_predict_features(spark, sf):
     """Whole pipeline: catalog, feature vectors, split, exact cosine prediction."""
     features, _ = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
-    train, test = R.systematic_split(features)  # written once, read twice
+    train, test = R.systematic_split(written(features, "features"))
     return rounded(P.cosine_predict(train, standin.as_batch(test)), "predicted")
 
 

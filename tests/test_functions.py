@@ -88,10 +88,10 @@ def test_vectors(spark):
 
 
 def test_sparse_and_dense(spark):
-    entries = F.array(
-        *[F.struct(F.lit(p).alias("pos"), F.lit(v).alias("value")) for p, v in ((3, 2.5), (0, 1.0), (1, 0.0))]
-    )
-    assert one(spark, V.dense(V.sparse(F.lit(5), entries))) == [1.0, 0.0, 0.0, 2.5, 0.0]
+    v = V.sparse(F.lit(5), F.array(F.lit(0), F.lit(3)), doubles(1, 2.5))
+    assert one(spark, V.dense(v)) == [1.0, 0.0, 0.0, 2.5, 0.0]
+    assert one(spark, V.dense(V.sparse_of(doubles(0, 4, 0)))) == [0.0, 4.0, 0.0]
+    assert one(spark, V.sparse_of(doubles(0, 4, 0)))["indices"] == [1]
     row = V.dense_from_row(F.lit(1), F.lit(None).cast("double"), F.lit(2.0))
     assert one(spark, row) == [1.0, 0.0, 2.0]
 

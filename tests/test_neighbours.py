@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from affinara.functions import vectors as V
 from affinara.operators import lsh as L
 from affinara.operators import predict as P
 
@@ -65,10 +66,7 @@ def test_cosine_predict_keeps_every_query(frames, vectors, form):
 
 def test_sparse_and_dense_vectors_agree(spark, frames):
     features, batch = frames
-    entries = F.transform("vector", lambda x, i: F.struct(i.alias("pos"), x.alias("value")))
-    from affinara.functions.vectors import sparse
-
-    thin = features.withColumn("vector", sparse(F.size("vector"), entries))
+    thin = features.withColumn("vector", V.sparse_of(F.col("vector")))
     a = P.cosine_neighbours(features, batch, 5)
     b = P.cosine_neighbours(thin, thin.withColumnRenamed("id", "qid"), 5)
     assert sorted(a.collect()) == sorted(b.collect())
