@@ -391,6 +391,9 @@ SQL["confusion_matrix"] = sql("vectors split exact", "").rstrip() + PAIRS + """
     SELECT a::INTEGER AS actual, p::INTEGER AS predicted,
            (SELECT count(*) FROM pairs WHERE round_even(actual, 0) = a AND round_even(predicted, 0) = p) AS n
     FROM range(11) AS r(a), range(11) AS s(p)"""
+SQL["evaluate_saved_lines"] = SQL["rmse_mse"]
+SQL["prediction_report"] = sql("vectors split exact", "").rstrip() + PAIRS + """
+    SELECT 'RATING IMDB ' || actual::VARCHAR || chr(9) || 'RATING PREDICTED ' || round(predicted, 6)::VARCHAR AS value FROM pairs"""
 SQL["cosine_top10_blocks"] = SQL["cosine_top10"]
 SQL["lsh_predict_blocks"] = SQL["lsh_predict"]
 SQL["feature_tsv_roundtrip"] = SQL["feature_vector"].replace("SELECT id, (5", "SELECT id::VARCHAR AS id, (5")

@@ -421,6 +421,25 @@ def half_even_rounding(spark, sf):
     )
 
 
+@query
+def evaluate_saved_lines(spark, sf):
+    """Predictions written as text lines, parsed again and compared with the true ratings."""
+    vectors = standin.vectors(spark, sf)
+    train, test = R.systematic_split(vectors, VECTOR_ORDER)
+    predicted = P.cosine_predict(train, standin.as_batch(test))
+    path = scratch_path(spark, "lines")
+    Sp.write_lines(predicted.select(Sp.line_text(F.col("qid"), F.col("predicted"))), path)
+    parsed = Sp.read_lines(spark, path).select(F.col("id").cast("long").alias("qid"), "predicted")
+    return rounded(E.errors(E.with_actual(parsed, test)), "mse", "rmse")
+
+
+@query
+def prediction_report(spark, sf):
+    """Report lines with the true and the predicted rating."""
+    pairs = predicted_pairs(spark, sf)
+    return Sp.report(rounded(pairs, "predicted"))
+
+
 def timed_predictions(spark, sf) -> DataFrame:
     return standin.table(spark, sf, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
