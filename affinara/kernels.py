@@ -26,11 +26,10 @@ def column(table, name):
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
 
-def values_of(array):
-    """Ids as numpy values that sort like the column does."""
-    if pa.types.is_integer(array.type):
-        return array.to_numpy(zero_copy_only=False)
-    return np.asarray(array.to_pylist(), dtype=str)
+def id_rank(ids):
+    """Place of each id in the order of ids, equal for equal ids."""
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    return pc.rank(ids, "ascending", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64) - 1
 
 
 def matrix(vectors):
@@ -274,14 +273,13 @@ class Best:
         pick = np.arange(len(self.qid)) if pick is None else pick
         for start in range(0, rows.num_rows, TILE):
             piece = rows.slice(start, TILE)
-            ids = values_of(column(piece, "id"))
             if self.id_desc:
                 # one more than k, because a query's own row may be among them
-                last = np.argsort(ids)[::-1][: self.k + 1]
-                piece, ids = piece.take(pa.array(last)), ids[last]
-            # place in the order of ids, greatest for the id that wins a tie
-            place = np.empty(len(ids))
-            place[np.argsort(ids, kind="stable")] = np.arange(len(ids)) if self.id_desc else np.arange(len(ids))[::-1]
+                last = np.argsort(id_rank(piece.column("id")))[::-1][: self.k + 1]
+                piece = piece.take(pa.array(last))
+            # greatest for the id that wins a tie
+            rank = id_rank(piece.column("id"))
+            place = rank if self.id_desc else len(rank) - 1 - rank
             prepared = self.scorer.prepare_rows(piece)
             for first in range(0, len(pick), TILE):
                 self.add_tile(piece, prepared, place, pick[first : first + TILE])
@@ -313,7 +311,7 @@ class Best:
         q = np.concatenate([p[0] for p in self.parts])
         score = np.concatenate([p[1] for p in self.parts])
         rows = pa.concat_tables([p[2] for p in self.parts])
-        _, rank = np.unique(values_of(column(rows, "id")), return_inverse=True)
+        rank = id_rank(rows.column("id"))
         order = np.lexsort((-rank if self.id_desc else rank, -score, q))
         oq, orank = q[order], rank[order]
         again = np.zeros(len(oq), dtype=bool)
