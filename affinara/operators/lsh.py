@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from affinara import kernels
 from affinara.functions import bands as B
 from affinara.functions.text import round_half_up
-from affinara.operators.neighbours import BLOCK_KEYS, CATALOG_BLOCK, QUERY_BLOCK, bucket_blocks, k_nearest
+from affinara.operators.neighbours import (
+    BLOCK_KEYS,
+    CATALOG_BLOCK,
+    QUERY_BLOCK,
+    SMALL_BATCH_ROWS,
+    bucket_blocks,
+    k_nearest,
+    look_rows,
+)
 from affinara.operators.predict import for_every_query, mean_rating
 from affinara.shipping import broadcast_if_small, written
 
@@ -79,22 +87,30 @@ def lsh_candidates(
     queries: DataFrame,
     max_share: float = 0.5,
     sizes: DataFrame | None = None,
+    small_batch_rows: int = SMALL_BATCH_ROWS,
     catalog_block: int = CATALOG_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """``(qid, cand_id)``: titles that share a kept bucket with the query, each once.
 
     ``queries`` is a batch that went through ``lsh_index``; ``sizes`` are the
-    index's bucket sizes, if they are at hand. Hot buckets are cut into blocks on
-    both sides. A pair that meets in several kept buckets is emitted in the first
-    of them only, so the pairs are distinct without another shuffle.
+    index's bucket sizes, if they are at hand. A small batch goes to every task;
+    otherwise hot buckets are cut into blocks on both sides. A pair that meets in
+    several kept buckets is emitted in the first of them only, so the pairs are
+    distinct without another shuffle.
     """
     looks = looked_into(index, queries, ["band_keys"], max_share, sizes)
-    left, right = bucket_blocks(index.select("id", "band_keys"), looks, catalog_block, query_block)
+    catalog = index.select("id", "band_keys")
+    if looks.limit(small_batch_rows + 1).count() <= small_batch_rows:
+        left, right, on = in_bands(catalog), F.broadcast(look_rows(looks)), BLOCK_KEYS[:2]
+    else:
+        left, right = bucket_blocks(catalog, looks, catalog_block, query_block)
+        # the copies per block make this side larger than Spark's estimate: never broadcast it on that
+        right, on = right.hint("merge"), BLOCK_KEYS
     right = right.withColumnRenamed("band_keys", "q_keys")
     met = F.filter("kept", lambda b: F.get("q_keys", b["band"]) == F.get("band_keys", b["band"]))
     return (
-        left.join(right, BLOCK_KEYS)
+        left.join(right, on)
         .filter(F.get(met, F.lit(0))["band"] == F.col("band"))
         .select("qid", F.col("id").alias("cand_id"))
     )

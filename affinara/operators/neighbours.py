@@ -71,7 +71,7 @@ def k_nearest(
     else:
         if in_buckets:
             left, right = bucket_blocks(catalog, queries, catalog_block, query_block)
-            keys = BLOCK_KEYS
+            left, right, keys = left.drop("band_keys"), right.drop("band_keys", "kept"), BLOCK_KEYS
         else:
             left, right = table_blocks(catalog, queries, catalog_block, query_block)
             keys = BLOCK_KEYS[2:]
@@ -115,13 +115,7 @@ def bucket_blocks(
     """Both sides once per band and bucket they share, with block numbers inside the bucket."""
     on = BLOCK_KEYS[:2]
     rows = catalog.select(F.posexplode("band_keys").alias(*on), *catalog.columns)
-    looks = (
-        queries.withColumn("_look", F.explode("kept"))
-        .withColumn("band", F.col("_look.band"))
-        .withColumn("band_key", F.get("band_keys", F.col("band")))
-        .withColumn("rows_c", F.col("_look.size"))
-        .drop("_look")
-    )
+    looks = look_rows(queries)
     # one row per bucket that is looked into: far fewer than either side's rows
     sizes = broadcast_if_small(
         looks.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_q"), F.max("rows_c").alias("rows_c"))
@@ -135,6 +129,17 @@ def bucket_blocks(
     return left.drop("rows_c", "rows_q"), right.drop("rows_c", "rows_q")
 
 
+def look_rows(queries: DataFrame) -> DataFrame:
+    """The batch with one row per kept bucket: ``(band, band_key, rows_c)`` and the batch's columns."""
+    return (
+        queries.withColumn("_look", F.explode("kept"))
+        .withColumn("band", F.col("_look.band"))
+        .withColumn("band_key", F.get("band_keys", F.col("band")))
+        .withColumn("rows_c", F.col("_look.size"))
+        .drop("_look")
+    )
+
+
 def grid(catalog: DataFrame, queries: DataFrame, n_c: Column, n_q: Column) -> tuple[DataFrame, DataFrame]:
     return (
         catalog.withColumn("block_c", part_of("id", n_c)).withColumn("block_q", every(n_q)),

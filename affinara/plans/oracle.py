@@ -395,5 +395,6 @@ SQL["evaluate_saved_lines"] = SQL["rmse_mse"]
 SQL["prediction_report"] = sql("vectors split exact", "").rstrip() + PAIRS + """
     SELECT 'RATING IMDB ' || actual::VARCHAR || chr(9) || 'RATING PREDICTED ' || round(predicted, 6)::VARCHAR AS value FROM pairs"""
 SQL["cosine_top10_blocks"] = SQL["cosine_top10"]
+SQL["lsh_candidates_blocks"] = SQL["lsh_candidates"]
 SQL["lsh_predict_blocks"] = SQL["lsh_predict"]
 SQL["feature_tsv_roundtrip"] = SQL["feature_vector"].replace("SELECT id, (5", "SELECT id::VARCHAR AS id, (5")

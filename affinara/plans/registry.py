@@ -358,6 +358,13 @@ def lsh_candidates(spark, sf):
     return L.lsh_candidates(index, batch)
 
 
+@query
+def lsh_candidates_blocks(spark, sf):
+    """The same through the grid of blocks that large query batches take."""
+    index, batch = indexed(spark, sf)
+    return L.lsh_candidates(index, batch, small_batch_rows=0, catalog_block=512, query_block=128)
+
+
 @query
 def lsh_candidates_tight(spark, sf):
     """A size rule so tight that some queries fall back to their smallest bucket."""
