@@ -40,7 +40,7 @@ STEPS = {
                 FROM director_counts WHERE token <> '\\N') AS r
             WHERE pos < 500)""",
     "cells": """
-        sizes AS (
+        widths AS (
             SELECT (SELECT count(*) FROM genre_words) AS g, (SELECT count(*) FROM director_words) AS d,
                    (SELECT avg(runtime) FROM titles) AS mean),
         cells AS (
@@ -48,14 +48,34 @@ STEPS = {
             UNION ALL
             SELECT id, 1 + pos, 1.0 FROM (SELECT id, unnest(genres) AS token FROM titles) AS x JOIN genre_words USING (token)
             UNION ALL
-            SELECT id, 1 + g, coalesce(runtime - mean, 0.0) FROM titles, sizes
+            SELECT id, 1 + g, coalesce(runtime - mean, 0.0) FROM titles, widths
             UNION ALL
-            SELECT id, 2 + g + k, 1.0 FROM titles, sizes,
+            SELECT id, 2 + g + k, 1.0 FROM titles, widths,
                    (VALUES ('ECONOMY', 0), ('SMALL', 1), ('STANDARD', 2)) AS kinds(kind_name, k)
             WHERE kind = kind_name
             UNION ALL
             SELECT id, 5 + g + pos, 1.0 FROM (SELECT id, unnest(directors) AS token FROM titles) AS y
-                   JOIN director_words USING (token), sizes)""",
+                   JOIN director_words USING (token), widths)""",
+    "feature_split": """
+        norms AS (SELECT id, sqrt(sum(value * value)) AS norm FROM cells GROUP BY id),
+        train AS (SELECT id, rating FROM titles WHERE nth % 4 <> 0),
+        batch AS (SELECT id AS qid FROM titles WHERE nth % 4 = 0),
+        pairs AS (
+            SELECT q.id AS qid, c.id AS id, sum(q.value * c.value) AS dot
+            FROM cells AS q JOIN cells AS c USING (pos)
+            WHERE q.id IN (SELECT qid FROM batch) AND c.id IN (SELECT id FROM train)
+            GROUP BY q.id, c.id),
+        scored AS (
+            SELECT qid, p.id AS id, rating, round(dot / (n.norm * m.norm), 9) AS score
+            FROM pairs AS p JOIN norms AS n ON n.id = qid JOIN norms AS m ON m.id = p.id JOIN train ON train.id = p.id)""",
+    "feature_signs": """
+        planes AS (
+            SELECT k, pos, CASE WHEN substr(md5(k::VARCHAR || ':' || pos::VARCHAR), 1, 1) >= '8' THEN 1.0 ELSE -1.0 END AS sign
+            FROM range(25) AS t(k), (SELECT DISTINCT pos FROM cells) AS p),
+        signs AS (
+            SELECT id, k, CASE WHEN x > 0 THEN 1 WHEN x < 0 THEN -1
+                               WHEN substr(md5(id::VARCHAR || ':' || k::VARCHAR), 1, 1) >= '8' THEN 1 ELSE -1 END AS s
+            FROM (SELECT id, k, sum(value * sign) AS x FROM cells JOIN planes USING (pos) GROUP BY id, k) AS d)""",
     "vectors": """
         vectors AS (
             SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::DOUBLE AS rating,
@@ -196,6 +216,7 @@ def summary(column: str) -> str:
 
 
 TIMED = """timed AS (SELECT 'p' || p_partkey AS id, p_size / 5 AS predicted, round(p_retailprice / 200, 3) AS seconds FROM part)"""
+FEATURES = "catalog titles genre_words director_counts director_words cells"
 LSH = "vectors split planes signs banded index"
 CATALOG_TEXT = "SELECT id, rating, votes, kind, title, flag, runtime, genres, directors, writers FROM catalog"
 
@@ -271,7 +292,7 @@ SQL: dict[str, str] = {
     "feature_vector": sql(
         "catalog titles genre_words director_counts director_words cells",
         """SELECT id, (5 + g + d)::INTEGER AS length, pos::INTEGER AS pos, round(value, 6) AS value
-           FROM cells, sizes WHERE value <> 0""",
+           FROM cells, widths WHERE value <> 0""",
     ),
     "global_rank": sql("catalog titles", "SELECT id, votes, nth FROM titles"),
     "split_train": sql("catalog titles", "SELECT id, votes, rating FROM titles WHERE nth % 4 <> 0"),
@@ -297,18 +318,21 @@ SQL: dict[str, str] = {
         "vectors split exact", "SELECT qid, round(avg(rating), 6) AS predicted FROM ranked WHERE rank <= 10 GROUP BY qid"
     ),
     "cosine_predict_features": sql(
-        "catalog titles genre_words director_counts director_words cells",
-        """, norms AS (SELECT id, sqrt(sum(value * value)) AS norm FROM cells GROUP BY id),
-           pairs AS (
-               SELECT q.id AS qid, c.id AS id, sum(q.value * c.value) AS dot
-               FROM cells AS q JOIN cells AS c USING (pos)
-               WHERE q.id IN (SELECT id FROM titles WHERE nth % 4 = 0) AND c.id IN (SELECT id FROM titles WHERE nth % 4 <> 0)
-               GROUP BY q.id, c.id),
-           ranked AS (
-               SELECT qid, p.id, t.rating, row_number() OVER (
-                          PARTITION BY qid ORDER BY round(dot / (n.norm * m.norm), 9) DESC, p.id) AS rank
-               FROM pairs AS p JOIN norms AS n ON n.id = qid JOIN norms AS m ON m.id = p.id JOIN titles AS t ON t.id = p.id)
-           SELECT qid, round(avg(rating), 6) AS predicted FROM ranked WHERE rank <= 10 GROUP BY qid""",
+        FEATURES + " feature_split",
+        """SELECT qid, round(avg(rating), 6) AS predicted
+           FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) AS r
+           WHERE rank <= 10 GROUP BY qid""",
+    ),
+    "lsh_predict_features": sql(
+        FEATURES + " feature_split feature_signs banded index",
+        """SELECT batch.qid AS qid, predicted FROM batch LEFT JOIN
+               (SELECT qid, round(avg(rating), 1) AS predicted
+                FROM (SELECT scored.qid AS qid, rating,
+                             row_number() OVER (PARTITION BY scored.qid ORDER BY score DESC, id) AS rank
+                      FROM scored JOIN candidates ON candidates.qid = scored.qid AND cand_id = id) AS r
+                WHERE rank <= 10 GROUP BY qid) AS m
+           ON m.qid = batch.qid""",
+        share=0.5,
     ),
     "lsh_signature": sql(
         "vectors planes signs", "SELECT id, string_agg(s::VARCHAR, ',' ORDER BY k) AS signature FROM signs GROUP BY id"

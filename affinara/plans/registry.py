@@ -311,6 +311,15 @@ def cosine_predict_features(spark, sf):
 # --- LSH ---
 
 
+@query
+def lsh_predict_features(spark, sf):
+    """Whole pipeline: catalog, feature vectors, split, LSH prediction."""
+    features, _ = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
+    train, test = R.systematic_split(written(features, "features"))
+    index = written(L.lsh_index(train), "index")
+    return L.lsh_predict(index, written(L.lsh_index(standin.as_batch(test), id_name="qid"), "batch"))
+
+
 def indexed(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Written index of the training vectors, and the hold-out batch with its bucket keys."""
     train, batch = hold_out_vectors(spark, sf)
