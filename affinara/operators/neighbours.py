@@ -71,7 +71,7 @@ def k_nearest(
     else:
         if in_buckets:
             left, right = bucket_blocks(catalog, queries, catalog_block, query_block)
-            left, right, keys = left.drop("band_keys"), right.drop("band_keys", "kept"), BLOCK_KEYS
+            keys = BLOCK_KEYS
         else:
             left, right = table_blocks(catalog, queries, catalog_block, query_block)
             keys = BLOCK_KEYS[2:]
@@ -80,7 +80,7 @@ def k_nearest(
         # by number, so that few bytes with much work are not merged into few tasks
         parts = shuffle_partitions(catalog)
         left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
-        run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), id_desc)
+        run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), in_buckets, id_desc)
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
     order = [F.desc("id")] if id_desc else [F.desc("score"), F.asc("id")]
     # dense_rank counts a row that was met in several buckets once

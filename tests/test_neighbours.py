@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from affinara import kernels
 from affinara.functions import vectors as V
 from affinara.operators import lsh as L
 from affinara.operators import predict as P
@@ -216,7 +217,9 @@ def test_lsh_candidates(frames, max_share, blocks):
 @FORMS
 @pytest.mark.parametrize("max_share", [0.5, 0.02])
 @pytest.mark.parametrize("order", ["similarity", "id_desc"])
-def test_lsh_neighbours(frames, vectors, form, max_share, order):
+@pytest.mark.parametrize("copies", [64, 2], ids=["plain", "copies_apart"])
+def test_lsh_neighbours(frames, vectors, form, max_share, order, copies, monkeypatch):
+    monkeypatch.setattr(kernels, "COPIES", copies)
     features, batch = frames
     index, looks = L.lsh_index(features), L.lsh_index(batch, id_name="qid")
     pairs = candidates_by_hand({r["id"]: r["band_keys"] for r in index.collect()}, max_share)
