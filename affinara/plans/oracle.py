@@ -417,7 +417,7 @@ SQL["confusion_matrix"] = sql("vectors split exact", "").rstrip() + PAIRS + """
     FROM range(11) AS r(a), range(11) AS s(p)"""
 SQL["evaluate_saved_lines"] = SQL["rmse_mse"]
 SQL["prediction_report"] = sql("vectors split exact", "").rstrip() + PAIRS + """
-    SELECT 'RATING IMDB ' || actual::VARCHAR || chr(9) || 'RATING PREDICTED ' || round(predicted, 6)::VARCHAR AS value FROM pairs"""
+    SELECT 'actual ' || actual::VARCHAR || chr(9) || 'predicted ' || round(predicted, 6)::VARCHAR AS value FROM pairs"""
 SQL["cosine_top10_blocks"] = SQL["cosine_top10"]
 SQL["lsh_candidates_blocks"] = SQL["lsh_candidates"]
 SQL["lsh_predict_blocks"] = SQL["lsh_predict"]

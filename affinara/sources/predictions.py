@@ -75,6 +75,6 @@ def report(pairs: DataFrame) -> DataFrame:
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NaN"))
     return pairs.select(
         F.concat(
-            F.lit("RATING IMDB "), shown("actual"), F.lit("\tRATING PREDICTED "), shown("predicted")
+            F.lit("actual "), shown("actual"), F.lit("\tpredicted "), shown("predicted")
         ).alias("value")
     )
