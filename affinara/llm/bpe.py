@@ -15,19 +15,21 @@ from __future__ import annotations
 
 import heapq
 import json
-from itertools import chain
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from affinara.llm.common import blocks, segments, texts_of
 
-BLOCK_BYTES = 8 << 20
-KEPT_WORDS = 500_000
+BLOCK_BYTES = 6 << 20
+KEPT_WORDS = 400_000
+DECODED_IDS = 1 << 20  # at a time
 
 
 def byte_letters() -> dict[str, int]:
@@ -132,6 +134,14 @@ def encode_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndar
     return symbol[live].astype(np.int32), counts
 
 
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
     """Encodes blocks of texts and keeps the ids of words met before (at most ``KEPT_WORDS`` and one block's)."""
 
@@ -144,10 +154,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = dict.fromkeys(self.v.special)
+        self.known = Numbers((word, i) for i, word in enumerate(self.v.special))
         self.ids = np.array(list(self.v.special.values()), np.int32)
-        for i, word in enumerate(self.known):
-            self.known[word] = i
         self.starts, self.counts = np.arange(len(self.known)), np.ones(len(self.known), np.int64)
 
     def split(self, text: str) -> list[str]:
@@ -164,18 +172,13 @@ class Encoder:
         for i, text in enumerate(texts):
             words = self.split(text)
             sizes[i] = len(words)
-            try:
-                number.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                for word in words:
-                    known.setdefault(word, len(known))
-                number.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            number.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
         if len(known) > first:
-            new = [w.encode() for w in list(known)[first:]]
+            new = [w.encode() for w in islice(known, first, None)]
             ids, counts = encode_words(new, self.v)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        code = np.concatenate(number) if number else np.zeros(0, np.int64)
+        code = np.concatenate(number) if number else np.zeros(0, np.int32)
         count = self.counts[code]
         ends = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(sizes)]]
         return self.ids[segments(self.starts[code], count)], np.diff(ends)
@@ -209,11 +212,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     schema = _with(df, text, T.StringType())
 
     def decoded(batches):
-        tokens = None
+        data = None
         for batch in batches:
-            tokens = tokens or Vocabulary(path).tokens
-            get = tokens.__getitem__
-            column = [b"".join(map(get, x or ())).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-            yield batch.append_column(text, pa.array(column, pa.string()))
+            if data is None:
+                tokens = Vocabulary(path).tokens
+                size = np.array([len(t) for t in tokens], np.int64)
+                start, data = np.cumsum(size) - size, np.frombuffer(b"".join(tokens), np.uint8)
+            column = batch.column(ids)
+            counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten().to_numpy()
+            ends, out, row = np.cumsum(counts), [], 0
+            while row < len(counts):
+                begin = int(ends[row] - counts[row])
+                stop = max(row + 1, int(np.searchsorted(ends, begin + DECODED_IDS, side="right")))
+                part = flat[begin : ends[stop - 1]]
+                raw = data[segments(start[part], size[part])].tobytes()
+                cuts = np.r_[0, np.cumsum(size[part])][np.r_[0, ends[row:stop] - begin]].tolist()
+                out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+                row = stop
+            yield batch.append_column(text, pa.array(out, pa.string()))
 
     return df.mapInArrow(decoded, schema)
