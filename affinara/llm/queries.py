@@ -34,6 +34,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinara.llm import nn_descent
+
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinara.llm import top_k
 
@@ -77,7 +83,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_top_k, op7_language, op9_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op7_language, op9_bpe, op10_suffix_dedup)}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH v AS (
