@@ -47,6 +47,13 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinara.llm import near_dedup
+
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinara.llm import language
 
@@ -83,7 +90,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op7_language, op9_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op6_near_dedup, op7_language, op9_bpe, op10_suffix_dedup)}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH v AS (
