@@ -47,6 +47,14 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinara.llm import main_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = main_text.main_text(pages, main_text.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinara.llm import near_dedup
 
@@ -63,6 +71,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinara.llm import licences
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.fit(licences.sample_paragraphs(docs)))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinara.llm import bpe
 
@@ -90,7 +105,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op6_near_dedup, op7_language, op9_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op5_main_text, op6_near_dedup, op7_language, op8_licences, op9_bpe, op10_suffix_dedup)}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH v AS (

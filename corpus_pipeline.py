@@ -8,8 +8,9 @@ a lost executor never costs more than one stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from affinara.llm import language, toxicity
+from affinara.llm import language, near_dedup, suffix_dedup, toxicity
 from affinara.llm.common import table
 from affinara.llm.queries import packed_pieces
 from affinara.shipping import written
@@ -29,6 +30,19 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(scored["score"] < REJECTED_FROM).select(docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of every class of near duplicates."""
+    return near_dedup.keep_one(docs).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every 50-byte string that also starts in a document with a smaller id; all rows stay."""
+    cut = suffix_dedup.cut_texts(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into windows; the last stage."""
     return packed_pieces(docs)
@@ -37,6 +51,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language identification", identify_language),
     ("toxicity", reject_toxic),
+    ("near-duplicate removal", drop_near_copies),
+    ("suffix-array de-duplication", cut_repeats),
     ("packing", pack_sequences),
 ]
 # learned models and suffix ordering have no SQL form
