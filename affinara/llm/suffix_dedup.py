@@ -7,6 +7,9 @@ loss: every string of LENGTH bytes names the least hashed of the ``GRAM``-byte
 grams inside it, its anchor, by its content alone. Equal strings name equal
 anchors, so only strings at anchors that occur more than once can repeat.
 
+0. A text that equals the text of a smaller id loses all (if it is long enough) and
+   teaches nothing that the other does not: such copies are known by digest and
+   take no part below.
 1. Documents are dealt into chunks by a hash of their ids. Every chunk sends the
    hashes of its anchors once each; those met twice are sent back.
 2. For such anchors a chunk sends the bytes around it once, however many of its
@@ -30,27 +33,29 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinara.llm.common import mixed, partitions, segments
+from affinara.shipping import written
 
 LENGTH = 50
-GRAM = 24
+GRAM = 16
 STRIP = 1 << 20
 POSITION_BITS = 21
 CHUNK_ROWS = 1024
 SAMPLES = 64  # splitter candidates for a bucket
 BATCH = 40_000  # rows sorted at a time, and those that share the last one's leading bytes
 RECORD = "bucket int, lead long, body binary, ahead int, least long, most long, chunk long, place int"
-WORDS = 11
+WORDS = 12  # 64-bit letters of a record: 88 bytes, and its lengths
 
 
 class Chunk:
     """The texts of a chunk end to end, in the order of their ids, and their anchors."""
 
-    def __init__(self, table: pa.Table, key: str, text: str):
+    def __init__(self, table: pa.Table, key: str, text: str, copies=()):
         ids, texts = table.column(key).to_pylist(), table.column(text).cast(pa.binary()).to_pylist()
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
         raw = [texts[i] or b"" for i in self.order]
@@ -61,7 +66,8 @@ class Chunk:
         self.ids = np.array([-1 if ids[i] is None else ids[i] for i in self.order], np.int64)
         self.named = np.array([ids[i] is not None for i in self.order], bool)
         self.valid = np.ones(len(self.bytes), bool)
-        short = np.where(self.named, np.minimum(sizes, LENGTH - 1), sizes)
+        self.copies = np.isin(self.ids, copies) & self.named
+        short = np.where(self.named & ~self.copies, np.minimum(sizes, LENGTH - 1), sizes)
         self.valid[segments(self.ends - short, short)] = False
 
     def anchors(self):
@@ -81,10 +87,10 @@ class Chunk:
             gram = mixed(gram)
             best = (gram >> np.uint64(POSITION_BITS)) << np.uint64(POSITION_BITS)
             best |= np.arange(len(gram), dtype=np.uint64)
-            for step in (1, 2, 4, 8):
+            grams = LENGTH - GRAM + 1
+            for step in (1, 2, 4, 8, 16):
                 best = np.minimum(best[:-step], best[step:])
-            rest = LENGTH - GRAM + 1 - 16
-            best = np.minimum(best[:-rest], best[rest:])
+            best = np.minimum(best[: 32 - grams], best[grams - 32 :])
             at = (best[first] & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
             new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             last = np.r_[new[1:], len(at)] - 1
@@ -256,11 +262,21 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(chunks)))
     wide, number = rows.schema, partitions(df)
 
-    def hashes(table: pa.Table) -> pa.Table:
-        found = np.unique(Chunk(table, key, body).anchors()[3]).view(np.int64)
+    digest = rows.where(F.col(body).isNotNull()).select(F.col(key).alias("copy"), F.md5(F.col(body).cast("binary")).alias("digest"), F.col("_chunk").alias("chunk"))
+    first = written(digest.groupBy("digest").agg(F.min("copy").alias("first"), F.max("copy").alias("last")).where("first < last").drop("last"), "suffix-first-copies")
+    # of rows with one id none is a copy of a smaller id unless all are: ids with several rows stay as they are
+    single = rows.groupBy(F.col(key).alias("copy")).agg(F.count("*").alias("n")).where("n = 1").select("copy")
+    copies = digest.join(first, "digest").where("copy > first").join(single, "copy").select("copy", "chunk")
+    copies = written(copies, "suffix-copies")
+    by_chunk = rows.groupBy("_chunk")
+
+    def hashes(table: pa.Table, copied: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"gram": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64())})
+        found = np.unique(Chunk(table, key, body, copied.column("copy").to_numpy()).anchors()[3]).view(np.int64)
         return pa.table({"gram": found, "chunk": pa.array(np.full(len(found), table.column("_chunk")[0].as_py()), pa.int64())})
 
-    grams = rows.groupBy("_chunk").applyInArrow(hashes, "gram long, chunk long")
+    grams = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(hashes, "gram long, chunk long")
     # a chunk's own twins show below; here a gram counts that two chunks hold
     twice = grams.repartition(number, "gram").sortWithinPartitions("gram").mapInArrow(_met_twice, "gram long, chunk long")
 
@@ -279,11 +295,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     def records(table: pa.Table, shared: pa.Table) -> pa.Table:
         out: dict[tuple[int, bytes], list[int]] = {}
         if len(table):
-            chunk = Chunk(table, key, body)
+            chunk = Chunk(table, key, body, copied(shared))
             at, lo, hi, gram = chunk.anchors()
             owner = np.searchsorted(chunk.ends, lo, side="right")
             gram = gram.view(np.int64)
-            known = np.sort(shared.column("gram").to_numpy())
+            known = np.sort(shared.column("gram").drop_null().to_numpy())
             kept = _isin(gram, known)
             order = np.argsort(gram, kind="stable")
             same = gram[order][1:] == gram[order][:-1]
@@ -315,8 +331,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
         for table in _cut(batches, BATCH):
             yield from least_ids(table).combine_chunks().to_batches()
 
-    by_chunk = rows.groupBy("_chunk")
-    found = by_chunk.cogroup(twice.groupBy("chunk")).applyInArrow(records, RECORD)
+    def copied(other: pa.Table) -> np.ndarray:
+        return other.column("copy").drop_null().to_numpy()
+
+    shared = twice.withColumn("copy", F.lit(None).cast("long")).unionByName(copies.withColumn("gram", F.lit(None).cast("long")))
+    found = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(records, RECORD)
     found = found.repartitionById(number, F.col("bucket")).sortWithinPartitions("lead")
     lowest = found.mapInArrow(ordered, "chunk long, place int, first int, last int, least long")
     result = T.StructType(
@@ -324,8 +343,12 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     )
 
     def cut(table: pa.Table, least: pa.Table) -> pa.Table:
-        chunk = Chunk(table, key, body)
+        chunk = Chunk(table, key, body, copied(least))
+        least = least.filter(pa.compute.is_null(least.column("copy")))
         covered = np.zeros(len(chunk.bytes) + 1, np.int32)
+        whole = np.flatnonzero(chunk.copies & (chunk.ends - chunk.starts >= LENGTH))
+        np.add.at(covered, chunk.starts[whole], 1)
+        np.add.at(covered, chunk.ends[whole], -1)
         if len(least):
             at, lo, hi, gram = chunk.anchors()
             place = least.column("place").to_numpy()
@@ -364,5 +387,26 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
         out = out.append_column("spans", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
         return out.append_column("kept", pa.array(kept, pa.binary()))
 
-    done = by_chunk.cogroup(lowest.groupBy("chunk")).applyInArrow(cut, result)
+    back = lowest.withColumn("copy", F.lit(None).cast("long")).unionByName(copies, allowMissingColumns=True)
+    done = by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(cut, result)
     return done.select(*(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)), "n_bytes", "spans", "kept")
+
+
+def cut_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` with repeated strings cut from their texts; a character that lost some of its bytes goes whole.
+
+    A null text stays null, a text of which nothing is left becomes empty.
+    """
+    names = df.columns
+    inner = [f"_t{i}" for i in range(len(names))]
+    body = inner[names.index(text)]
+    rows = remove_repeats(df.toDF(*inner), inner[names.index(doc_id)], body, **options).select(*inner, "kept")
+
+    def readable(batches):
+        for batch in batches:
+            old = batch.column(body)
+            new = [None if not o.is_valid else k.decode("utf-8", "ignore") for o, k in zip(old, batch.column("kept").to_pylist(), strict=True)]
+            at = batch.schema.get_field_index(body)
+            yield batch.set_column(at, body, pa.array(new, pa.string())).select(inner)
+
+    return rows.mapInArrow(readable, rows.select(*inner).schema).toDF(*names)
