@@ -195,6 +195,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of a text column. One pass over the rows, no shuffle."""
+    df = df.drop(ids)
     schema = _with(df, ids, T.ArrayType(T.IntegerType(), False))
 
     def encoded(batches):
@@ -209,6 +210,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of a column of token ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
+    df = df.drop(text)
     schema = _with(df, text, T.StringType())
 
     def decoded(batches):

@@ -103,7 +103,7 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         margin = self.kernel(texts) @ self.weight
         best = margin.argmax(1)
-        score = np.clip((margin[np.arange(len(texts)), best].astype(float) + 1) / 2, 0, 1)
+        score = np.round(np.clip((margin[np.arange(len(texts)), best].astype(float) + 1) / 2, 0, 1), 6)
         return [self.classes[i] for i in best], score
 
 

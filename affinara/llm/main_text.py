@@ -48,6 +48,8 @@ NEVER_CLASS = re.compile(
 )
 DEFAULT_WORD, DEFAULT_TAG = 1.0, -3.25
 MOST_ODDS = 4.0
+LEAST_TAG = -1.0
+NEVER_WORD, NEVER_TAG = -0.25, -0.05  # in elements that are left out anyway: what lies behind them may belong to the text
 
 
 def tokens(page: str):
@@ -116,9 +118,11 @@ def extract(page: str, weights: dict[str, float]) -> str:
         kind, label, text, never, _ = part
         if kind == 0:
             n = len(html.unescape(text).split())
-            score = n * (-DEFAULT_WORD if never else weights.get("w:" + label, weights.get("w:" + label.split(".")[0], DEFAULT_WORD)))
+            score = n * (NEVER_WORD if never else weights.get("w:" + label, weights.get("w:" + label.split(".")[0], DEFAULT_WORD)))
         elif text in INLINE:
             score = 0.0
+        elif never:
+            score = NEVER_TAG
         else:
             score = weights.get("t:" + label, weights.get("t:" + label.split(".")[0], DEFAULT_TAG if not weights else -0.5))
         parts.append(part)
@@ -160,7 +164,7 @@ def fit(pages: DataFrame, key: str = "page_id", page: str = "html", most_pages:
         for r in own:
             odds = math.log((r["a"] + 0.5) / inside) - math.log((r["b"] + 0.5) / outside)
             odds = max(-MOST_ODDS, min(MOST_ODDS, odds))
-            weights[r["token"]] = odds if kind == "w" else min(odds, -0.05)
+            weights[r["token"]] = odds if kind == "w" else max(LEAST_TAG, min(odds, -0.05))
     return weights
 
 

@@ -320,7 +320,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     labels = components(links)
     found = written(keyed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")), "near-found")
     least = written(found.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id")), "near-classes")
-    return found.join(least, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return found.join(least, "label", "left").select("doc_id", own.alias("class_id"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
