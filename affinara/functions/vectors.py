@@ -43,14 +43,19 @@ def sparse_of(v: Column) -> Column:
 
 
 def dense(v: Column) -> Column:
-    """Sparse vector to ``ARRAY<DOUBLE>`` (for export; the operators work on the sparse form)."""
-    def at(i):
-        return F.get(v["values"], (F.array_position(v["indices"], i) - 1).cast("int"))
-
-    return F.when(
-        v["size"] > 0,
-        F.transform(F.sequence(F.lit(0), v["size"] - 1), lambda i: F.coalesce(at(i), F.lit(0.0))),
-    ).otherwise(F.array().cast("array<double>"))
+    """Sparse vector to ``ARRAY<DOUBLE>`` (for export; the operators work on the sparse form), filled in one pass."""
+    # between two positions of the sparse form lie only zeros
+    gap = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    last = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0).alias("at"))
+
+    def fill(acc, e):
+        return F.struct(
+            F.concat(acc["out"], gap(e["indices"] - acc["at"]), F.array(e["values"])).alias("out"),
+            (e["indices"] + 1).alias("at"),
+        )
+
+    done = F.aggregate(F.arrays_zip(v["indices"], v["values"]), last, fill)
+    return F.concat(done["out"], gap(v["size"] - done["at"]))
 
 
 def dense_from_row(*cols: Column) -> Column:

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinara.functions import vectors as V
 from affinara.functions.text import MISSING
+from affinara.operators.ranking import global_row_number
+from affinara.shipping import broadcast_if_small, written
 
 # The kinds that get a one-hot position, and the number of directors kept.
 KINDS = ["movie", "tvMovie", "tvSpecial"]
 TOP_DIRECTORS = 500
-# A block of the vector with one position per distinct value is refused above this length.
-MOST_POSITIONS = 100_000
 
 
 def tokens(catalog: DataFrame, name: str, keep: Sequence[str] = ("id",)) -> DataFrame:
@@ -38,23 +39,27 @@ def top_tokens(
     return ranked.offset(skip).limit(limit) if skip else ranked.limit(limit)
 
 
-# A scalar subquery may not stand inside a lambda: put these columns on the rows first, then use them.
+# A vocabulary is a table ``(token, pos)``, however many items it has: tokens get their positions by a join.
 
 
-def distinct_vocabulary(catalog: DataFrame, name: str) -> Column:
-    """All distinct items as one sorted array, as long as a dense block of the vector has positions."""
-    found = tokens(catalog, name, keep=()).distinct().limit(MOST_POSITIONS + 1)
-    items = F.array_sort(F.collect_list("token"))
-    too_many = F.raise_error(F.lit(f"more than {MOST_POSITIONS} distinct values in {name}: too long for a vector"))
-    return found.agg(F.when(F.count(F.lit(1)) <= MOST_POSITIONS, items).otherwise(too_many)).scalar()
+def distinct_vocabulary(catalog: DataFrame, name: str) -> DataFrame:
+    """``(token, pos)``: all distinct items in order; written."""
+    found = global_row_number(tokens(catalog, name, keep=()).distinct(), ["token"], "nth")
+    return written(found.select("token", (F.col("nth") - 1).cast("int").alias("pos")), "vocabulary")
 
 
-def top_vocabulary(catalog: DataFrame, name: str, limit: int, exclude=(MISSING,), skip: int = 0) -> Column:
-    """The most frequent items as one array in rank order; at most ``limit`` items."""
-    ranked = F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "token"))), lambda e: e["token"]
-    )
-    return top_tokens(catalog, name, limit, exclude, skip).agg(ranked).scalar()
+def top_vocabulary(catalog: DataFrame, name: str, limit: int, exclude=(MISSING,), skip: int = 0) -> DataFrame:
+    """``(token, pos)``: the most frequent items in rank order; at most ``limit`` rows, written."""
+    # one row per kept rank here
+    place = F.row_number().over(W.orderBy(F.desc("n"), "token")) - 1
+    ranked = top_tokens(catalog, name, limit, exclude, skip).select("token", place.alias("pos"))
+    return written(ranked, "vocabulary")
+
+
+def hot_positions(catalog: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
+    """``(id, hot)``: ascending positions of a title's items that occur in the vocabulary; titles without one have no row."""
+    found = tokens(catalog, name).distinct().join(broadcast_if_small(vocabulary), "token")
+    return found.groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("hot"))
 
 
 def mean_runtime(catalog: DataFrame) -> Column:
@@ -71,18 +76,6 @@ def kind_flags(kind: Column, kinds: Sequence[str] = tuple(KINDS)) -> dict[str, C
     return {f"is_{k}": F.when(kind == k, 1.0).otherwise(0.0) for k in kinds}
 
 
-def multihot(items: Column, vocabulary: Column) -> Column:
-    """1.0/0.0 per vocabulary item."""
-    return F.transform(vocabulary, lambda v: F.when(F.array_contains(items, v), 1.0).otherwise(0.0))
-
-
-def hot_positions(items: Column, vocabulary: Column) -> Column:
-    """``multihot`` in sparse form: ascending positions of the items that occur in the vocabulary."""
-    found = F.transform(F.array_distinct(items), lambda t: F.array_position(vocabulary, t) - 1)
-    hits = F.sort_array(F.filter(found, lambda p: p >= 0))
-    return F.coalesce(hits, F.array()).cast("array<int>")
-
-
 def build_features(
     catalog: DataFrame,
     kinds: Sequence[str] = tuple(KINDS),
@@ -93,21 +86,23 @@ def build_features(
 ) -> tuple[DataFrame, DataFrame]:
     """``(features, vocabulary)``.
 
-    ``features`` is ``(id, title, rating, votes, vector)`` with a sparse vector;
-    ``vocabulary`` is ``(pos, name)``. Positions: flag, one per distinct genre,
-    runtime (0.0 where missing), one per kind, one per kept director, and votes
-    last if asked for. The catalog's summary values (mean, genres, top directors)
-    enter the one projection as scalar subqueries.
+    ``features`` is ``(id, title, rating, votes, vector)`` with a sparse vector, one row
+    per title (ids are unique); ``vocabulary`` is ``(pos, name)``. Positions: flag, one
+    per distinct genre, runtime (0.0 where missing), one per kind, one per kept director,
+    and votes last if asked for. Items find their positions by joins with the two
+    vocabulary tables; only the mean and the tables' sizes enter as scalars.
     """
+    genres = distinct_vocabulary(catalog, "genres")
+    directors = top_vocabulary(catalog, "directors", top_n, exclude, skip)
+    rows = F.count(F.lit(1)).cast("int")
     summary = {
-        "_genres": distinct_vocabulary(catalog, "genres"),
-        "_directors": top_vocabulary(catalog, "directors", top_n, exclude, skip),
+        "_genres": genres.select(rows).scalar(),
+        "_directors": directors.select(rows).scalar(),
         "_mean": mean_runtime(catalog),
     }
-    genres, directors = F.col("_genres"), F.col("_directors")
-    at_runtime = F.lit(1) + F.size(genres)
+    at_runtime = F.lit(1) + F.col("_genres")
     at_directors = at_runtime + 1 + len(kinds)
-    length = at_directors + F.size(directors) + (1 if include_votes else 0)
+    length = at_directors + F.col("_directors") + (1 if include_votes else 0)
     flags = kind_flags(F.col("kind"), kinds)
 
     def single(pos: Column, value: Column) -> tuple[Column, Column]:
@@ -131,24 +126,23 @@ def build_features(
         block(F.col("_director_hot"), at_directors),
         *([single(length - 1, F.col("votes"))] if include_votes else []),
     ]
-    # the positions are looked up in a step of their own, because several columns use them
-    looked_up = catalog.withColumns(summary).withColumns(
-        {
-            "_genre_hot": hot_positions(F.col("genres"), genres),
-            "_director_hot": hot_positions(F.col("directors"), directors),
-        }
-    )
+    none = F.array().cast("array<int>")
+    looked_up = catalog.select("id", "title", "rating", "votes", "flag", "runtime", "kind").withColumns(summary)
+    for name, hot in (("genres", genres), ("directors", directors)):
+        found = hot_positions(catalog, name, hot).withColumnRenamed("hot", f"_{name[:-1]}_hot")
+        looked_up = looked_up.join(found, "id", "left")
+    looked_up = looked_up.withColumns({c: F.coalesce(c, none) for c in ("_genre_hot", "_director_hot")})
     indices, values = (F.concat(*[part[i] for part in parts]) for i in (0, 1))
     features = looked_up.select("id", "title", "rating", "votes", V.sparse(length, indices, values).alias("vector"))
-    names = F.concat(
-        F.array(F.lit("flag")),
-        F.transform(genres, lambda g: F.concat(F.lit("is_"), g)),
-        F.array(F.lit("avg_runtime"), *[F.lit(name) for name in flags]),
-        directors,
-        *([F.array(F.lit("votes"))] if include_votes else []),
-    )
+
     one_row = catalog.sparkSession.range(1).withColumns(summary)
-    return features, one_row.select(F.posexplode(names).alias("pos", "name"))
+    single_names = [(F.lit(0), F.lit("flag")), (at_runtime, F.lit("avg_runtime"))]
+    single_names += [(at_runtime + 1 + i, F.lit(flag)) for i, flag in enumerate(flags)]
+    single_names += [(length - 1, F.lit("votes"))] if include_votes else []
+    fixed = one_row.select(F.explode(F.array(*[F.struct(p.cast("int").alias("pos"), n.alias("name")) for p, n in single_names])).alias("e"))
+    words = genres.select((F.col("pos") + 1).alias("pos"), F.concat(F.lit("is_"), "token").alias("name"))
+    people = directors.withColumns(summary).select((F.col("pos") + at_directors).cast("int").alias("pos"), F.col("token").alias("name"))
+    return features, fixed.select("e.pos", "e.name").unionByName(words).unionByName(people)
 
 
 def column_names(names: Sequence[str]) -> list[str]:

@@ -14,7 +14,6 @@ from affinara.operators.neighbours import (
     BLOCK_KEYS,
     CATALOG_BLOCK,
     QUERY_BLOCK,
-    SMALL_BATCH_ROWS,
     bucket_blocks,
     k_nearest,
     look_rows,
@@ -24,18 +23,24 @@ from affinara.shipping import broadcast_if_small, written
 
 
 def lsh_index(
-    features: DataFrame, planes: int = 25, bands: int = 5, seed: str = "", id_name: str = "id"
+    features: DataFrame,
+    planes: int = 25,
+    bands: int = 5,
+    seed: str = "",
+    id_name: str = "id",
+    keep_signature: bool = False,
 ) -> DataFrame:
-    """The rows with their ``signature`` and ``band_keys ARRAY<BIGINT>``, one bucket key per band.
+    """The rows with ``band_keys ARRAY<BIGINT>``, one bucket key per band, and their ``signature`` if asked for.
 
     One row per title: a bucket is every row with that key at that band, so the
     vectors are stored once. Write the index to use it for many batches. Query
     batches go through the same function with ``id_name="qid"``.
     """
     sig = B.signature(F.col("vector"), F.col(id_name), planes, seed)
-    return features.withColumn("signature", sig).withColumn(
+    out = features.withColumn("signature", sig).withColumn(
         "band_keys", F.transform(B.split_bands(F.col("signature"), planes, bands), B.band_key)
     )
+    return out if keep_signature else out.drop("signature")
 
 
 def in_bands(index: DataFrame) -> DataFrame:
@@ -87,21 +92,22 @@ def lsh_candidates(
     queries: DataFrame,
     max_share: float = 0.5,
     sizes: DataFrame | None = None,
-    small_batch_rows: int = SMALL_BATCH_ROWS,
+    form: str = "grid",
     catalog_block: int = CATALOG_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """``(qid, cand_id)``: titles that share a kept bucket with the query, each once.
 
     ``queries`` is a batch that went through ``lsh_index``; ``sizes`` are the
-    index's bucket sizes, if they are at hand. A small batch goes to every task;
-    otherwise hot buckets are cut into blocks on both sides. A pair that meets in
+    index's bucket sizes, if they are at hand. ``form="grid"`` cuts hot buckets into
+    blocks on both sides; ``form="scan"`` sends the batch to every task, for batches
+    that the caller knows to be small. A pair that meets in
     several kept buckets is emitted in the first of them only, so the pairs are
     distinct without another shuffle.
     """
     looks = looked_into(index, queries, ["band_keys"], max_share, sizes)
     catalog = index.select("id", "band_keys")
-    if looks.limit(small_batch_rows + 1).count() <= small_batch_rows:
+    if form == "scan":
         left, right, on = in_bands(catalog), F.broadcast(look_rows(looks)), BLOCK_KEYS[:2]
     else:
         left, right = bucket_blocks(catalog, looks, catalog_block, query_block)

@@ -1,14 +1,16 @@
 """k best catalog rows for every query of a batch, exactly, without emitting all pairs.
 
 Scoring each query against each catalog row is what an exact neighbour search
-is; the plan only ever ships the k best of each block. Two physical forms:
-
-* a query batch of proven small size goes to every task and the catalog is
-  scanned where it lies: no shuffle of the catalog;
-* otherwise catalog and queries meet in a grid of blocks (every catalog row is
-  copied once per query block of its bucket, every query once per catalog block).
-  Block sides are bounded and ids are spread by hash, so a bucket holding a
-  third of all rows is simply many blocks.
+is; the plan only ever ships the k best of each block. Two physical forms, which
+the caller picks:
+
+* ``form="grid"`` (the default): catalog and queries meet in a grid of blocks
+  (every catalog row is copied once per query block of its bucket, every query
+  once per catalog block). Block sides are bounded and ids are spread by hash, so
+  a bucket holding a third of all rows is simply many blocks.
+* ``form="scan"``: the query batch goes to every task and the catalog is scanned
+  where it lies, without a shuffle. For batches of at most ``scan_bytes``, which
+  is measured in Spark before the batch is read; a larger one is refused.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from affinara import kernels
 from affinara.shipping import broadcast_if_small, by_value
 
-# A query batch is sent to every task only below both bounds.
-SMALL_BATCH_ROWS = 1024
-SMALL_BATCH_BYTES = 64 * 1024 * 1024
+# A query batch that goes to every task may take so many bytes, unless the caller sets another bound.
+SCAN_BYTES = 64 * 1024 * 1024
 # Greatest sides of a block in the grid, and the side below which cutting finer is no use.
 CATALOG_BLOCK = 4096
 QUERY_BLOCK = 4096
@@ -43,7 +44,8 @@ def k_nearest(
     carry: Sequence[str] = (),
     in_buckets: bool = False,
     id_desc: bool = False,
-    small_batch_rows: int = SMALL_BATCH_ROWS,
+    form: str = "grid",
+    scan_bytes: int = SCAN_BYTES,
     catalog_block: int = CATALOG_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
@@ -63,10 +65,12 @@ def k_nearest(
             *[T.StructField(name, catalog.schema[name].dataType) for name in carry],
         ]
     )
-    small = small_batch(queries, small_batch_rows)
-    if small is not None:
+    if form not in ("grid", "scan"):
+        raise ValueError(f"unknown form: {form}")
+    if form == "scan":
+        batch = whole_batch(queries, scan_bytes)
         found = catalog.mapInArrow(
-            kernels.scan_scorer(small, scorer, k, tuple(carry), in_buckets, id_desc), schema
+            kernels.scan_scorer(batch, scorer, k, tuple(carry), in_buckets, id_desc), schema
         )
     else:
         if in_buckets:
@@ -82,20 +86,22 @@ def k_nearest(
         left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
         run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), in_buckets, id_desc)
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    if in_buckets:
+        # a pair that was met in several buckets counts once, whatever the last bits of its scores
+        rest = [F.first(name).alias(name) for name in carry]
+        found = found.groupBy("qid", "id").agg(F.max("score").alias("score"), *rest)
     order = [F.desc("id")] if id_desc else [F.desc("score"), F.asc("id")]
-    # dense_rank counts a row that was met in several buckets once
-    ranked = found.withColumn("rank", F.dense_rank().over(W.partitionBy("qid").orderBy(*order))).filter(
-        F.col("rank") <= k
-    )
-    return ranked.dropDuplicates(["qid", "rank"]) if in_buckets else ranked
+    place = F.row_number().over(W.partitionBy("qid").orderBy(*order))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def small_batch(queries: DataFrame, rows: int):
-    """The query batch as an Arrow table if it is proven small, else None. Reads at most one row too many."""
-    if rows <= 0:
-        return None
-    table = queries.limit(rows + 1).toArrow()
-    return table if table.num_rows <= rows and table.nbytes <= SMALL_BATCH_BYTES else None
+def whole_batch(queries: DataFrame, most: int):
+    """The query batch as an Arrow table, after measuring that its rows take at most ``most`` bytes."""
+    width = F.length(F.to_json(F.struct("*")))
+    measured = queries.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).head()["bytes"]
+    if measured > most:
+        raise ValueError(f"a batch of {measured} bytes is too large for form='scan': use form='grid'")
+    return queries.toArrow()
 
 
 def table_blocks(

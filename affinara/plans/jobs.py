@@ -38,11 +38,14 @@ def join_titles(
 def predict_by_attributes(
     spark: SparkSession, catalog: DataFrame, queries: str, out: str, kinds: tuple[str, ...] = ("movie",), **options
 ) -> DataFrame:
-    """Predict a file of query titles and write one report line per query: known rating and predicted rating."""
-    batch = C.as_queries(St.read_queries(spark, queries))
-    predicted = P.attribute_predict(catalog, batch, kinds=list(kinds), **options).distinct()
-    pairs = batch.select("qid", F.col("rating").alias("actual")).join(predicted, "qid", "left")
-    Sp.write_lines(Sp.report(pairs.withColumn("predicted", cut_text(F.col("predicted")))), out)
+    """Predict a file of query titles and write one report line per query: its title, known and predicted rating."""
+    # the files are parsed once; the search runs once, and the caller gets its stored result
+    batch = written(C.as_queries(St.read_queries(spark, queries)), "queries")
+    stored = written(catalog.select("id", "kind", *P.ATTRIBUTES, "rating", "votes"), "catalog")
+    predicted = written(P.attribute_predict(stored, batch, kinds=list(kinds), **options).distinct(), "predicted")
+    pairs = batch.select("qid", "title", F.col("rating").alias("actual")).join(predicted, "qid", "left")
+    named = pairs.withColumn("id", F.coalesce("title", "qid")).withColumn("predicted", cut_text(F.col("predicted")))
+    Sp.write_lines(Sp.report(named), out)
     return predicted
 
 
@@ -94,8 +97,7 @@ def predict_by_vectors(
     else:
         raise ValueError(f"unknown method: {method}")
     stored = written(predicted, "predicted")
-    known = stored.filter(F.col("predicted").isNotNull())
-    Sp.write_lines(known.select(Sp.line_text(F.col("qid"), F.col("predicted"))), out)
+    Sp.write_lines(stored.select(Sp.line_text(F.col("qid"), F.col("predicted"))), out)
     return stored
 
 
@@ -113,4 +115,8 @@ def evaluate_file(
 
 def profile_titles(spark: SparkSession, titles: str, train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
     """All summaries of the joined title table and of the split."""
-    return Pr.profile(C.as_catalog(St.read_titles(spark, titles)), train, test)
+    # one pass over the text; every summary then reads only its own columns
+    stored = written(
+        C.as_catalog(St.read_titles(spark, titles)).select("flag", *Pr.NUMBERS, *C.LISTS), "titles"
+    )
+    return Pr.profile(stored, train, test)

@@ -405,20 +405,62 @@ SQL: dict[str, str] = {
 }
 
 PAIRS = """, pairs AS (
-    SELECT batch.rating AS actual, predicted
-    FROM batch JOIN (SELECT qid, avg(rating) AS predicted FROM ranked WHERE rank <= 10 GROUP BY qid) AS m ON m.qid = batch.qid)
+    SELECT batch.qid AS id, batch.rating AS actual, predicted
+    FROM batch LEFT JOIN
+        (SELECT qid, round(avg(rating), 1) AS predicted FROM lsh_ranked WHERE rank <= 10 GROUP BY qid) AS m ON m.qid = batch.qid)
 """
-SQL["rmse_mse"] = sql("vectors split exact", "").rstrip() + PAIRS + """
-    SELECT count(*) AS n, round(avg((predicted - actual) ** 2), 6) AS mse,
+EVALUATED = sql(LSH + " lsh_ranked", "", share=0.5).rstrip() + PAIRS
+SQL["rmse_mse"] = EVALUATED + """
+    SELECT count(predicted) AS n, round(avg((predicted - actual) ** 2), 6) AS mse,
            round(sqrt(avg((predicted - actual) ** 2)), 6) AS rmse FROM pairs"""
-SQL["confusion_matrix"] = sql("vectors split exact", "").rstrip() + PAIRS + """
+SQL["confusion_matrix"] = EVALUATED + """
     SELECT a::INTEGER AS actual, p::INTEGER AS predicted,
            (SELECT count(*) FROM pairs WHERE round_even(actual, 0) = a AND round_even(predicted, 0) = p) AS n
     FROM range(11) AS r(a), range(11) AS s(p)"""
 SQL["evaluate_saved_lines"] = SQL["rmse_mse"]
-SQL["prediction_report"] = sql("vectors split exact", "").rstrip() + PAIRS + """
-    SELECT 'actual ' || actual::VARCHAR || chr(9) || 'predicted ' || round(predicted, 6)::VARCHAR AS value FROM pairs"""
+SQL["prediction_report"] = EVALUATED + """
+    SELECT id::VARCHAR || chr(9) || 'actual ' || actual::VARCHAR || chr(9) || 'predicted '
+           || coalesce(round(predicted, 6)::VARCHAR, 'NaN') AS value FROM pairs"""
 SQL["cosine_top10_blocks"] = SQL["cosine_top10"]
 SQL["lsh_candidates_blocks"] = SQL["lsh_candidates"]
 SQL["lsh_predict_blocks"] = SQL["lsh_predict"]
 SQL["feature_tsv_roundtrip"] = SQL["feature_vector"].replace("SELECT id, (5", "SELECT id::VARCHAR AS id, (5")
+SQL["shuffled_split"] = SQL["split_test"]
+SQL["title_text_join"] = sql(
+    "catalog",
+    """SELECT 'tt' || id::VARCHAR AS id, rating, votes::INTEGER AS votes,
+              CASE WHEN kind LIKE 'ECONOMY%' THEN 'movie' ELSE 'tvMovie' END AS kind, title, flag, runtime,
+              genres, directors, writers,
+              (title IN (SELECT title FROM catalog WHERE id % 16 = 0 AND kind LIKE 'ECONOMY%'))::INTEGER AS asked
+       FROM catalog WHERE kind LIKE 'ECONOMY%' OR kind LIKE 'SMALL%'""",
+)
+
+
+def counted_bins(part: str, where: str) -> str:
+    return f"""
+        SELECT 'histogram_{part}' AS summary, i::VARCHAR AS name,
+               (SELECT count(*) FROM titles, (SELECT min(rating) AS lo, max(rating) AS hi FROM titles WHERE {where}) AS b
+                WHERE {where} AND (SELECT max(j) FROM range(10) AS u(j) WHERE lo + j * ((hi - lo) / 10) <= rating) = i) AS number
+        FROM range(10) AS t(i)"""
+
+
+SQL["profile_all"] = sql(
+    "catalog titles director_counts",
+    " UNION ALL ".join(
+        [
+            *[f"SELECT 'summary' AS summary, '{c}' AS name, count({c}) AS number FROM titles" for c in ("rating", "runtime", "votes")],
+            "SELECT 'flagged', 'flag', count(*) FILTER (WHERE flag = 1) FROM titles",
+            *[
+                f"SELECT 'distinct', '{c}', count(DISTINCT token) FROM (SELECT unnest({c}) AS token FROM titles) AS t"
+                for c in ("genres", "directors", "writers")
+            ],
+            "SELECT 'genre_frequency', token, count(*) FROM (SELECT unnest(genres) AS token FROM titles) AS t GROUP BY token",
+            "SELECT * FROM (SELECT 'top_directors', token, n FROM director_counts ORDER BY n DESC, token LIMIT 20) AS t",
+            """SELECT * FROM (SELECT 'raw_directors', directors AS value, count(*) AS n FROM catalog GROUP BY directors
+               ORDER BY n DESC, value LIMIT 100 OFFSET 1) AS t""",
+            counted_bins("all", "true"),
+            counted_bins("train", "nth % 4 <> 0"),
+            counted_bins("test", "nth % 4 = 0"),
+        ]
+    ),
+)

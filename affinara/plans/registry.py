@@ -33,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # The stand-in's kinds in place of movie, tvMovie and tvSpecial.
 KINDS = ["ECONOMY", "SMALL", "STANDARD"]
 VECTOR_ORDER = ("rating", "id")
+# What feature vectors are built from.
+FEATURE_COLUMNS = ["id", "title", "rating", "votes", "kind", "flag", "runtime", "genres", "directors"]
 # Size rule tight enough that some queries fall back to their smallest bucket.
 TIGHT_SHARE = 0.02
 
@@ -103,8 +105,8 @@ def semi_lookup(spark, sf):
 
 def successive_titles(spark, sf) -> DataFrame:
     """Each title in one row with the next one in vote order."""
-    numbered = R.global_row_number(standin.catalog(spark, sf), ["votes", "id"], "nth")
     names = ["id", "flag", "runtime", "genres", "writers", "directors"]
+    numbered = R.global_row_number(standin.catalog(spark, sf).select("votes", *names), ["votes", "id"], "nth")
     a = numbered.select("nth", *[F.col(n).alias(f"a_{n}") for n in names])
     b = numbered.select((F.col("nth") - 1).alias("nth"), *[F.col(n).alias(f"b_{n}") for n in names])
     return a.join(b, "nth")
@@ -138,7 +140,8 @@ def attribute_similarity_ratio(spark, sf):
 
 def hold_out_titles(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The whole catalog, and its hold-out as a query batch."""
-    titles = R.global_row_number(standin.catalog(spark, sf), ["votes", "id"], "nth")
+    needed = standin.catalog(spark, sf).select("id", "kind", *P.ATTRIBUTES, "rating", "votes")
+    titles = R.global_row_number(needed, ["votes", "id"], "nth")
     return titles, standin.as_batch(titles.filter(R.is_test(F.col("nth"))))
 
 
@@ -168,7 +171,7 @@ def attribute_predict(spark, sf):
 
 @query
 def runtime_centred(spark, sf):
-    out = Fe.centred_runtime(standin.stored_catalog(spark, sf)).select("id", "runtime", "avg_runtime")
+    out = Fe.centred_runtime(standin.stored_catalog(spark, sf, "id", "runtime")).select("id", "runtime", "avg_runtime")
     return rounded(out.withColumn("filled", F.coalesce("avg_runtime", F.lit(0.0))), "avg_runtime", "filled")
 
 
@@ -181,41 +184,44 @@ def kind_onehot(spark, sf):
 @query
 def tag_multihot(spark, sf):
     """Genre flags in long form, zeros included."""
-    catalog = standin.stored_catalog(spark, sf)
-    rows = catalog.withColumn("vocabulary", Fe.distinct_vocabulary(catalog, "genres"))
-    flags = Fe.multihot(F.col("genres"), F.col("vocabulary"))
-    return rows.select("id", F.posexplode(flags).alias("pos", "value"))
+    catalog = standin.stored_catalog(spark, sf, "id", "genres")
+    words = Fe.distinct_vocabulary(catalog, "genres")
+    length = words.select(F.count(F.lit(1))).scalar()
+    rows = catalog.select("id").join(Fe.hot_positions(catalog, "genres", words), "id", "left").withColumn("length", length)
+    cells = rows.filter("length > 0").withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1)))
+    held = F.coalesce(F.array_contains("hot", F.col("pos")), F.lit(False))
+    return cells.select("id", "pos", held.cast("int").cast("double").alias("value"))
+
+
+def maker_flags(spark, sf, **options) -> DataFrame:
+    catalog = standin.stored_catalog(spark, sf, "id", "directors")
+    words = Fe.top_vocabulary(catalog, "directors", Fe.TOP_DIRECTORS, **options)
+    hot = Fe.hot_positions(catalog, "directors", words)
+    return hot.select("id", F.explode("hot").alias("pos")).withColumn("value", F.lit(1.0))
 
 
 @query
 def maker_top_multihot(spark, sf):
     """Director flags in long form: the titles' directors that are among the most frequent 500."""
-    catalog = standin.stored_catalog(spark, sf)
-    rows = catalog.withColumn("vocabulary", Fe.top_vocabulary(catalog, "directors", Fe.TOP_DIRECTORS))
-    hot = Fe.hot_positions(F.col("directors"), F.col("vocabulary"))
-    return rows.select("id", F.explode(hot).alias("pos")).withColumn("value", F.lit(1.0))
+    return maker_flags(spark, sf)
 
 
 @query
 def maker_top_multihot_compat(spark, sf):
     """As above, but leaving out the first rank instead of the missing mark."""
-    catalog = standin.stored_catalog(spark, sf)
-    vocabulary = Fe.top_vocabulary(catalog, "directors", Fe.TOP_DIRECTORS, exclude=(), skip=1)
-    rows = catalog.withColumn("vocabulary", vocabulary)
-    hot = Fe.hot_positions(F.col("directors"), F.col("vocabulary"))
-    return rows.select("id", F.explode(hot).alias("pos")).withColumn("value", F.lit(1.0))
+    return maker_flags(spark, sf, exclude=(), skip=1)
 
 
 @query
 def vocabulary(spark, sf):
-    _, names = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
+    _, names = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
     return names
 
 
 @query
 def feature_vector(spark, sf):
     """The vectors' non-zero positions and their length."""
-    features, _ = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
+    features, _ = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
     cells = features.select(
         "id",
         F.col("vector.size").alias("length"),
@@ -227,26 +233,26 @@ def feature_vector(spark, sf):
 
 @query
 def global_rank(spark, sf):
-    return R.global_row_number(standin.catalog(spark, sf), ["votes", "id"], "nth").select("id", "votes", "nth")
+    return R.global_row_number(standin.catalog(spark, sf).select("id", "votes"), ["votes", "id"], "nth")
 
 
 @query
 def split_train(spark, sf):
-    train, _ = R.systematic_split(standin.catalog(spark, sf))
-    return train.select("id", "votes", "rating")
+    train, _ = R.systematic_split(standin.catalog(spark, sf).select("id", "votes", "rating"))
+    return train
 
 
 @query
 def split_test(spark, sf):
-    _, test = R.systematic_split(standin.catalog(spark, sf))
-    return test.select("id", "votes", "rating")
+    _, test = R.systematic_split(standin.catalog(spark, sf).select("id", "votes", "rating"))
+    return test
 
 
 @query
 def limit_rows(spark, sf):
     """The first ten hold-out titles by id."""
-    _, test = R.systematic_split(standin.catalog(spark, sf))
-    return test.select("id", "votes").orderBy("id").limit(10)
+    _, test = R.systematic_split(standin.catalog(spark, sf).select("id", "votes"))
+    return test.orderBy("id").limit(10)
 
 
 # --- vectors ---
@@ -290,7 +296,7 @@ def cosine_top10(spark, sf):
 def cosine_top10_blocks(spark, sf):
     """The same through the grid of blocks that large query batches take."""
     train, batch = hold_out_vectors(spark, sf)
-    found = P.cosine_neighbours(train, batch, small_batch_rows=0, catalog_block=512, query_block=128)
+    found = P.cosine_neighbours(train, batch, catalog_block=512, query_block=128)
     return found.select("qid", "id", "rank", "score")
 
 
@@ -303,7 +309,7 @@ def cosine_predict(spark, sf):
 @query
 def cosine_predict_features(spark, sf):
     """Whole pipeline: catalog, feature vectors, split, exact cosine prediction."""
-    features, _ = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
+    features, _ = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
     train, test = R.systematic_split(written(features, "features"))
     return rounded(P.cosine_predict(train, standin.as_batch(test)), "predicted")
 
@@ -314,7 +320,7 @@ def cosine_predict_features(spark, sf):
 @query
 def lsh_predict_features(spark, sf):
     """Whole pipeline: catalog, feature vectors, split, LSH prediction."""
-    features, _ = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
+    features, _ = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
     train, test = R.systematic_split(written(features, "features"))
     index = written(L.lsh_index(train), "index")
     return L.lsh_predict(index, written(L.lsh_index(standin.as_batch(test), id_name="qid"), "batch"))
@@ -328,7 +334,7 @@ def indexed(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query
 def lsh_signature(spark, sf):
-    index = L.lsh_index(standin.vectors(spark, sf))
+    index = L.lsh_index(standin.vectors(spark, sf), keep_signature=True)
     return index.select("id", B.band_text(F.col("signature")).alias("signature"))
 
 
@@ -342,7 +348,7 @@ def lsh_buckets(spark, sf):
 
 
 def band_rows(spark, sf) -> DataFrame:
-    index = L.lsh_index(standin.vectors(spark, sf))
+    index = L.lsh_index(standin.vectors(spark, sf), keep_signature=True)
     return index.select("id", F.posexplode(B.split_bands(F.col("signature"), 25, 5)).alias("band", "signs"))
 
 
@@ -371,7 +377,7 @@ def lsh_candidates(spark, sf):
 def lsh_candidates_blocks(spark, sf):
     """The same through the grid of blocks that large query batches take."""
     index, batch = indexed(spark, sf)
-    return L.lsh_candidates(index, batch, small_batch_rows=0, catalog_block=512, query_block=128)
+    return L.lsh_candidates(index, batch, catalog_block=512, query_block=128)
 
 
 @query
@@ -397,7 +403,7 @@ def lsh_predict(spark, sf):
 def lsh_predict_blocks(spark, sf):
     """The same through the grid of blocks that large query batches take."""
     index, batch = indexed(spark, sf)
-    return L.lsh_predict(index, batch, small_batch_rows=0, catalog_block=512, query_block=128)
+    return L.lsh_predict(index, batch, catalog_block=512, query_block=128)
 
 
 @query
@@ -410,10 +416,16 @@ def lsh_predict_compat(spark, sf):
 # --- evaluation ---
 
 
+def lsh_predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the hold-out by LSH, stored, and the hold-out's true ratings."""
+    train, test = R.systematic_split(standin.vectors(spark, sf), VECTOR_ORDER)
+    index = written(L.lsh_index(train), "index")
+    batch = written(L.lsh_index(standin.as_batch(test), id_name="qid"), "batch")
+    return written(L.lsh_predict(index, batch), "predicted"), test.select("id", "rating")
+
+
 def predicted_pairs(spark, sf) -> DataFrame:
-    vectors = standin.vectors(spark, sf)
-    train, test = R.systematic_split(vectors, VECTOR_ORDER)
-    return E.with_actual(P.cosine_predict(train, standin.as_batch(test)), test)
+    return E.with_actual(*lsh_predictions(spark, sf))
 
 
 @query
@@ -440,9 +452,7 @@ def half_even_rounding(spark, sf):
 @query
 def evaluate_saved_lines(spark, sf):
     """Predictions written as text lines, parsed again and compared with the true ratings."""
-    vectors = standin.vectors(spark, sf)
-    train, test = R.systematic_split(vectors, VECTOR_ORDER)
-    predicted = P.cosine_predict(train, standin.as_batch(test))
+    predicted, test = lsh_predictions(spark, sf)
     path = scratch_path(spark, "lines")
     Sp.write_lines(predicted.select(Sp.line_text(F.col("qid"), F.col("predicted"))), path)
     parsed = Sp.read_lines(spark, path).select(F.col("id").cast("long").alias("qid"), "predicted")
@@ -495,7 +505,7 @@ def mean_seconds(spark, sf):
 
 @query
 def column_summary(spark, sf):
-    out = Pr.column_summary(standin.stored_catalog(spark, sf))
+    out = Pr.column_summary(standin.stored_catalog(spark, sf, *Pr.NUMBERS))
     return rounded(out, "mean", "max", "min", "std", "q1", "q2", "q3")
 
 
@@ -506,12 +516,12 @@ def distinct_counts(spark, sf):
 
 @query
 def histogram10(spark, sf):
-    return rounded(Pr.histogram(standin.stored_catalog(spark, sf), "rating"), "low", "high")
+    return rounded(Pr.histogram(standin.stored_catalog(spark, sf, "rating"), "rating"), "low", "high")
 
 
 @query
 def histogram10_test(spark, sf):
-    _, test = R.systematic_split(standin.catalog(spark, sf))
+    _, test = R.systematic_split(standin.catalog(spark, sf).select("id", "votes", "rating"))
     return rounded(Pr.histogram(test, "rating"), "low", "high")
 
 
@@ -542,11 +552,79 @@ def tsv_roundtrip(spark, sf):
     return back.withColumns({name: X.join_list(F.col(name)) for name in C.LISTS})
 
 
+def title_files(spark, sf) -> dict[str, str]:
+    """The part and lineitem tables as the text files a user starts from: basics, crew, ratings and query titles."""
+    rows = standin.title_rows(spark, sf)
+    tid = F.concat(F.lit("tt"), F.col("id").cast("string")).alias("tconst")
+    kind = F.when(F.col("kind").startswith("ECONOMY"), "movie").when(F.col("kind").startswith("SMALL"), "tvMovie").otherwise("short")
+    none = F.lit(X.MISSING)
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), none)
+    basics = rows.select(
+        tid, kind.alias("titleType"), F.lit("x").alias("primaryTitle"), F.col("title").alias("originalTitle"), F.col("flag").alias("isAdult"),
+        F.lit(2000).alias("startYear"), none.alias("endYear"), shown("runtime").alias("runtimeMinutes"), "genres",
+    )
+    titles = rows.filter((F.col("id") % 16 == 0) & F.col("kind").startswith("ECONOMY"))
+    parts = {
+        "basics": basics,
+        "crew": rows.select(tid, "directors", "writers"),
+        "ratings": rows.select(tid, F.col("rating").alias("averageRating"), F.col("votes").alias("numVotes")),
+        "queries": titles.select(
+            F.col("rating").cast("string").alias("averageRating"), F.lit("movie").alias("titleType"), F.col("title").alias("originalTitle"),
+            F.col("flag").alias("isAdult"), shown("runtime").alias("runtimeMinutes"), "genres", "directors", "writers",
+        ),
+    }
+    paths = {name: scratch_path(spark, name) for name in parts}
+    for name, part in parts.items():
+        St.write_tsv(part, paths[name], header=name != "queries")
+    return paths
+
+
+@query
+def title_text_join(spark, sf):
+    """Basics, crew and ratings read as text, joined, two kinds kept; a query file read beside them."""
+    paths = title_files(spark, sf)
+    joined = C.build_catalog(
+        St.read_ratings(spark, paths["ratings"]), St.read_basics(spark, paths["basics"]), St.read_crew(spark, paths["crew"]), ["movie", "tvMovie"]
+    )
+    wanted = C.as_queries(St.read_queries(spark, paths["queries"])).select("title").distinct().withColumn("asked", F.lit(1))
+    rows = joined.join(wanted, "title", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
+    return rows.withColumns({name: X.join_list(F.col(name)) for name in C.LISTS})
+
+
+@query
+def shuffled_split(spark, sf):
+    """The hold-out in random order, compared as a set."""
+    _, test = R.systematic_split(standin.catalog(spark, sf).select("id", "votes", "rating"))
+    return R.shuffled(test, seed=7)
+
+
+@query
+def profile_all(spark, sf):
+    """All summaries of one stored table in long form: (summary, name, number)."""
+    rows = standin.stored_catalog(spark, sf, "id", "flag", *Pr.NUMBERS, *C.LISTS)
+    train, test = R.systematic_split(rows.select("id", "votes", "rating"))
+    found = Pr.profile(rows, train, test)
+    named = {
+        "summary": (F.col("column"), F.col("n")),
+        "flagged": (F.lit("flag"), F.col("flagged")),
+        "distinct": (F.col("list"), F.col("n_distinct")),
+        "genre_frequency": (F.col("token"), F.col("n")),
+        "top_directors": (F.col("token"), F.col("n")),
+        "raw_directors": (F.col("value"), F.col("n")),
+        **{f"histogram_{part}": (F.col("bin").cast("string"), F.col("n")) for part in ("all", "train", "test")},
+    }
+    parts = [found[k].select(F.lit(k).alias("summary"), n.alias("name"), v.cast("long").alias("number")) for k, (n, v) in named.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query
 def feature_tsv_roundtrip(spark, sf):
     """Wide feature table written and read back: every position a number again."""
     path = scratch_path(spark, "features")
-    features, names = Fe.build_features(standin.stored_catalog(spark, sf), KINDS)
+    features, names = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
     # the wide table's column names: as many as a row has columns
     columns = Fe.column_names([row["name"] for row in names.orderBy("pos").collect()])
     St.write_tsv(Fe.wide_features(features, columns), path)

@@ -54,9 +54,9 @@ def title_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(made, part["id"] == made["l_partkey"]).drop("l_partkey")
 
 
-def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog as a written table, for jobs that read it several times."""
-    return written(catalog(spark, sf_dir), "catalog")
+def stored_catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of the catalog as a written table, for jobs that read it several times."""
+    return written(catalog(spark, sf_dir).select(*columns), "catalog")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +18,31 @@ def by_value(module) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder in ``spark.checkpoint.dir``.
+# Folders written since the innermost ``scratch_of_job`` began.
+_OWNED: list[list[str]] = []
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder in ``spark.checkpoint.dir`` (or the context's checkpoint folder)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="affinara-"))
-        root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_of_job(spark: SparkSession):
+    """Delete the scratch tables written inside when the job ends; what a caller keeps must be written elsewhere."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,8 @@ from affinara.functions.text import decimal_comma
 # The two layouts' separators.
 LINE_SEPARATOR = ": "
 TUPLE_SEPARATOR = ", "
+# Written in place of a prediction that could not be made; the parsers read it as null.
+NO_PREDICTION = "none"
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -44,12 +46,13 @@ def read_tuples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def line_text(id_col: Column, predicted: Column) -> Column:
-    """``Predicted Rating for <id>: 7,0``."""
+    """``Predicted Rating for <id>: 7,0``; without a prediction ``Predicted Rating for <id>: none``."""
+    shown = F.replace(F.format_string("%.1f", predicted), F.lit("."), F.lit(","))
     return F.concat(
         F.lit("Predicted Rating for "),
         id_col.cast("string"),
         F.lit(LINE_SEPARATOR),
-        F.replace(F.format_string("%.1f", predicted), F.lit("."), F.lit(",")),
+        F.when(predicted.isNotNull(), shown).otherwise(NO_PREDICTION),
     )
 
 
@@ -67,14 +70,21 @@ def write_lines(text: DataFrame, path: str) -> None:
 
 
 def write_tuples(text: DataFrame, path: str) -> None:
+    """Tuples in as many files as tasks, without brackets around them: ``read_tuples`` takes a whole folder.
+
+    A reader that expects all tuples of all files on one bracketed line does not read this variant.
+    """
     text.write.option("lineSep", TUPLE_SEPARATOR).text(path)
 
 
 def report(pairs: DataFrame) -> DataFrame:
-    """Report lines ``(actual, predicted)`` as text, one row per query; missing values as ``NaN``."""
+    """Report lines ``(id, actual, predicted)`` as text, one row per query; missing values as ``NaN``.
+
+    Lines have no order, so each names its query.
+    """
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NaN"))
     return pairs.select(
         F.concat(
-            F.lit("actual "), shown("actual"), F.lit("\tpredicted "), shown("predicted")
+            shown("id"), F.lit("\tactual "), shown("actual"), F.lit("\tpredicted "), shown("predicted")
         ).alias("value")
     )

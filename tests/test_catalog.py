@@ -90,10 +90,19 @@ def test_feature_options(tiny):
     assert row[-1] == 300.0 and len(row) == len(names)
 
 
-def test_too_long_vocabulary_is_refused(tiny, monkeypatch):
-    monkeypatch.setattr(Fe, "MOST_POSITIONS", 2)
-    with pytest.raises(Exception, match="too long for a vector"):
-        Fe.build_features(tiny)[0].collect()
+def test_many_distinct_genres(spark):
+    """A vocabulary far longer than any array a row should hold."""
+    n = 200_000
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit(5.0).alias("rating"), F.lit(1).alias("votes"),
+        F.lit("movie").alias("kind"), F.lit(0).alias("flag"), F.lit(90).alias("runtime"),
+        F.array(F.format_string("g%06d", "id"), F.lit("common")).alias("genres"), F.array(F.lit("d")).alias("directors"),
+    )
+    features, vocabulary = Fe.build_features(rows)
+    assert vocabulary.count() == 1 + (n + 1) + 1 + 3 + 1
+    last = features.filter("id = '199999'").head()["vector"]
+    assert last["size"] == n + 7 and last["indices"][:2] == [1, n + 1]
+    assert features.count() == n
 
 
 def test_wide_roundtrip(spark, tiny, tmp_path):

@@ -38,7 +38,7 @@ def test_chain(spark, inputs):
     predicted = jobs.predict_by_attributes(spark, catalog, f"{inputs}/queries", f"{inputs}/report").collect()
     assert len(predicted) == 5 and all(1 <= r["predicted"] <= 10 for r in predicted)
     report = [r["value"] for r in spark.read.text(f"{inputs}/report").collect()]
-    assert len(report) == 5 and all(line.startswith("actual ") for line in report)
+    assert len(report) == 5 and {line.split("\t")[0] for line in report} == {f"Query {i}" for i in range(5)}
 
     train, test = jobs.prepare_features(spark, titles, f"{inputs}/prepared", wide_text=True)
     assert test.count() == n // 4 and train.count() == n - n // 4

@@ -12,7 +12,7 @@ from affinara.operators import lsh as L
 from affinara.operators import predict as P
 
 SCAN = {}
-BLOCKS = {"small_batch_rows": 0, "catalog_block": 13, "query_block": 5}
+BLOCKS = {"form": "grid", "catalog_block": 13, "query_block": 5}
 FORMS = pytest.mark.parametrize("form", [SCAN, BLOCKS], ids=["scan", "blocks"])
 
 
@@ -204,7 +204,7 @@ def candidates_by_hand(index, max_share):
 
 
 @pytest.mark.parametrize("max_share", [0.5, 0.25, 0.02])
-@pytest.mark.parametrize("blocks", [{}, {"small_batch_rows": 0, "catalog_block": 7, "query_block": 3}], ids=["scan", "blocks"])
+@pytest.mark.parametrize("blocks", [{"form": "scan"}, {"catalog_block": 7, "query_block": 3}], ids=["scan", "blocks"])
 def test_lsh_candidates(frames, max_share, blocks):
     features, batch = frames
     index, looks = L.lsh_index(features), L.lsh_index(batch, id_name="qid")

@@ -10,9 +10,9 @@ import pytest
 import __spark_entry__ as driver
 from affinara.operators import predict as P
 from affinara.operators import ranking as R
-from affinara.plans import standin
+from affinara.plans import oracle, registry, standin
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = registry.QUERIES, oracle.SQL
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +54,8 @@ def test_plan_has_no_pairing_of_everything(spark, sf_dir, name):
 
 
 def test_scan_form_does_not_shuffle_the_catalog(spark, sf_dir):
-    catalog = standin.stored_catalog(spark, sf_dir)
-    found = P.attribute_neighbours(catalog, standin.as_batch(catalog))
+    catalog = standin.stored_catalog(spark, sf_dir, "id", "kind", *P.ATTRIBUTES, "rating", "votes")
+    found = P.attribute_neighbours(catalog, standin.as_batch(catalog), form="scan")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
     assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
