@@ -1,7 +1,8 @@
 """Attribute similarity of two titles as column expressions.
 
-These score pairs that already sit in one row. ``operators.knn`` scores whole
-query batches against a catalog with the same formulas, block by block.
+These score pairs that already sit in one row. ``operators.predict`` uses them for the
+pairs that share a person, and ``kernels.AttributeScorer`` scores blocks of groups by the
+same formula.
 """
 
 from __future__ import annotations

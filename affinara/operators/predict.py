@@ -5,14 +5,18 @@ from __future__ import annotations
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinara import kernels
-from affinara.functions.similarity import Weights
+from affinara.functions.similarity import Weights, attribute_score
 from affinara.functions.text import MISSING
 from affinara.operators.neighbours import k_nearest
+from affinara.shipping import written
 
 ATTRIBUTES = ["title", "flag", "runtime", "genres", "writers", "directors"]
+# What a pair scores by if it shares no person.
+GROUP = ["title", "flag", "runtime", "genres"]
 
 
 def attribute_neighbours(
@@ -27,20 +31,86 @@ def attribute_neighbours(
     """The k titles most alike by weighted attributes: ``(qid, id, score, rank, rating, votes)``.
 
     A title of the query's own name is never its neighbour, nor is one without a name.
+
+    Not every title is scored with every query. A pair that shares no director and
+    no writer scores by name, flag, runtime and genres alone, so titles equal in
+    these are one group: groups are scored with groups, and only a group's k least
+    ids can be among the k best. Pairs that do share a person come from an inverted
+    index and are scored in full. A title's full score is never below its group's,
+    so the k best of both together are the k best of all.
     """
     if overlap not in ("ratio", "exact"):
         raise ValueError(f"unknown overlap mode: {overlap}")
     if kinds is not None:
         catalog = catalog.filter(F.col("kind").isin(*kinds))
+    catalog = catalog.filter(F.col("title").isNotNull()).select("id", *ATTRIBUTES, "rating", "votes")
+    queries = queries.select("qid", *ATTRIBUTES)
+    near = best_of_groups(catalog, queries, k, weights, overlap, **blocks)
+    shared = with_shared_people(catalog, queries, weights, overlap)
+    both = near.unionByName(shared).groupBy("qid", "id")
+    best = both.agg(F.max("score").alias("score"), F.first("rating").alias("rating"), F.first("votes").alias("votes"))
+    return k_first(best, "qid", k).select("qid", "id", "score", "rank", "rating", "votes")
+
+
+def k_first(rows: DataFrame, owner: str, k: int) -> DataFrame:
+    place = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def groups_of(rows: DataFrame, id_name: str, k: int, carry: list[str]) -> DataFrame:
+    """Titles equal in name, flag, runtime and genres: the group's least id, and its k least members."""
+    keyed = rows.withColumn("genres", F.array_sort("genres"))
+    place = F.row_number().over(W.partitionBy(*GROUP).orderBy(id_name))
+    first = keyed.select(id_name, *GROUP, *carry).withColumn("_place", place).filter(F.col("_place") <= k)
+    member = F.struct(id_name, *carry)
+    grouped = first.groupBy(*GROUP).agg(F.min(id_name).alias("group"), F.array_sort(F.collect_list(member)).alias("members"))
+    return written(grouped, "groups")
+
+
+def best_of_groups(catalog, queries, k, weights, overlap, **blocks) -> DataFrame:
+    """``(qid, id, score, rating, votes)``: each query's k best titles if nobody shared a person."""
+    titles, asked = groups_of(catalog, "id", k, ["rating", "votes"]), groups_of(queries, "qid", 1, [])
     scorer = kernels.AttributeScorer({**asdict(weights), "total": weights.total}, overlap, MISSING)
-    return k_nearest(
-        catalog.select("id", *ATTRIBUTES, "rating", "votes"),
-        queries.select("qid", *ATTRIBUTES),
+    nobody = {name: F.array().cast("array<string>") for name in ("writers", "directors")}
+    found = k_nearest(
+        titles.select(F.col("group").alias("id"), *GROUP).withColumns(nobody),
+        asked.select(F.col("group").alias("qid"), *GROUP).withColumns(nobody),
         scorer,
         k,
-        carry=["rating", "votes"],
         **blocks,
     )
+    members = titles.select(F.col("group").alias("id"), "members")
+    rows = found.select("qid", "id", "score").join(members, "id").select("qid", "score", F.explode("members").alias("m"))
+    best = k_first(rows.select("qid", "score", "m.id", "m.rating", "m.votes"), "qid", k).drop("rank")
+    best = best.withColumnRenamed("qid", "group")
+    same = [F.array_sort(F.col("q.genres")).eqNullSafe(F.col("g.genres"))]
+    same += [F.col(f"q.{name}").eqNullSafe(F.col(f"g.{name}")) for name in GROUP if name != "genres"]
+    on = same[0] & same[1] & same[2] & same[3]
+    of_group = queries.alias("q").join(asked.alias("g"), on).select("q.qid", "g.group")
+    return of_group.join(best, "group").drop("group")
+
+
+def people(rows: DataFrame, id_name: str) -> DataFrame:
+    """``(person, id)``: one row for each director and each writer of a title, missing marks left out."""
+    named = [
+        F.transform(F.coalesce(F.col(role), F.array().cast("array<string>")), tagged(role))
+        for role in ("directors", "writers")
+    ]
+    out = rows.select(id_name, F.explode(F.array_distinct(F.concat(*named))).alias("person"))
+    return out.filter(F.col("person.name") != MISSING)
+
+
+def tagged(role: str):
+    return lambda name: F.struct(F.lit(role).alias("role"), name.alias("name"))
+
+
+def with_shared_people(catalog, queries, weights, overlap) -> DataFrame:
+    """``(qid, id, score, rating, votes)`` of all pairs of different names that share a director or a writer."""
+    pairs = people(queries, "qid").join(people(catalog, "id"), "person").select("qid", "id").distinct()
+    left = queries.select("qid", *[F.col(n).alias(f"q_{n}") for n in ATTRIBUTES])
+    rows = pairs.join(left, "qid").join(catalog, "id").filter(F.col("q_title") != F.col("title"))
+    score = attribute_score(lambda n: F.col(n), lambda n: F.col(f"q_{n}"), weights, overlap)
+    return rows.select("qid", "id", F.round(score, 9).alias("score"), "rating", "votes")
 
 
 def attribute_predict(catalog: DataFrame, queries: DataFrame, k: int = 50, **options) -> DataFrame:

@@ -53,12 +53,26 @@ def test_plan_has_no_pairing_of_everything(spark, sf_dir, name):
         assert word not in plan
 
 
-def test_scan_form_does_not_shuffle_the_catalog(spark, sf_dir):
+def test_attribute_search_plan(spark, sf_dir):
     catalog = standin.stored_catalog(spark, sf_dir, "id", "kind", *P.ATTRIBUTES, "rating", "votes")
-    found = P.attribute_neighbours(catalog, standin.as_batch(catalog), form="scan")
+    found = P.attribute_neighbours(catalog, standin.as_batch(catalog))
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "WindowGroupLimit" in plan
-    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+    assert "WindowGroupLimit" in plan
+    assert "HashJoin" in plan or "SortMergeJoin" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_attribute_search_scores_far_fewer_pairs_than_all(spark):
+    """Pairs scored, groups and shared people together: ten times the titles, clearly less than a hundred times the pairs."""
+    scored, every = [], []
+    for sf_dir in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        titles, batch = registry.hold_out_titles(spark, sf_dir)
+        groups, asked = (rows.select(*P.GROUP).distinct().count() for rows in (titles, batch))
+        people = P.people(batch, "qid").join(P.people(titles, "id"), "person").count()
+        scored.append(groups * asked + people)
+        every.append(titles.count() * batch.count())
+    assert scored[1] < 0.15 * every[1]
+    assert scored[1] / scored[0] < 0.3 * every[1] / every[0]
 
 
 def test_rank_plan_sorts_ranges_only(spark, sf_dir):
