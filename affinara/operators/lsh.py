@@ -19,7 +19,7 @@ from affinara.operators.neighbours import (
     look_rows,
 )
 from affinara.operators.predict import for_every_query, mean_rating
-from affinara.shipping import broadcast_if_small, written
+from affinara.shipping import join_spread, written
 
 
 def lsh_index(
@@ -70,10 +70,9 @@ def looked_into(
     """
     sizes = written(bucket_sizes(index), "sizes") if sizes is None else sizes
     total = sizes.filter(F.col("band") == 0).agg(F.sum("size")).scalar()
-    hits = (
-        in_bands(queries.select("qid", "band_keys"))
-        .join(broadcast_if_small(sizes), ["band", "band_key"])
-        .withColumn("small", F.col("size") <= F.floor(total * F.lit(max_share)))
+    looks = in_bands(queries.select("qid", "band_keys"))
+    hits = join_spread(looks, sizes, BLOCK_KEYS[:2], "qid").withColumn(
+        "small", F.col("size") <= F.floor(total * F.lit(max_share))
     )
     bucket = F.struct("band", "size")
     kept = (

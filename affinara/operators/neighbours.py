@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from affinara import kernels
-from affinara.shipping import broadcast_if_small, by_value
+from affinara.shipping import by_value, join_spread, written
 
 # A query batch that goes to every task may take so many bytes, unless the caller sets another bound.
 SCAN_BYTES = 64 * 1024 * 1024
@@ -123,12 +123,11 @@ def bucket_blocks(
     rows = catalog.select(F.posexplode("band_keys").alias(*on), *catalog.columns)
     looks = look_rows(queries)
     # one row per bucket that is looked into: far fewer than either side's rows
-    sizes = broadcast_if_small(
-        looks.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_q"), F.max("rows_c").alias("rows_c"))
-    )
+    sizes = looks.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_q"), F.max("rows_c").alias("rows_c"))
+    sizes = written(sizes, "looked-into")
     left, right = grid(
-        rows.join(sizes, on),
-        looks.drop("rows_c").join(sizes, on),
+        join_spread(rows, sizes, on, "id"),
+        join_spread(looks.drop("rows_c"), sizes, on, "qid"),
         blocks(F.col("rows_c"), catalog_block),
         blocks(F.col("rows_q"), query_block),
     )

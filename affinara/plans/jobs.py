@@ -13,7 +13,7 @@ from affinara.operators import lsh as L
 from affinara.operators import predict as P
 from affinara.operators import profile as Pr
 from affinara.operators import ranking as R
-from affinara.shipping import written
+from affinara.shipping import scratch_of_job, scratch_path, written
 from affinara.sources import predictions as Sp
 from affinara.sources import tables as St
 
@@ -40,9 +40,11 @@ def predict_by_attributes(
 ) -> DataFrame:
     """Predict a file of query titles and write one report line per query: its title, known and predicted rating."""
     # the files are parsed once; the search runs once, and the caller gets its stored result
-    batch = written(C.as_queries(St.read_queries(spark, queries)), "queries")
-    stored = written(catalog.select("id", "kind", *P.ATTRIBUTES, "rating", "votes"), "catalog")
-    predicted = written(P.attribute_predict(stored, batch, kinds=list(kinds), **options).distinct(), "predicted")
+    batch, kept = written(C.as_queries(St.read_queries(spark, queries)), "queries"), scratch_path(spark, "predicted")
+    with scratch_of_job(spark):
+        stored = written(catalog.select("id", "kind", *P.ATTRIBUTES, "rating", "votes"), "catalog")
+        P.attribute_predict(stored, batch, kinds=list(kinds), **options).distinct().write.parquet(kept)
+    predicted = spark.read.parquet(kept)
     pairs = batch.select("qid", "title", F.col("rating").alias("actual")).join(predicted, "qid", "left")
     named = pairs.withColumn("id", F.coalesce("title", "qid")).withColumn("predicted", cut_text(F.col("predicted")))
     Sp.write_lines(Sp.report(named), out)
@@ -57,14 +59,15 @@ def prepare_features(
     Parquet with sparse vectors; ``wide_text`` also writes train and test as TSV
     with one column per position.
     """
-    catalog = written(C.as_catalog(St.read_titles(spark, titles)), "catalog")
-    features, vocabulary = Fe.build_features(catalog, **options)
-    features.write.parquet(f"{out}/features")
-    vocabulary.write.parquet(f"{out}/vocabulary")
-    stored = spark.read.parquet(f"{out}/features")
-    train, test = R.systematic_split(stored, every=every)
-    for name, part in (("train", train), ("test", test)):
-        part.write.parquet(f"{out}/{name}")
+    with scratch_of_job(spark):
+        catalog = written(C.as_catalog(St.read_titles(spark, titles)), "catalog")
+        features, vocabulary = Fe.build_features(catalog, **options)
+        features.write.parquet(f"{out}/features")
+        vocabulary.write.parquet(f"{out}/vocabulary")
+        stored = spark.read.parquet(f"{out}/features")
+        train, test = R.systematic_split(stored, every=every)
+        for name, part in (("train", train), ("test", test)):
+            part.write.parquet(f"{out}/{name}")
     train, test = spark.read.parquet(f"{out}/train"), spark.read.parquet(f"{out}/test")
     if wide_text:
         # as many names as a row has columns
@@ -87,16 +90,19 @@ def predict_by_vectors(
     **options,
 ) -> DataFrame:
     """Predict every test title from the training titles; write one prediction line per title."""
-    batch = test.withColumnRenamed("id", "qid").select("qid", "vector")
-    if method == "exact":
-        predicted = P.cosine_predict(train, batch, k, **options)
-    elif method == "lsh":
-        index = written(L.lsh_index(train.select("id", "vector", "rating"), planes, bands, seed), "index")
-        looks = written(L.lsh_index(batch, planes, bands, seed, id_name="qid"), "batch")
-        predicted = L.lsh_predict(index, looks, k, **options)
-    else:
+    if method not in ("exact", "lsh"):
         raise ValueError(f"unknown method: {method}")
-    stored = written(predicted, "predicted")
+    spark = train.sparkSession
+    batch, kept = test.withColumnRenamed("id", "qid").select("qid", "vector"), scratch_path(spark, "predicted")
+    with scratch_of_job(spark):
+        if method == "exact":
+            predicted = P.cosine_predict(train, batch, k, **options)
+        else:
+            index = written(L.lsh_index(train.select("id", "vector", "rating"), planes, bands, seed), "index")
+            looks = written(L.lsh_index(batch, planes, bands, seed, id_name="qid"), "batch")
+            predicted = L.lsh_predict(index, looks, k, **options)
+        predicted.write.parquet(kept)
+    stored = spark.read.parquet(kept)
     Sp.write_lines(stored.select(Sp.line_text(F.col("qid"), F.col("predicted"))), out)
     return stored
 

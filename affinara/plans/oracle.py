@@ -71,7 +71,7 @@ STEPS = {
     "feature_signs": """
         planes AS (
             SELECT k, pos, CASE WHEN substr(md5(k::VARCHAR || ':' || pos::VARCHAR), 1, 1) >= '8' THEN 1.0 ELSE -1.0 END AS sign
-            FROM range(25) AS t(k), (SELECT DISTINCT pos FROM cells) AS p),
+            FROM range({planes}) AS t(k), (SELECT DISTINCT pos FROM cells) AS p),
         signs AS (
             SELECT id, k, CASE WHEN x > 0 THEN 1 WHEN x < 0 THEN -1
                                WHEN substr(md5(id::VARCHAR || ':' || k::VARCHAR), 1, 1) >= '8' THEN 1 ELSE -1 END AS s
@@ -81,6 +81,22 @@ STEPS = {
             SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::DOUBLE AS rating,
                    row_number() OVER (ORDER BY label, vec_id) AS nth
             FROM embeddings)""",
+    "hard_vectors": """
+        vectors AS (
+            SELECT vec_id AS id,
+                   list_transform(embedding::DOUBLE[], lambda x: CASE WHEN vec_id % 17 = 0 THEN 0.0 ELSE x END)::DOUBLE[] AS v,
+                   label::DOUBLE AS rating, row_number() OVER (ORDER BY label, vec_id) AS nth
+            FROM embeddings)""",
+    "hard_titles": """
+        titles AS (
+            SELECT id, kind, CASE WHEN id % 11 <> 0 THEN title END AS title, flag, runtime, rating, votes,
+                   CASE WHEN id % 13 = 0 THEN NULL
+                        WHEN id % 7 = 0 THEN list_concat(string_split(genres, ','), string_split(genres, ',')[1:1])
+                        ELSE string_split(genres, ',') END AS genres,
+                   string_split(directors, ',') AS directors,
+                   string_split(writers, ',') AS writers,
+                   row_number() OVER (ORDER BY votes, id) AS nth
+            FROM catalog)""",
     "split": """
         train AS (SELECT * FROM vectors WHERE nth % 4 <> 0),
         batch AS (SELECT id AS qid, v, rating FROM vectors WHERE nth % 4 = 0)""",
@@ -96,7 +112,7 @@ STEPS = {
         planes AS (
             SELECT k, list_transform(range(64), lambda d:
                        CASE WHEN substr(md5(k::VARCHAR || ':' || d::VARCHAR), 1, 1) >= '8' THEN 1.0 ELSE -1.0 END::DOUBLE) AS p
-            FROM range(25) AS t(k))""",
+            FROM range({planes}) AS t(k))""",
     "signs": """
         signs AS (
             SELECT id, k, CASE WHEN x > 0 THEN 1 WHEN x < 0 THEN -1
@@ -104,11 +120,11 @@ STEPS = {
             FROM (SELECT id, k, list_dot_product(v, p) AS x FROM vectors, planes) AS d)""",
     "banded": """
         banded AS (
-            SELECT id, k // 5 AS band,
-                   (32 + sum(CASE WHEN s > 0 THEN 1 << (4 - k % 5)::INTEGER ELSE 0 END))::BIGINT AS band_key,
+            SELECT id, k // {per} AS band,
+                   ((1 << {per}) + sum(CASE WHEN s > 0 THEN 1 << ({per} - 1 - k % {per})::INTEGER ELSE 0 END))::BIGINT AS band_key,
                    string_agg(s::VARCHAR, ',' ORDER BY k) AS band_text,
                    sum(s)::INTEGER AS band_sum
-            FROM signs GROUP BY id, k // 5)""",
+            FROM signs GROUP BY id, k // {per})""",
     "index": """
         train_bands AS (SELECT id, band, band_key FROM banded WHERE id IN (SELECT id FROM train)),
         batch_bands AS (SELECT id AS qid, band, band_key FROM banded WHERE id IN (SELECT qid FROM batch)),
@@ -140,19 +156,25 @@ STEPS = {
 def sql(steps: str, body: str, **values) -> str:
     names = steps.split()
     text = "WITH " + ",".join(STEPS[name] for name in names) + "\n" + body if names else body
-    for name, value in values.items():
+    for name, value in {"planes": 25, "per": 5, **values}.items():
         text = text.replace("{" + name + "}", str(value))
     return text
 
 
 def overlap(a: str, b: str, mode: str) -> str:
     """Overlap of two lists of distinct items, as SQL."""
-    if mode == "exact":
+    if mode == "repeats":
+        common = (
+            f"list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)),"
+            f" len(list_filter({b}, lambda z: z = x)))))"
+        )
+        value = f"{common}::DOUBLE / greatest(len({a}), len({b}))"
+    elif mode == "exact":
         value = f"CASE WHEN list_sort({a}) = list_sort({b}) THEN 1.0 ELSE 0.0 END"
     else:
         value = f"len(list_intersect({a}, {b}))::DOUBLE / greatest(len({a}), len({b}))"
     return (
-        f"CASE WHEN list_contains({a}, '\\N') OR list_contains({b}, '\\N') THEN 0.0::DOUBLE ELSE ({value})::DOUBLE END"
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL OR list_contains({a}, '\\N') OR list_contains({b}, '\\N') THEN 0.0::DOUBLE ELSE ({value})::DOUBLE END"
     )
 
 
@@ -185,7 +207,7 @@ def attribute_pairs(mode: str) -> str:
     )
 
 
-def attribute_ranked(mode: str, where: str, body: str) -> str:
+def attribute_ranked(mode: str, where: str, body: str, titles: str = "titles") -> str:
     parts = ", ".join(f"{value} AS {name}" for name, value in attribute_parts("c", "q", mode).items())
     ranked = f""",
         ranked AS (
@@ -194,7 +216,7 @@ def attribute_ranked(mode: str, where: str, body: str) -> str:
                   FROM (SELECT q.id AS qid, c.id AS id, c.rating AS rating, c.votes AS votes, {parts}
                         FROM holdout AS q JOIN titles AS c ON c.title <> q.title WHERE {where}) AS p) AS s)
         """
-    return sql("catalog titles holdout", "").rstrip() + ranked + body
+    return sql(f"catalog {titles} holdout", "").rstrip() + ranked + body
 
 
 def histogram(source: str) -> str:
@@ -425,6 +447,49 @@ SQL["cosine_top10_blocks"] = SQL["cosine_top10"]
 SQL["lsh_candidates_blocks"] = SQL["lsh_candidates"]
 SQL["lsh_predict_blocks"] = SQL["lsh_predict"]
 SQL["feature_tsv_roundtrip"] = SQL["feature_vector"].replace("SELECT id, (5", "SELECT id::VARCHAR AS id, (5")
+SQL["attribute_top50_hard"] = attribute_ranked(
+    "repeats", "true", "SELECT qid, id, rank::INTEGER AS rank, score FROM ranked WHERE rank <= 50", "hard_titles"
+)
+SQL["attribute_similarity_hard"] = sql(
+    "catalog hard_titles",
+    f"""SELECT id, other, round(genre_sim, 6) AS genre_sim, round({SCORE}, 6) AS score
+        FROM (SELECT a.id AS id, b.id AS other,
+                     {", ".join(f"{value} AS {name}" for name, value in attribute_parts("a", "b", "repeats").items())}
+              FROM titles AS a JOIN titles AS b ON b.nth = a.nth + 1) AS p""",
+)
+SQL["cosine_hard"] = sql(
+    "hard_vectors split",
+    """SELECT batch.qid AS qid, predicted FROM batch LEFT JOIN (
+           SELECT qid, round(avg(rating), 6) AS predicted
+           FROM (SELECT qid, train.rating AS rating, row_number() OVER (PARTITION BY qid ORDER BY round(
+                     list_dot_product(batch.v, train.v)
+                     / (sqrt(list_dot_product(batch.v, batch.v)) * sqrt(list_dot_product(train.v, train.v))), 9) DESC, id) AS rank
+                 FROM batch, train
+                 WHERE list_dot_product(batch.v, batch.v) > 0 AND list_dot_product(train.v, train.v) > 0) AS r
+           WHERE rank <= 10 GROUP BY qid) AS m ON m.qid = batch.qid""",
+)
+FINE = {"planes": 60, "per": 12, "share": 0.5}
+LSH_PREDICTED = """SELECT batch.qid AS qid, predicted FROM batch LEFT JOIN
+    (SELECT qid, round(avg(rating), 1) AS predicted FROM lsh_ranked WHERE rank <= 10 GROUP BY qid) AS m
+    ON m.qid = batch.qid"""
+SQL["lsh_candidates_fine"] = sql(LSH, "SELECT qid, cand_id FROM candidates", **FINE)
+SQL["lsh_predict_fine"] = sql(LSH + " lsh_ranked", LSH_PREDICTED, **FINE)
+SQL["lsh_no_hit"] = sql(LSH + " lsh_ranked", LSH_PREDICTED, planes=60, per=20, share=0.5)
+
+
+def recall(planes: int, per: int) -> str:
+    hits = sql(
+        LSH + " lsh_ranked exact",
+        "SELECT count(*) FROM lsh_ranked AS l JOIN ranked AS r USING (qid, id) WHERE l.rank <= 10 AND r.rank <= 10",
+        planes=planes,
+        per=per,
+        share=0.5,
+    )
+    total = sql("vectors split exact", "SELECT count(*) FROM ranked WHERE rank <= 10")
+    return f"SELECT {planes}::INTEGER AS planes, 5::INTEGER AS bands, round(({hits}) / ({total}), 6) AS recall"
+
+
+SQL["lsh_recall"] = recall(25, 5) + " UNION ALL " + recall(60, 12)
 SQL["shuffled_split"] = SQL["split_test"]
 SQL["title_text_join"] = sql(
     "catalog",

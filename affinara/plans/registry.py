@@ -166,6 +166,35 @@ def attribute_predict(spark, sf):
     return out.withColumn("shown", X.cut_text(F.col("predicted")))
 
 
+def hard_titles(spark, sf) -> tuple[DataFrame, DataFrame]:
+    needed = standin.hard_catalog(spark, sf).select("id", "kind", *P.ATTRIBUTES, "rating", "votes")
+    titles = R.global_row_number(needed, ["votes", "id"], "nth")
+    return titles, titles.filter(R.is_test(F.col("nth")))
+
+
+@query
+def attribute_similarity_hard(spark, sf):
+    """Null titles, null lists and repeated items: each title with the next one in vote order."""
+    titles, _ = hard_titles(spark, sf)
+    names = ["id", "flag", "runtime", "genres", "writers", "directors"]
+    a = titles.select("nth", *[F.col(n).alias(f"a_{n}") for n in names])
+    b = titles.select((F.col("nth") - 1).alias("nth"), *[F.col(n).alias(f"b_{n}") for n in names])
+    one, other = (lambda n: F.col(f"a_{n}")), (lambda n: F.col(f"b_{n}"))
+    out = a.join(b, "nth").select(
+        F.col("a_id").alias("id"),
+        F.col("b_id").alias("other"),
+        S.list_overlap(one("genres"), other("genres")).alias("genre_sim"),
+        S.attribute_score(one, other).alias("score"),
+    )
+    return rounded(out, "genre_sim", "score")
+
+
+@query
+def attribute_top50_hard(spark, sf):
+    titles, test = hard_titles(spark, sf)
+    return P.attribute_neighbours(titles, standin.as_batch(test)).select("qid", "id", "rank", "score")
+
+
 # --- features and split ---
 
 
@@ -314,6 +343,13 @@ def cosine_predict_features(spark, sf):
     return rounded(P.cosine_predict(train, standin.as_batch(test)), "predicted")
 
 
+@query
+def cosine_hard(spark, sf):
+    """With zero vectors in catalog and batch: these have no cosine, so such a query gets a null prediction."""
+    train, test = R.systematic_split(standin.hard_vectors(spark, sf), VECTOR_ORDER)
+    return rounded(P.cosine_predict(train, standin.as_batch(test)), "predicted")
+
+
 # --- LSH ---
 
 
@@ -326,10 +362,44 @@ def lsh_predict_features(spark, sf):
     return L.lsh_predict(index, written(L.lsh_index(standin.as_batch(test), id_name="qid"), "batch"))
 
 
-def indexed(spark, sf) -> tuple[DataFrame, DataFrame]:
+def indexed(spark, sf, planes: int = 25, bands: int = 5) -> tuple[DataFrame, DataFrame]:
     """Written index of the training vectors, and the hold-out batch with its bucket keys."""
     train, batch = hold_out_vectors(spark, sf)
-    return written(L.lsh_index(train), "index"), written(L.lsh_index(batch, id_name="qid"), "batch")
+    index = written(L.lsh_index(train, planes, bands), "index")
+    return index, written(L.lsh_index(batch, planes, bands, id_name="qid"), "batch")
+
+
+@query
+def lsh_candidates_fine(spark, sf):
+    """Twelve planes per band, for larger catalogs: far fewer unrelated titles share a bucket."""
+    return L.lsh_candidates(*indexed(spark, sf, 60, 5))
+
+
+@query
+def lsh_predict_fine(spark, sf):
+    return L.lsh_predict(*indexed(spark, sf, 60, 5))
+
+
+@query
+def lsh_no_hit(spark, sf):
+    """So many planes per band that many queries hit no bucket: they get a null prediction."""
+    return L.lsh_predict(*indexed(spark, sf, 60, 3))
+
+
+@query
+def lsh_recall(spark, sf):
+    """Share of the exact ten nearest that LSH finds, for the coarse and the fine setting."""
+    train, batch = hold_out_vectors(spark, sf)
+    exact = written(P.cosine_neighbours(train, batch).select("qid", "id"), "exact")
+    total = exact.select(F.count(F.lit(1))).scalar()
+    out = None
+    for planes in (25, 60):
+        found = L.lsh_neighbours(*indexed(spark, sf, planes, 5)).select("qid", "id").join(exact, ["qid", "id"])
+        row = found.agg(F.count(F.lit(1)).alias("hits")).select(
+            F.lit(planes).alias("planes"), F.lit(5).alias("bands"), F.round(F.col("hits") / total, 6).alias("recall")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query

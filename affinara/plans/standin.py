@@ -71,6 +71,23 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hard_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with what real tables hold too: null titles, null lists and repeated items."""
+    genres = F.when(F.col("id") % 7 == 0, F.concat("genres", F.slice("genres", 1, 1))).otherwise(F.col("genres"))
+    return catalog(spark, sf_dir).withColumns(
+        {
+            "title": F.when(F.col("id") % 11 != 0, F.col("title")),
+            "genres": F.when(F.col("id") % 13 != 0, genres),
+        }
+    )
+
+
+def hard_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, one in seventeen of them all zero."""
+    zero = F.transform("vector", lambda x: x * F.lit(0.0).cast("float"))
+    return vectors(spark, sf_dir).withColumn("vector", F.when(F.col("id") % 17 == 0, zero).otherwise(F.col("vector")))
+
+
 def as_batch(rows: DataFrame) -> DataFrame:
     """Rows as a query batch."""
     return rows.withColumnRenamed("id", "qid")

@@ -52,3 +52,39 @@ def test_quantiles(spark, values):
 
 def test_shuffled_keeps_rows(spark):
     assert sorted(r["id"] for r in R.shuffled(spark.range(20), 3).collect()) == list(range(20))
+
+
+def test_hot_key_is_spread_before_the_join(spark):
+    from affinara.shipping import join_spread
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("key"))
+    facts = spark.range(97).select(F.col("id").alias("key"), (F.col("id") * 2).alias("fact"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = join_spread(rows, facts, ["key"], "id", bound=0)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 2 * 30_000 / 4
+        assert joined.filter("fact <> 2 * key").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_scratch_tables_of_a_job_are_deleted(spark, tmp_path):
+    import os
+
+    from affinara.shipping import scratch_of_job, scratch_path
+
+    with scratch_of_job(spark):
+        path = scratch_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+
+
+def test_ranked_tables_hold_only_what_is_asked_for(spark, sf_dir):
+    from affinara.plans import registry
+
+    assert registry.QUERIES["split_test"](spark, sf_dir).columns == ["id", "votes", "rating"]
+    plan = registry.QUERIES["global_rank"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "genres" not in plan and "directors" not in plan
