@@ -19,8 +19,6 @@ HIDDEN = -2.0
 TILE = 1024
 # An item that fills more than this share of a block's pairs is counted by matrix product.
 DENSE_SHARE = 1 / 128
-# Rows of one bucket with equal keys in all earlier bands are looked at on their own from this number on.
-COPIES = 64
 
 
 def column(table, name):
@@ -270,9 +268,9 @@ class Best:
         self.floor = np.full(len(self.qid), -np.inf)
         self.parts, self.held = [], 0
 
-    def add(self, rows, pick=None):
-        """Score a block of catalog rows against all queries, or against the picked ones."""
-        pick = np.arange(len(self.qid)) if pick is None else pick
+    def add(self, rows):
+        """Score a block of catalog rows against all queries."""
+        pick = np.arange(len(self.qid))
         for start in range(0, rows.num_rows, TILE):
             piece = rows.slice(start, TILE)
             if self.id_desc:
@@ -309,7 +307,7 @@ class Best:
             self.prune()
 
     def prune(self):
-        """Cut to the k best per query. A row met in several buckets counts once."""
+        """Cut to the k best per query. A repeated row counts once."""
         q = np.concatenate([p[0] for p in self.parts])
         score = np.concatenate([p[1] for p in self.parts])
         rows = pa.concat_tables([p[2] for p in self.parts])
@@ -341,101 +339,32 @@ class Best:
         )
 
 
-def scan_scorer(queries, scorer, k, carry, in_buckets, id_desc=False):
-    """For ``mapInArrow``: every task scores its catalog rows against the whole small query batch."""
+def scan_scorer(queries, scorer, k, carry, id_desc=False):
+    """For ``mapInArrow``: every task scores its catalog rows against the whole query batch."""
 
     def run(batches):
-        if not queries.num_rows:
-            for _ in batches:
-                pass
-            return
-        best = Best(queries, scorer, k, carry, id_desc)
-        looks = Looks(queries) if in_buckets else None
+        best = Best(queries, scorer, k, carry, id_desc) if queries.num_rows else None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if not rows.num_rows:
-                continue
-            if looks is None:
-                best.add(rows)
-                continue
-            keys = key_matrix(rows)
-            for band in range(keys.shape[1]):
-                buckets = looks.buckets(band)
-                for key, at in rows_by_key(keys[:, band]):
-                    if key in buckets:
-                        looks.add(best, rows.take(pa.array(at)), keys[at], band, buckets[key])
-        out = best.table()
+            if best is not None and batch.num_rows:
+                best.add(pa.Table.from_batches([batch]))
+        out = best.table() if best is not None else None
         if out is not None:
             yield from out.select(["qid", "id", "score", *carry]).to_batches()
 
     return run
 
 
-def block_scorer(schema, scorer, k, carry, in_buckets, id_desc=False):
+def block_scorer(schema, scorer, k, carry, id_desc=False):
     """For a cogrouped ``applyInArrow``: one block of catalog rows against one block of queries."""
 
     def run(catalog, queries):
         out = None
         if catalog.num_rows and queries.num_rows:
             best = Best(queries, scorer, k, carry, id_desc)
-            if in_buckets:
-                band = catalog.column("band")[0].as_py()
-                Looks(queries).add(best, catalog, key_matrix(catalog), band, np.arange(queries.num_rows))
-            else:
-                best.add(catalog)
+            best.add(catalog)
             out = best.table()
         if out is None:
             return schema.empty_table()
         return out.select(["qid", "id", "score", *carry]).cast(schema)
 
     return run
-
-
-class Looks:
-    """Which buckets the queries of a batch look into."""
-
-    def __init__(self, queries):
-        self.keys = key_matrix(queries)
-        kept = column(queries, "kept")
-        self.kept = np.zeros(self.keys.shape, dtype=bool)
-        self.kept[
-            pc.list_parent_indices(kept).to_numpy(zero_copy_only=False),
-            pc.struct_field(pc.list_flatten(kept), "band").to_numpy(zero_copy_only=False),
-        ] = True
-        self.known = {}
-
-    def buckets(self, band):
-        """Bucket key -> numbers of the queries that look into it."""
-        if band not in self.known:
-            at = np.flatnonzero(self.kept[:, band])
-            self.known[band] = {key: at[found] for key, found in rows_by_key(self.keys[at, band])}
-        return self.known[band]
-
-    def add(self, best, rows, keys, band, pick):
-        """Score a bucket's rows against the queries in it.
-
-        Many rows with the same keys in all earlier bands (copies, mostly) skip the
-        queries that met them in one of those bands already.
-        """
-        if band == 0 or rows.num_rows < COPIES:
-            best.add(rows, pick)
-            return
-        found, group, count = np.unique(keys[:, :band], axis=0, return_inverse=True, return_counts=True)
-        group = group.ravel()
-        for g in np.flatnonzero(count >= COPIES):
-            met = (self.kept[pick, :band] & (self.keys[pick, :band] == found[g])).any(axis=1)
-            best.add(rows.filter(pa.array(group == g)), pick[~met])
-        best.add(rows.filter(pa.array(count[group] < COPIES)), pick)
-
-
-def key_matrix(rows):
-    """Rows x bands."""
-    keys = column(rows, "band_keys")
-    return pc.list_flatten(keys).to_numpy(zero_copy_only=False).reshape(len(keys), -1)
-
-
-def rows_by_key(keys):
-    """(key, row numbers) of every distinct key."""
-    order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.diff(keys[order])) + 1
-    return [(int(keys[at[0]]), at) for at in np.split(order, cuts) if len(at)]

@@ -67,14 +67,15 @@ def k_nearest(
     )
     if form not in ("grid", "scan"):
         raise ValueError(f"unknown form: {form}")
+    if form == "scan" and in_buckets:
+        raise ValueError("rows of a bucket meet in Spark: use form='grid'")
     if form == "scan":
         batch = whole_batch(queries, scan_bytes)
-        found = catalog.mapInArrow(
-            kernels.scan_scorer(batch, scorer, k, tuple(carry), in_buckets, id_desc), schema
-        )
+        found = catalog.mapInArrow(kernels.scan_scorer(batch, scorer, k, tuple(carry), id_desc), schema)
     else:
         if in_buckets:
             left, right = bucket_blocks(catalog, queries, catalog_block, query_block)
+            left, right = left.drop("band_keys"), right.drop("band_keys", "kept")
             keys = BLOCK_KEYS
         else:
             left, right = table_blocks(catalog, queries, catalog_block, query_block)
@@ -84,7 +85,7 @@ def k_nearest(
         # by number, so that few bytes with much work are not merged into few tasks
         parts = shuffle_partitions(catalog)
         left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
-        run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), in_buckets, id_desc)
+        run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), id_desc)
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
     if in_buckets:
         # a pair that was met in several buckets counts once, whatever the last bits of its scores

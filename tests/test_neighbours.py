@@ -6,14 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affinara import kernels
 from affinara.functions import vectors as V
 from affinara.operators import lsh as L
 from affinara.operators import predict as P
 
-SCAN = {}
+SCAN = {"form": "scan"}
 BLOCKS = {"form": "grid", "catalog_block": 13, "query_block": 5}
 FORMS = pytest.mark.parametrize("form", [SCAN, BLOCKS], ids=["scan", "blocks"])
+BUCKETS = pytest.mark.parametrize("form", [{}, BLOCKS], ids=["plain", "blocks"])
 
 
 def cosine(a, b):
@@ -214,12 +214,10 @@ def test_lsh_candidates(frames, max_share, blocks):
     assert set(got) == candidates_by_hand(by_hand, max_share)
 
 
-@FORMS
+@BUCKETS
 @pytest.mark.parametrize("max_share", [0.5, 0.02])
 @pytest.mark.parametrize("order", ["similarity", "id_desc"])
-@pytest.mark.parametrize("copies", [64, 2], ids=["plain", "copies_apart"])
-def test_lsh_neighbours(frames, vectors, form, max_share, order, copies, monkeypatch):
-    monkeypatch.setattr(kernels, "COPIES", copies)
+def test_lsh_neighbours(frames, vectors, form, max_share, order):
     features, batch = frames
     index, looks = L.lsh_index(features), L.lsh_index(batch, id_name="qid")
     pairs = candidates_by_hand({r["id"]: r["band_keys"] for r in index.collect()}, max_share)
@@ -273,7 +271,13 @@ def test_no_hit_gives_null(spark):
     assert [tuple(r) for r in L.lsh_predict(index, lost).collect()] == [("q", None)]
 
 
-@FORMS
+def test_a_batch_too_large_to_scan_is_refused(frames):
+    features, batch = frames
+    with pytest.raises(ValueError, match="too large"):
+        P.cosine_neighbours(features, batch, form="scan", scan_bytes=10)
+
+
+@BUCKETS
 def test_lsh_order_and_denominator(spark, form):
     index = spark.createDataFrame(
         [("t1", [1.0, 0.1], 6.0, [1]), ("t9", [0.1, 1.0], 8.0, [1])],
