@@ -14,21 +14,31 @@ from affinara.operators.ranking import quantiles
 NUMBERS = ["rating", "runtime", "votes"]
 
 
-def column_summary(catalog: DataFrame, columns: Sequence[str] = tuple(NUMBERS)) -> DataFrame:
-    """Per column: ``n, mean, max, min, std, q1, q2, q3``; exact, nulls left out."""
+def column_summary(
+    catalog: DataFrame, columns: Sequence[str] = tuple(NUMBERS), accuracy: int | None = None
+) -> DataFrame:
+    """Per column: ``n, mean, max, min, std, q1, q2, q3``; nulls left out.
+
+    Exact by default. With an ``accuracy`` the quartiles come from ``percentile_approx``
+    (a rank error of at most 1/accuracy), in the same single pass as the rest.
+    """
     cells = catalog.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
         ).alias("cell")
     ).select("cell.column", "cell.value")
-    basic = cells.groupBy("column").agg(
+    basics = [
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.max("value").alias("max"),
         F.min("value").alias("min"),
         F.stddev_samp("value").alias("std"),
-    )
+    ]
     shares = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    if accuracy is not None:
+        near = [F.percentile_approx("value", share, accuracy).alias(name) for name, share in shares.items()]
+        return cells.groupBy("column").agg(*basics, *near)
+    basic = cells.groupBy("column").agg(*basics)
     parts = (
         quantiles(catalog, columns, list(shares.values()))
         .groupBy("column")
@@ -42,18 +52,22 @@ def flagged_count(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count_if(F.col("flag") == 1).alias("flagged"))
 
 
-def distinct_counts(catalog: DataFrame, names: Sequence[str] = ("genres", "directors", "writers")) -> DataFrame:
-    """``(list, n_distinct)`` per list column, the missing mark counted as a value; one pass over the catalog."""
+def distinct_counts(
+    catalog: DataFrame,
+    names: Sequence[str] = ("genres", "directors", "writers"),
+    relative_error: float | None = None,
+) -> DataFrame:
+    """``(list, n_distinct)`` per list column, the missing mark counted as a value; one pass over the catalog.
+
+    Exact by default; with a ``relative_error`` (standard deviation) from a sketch, without shuffling the values.
+    """
     items = [
         F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), _tagged(name)) for name in names
     ]
-    return (
-        catalog.select(F.explode(F.concat(*items)).alias("item"))
-        .select("item.list", "item.token")
-        .distinct()
-        .groupBy("list")
-        .agg(F.count(F.lit(1)).alias("n_distinct"))
-    )
+    found = catalog.select(F.explode(F.concat(*items)).alias("item")).select("item.list", "item.token")
+    if relative_error is not None:
+        return found.groupBy("list").agg(F.approx_count_distinct("token", relative_error).alias("n_distinct"))
+    return found.distinct().groupBy("list").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def _tagged(name: str):

@@ -56,3 +56,17 @@ def test_counts_tiny(tiny):
 def test_profile_names(tiny):
     out = Pr.profile(tiny, tiny.filter(F.col("id") != "t2"), tiny.filter(F.col("id") == "t2"))
     assert out["histogram_test"].agg(F.sum("n")).head()[0] == 1
+
+
+def test_approximate_profile(spark, sf_dir):
+    from affinara.plans import standin
+
+    rows = standin.catalog(spark, sf_dir).cache()
+    exact = {r["list"]: r["n_distinct"] for r in Pr.distinct_counts(rows).collect()}
+    near = {r["list"]: r["n_distinct"] for r in Pr.distinct_counts(rows, relative_error=0.01).collect()}
+    assert near.keys() == exact.keys() and all(abs(near[k] - exact[k]) <= 0.05 * exact[k] + 1 for k in exact)
+    full = {r["column"]: r for r in Pr.column_summary(rows).collect()}
+    for r in Pr.column_summary(rows, accuracy=10_000).collect():
+        other = full[r["column"]]
+        assert r["n"] == other["n"] and r["mean"] == pytest.approx(other["mean"])
+        assert other["q1"] <= r["q2"] <= other["q3"]
