@@ -26,6 +26,8 @@ STEPS = {
             FROM catalog)""",
     "holdout": """
         holdout AS (SELECT * FROM titles WHERE nth % 4 = 0)""",
+    "asked": """
+        holdout AS (SELECT * FROM titles WHERE id % 16 = 0 AND kind LIKE 'ECONOMY%')""",
     "genre_words": """
         genre_words AS (
             SELECT token, row_number() OVER (ORDER BY token) - 1 AS pos
@@ -207,7 +209,7 @@ def attribute_pairs(mode: str) -> str:
     )
 
 
-def attribute_ranked(mode: str, where: str, body: str, titles: str = "titles") -> str:
+def attribute_ranked(mode: str, where: str, body: str, titles: str = "titles", holdout: str = "holdout") -> str:
     parts = ", ".join(f"{value} AS {name}" for name, value in attribute_parts("c", "q", mode).items())
     ranked = f""",
         ranked AS (
@@ -216,7 +218,7 @@ def attribute_ranked(mode: str, where: str, body: str, titles: str = "titles") -
                   FROM (SELECT q.id AS qid, c.id AS id, c.rating AS rating, c.votes AS votes, {parts}
                         FROM holdout AS q JOIN titles AS c ON c.title <> q.title WHERE {where}) AS p) AS s)
         """
-    return sql(f"catalog {titles} holdout", "").rstrip() + ranked + body
+    return sql(f"catalog {titles} {holdout}", "").rstrip() + ranked + body
 
 
 def histogram(source: str) -> str:
@@ -468,6 +470,15 @@ SQL["cosine_hard"] = sql(
                  WHERE list_dot_product(batch.v, batch.v) > 0 AND list_dot_product(train.v, train.v) > 0) AS r
            WHERE rank <= 10 GROUP BY qid) AS m ON m.qid = batch.qid""",
 )
+SQL["attribute_predict_text"] = attribute_ranked(
+    "ratio",
+    "c.kind LIKE 'ECONOMY%'",
+    """, means AS (SELECT qid, sum(rating * (votes * score)) / sum(votes * score) AS predicted
+                 FROM ranked WHERE rank <= 50 GROUP BY qid)
+       SELECT title, count(*) AS asked, round(avg(predicted), 6) AS predicted
+       FROM holdout LEFT JOIN means ON qid = id GROUP BY title""",
+    holdout="asked",
+)
 FINE = {"planes": 60, "per": 12, "share": 0.5}
 LSH_PREDICTED = """SELECT batch.qid AS qid, predicted FROM batch LEFT JOIN
     (SELECT qid, round(avg(rating), 1) AS predicted FROM lsh_ranked WHERE rank <= 10 GROUP BY qid) AS m

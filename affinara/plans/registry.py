@@ -661,6 +661,23 @@ def title_text_join(spark, sf):
     return rows.withColumns({name: X.join_list(F.col(name)) for name in C.LISTS})
 
 
+@query
+def attribute_predict_text(spark, sf):
+    """The whole first program on text files: join, keep one kind, predict the query file; means per query title."""
+    paths = title_files(spark, sf)
+    catalog = written(
+        C.build_catalog(
+            St.read_ratings(spark, paths["ratings"]), St.read_basics(spark, paths["basics"]), St.read_crew(spark, paths["crew"]), ["movie"]
+        ),
+        "catalog",
+    )
+    batch = written(C.as_queries(St.read_queries(spark, paths["queries"])), "queries")
+    predicted = P.attribute_predict(catalog, batch, kinds=["movie"]).distinct()
+    named = batch.select("qid", "title").join(predicted, "qid")
+    out = named.groupBy("title").agg(F.count(F.lit(1)).alias("asked"), F.avg("predicted").alias("predicted"))
+    return rounded(out, "predicted")
+
+
 @query
 def shuffled_split(spark, sf):
     """The hold-out in random order, compared as a set."""
