@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 
 import numpy as np
@@ -30,6 +33,34 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to the Python workers in batches of at most this many rows from now on.
+
+    A batch is held several times on its way, in the JVM and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
+def tidy(function):
+    """The same function over batches; its worker gives memory back to the machine when the task ends.
+
+    Workers are kept for later tasks, so what a task leaves behind adds up on an executor.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def texts_of(column) -> list[str]:
     """The strings of an Arrow column; null reads as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -15,9 +15,10 @@ bucket. Candidates are then verified by their exact weighted Jaccard similarity:
 1. Every member of a bucket is compared with the bucket's most central text, the
    one whose buckets are largest: in a group of edited copies that is the text
    which the others were made from. So a bucket costs one comparison a member.
-2. In buckets that are not yet one class, all members of different classes are
-   screened by their samples, in bounded blocks; the pairs that may reach the
-   threshold are verified too.
+2. In buckets that are not yet one class, members of different classes are screened
+   by their samples, in bounded blocks. The members with a partner that may reach
+   the threshold are compared exactly inside the block; a block emits its members
+   and the links that join them up, never its pairs.
 3. Verified links are joined to classes by spreading the least label.
 
 A band misses a pair at the threshold with a chance of 1 - 0.8^4, all 16 bands
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinara.llm.common import blocks, mixed, partitions, picked, segments, shared
+from affinara.llm.common import blocks, mixed, partitions, picked, segments, shared, small_batches, tidy
 from affinara.shipping import written
 
 WIDTH = 5
@@ -49,9 +50,9 @@ COMMON, LEAST_IDF = 0.01, 0.75
 SLOTS = 1 << 20
 SLOT_BLOCK = 1 << 14
 TABLE_BITS = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SCREEN = 0.6  # share of samples in common below which a pair is not verified: five deviations under the threshold
-SIDE = 2048  # of a block of screened members
+SIDE = 1024  # of a block of screened members
 
 
 def words_of(column) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -59,9 +60,10 @@ def words_of(column) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     text = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     text = pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(text.cast(pa.string()), "")))
     split = pc.utf8_split_whitespace(text)
-    sizes = np.where(pc.equal(text, "").to_numpy(zero_copy_only=False), 0, split.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    flat = split.flatten()
-    flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+    words, owner = split.flatten(), pc.list_parent_indices(split)
+    full = pc.not_equal(words, "")  # what edges of a text may leave
+    sizes = np.bincount(owner.filter(full).to_numpy(), minlength=len(text)).astype(np.int64)
+    flat = words.filter(full).dictionary_encode()
     return flat.indices.to_numpy().astype(np.int64), sizes, flat.dictionary
 
 
@@ -191,9 +193,9 @@ def weigh(docs: DataFrame) -> Weights:
             common = np.flatnonzero(count > max(1.0, COMMON * rows[start]))
             yield pa.RecordBatch.from_arrays([pa.array(start + common), pa.array(count[common]), pa.array(np.full(len(common), rows[start]))], ["slot", "count", "n"])
 
-    parts = docs.select("text").mapInArrow(counted, "start long, n long, part binary")
+    parts = docs.select("text").mapInArrow(tidy(counted), "start long, n long, part binary")
     parts = parts.repartition(min(partitions(docs), SLOTS // SLOT_BLOCK), "start")
-    found = parts.mapInArrow(summed, "slot long, count long, n long").toPandas().sort_values("slot")
+    found = parts.mapInArrow(tidy(summed), "slot long, count long, n long").toPandas().sort_values("slot")
     documents = int(found["n"].max()) if len(found) else 0
     return Weights(documents, found["slot"].to_numpy(np.int64), found["count"].to_numpy(np.float64))
 
@@ -224,7 +226,7 @@ def linked(pairs: DataFrame, texts: DataFrame, load, threshold: float) -> DataFr
     both = pairs.join(first, "a").join(second, "b")
     # the lighter of two similar texts has at least the threshold's share of the other's weight
     near = F.least("weight_a", "weight_b") >= (threshold - 1e-6) * F.greatest("weight_a", "weight_b")
-    return both.where(near).select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
+    return both.where(near).select("a", "b", "text_a", "text_b").mapInArrow(tidy(verified), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,8 +246,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = table.column("side").to_numpy()
+    return np.flatnonzero(side == table.column("low")[0].as_py()), np.flatnonzero(side == table.column("high")[0].as_py())
+
+
 def screened(members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) in a common bucket that have different labels and enough samples in common."""
+    """Members of buckets that have a partner of another label with enough samples in common, block by block.
+
+    A pair counts in the first band it has in common only. A block gives each member once, not its pairs.
+    """
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_up = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
     mixed_up = written(mixed_up.select("band", F.ceil(F.col("n") / SIDE).alias("sides")), "near-mixed")
@@ -254,26 +264,71 @@ def screened(members: DataFrame, labels: DataFrame, threshold: float) -> DataFra
     rows = rows.withColumn("other", other).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
 
     def paired(table: pa.Table) -> pa.Table:
-        node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
         sample = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint32).reshape(len(node), -1)
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        need = int(np.ceil(threshold * sample.shape[1]))
-        a, b = [], []
+        nth, need = table.column("nth")[0].as_py(), int(np.ceil(threshold * sample.shape[1]))
+        left, right = _sides(table)
+        met = np.zeros(len(node), bool)
         for i in left:
-            equal = (sample[right] == sample[i]).sum(1)
-            hit = right[(equal >= need) & (label[right] != label[i]) & (node[right] != node[i])]
-            a.append(np.minimum(node[i], node[hit]))
-            b.append(np.maximum(node[i], node[hit]))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": join(a), "b": join(b)})
-
-    return rows.groupBy("band", "low", "high").applyInArrow(paired, "a long, b long").distinct()
+            equal = sample[right] == sample[i]
+            hit = np.flatnonzero((equal.sum(1) >= need) & (label[right] != label[i]))
+            hit = hit[equal[hit].reshape(len(hit), BANDS, ROWS).all(2).argmax(1) == nth]
+            if len(hit):
+                met[i] = True
+                met[right[hit]] = True
+        kept = np.flatnonzero(met)
+        return table.select(["band", "low", "high", "side", "node", "label"]).take(pa.array(kept))
+
+    return rows.groupBy("band", "low", "high").applyInArrow(paired, "band long, low long, high long, side long, node long, label long")
+
+
+def block_links(met: DataFrame, texts: DataFrame, load, threshold: float) -> DataFrame:
+    """Links (a, b) between members of different labels in a block, by exact similarity; no more than join them up."""
+
+    def verified(table: pa.Table) -> pa.Table:
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        s = Shingles(table.column("text"))
+        weight = load().of(s)
+        total = np.bincount(s.text, weight, len(node))
+        names, name = np.unique(s.hash, return_inverse=True)
+        start = np.r_[0, np.cumsum(s.sizes)]
+        own = np.zeros(len(names))
+        joined = {x: x for x in np.unique(label).tolist()}
+
+        def root(x):
+            while joined[x] != x:
+                joined[x] = joined[joined[x]]
+                x = joined[x]
+            return x
+
+        left, right = _sides(table)
+        a, b = [], []
+        for i in left.tolist():
+            roots = np.array([root(x) for x in label[right].tolist()])
+            other = right[(roots != root(int(label[i]))) & (np.minimum(total[right], total[i]) >= (threshold - 1e-6) * np.maximum(total[right], total[i]))]
+            if not len(other):
+                continue
+            mine = slice(start[i], start[i + 1])
+            own[name[mine]] = weight[mine]
+            at = segments(start[other], s.sizes[other])
+            common = np.add.reduceat(np.minimum(own[name[at]], weight[at]), np.cumsum(s.sizes[other]) - s.sizes[other])
+            own[name[mine]] = 0
+            for j in other[common >= (threshold - 1e-9) * (total[other] + total[i] - common)].tolist():
+                x, y = root(int(label[i])), root(int(label[j]))
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = met.join(texts.select("node", "text"), "node")
+    return rows.groupBy("band", "low", "high").applyInArrow(verified, "a long, b long").distinct()
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id, the least doc_id of the row's class, for every row."""
     spark = df.sparkSession
+    small_batches(spark)
     docs = picked(df, doc_id=doc_id, text=text)
     kind = docs.schema["doc_id"].dataType.simpleString()
     weights = weigh(docs)
@@ -289,8 +344,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
             out = pa.table([block.column("doc_id"), pa.array(normal_digest(block.column("text")), pa.int64()), bands, pa.array(short, pa.binary())], ["doc_id", "node", "bands", "samples"])
             yield from out.combine_chunks().to_batches()
 
-    keyed = written(docs.mapInArrow(sampled, f"doc_id {kind}, node long, bands array<long>, samples binary"), "near-samples")
-    rows = keyed.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", F.explode("bands").alias("band")).distinct()
+    keyed = written(docs.mapInArrow(tidy(sampled), f"doc_id {kind}, node long, bands array<long>, samples binary"), "near-samples")
+    rows = keyed.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", F.posexplode("bands").alias("nth", "band")).distinct()
     sizes = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
     members = written(rows.join(sizes, "band"), "near-members")
     central = members.groupBy("node").agg(F.sum("n").alias("centre"))
@@ -309,14 +364,14 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     alone = keyed.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     company = alone.join(members.select("node").distinct(), "node", "left_semi")
     chosen = docs.join(company.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    texts = chosen.mapInArrow(named, "node long, text string, weight double")
+    texts = chosen.mapInArrow(tidy(named), "node long, text string, weight double")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text"), F.first("weight").alias("weight")), "near-texts")
 
     links = written(linked(stars, texts, load, threshold), "near-links")
     labels = written(links.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label"))).groupBy("node").agg(F.min("label").alias("label")), "near-first")
-    with_samples = members.select("node", "band").join(keyed.where("node IS NOT NULL").select("node", "samples").dropDuplicates(["node"]), "node")
-    more = screened(with_samples, labels, SCREEN).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(linked(written(more, "near-pairs"), texts, load, threshold))
+    with_samples = members.select("node", "nth", "band").join(keyed.where("node IS NOT NULL").select("node", "samples").dropDuplicates(["node"]), "node")
+    met = written(screened(with_samples, labels, SCREEN), "near-met")
+    links = links.union(block_links(met, texts, load, threshold))
     labels = components(links)
     found = written(keyed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")), "near-found")
     least = written(found.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id")), "near-classes")
