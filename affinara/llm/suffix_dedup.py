@@ -10,7 +10,7 @@ anchors, so only strings at anchors that occur more than once can repeat.
 0. A text that equals the text of a smaller id loses all (if it is long enough) and
    teaches nothing that the other does not: such copies are known by digest and
    take no part below.
-1. Documents are dealt into chunks by a hash of their ids. Every chunk sends the
+1. Documents are dealt into chunks by a hash of id and text. Every chunk sends the
    hashes of its anchors once each; those met twice are sent back.
 2. For such anchors a chunk sends the bytes around it once, however many of its
    documents hold them, with the least id. Splitters sampled from the anchors'
@@ -34,11 +34,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinara.llm.common import mixed, partitions, segments
+from affinara.llm.common import mixed, partitions, segments, small_batches, tidy
 from affinara.shipping import written
 
 LENGTH = 50
@@ -48,15 +49,20 @@ POSITION_BITS = 21
 CHUNK_ROWS = 1024
 SAMPLES = 64  # splitter candidates for a bucket
 BATCH = 40_000  # rows sorted at a time, and those that share the last one's leading bytes
-RECORD = "bucket int, lead long, body binary, ahead int, least long, most long, chunk long, place int"
+RECORD = "bucket int, body binary, ahead int, least long, most long, chunk long, place int"
 WORDS = 12  # 64-bit letters of a record: 88 bytes, and its lengths
 
 
+def unpacked(column) -> list[bytes | None]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [None if t is None else expand(t) for t in column.to_pylist()]
+
+
 class Chunk:
     """The texts of a chunk end to end, in the order of their ids, and their anchors."""
 
     def __init__(self, table: pa.Table, key: str, text: str, copies=()):
-        ids, texts = table.column(key).to_pylist(), table.column(text).cast(pa.binary()).to_pylist()
+        ids, texts = table.column(key).to_pylist(), unpacked(table.column(text))
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
         raw = [texts[i] or b"" for i in self.order]
         sizes = np.array([len(t) for t in raw], np.int64)
@@ -239,7 +245,7 @@ def _cut(batches, rows: int):
         held = new if held is None else pa.concat_tables([held, new])
         if len(held) < rows:
             continue
-        lead = held.column("lead").to_numpy()
+        lead = np.frombuffer(b"".join(held.column("lead").to_pylist()), np.uint64)
         change = np.flatnonzero(lead[1:] != lead[:-1])
         if len(change):
             cut = int(change[-1]) + 1
@@ -251,7 +257,8 @@ def _cut(batches, rows: int):
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All rows and columns of ``df`` and ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (the bytes left)."""
-    spark, names = df.sparkSession, df.columns
+    small_batches(df.sparkSession)
+    names = df.columns
     inner = [f"_c{i}" for i in range(len(names))]
     key, body = inner[names.index(doc_id)], inner[names.index(text)]
     rows = df.toDF(*inner)
@@ -259,7 +266,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
         rows = rows.withColumn("_key", F.col(key).cast("long"))
         key = "_key"
     chunks = max(1, -(-df.count() // chunk_rows))
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(chunks)))
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(key, body, F.lit(11)), F.lit(chunks)))
     wide, number = rows.schema, partitions(df)
 
     digest = rows.where(F.col(body).isNotNull()).select(F.col(key).alias("copy"), F.md5(F.col(body).cast("binary")).alias("digest"), F.col("_chunk").alias("chunk"))
@@ -268,6 +275,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     single = rows.groupBy(F.col(key).alias("copy")).agg(F.count("*").alias("n")).where("n = 1").select("copy")
     copies = digest.join(first, "digest").where("copy > first").join(single, "copy").select("copy", "chunk")
     copies = written(copies, "suffix-copies")
+
+    def packed(batches):
+        for batch in batches:
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            column = [None if t is None else squeeze(t) for t in batch.column(body).cast(pa.binary()).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(body), body, pa.array(column, pa.binary()))
+
+    # texts travel compressed
+    rows = rows.mapInArrow(tidy(packed), T.StructType([T.StructField(f.name, T.BinaryType() if f.name == body else f.dataType) for f in wide]))
     by_chunk = rows.groupBy("_chunk")
 
     def hashes(table: pa.Table, copied: pa.Table) -> pa.Table:
@@ -278,7 +294,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
 
     grams = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(hashes, "gram long, chunk long")
     # a chunk's own twins show below; here a gram counts that two chunks hold
-    twice = grams.repartition(number, "gram").sortWithinPartitions("gram").mapInArrow(_met_twice, "gram long, chunk long")
+    twice = grams.repartition(number, "gram").sortWithinPartitions("gram").mapInArrow(tidy(_met_twice), "gram long, chunk long")
 
     def leads(batches):
         for batch in batches:
@@ -288,7 +304,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["lead"])
 
     some = rows.where(F.col("_chunk") == 0).select(F.col(key), F.col(body))
-    sampled = some.mapInArrow(leads, "lead long").orderBy(F.xxhash64("lead")).limit(SAMPLES * number).collect()
+    sampled = some.mapInArrow(tidy(leads), "lead long").orderBy(F.xxhash64("lead")).limit(SAMPLES * number).collect()
     lead = np.sort(np.array([r["lead"] for r in sampled], np.int64))
     splitters = lead[(np.arange(1, number) * len(lead)) // number] if len(lead) else lead
 
@@ -317,7 +333,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
         return pa.table(
             {
                 "bucket": pa.array(np.searchsorted(splitters, lead, side="right").astype(np.int32)),
-                "lead": pa.array(lead),
                 "body": pa.array([b for _, b in out], pa.binary()),
                 "ahead": pa.array([a for a, _ in out], pa.int32()),
                 "least": pa.array([v[0] for v in values], pa.int64()),
@@ -336,8 +351,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
 
     shared = twice.withColumn("copy", F.lit(None).cast("long")).unionByName(copies.withColumn("gram", F.lit(None).cast("long")))
     found = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(records, RECORD)
-    found = found.repartitionById(number, F.col("bucket")).sortWithinPartitions("lead")
-    lowest = found.mapInArrow(ordered, "chunk long, place int, first int, last int, least long")
+    found = found.repartitionById(number, F.col("bucket")).withColumn("lead", F.expr("substring(body, ahead + 1, 8)")).sortWithinPartitions("lead")
+    lowest = found.mapInArrow(tidy(ordered), "chunk long, place int, first int, last int, least long")
     result = T.StructType(
         [*wide.fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())]
     )
@@ -383,6 +398,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
             spans.append([[int(x) - start, int(y) - start] for x, y in zip(begin[a[i] : b[i]], stop[a[i] : b[i]], strict=True)])
             kept.append(data[start:end][~gone[start:end]].tobytes() if spans[-1] else chunk.bytes[start:end])
         out = table.take(pa.array(chunk.order))
+        text_at = out.schema.get_field_index(body)
+        out = out.set_column(text_at, body, pa.array(unpacked(out.column(body)), pa.binary()).cast(pa.string()))
         out = out.append_column("n_bytes", pa.array(chunk.ends - chunk.starts))
         out = out.append_column("spans", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
         return out.append_column("kept", pa.array(kept, pa.binary()))
@@ -409,4 +426,4 @@ def cut_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
             at = batch.schema.get_field_index(body)
             yield batch.set_column(at, body, pa.array(new, pa.string())).select(inner)
 
-    return rows.mapInArrow(readable, rows.select(*inner).schema).toDF(*names)
+    return rows.mapInArrow(tidy(readable), rows.select(*inner).schema).toDF(*names)
