@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from affinara.llm.common import blocks, segments, texts_of
+from affinara.llm.common import blocks, segments, small_batches, texts_of, tidy
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 KEPT_WORDS = 400_000
 DECODED_IDS = 1 << 20  # at a time
 
@@ -195,6 +195,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of a text column. One pass over the rows, no shuffle."""
+    small_batches(df.sparkSession)
     df = df.drop(ids)
     schema = _with(df, ids, T.ArrayType(T.IntegerType(), False))
 
@@ -205,11 +206,12 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             out = block.append_column(ids, list_column(*encoder.encode(texts_of(block.column(text)))))
             yield from out.combine_chunks().to_batches()
 
-    return df.mapInArrow(encoded, schema)
+    return df.mapInArrow(tidy(encoded), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of a column of token ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
+    small_batches(df.sparkSession)
     df = df.drop(text)
     schema = _with(df, text, T.StringType())
 
@@ -234,4 +236,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 row = stop
             yield batch.append_column(text, pa.array(out, pa.string()))
 
-    return df.mapInArrow(decoded, schema)
+    return df.mapInArrow(tidy(decoded), schema)

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinara.llm.common import blocks, shared, texts_of
+from affinara.llm.common import blocks, shared, small_batches, texts_of, tidy
 
 UNKNOWN = "und"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 ROWS = 256  # of a matrix product
 
 
@@ -166,6 +166,7 @@ def fit(
 
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row. One pass, no shuffle."""
+    small_batches(df.sparkSession)
     df = df.drop("lang_pred", "score")
     if model is None:
         return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
@@ -181,4 +182,4 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
             out = block.append_column("lang_pred", pa.array(label, pa.string())).append_column("score", pa.array(np.where(lettered, score, 0.0)))
             yield from out.combine_chunks().to_batches()
 
-    return df.mapInArrow(identified, schema)
+    return df.mapInArrow(tidy(identified), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinara.llm.common import picked, shared, texts_of
+from affinara.llm.common import picked, shared, small_batches, texts_of, tidy
 
 # fixed values: usual wordings of licence notices
 TEMPLATES = {
@@ -163,6 +163,7 @@ def sample_paragraphs(docs: DataFrame, most: int = 1500, longest: int = 2000) ->
 def scan(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each paragraph that names a licence: doc_id, paragraph, family, score, similarity, statement."""
     docs = picked(df, doc_id=doc_id, text=text)
+    small_batches(df.sparkSession)
     load = shared(df.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -186,4 +187,4 @@ def scan(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text"
             columns = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns], ["doc_id", *rows])
 
-    return docs.mapInArrow(scanned, f"doc_id {kind}, paragraph int, family string, score double, similarity double, statement string")
+    return docs.mapInArrow(tidy(scanned), f"doc_id {kind}, paragraph int, family string, score double, similarity double, statement string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinara.llm.common import shared, texts_of
+from affinara.llm.common import shared, small_batches, texts_of, tidy
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -154,7 +154,7 @@ def fit(pages: DataFrame, key: str = "page_id", page: str = "html", most_pages:
                 total.update(counts(text))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], ["token", "inside", "n"])
 
-    found = rows.select("page").mapInArrow(counted, "token string, inside boolean, n long")
+    found = rows.select("page").mapInArrow(tidy(counted), "token string, inside boolean, n long")
     found = found.groupBy("token").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
     found = found.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(5000).collect()
     weights = {}
@@ -170,6 +170,7 @@ def fit(pages: DataFrame, key: str = "page_id", page: str = "html", most_pages:
 
 def main_text(pages: DataFrame, weights: dict[str, float], page: str = "html", name: str = "text") -> DataFrame:
     """Add the main text of every page. One pass, no shuffle."""
+    small_batches(pages.sparkSession)
     load = shared(pages.sparkSession, weights)
     pages = pages.drop(name)
     schema = pages.withColumn(name, F.lit("")).schema
@@ -178,4 +179,4 @@ def main_text(pages: DataFrame, weights: dict[str, float], page: str = "html", n
         for batch in batches:
             yield batch.append_column(name, pa.array([extract(t, load()) for t in texts_of(batch.column(page))], pa.string()))
 
-    return pages.mapInArrow(extracted, schema)
+    return pages.mapInArrow(tidy(extracted), schema)

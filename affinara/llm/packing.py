@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from affinara.llm.bpe import Encoder, Vocabulary
-from affinara.llm.common import blocks, picked, texts_of
+from affinara.llm.common import blocks, picked, small_batches, texts_of, tidy
 
 WINDOW = 2048
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 MOST_SEQUENCES = 1 << 33  # in a task; the bits above hold the task's number
 PIECES = "doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -134,6 +134,7 @@ class Tokens:
 
 def pack(df: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece of a document in a sequence of at most ``window`` tokens."""
+    small_batches(df.sparkSession)
     df = picked(df, doc_id=doc_id, text=text)
     schema = PIECES.format(kind=df.schema["doc_id"].dataType.simpleString())
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -148,11 +149,11 @@ def pack(df: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, doc_id
             part = [ids[d][s : s + n].tobytes() for d, s, n, _, _ in rows]
             total = np.array([len(x) for x in ids], np.int64)
             keys, at = block.column("doc_id"), pa.array(doc)
-            for i in range(0, len(rows), 4096):
-                cut = slice(i, i + 4096)
+            for i in range(0, len(rows), 1024):
+                cut = slice(i, i + 1024)
                 columns = [pa.array(x[cut]) for x in (start, length, total[doc], sequence + place, offset)]
                 named = pa.table([keys.take(at[cut]), *columns, pa.array(part[cut], pa.binary())], names)
                 yield from named.combine_chunks().to_batches()
             sequence += int(place.max()) + 1
 
-    return df.mapInArrow(packed, schema)
+    return df.mapInArrow(tidy(packed), schema)

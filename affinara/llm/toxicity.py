@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinara.llm.common import shared, texts_of
+from affinara.llm.common import shared, small_batches, texts_of, tidy
 from affinara.shipping import written
 
 # fixed values: words of the second person
@@ -45,6 +45,7 @@ EDGE = "\"'`.,;:!?()[]{}<>«»“”„…-–—¡¿"
 PREFIXES = (4, 5, 6)
 NEAR = 4
 FEATURES = 16
+KEPT_WORDS = 100_000  # that a task remembers the reading of
 
 
 def normal_form(word: str) -> tuple[str, bool]:
@@ -118,6 +119,7 @@ def features(text: str, lexicon: Lexicon, known: dict[str, tuple[float, bool, bo
 
 def featured(df: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "features") -> DataFrame:
     """Add the dense feature array of every whole text."""
+    small_batches(df.sparkSession)
     load = shared(df.sparkSession, lexicon)
     schema = df.withColumn(name, F.array(F.lit(0.0))).schema
 
@@ -126,12 +128,12 @@ def featured(df: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "f
         for batch in batches:
             rows = []
             for t in texts_of(batch.column(text)):
-                if len(known) > 500_000:
+                if len(known) > KEPT_WORDS:
                     known.clear()
                 rows.append(features(t, load(), known))
             yield batch.append_column(name, pa.array(rows, pa.list_(pa.float64())))
 
-    return df.mapInArrow(made, schema)
+    return df.mapInArrow(tidy(made), schema)
 
 
 def lexicon_of(sample: DataFrame, least: int = 3, most_terms: int = 5000) -> Lexicon:
@@ -150,7 +152,7 @@ def lexicon_of(sample: DataFrame, least: int = 3, most_terms: int = 5000) -> Lex
 
     sizes = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     t, c = (sizes["t"] or 0) + 1.0, sizes["n"] - (sizes["t"] or 0) + 1.0
-    counts = sample.select("text", "toxic").mapInArrow(counted, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.select("text", "toxic").mapInArrow(tidy(counted), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / t) - F.log((F.col("c") + 0.5) / c)
     # how surely the odds are above even, in standard deviations
     sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
