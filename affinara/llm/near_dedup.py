@@ -146,7 +146,7 @@ class Sampler:
         if not len(some):
             return out
         start = (np.cumsum(s.sizes) - s.sizes)[some]
-        name = s.hash & np.uint64(0xFFFFFFFF)
+        name = mixed(s.hash.copy()) & np.uint64(0xFFFFFFFF)  # that of t = 0: one name whatever the weight
         other = np.flatnonzero(weight != 1)
         log_w, own = np.log(weight[other]), s.hash[other]
         for i, odd in enumerate(self.odd):

@@ -103,6 +103,21 @@ def test_shares_of_equal_samples_follow_weighted_similarity():
         assert abs((samples[0] == samples[other]).mean() - true) < 0.05
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_shares_of_equal_samples_hold_for_shingles_repeated_in_one_text(times):
+    import pyarrow as pa
+
+    base = words(random.Random(6), 304)  # 300 shingles
+    passage = base[:64]  # 60 of them once more a time
+    texts = pa.array([" ".join(base), " ".join(base + passage * (times - 1))])
+    weights = near_dedup.Weights(1000, np.zeros(0, np.int64), np.zeros(0))
+    sampler = near_dedup.Sampler(weights)
+    sampler.odd = np.random.default_rng(1).integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    samples = sampler.samples(near_dedup.Shingles(texts))
+    true = near_dedup.similarity(texts.slice(0, 1), texts.slice(1, 1), weights)[0]
+    assert abs((samples[0] == samples[1]).mean() - true) < 0.05
+
+
 def removed(docs, length=50):
     """Byte mask of every document by comparing all strings."""
     seen, out = {}, {}
