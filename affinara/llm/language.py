@@ -138,6 +138,17 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def lettered(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text holds a letter; needs no model."""
+    small_batches(df.sparkSession)
+
+    def kept(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(map(has_letter, texts_of(batch.column(text))), pa.bool_()))
+
+    return df.mapInArrow(tidy(kept), df.schema)
+
+
 def fit(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 240, landmarks: int = 24, letters: int = 120, longest: int = 200_000, ridge: float = 0.1
 ) -> Model | None:

@@ -19,14 +19,20 @@ REJECTED_FROM = 0.7
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told: null texts and texts without a letter."""
-    found = language.identify(docs, language.fit(docs))
+    """Rejects null texts and texts without a letter, and nothing else, whether or not a model can be fitted."""
+    model = language.fit(docs)
+    if model is None:  # no labelled row: every text would be unknown
+        return language.lettered(docs).select(docs.columns)
+    found = language.identify(docs, model)
     return found.where(found["lang_pred"] != language.UNKNOWN).select(docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose calibrated toxicity is 0.7 or more."""
-    scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    """Rejects documents whose calibrated toxicity is 0.7 or more; none where the labels are of one class."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    if model.trees is None:  # a constant score tells nothing of a document
+        return docs
+    scored = model.score(docs)
     return scored.where(scored["score"] < REJECTED_FROM).select(docs.columns)
 
 

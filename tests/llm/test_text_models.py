@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from affinara.llm import bpe, language, licences, main_text, packing, queries, toxicity
 from affinara.llm.common import is_held_out, table
 
@@ -118,6 +119,16 @@ def test_language_cases(spark):
     assert language.identify(new.where("false"), model).count() == 0
 
 
+def test_pipeline_filters_without_a_model_keep_the_corpus(spark, tmp_path):
+    texts = ["a quiet day by the lake", "the house and the tree", None, "", "12 !?", "日本"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [0, 1, 5]
+    for toxic in (0, 1):
+        sf_dir = str(tmp_path / str(toxic))
+        spark.createDataFrame([(0, toxic), (1, toxic)], "doc_id long, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+        assert corpus_pipeline.reject_toxic(spark, docs, sf_dir).count() == len(texts)
+
+
 def test_kernel_is_the_normalized_count_of_common_ngrams():
     texts = ["ab ba", "abba", "xyz"]
     model = language.solve(texts, ["p", "p", "q"], 3, 50, 0.1)
