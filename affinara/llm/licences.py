@@ -1,15 +1,23 @@
 """Licence statements in documents: a paragraph classifier confirmed by template comparison.
 
 A sparse multinomial logistic regression over word unigrams and bigrams assigns a
-paragraph (a line of a document) to a licence family or to ``unknown``. It is
+line, or a run of words of a paragraph, to a licence family or to ``unknown``. It is
 trained on the driver from the families' templates, varied, and from a bounded
 sample of the corpus' own paragraphs as ``unknown``; a temperature fitted on held
 out examples calibrates its chances. A predicted family holds only if the
-paragraph shares enough word pairs with one of the family's templates.
+text shares enough word pairs with one of the family's templates.
 
-Scoring reads every paragraph of every whole text in one pass. A paragraph
-without a single word pair of the templates has no evidence for any family; it is
-unknown without further work.
+Scoring reads every whole text in one pass. Lines come first, each by itself. Then
+the lines between two blank ones are joined to a paragraph, and the runs of words
+in it that hold enough of a template's word pairs are judged, the fullest first:
+so notices wrapped over lines, behind comment marks or inside other text are found.
+A run is at most ``STRETCH`` times as long as its template; what a line or a fuller
+run has reported is not reported again. A title ("MIT License") counts only as a
+whole line. A line or paragraph without a single word pair of the templates has no
+evidence for any family; it is unknown without further work.
+
+``paragraph`` is the number of the (first) line, ``statement`` the line, or the
+text from the first to the last word of the run.
 
 Cases: null and empty texts have no paragraph. Repeated rows give repeated
 results. Ties between families go to the first in the alphabet.
@@ -18,6 +26,7 @@ results. Ties between families go to the first in the alphabet.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,9 +67,43 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright (c) 2020. All rights reserved.", "This document is proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
     "public-domain": ["This work has been dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain."],
 }
+# bodies of licence texts, known as word pairs; the classifier learns from them too
+BODIES = {
+    "apache-2.0": [
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "bsd": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "gpl": [
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "mit": [
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "mpl-2.0": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "public-domain": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
+# whole lines only: in other text a licence's name states nothing
+TITLES = {
+    "apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The BSD License"],
+    "gpl": ["GNU General Public License", "GNU General Public License, Version 2", "GNU General Public License, Version 3", "GNU GPL"],
+    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "mpl-2.0": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License Version 2.0"],
+}
 UNKNOWN = "unknown"
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 LEAST_SHARED = 0.6
+STRETCH = 1.25  # of a run of words, by the words of its template
+
+
+def templates(family: str) -> list[str]:
+    return TEMPLATES[family] + BODIES.get(family, [])
 
 
 def grams(text: str) -> list[str]:
@@ -90,11 +133,14 @@ class Model:
         known, missing = self.row(text)
         return self.weight[known].sum(0) / np.sqrt(max(len(known), 1)) + missing * self.weight[-2] + self.weight[-1]
 
-    def predict(self, text: str) -> tuple[str, float, float]:
-        """Family, its chance, and the share of word pairs in common with its closest template."""
+    def chances(self, text: str) -> np.ndarray:
         z = self.logits(text) / self.temperature
         chance = np.exp(z - z.max())
-        chance /= chance.sum()
+        return chance / chance.sum()
+
+    def predict(self, text: str) -> tuple[str, float, float]:
+        """Family, its chance, and the share of word pairs in common with its closest template."""
+        chance = self.chances(text)
         best = int(chance.argmax())
         if best == len(self.families):
             return UNKNOWN, float(chance[best]), 0.0
@@ -106,11 +152,11 @@ def fit(unknown: list[str], seed: int = 9, varied: int = 60, steps: int = 300, r
     """Train on varied templates and on paragraphs that name no licence."""
     random = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
-    column = {g: i for i, g in enumerate(sorted({g for f in families for t in TEMPLATES[f] for g in grams(t)}))}
-    model = Model(families, column, np.zeros((len(column) + 2, len(families) + 1)), 1.0, [[pairs(t) for t in TEMPLATES[f]] for f in families])
+    column = {g: i for i, g in enumerate(sorted({g for f in families for t in templates(f) for g in grams(t)}))}
+    model = Model(families, column, np.zeros((len(column) + 2, len(families) + 1)), 1.0, [[pairs(t) for t in templates(f)] for f in families])
     texts, labels = [], []
     for i, family in enumerate(families):
-        for template in TEMPLATES[family]:
+        for template in templates(family):
             words = template.split()
             for n in range(varied):
                 kept = [w for w in words if random.random() > 0.1] if n and len(words) > 6 else list(words)
@@ -152,7 +198,7 @@ def fit(unknown: list[str], seed: int = 9, varied: int = 60, steps: int = 300, r
 
 def sample_paragraphs(docs: DataFrame, most: int = 1500, longest: int = 2000) -> list[str]:
     """Last paragraphs of a bounded sample of rows, drawn by a hash, that hold no template's word pairs."""
-    known = [pairs(t) for f in TEMPLATES.values() for t in f]
+    known = [pairs(t) for f in TEMPLATES for t in templates(f)]
     total = docs.count()
     rate = min(1.0, 2 * most / max(total, 1))
     rows = docs.where(F.col("text").isNotNull() & (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= int(rate * ((1 << 63) - 1024))))
@@ -160,6 +206,109 @@ def sample_paragraphs(docs: DataFrame, most: int = 1500, longest: int = 2000) ->
     return sorted(r["p"] for r in first if r["p"] and not any(len(pairs(r["p"]) & t) >= LEAST_SHARED * len(t) for t in known))[:most]
 
 
+class Runs:
+    """Finds runs of words that hold at least ``LEAST_SHARED`` of a template's distinct word pairs."""
+
+    def __init__(self):
+        self.sizes: list[tuple[int, int]] = []  # pairs a template has, words a run of it may have
+        self.holders: dict[str, dict[str, list[int]]] = {}  # first word, second word: the templates
+        for text in (t for f in sorted(TEMPLATES) for t in templates(f)):
+            own = pairs(text)
+            for pair in own:
+                a, b = pair.split(" ")
+                self.holders.setdefault(a, {}).setdefault(b, []).append(len(self.sizes))
+            self.sizes.append((len(own), int(STRETCH * len(WORD.findall(text.lower()))) + 1))
+
+    def hits(self, words: list[str]) -> list[tuple[int, list[int]]]:
+        """Positions of word pairs that templates hold, and which."""
+        get = self.holders.get
+        return [(i, held) for i, a in enumerate(words[:-1]) if (after := get(a)) and (held := after.get(words[i + 1]))]
+
+    def of(self, words: list[str], hits: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+        """First and last word of every such run, the fullest first; a run starts and ends with a pair of the template."""
+        by_template: dict[int, list[int]] = {}
+        for i, held in hits:
+            for t in held:
+                by_template.setdefault(t, []).append(i)
+        found = []
+        for t, at in by_template.items():
+            size, longest = self.sizes[t]
+            if len(at) < LEAST_SHARED * size:
+                continue
+            counts: dict[tuple[str, str], int] = {}
+            left = 0
+            for i in at:
+                pair = words[i], words[i + 1]
+                counts[pair] = counts.get(pair, 0) + 1
+                # too long, or the first pair comes again later
+                while i + 2 - at[left] > longest or counts[words[at[left]], words[at[left] + 1]] > 1:
+                    first = words[at[left]], words[at[left] + 1]
+                    counts[first] -= 1
+                    if not counts[first]:
+                        del counts[first]
+                    left += 1
+                if len(counts) >= LEAST_SHARED * size:
+                    found.append((-len(counts) / size, -len(counts), at[left], i + 1))
+        return [(a, b) for _, _, a, b in sorted(found)]
+
+
+def statements(whole: str, model: Model, runs: Runs, titles: dict[tuple[str, ...], str]):
+    """Line number, family, score, similarity and statement of all finds in a text, in order."""
+    lines = whole.split("\n")
+    words_of = [WORD.findall(line.lower()) for line in lines]
+    out = []
+
+    def spot(n: int, k: int) -> tuple[int, int]:
+        """Where the word k of line n stands in it."""
+        spans = [m.span() for m in WORD.finditer(lines[n])]
+        # lower case splits a few words
+        return spans[k] if len(spans) == len(words_of[n]) else (0, len(lines[n]))
+
+    def paragraph(begin: int, end: int):
+        words = [w for n in range(begin, end) for w in words_of[n]]
+        named = [n for n in range(begin, end) if tuple(words_of[n]) in titles]
+        hits = runs.hits(words)
+        if not hits and not named:
+            return
+        starts = [0]
+        for n in range(begin, end):
+            starts.append(starts[-1] + len(words_of[n]))
+        taken = bytearray(len(words))
+        at = [i for i, _ in hits]
+        for n in range(begin, end):
+            lo, hi = starts[n - begin], starts[n - begin + 1]
+            first = bisect_left(at, lo)
+            if first == len(at) or at[first] + 1 >= hi:  # no pair inside the line
+                continue
+            family, score, similarity = model.predict(lines[n])
+            if family != UNKNOWN and similarity >= LEAST_SHARED:
+                out.append((n, family, score, similarity, lines[n]))
+                taken[lo:hi] = b"\1" * (hi - lo)
+        for a, b in runs.of(words, hits):
+            if any(taken[a : b + 1]):
+                continue
+            family, score, similarity = model.predict(" ".join(words[a : b + 1]))
+            if family == UNKNOWN or similarity < LEAST_SHARED:
+                continue
+            taken[a : b + 1] = b"\1" * (b + 1 - a)
+            i, j = bisect_right(starts, a) - 1, bisect_right(starts, b) - 1
+            text = "\n".join(lines[begin + i : begin + j + 1])
+            left, right = spot(begin + i, a - starts[i])[0], len(lines[begin + j]) - spot(begin + j, b - starts[j])[1]
+            out.append((begin + i, family, score, similarity, text[left : len(text) - right]))
+        for n in named:
+            if not any(taken[starts[n - begin] : starts[n - begin + 1]]):
+                family = titles[tuple(words_of[n])]
+                out.append((n, family, float(model.chances(lines[n])[model.families.index(family)]), 1.0, lines[n]))
+
+    begin = 0
+    for n in range(len(lines) + 1):
+        if n == len(lines) or not words_of[n]:
+            if n > begin:
+                paragraph(begin, n)
+            begin = n + 1
+    return sorted(out, key=lambda r: r[0])
+
+
 def scan(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each paragraph that names a licence: doc_id, paragraph, family, score, similarity, statement."""
     docs = picked(df, doc_id=doc_id, text=text)
@@ -169,19 +318,13 @@ def scan(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text"
 
     def scanned(batches):
         model = load()
-        heads = {g.split(" ")[0] for g in model.column if " " in g}
-        known = {g for g in model.column if " " in g}
+        runs, titles = Runs(), {tuple(WORD.findall(t.lower())): f for f, names in TITLES.items() for t in names}
         for batch in batches:
             rows = {"at": [], "paragraph": [], "family": [], "score": [], "similarity": [], "statement": []}
             for i, whole in enumerate(texts_of(batch.column("text"))):
-                for n, line in enumerate(whole.split("\n")):
-                    words = WORD.findall(line.lower())
-                    if not any(a in heads and f"{a} {b}" in known for a, b in zip(words, words[1:], strict=False)):
-                        continue
-                    family, score, similarity = model.predict(line)
-                    if family != UNKNOWN and similarity >= LEAST_SHARED:
-                        for key, value in zip(rows, (i, n, family, score, similarity, line), strict=True):
-                            rows[key].append(value)
+                for found in statements(whole, model, runs, titles):
+                    for key, value in zip(rows, (i, *found), strict=True):
+                        rows[key].append(value)
             at = rows.pop("at")
             kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string())
             columns = [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]

@@ -238,6 +238,52 @@ def test_licence_cases(spark):
     assert licences.scan(df.where("false"), model).count() == 0
 
 
+NOTICES = {"mit": licences.TEMPLATES["mit"][0], "bsd": licences.TEMPLATES["bsd"][0], "gpl": licences.TEMPLATES["gpl"][0], "apache-2.0": licences.TEMPLATES["apache-2.0"][0]}
+
+
+def plain_runs(text):
+    """Whether any run of words of any paragraph holds enough of a template's word pairs, by comparing all runs."""
+    for block in text.split("\n\n"):
+        own = licences.WORD.findall(block.lower())
+        for template in (t for f in licences.TEMPLATES for t in licences.templates(f)):
+            wanted, longest = licences.pairs(template), int(licences.STRETCH * len(licences.WORD.findall(template.lower()))) + 1
+            for i in range(len(own)):
+                run = own[i : i + longest]
+                if len(wanted & {f"{a} {b}" for a, b in zip(run, run[1:], strict=False)}) >= licences.LEAST_SHARED * len(wanted):
+                    return True
+    return False
+
+
+def test_wrapped_and_embedded_notices(spark):
+    import textwrap
+
+    r = random.Random(8)
+    prose = ["the cat sat on the mat in the sun", "terms of the public were free to use", "a copy of the file is in the source", "this work is for any person"]
+    texts, wanted = [], []
+    for family, notice in NOTICES.items():
+        for width in (40, 72):
+            for mark in ("", "# ", " * "):
+                lines = [mark + x for x in textwrap.wrap(notice, width)]
+                texts += ["\n".join([mark + "Some file", mark.rstrip(), *lines, "", r.choice(prose)]), "\n".join([r.choice(prose), *lines, r.choice(prose)])]
+                wanted += [family] * 2
+        texts.append(" ".join([*r.choices(prose, k=12), notice, *r.choices(prose, k=12)]))
+        wanted.append(family)
+    texts += ["MIT License\n\nCopyright (c) 2020 A B", "we chose the\nMIT license\nfor reasons", "the MIT License is short"]
+    wanted += ["mit", "mit", None]
+    texts += ["\n".join(r.choices(prose, k=8)) for _ in range(20)]
+    wanted += [None] * 20
+    model = licences.fit(prose * 20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for row in licences.scan(df, model).collect():
+        assert row["statement"] in texts[row["doc_id"]]
+        got.setdefault(row["doc_id"], set()).add(row["family"])
+    for i, (text, family) in enumerate(zip(texts, wanted, strict=True)):
+        assert got.get(i, set()) == ({family} if family else set()), text
+        title = any(line.lower() == "mit license" for line in text.split("\n"))
+        assert (i in got) == (title or plain_runs(text)), text
+
+
 def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "doc_id long").select("doc_id", is_held_out("doc_id").alias("h"))
     for row in df.collect():
