@@ -105,7 +105,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op5_main_text, op6_near_dedup, op7_language, op8_licences, op9_bpe, op10_suffix_dedup)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinara.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op5_main_text, op6_near_dedup, op7_language, op8_licences, op9_bpe, op10_suffix_dedup, op11_lexical)}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH v AS (
@@ -124,4 +130,39 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_lexical": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS place, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), total AS (
+            SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms
+            FROM d WHERE len(terms) > 0
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(
+                             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY ALL
+        ), tf AS (
+            SELECT place, doc_id, n, term, count(*) AS tf
+            FROM (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+            WHERE term IN (SELECT term FROM asked)
+            GROUP BY ALL
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, total GROUP BY term, n_docs
+        ), s AS (
+            SELECT item_id, place, doc_id,
+                   CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM asked JOIN tf USING (term) JOIN w USING (term), total
+            GROUP BY ALL
+        ), r AS (
+            SELECT item_id, doc_id, score,
+                   CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+            FROM s WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
