@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from affinara.llm.common import is_held_out, picked, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,13 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op5_main_text, op6_near_dedup, op7_language, op8_licences, op9_bpe, op10_suffix_dedup, op11_lexical)}
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinara.llm import token_store
+
+    return token_store.stored_directory(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op5_main_text, op6_near_dedup, op7_language, op8_licences, op9_bpe, op10_suffix_dedup, op11_lexical, op12_token_store)}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH v AS (
