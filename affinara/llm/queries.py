@@ -117,7 +117,14 @@ def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_directory(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op5_main_text, op6_near_dedup, op7_language, op8_licences, op9_bpe, op10_suffix_dedup, op11_lexical, op12_token_store)}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinara.llm import repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair.summaries(repair.damaged(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_nn_descent, op4_top_k, op5_main_text, op6_near_dedup, op7_language, op8_licences, op9_bpe, op10_suffix_dedup, op11_lexical, op12_token_store, op13_repair)}
 SQL: dict[str, str] = {
     "op4_top_k": """
         WITH v AS (
@@ -171,4 +178,95 @@ SQL: dict[str, str] = {
         )
         SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
     """,
+    "op13_repair": r"""
+        WITH RECURSIVE source AS (
+            SELECT row_number() OVER () AS place, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+            FROM conversations
+        ), hashed AS (
+            SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                          lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                              lambda v, bit: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END),
+                          CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind
+            FROM source
+        ), damaged AS (
+            SELECT place, conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM hashed WHERE kind <> 0
+        ), numbered AS (
+            SELECT conv_id, turn, role, text, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), place, copy) - 1 AS i,
+                   count(*) OVER (PARTITION BY conv_id) AS n
+            FROM damaged
+        ), met AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                   left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous
+            FROM numbered
+        ), faulty AS (
+            SELECT *, final = '' AS is_blank, final <> '' AND again AS is_duplicate,
+                   final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS is_truncated
+            FROM met
+        ), priced AS (
+            SELECT *, CASE WHEN is_blank OR is_duplicate THEN 1000000000 WHEN is_truncated THEN 5 ELSE 0 END AS stay
+            FROM faulty
+        ), back AS (
+            SELECT conv_id, n AS i, CAST(0 AS BIGINT) AS v0, CAST(10 AS BIGINT) AS v1, CAST(5 AS BIGINT) AS v2, CAST(0 AS BIGINT) AS v3
+            FROM priced WHERE i = 0
+            UNION ALL
+            SELECT conv_id, i, least(w0, least(w2, w3 + 5) + 5), least(w1, least(w2, w3 + 5) + 5), least(w2, w3 + 5), least(w3, w2 + 5)
+            FROM (
+                SELECT p.conv_id, p.i,
+                       least(v0 + 2, v2 + stay + 1, CASE initial WHEN 's' THEN v1 + stay WHEN 'u' THEN v2 + stay ELSE v0 + 2 END) AS w0,
+                       least(v1 + 2, v2 + stay + 1, CASE initial WHEN 'u' THEN v2 + stay ELSE v1 + 2 END) AS w1,
+                       least(v2 + 2, v3 + stay + 1, CASE initial WHEN 'a' THEN v3 + stay ELSE v2 + 2 END) AS w2,
+                       least(v3 + 2, v2 + stay + 1, CASE initial WHEN 'u' THEN v2 + stay ELSE v3 + 2 END) AS w3
+                FROM back JOIN priced AS p ON p.conv_id IS NOT DISTINCT FROM back.conv_id AND p.i = back.i - 1
+            )
+        ), vectors AS (
+            SELECT b.conv_id, b.i, [v0, v1, v2, v3] AS v, lead([v0, v1, v2, v3]) OVER (PARTITION BY b.conv_id ORDER BY b.i) AS w,
+                   p.role, p.text, p.initial, p.stay
+            FROM back AS b LEFT JOIN priced AS p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.i = b.i
+        ), ahead AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines, FALSE AS ended
+            FROM priced WHERE i = 0
+            UNION ALL
+            SELECT conv_id, i + CASE WHEN letter IN ('I', '') THEN 0 ELSE 1 END,
+                   CASE WHEN letter = 'D' OR letter = '' THEN q
+                        WHEN letter = 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+                        ELSE CASE q WHEN 2 THEN 3 ELSE 2 END END,
+                   audit || letter,
+                   CASE letter WHEN 'I' THEN list_append(lines, CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END)
+                               WHEN 'K' THEN list_append(lines, role || ':' || text)
+                               WHEN 'R' THEN list_append(lines, CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text)
+                               ELSE lines END,
+                   letter = ''
+            FROM (
+                SELECT a.*, t.role, t.text, t.initial,
+                       CASE WHEN t.w IS NOT NULL AND t.v[q + 1] = t.w[q + 1] + 2 THEN 'D'
+                            WHEN t.v[q + 1] = t.v[CASE q WHEN 2 THEN 4 ELSE 3 END] + 5 THEN 'I'
+                            WHEN t.w IS NULL THEN ''
+                            WHEN (initial = 's' AND q = 0 AND t.v[1] = t.w[2] + stay)
+                              OR (initial = 'u' AND q <> 2 AND t.v[q + 1] = t.w[3] + stay)
+                              OR (initial = 'a' AND q = 2 AND t.v[3] = t.w[4] + stay) THEN 'K'
+                            ELSE 'R' END AS letter
+                FROM ahead AS a JOIN vectors AS t ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.i = a.i
+                WHERE NOT a.ended
+            )
+        ), counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_duplicate) AS duplicate,
+                   count(*) FILTER (is_truncated) AS truncated,
+                   count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM priced GROUP BY conv_id
+        )
+        SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+               CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v[1], 0) AS BIGINT) AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+        LEFT JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM o.conv_id AND c.blank IS NOT NULL
+        LEFT JOIN (SELECT * FROM vectors WHERE i = 0) AS t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN (SELECT * FROM ahead WHERE ended) AS a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
