@@ -10,14 +10,14 @@ anchors, so only strings at anchors that occur more than once can repeat.
 0. A text that equals the text of a smaller id loses all (if it is long enough) and
    teaches nothing that the other does not: such copies are known by digest and
    take no part below.
-1. Documents are dealt into chunks by a hash of id and text. Every chunk sends the
+1. Documents are dealt into chunks by a hash of id and text; those without an id pass by. Every chunk sends the
    hashes of its anchors once each; those met twice are sent back.
 2. For such anchors a chunk sends the bytes around it once, however many of its
    documents hold them, with the least id. Splitters sampled from the anchors'
-   leading bytes range-partition them; every bucket is ordered by a multikey sort
-   (eight bytes at a time, going on only among ties), and equal strings get the
-   least id of all. A boundary always lies between two different leading keys, so
-   no two equal strings ever lie on its two sides.
+   grams of documents all over the corpus range-partition them; every bucket is
+   ordered by a multikey sort (eight bytes at a time, going on only among ties), and
+   equal strings get the least id of all. A boundary always lies between two
+   different grams, so no two equal strings ever lie on its two sides.
 3. The least ids go back to the chunks, which cut their texts.
 
 A frequent passage therefore costs a row per chunk, not per document, and no list
@@ -26,7 +26,8 @@ read that same exchange.
 
 Cases: a null text is an empty text; a text shorter than LENGTH loses nothing. A
 document with a null id loses nothing and takes nothing. Documents with equal ids
-take nothing from each other. Rows stay as they are otherwise, with all columns.
+take nothing from each other. Ids must be whole numbers (or text of one): any other
+id is an error. Rows stay as they are otherwise, with all columns.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ GRAM = 16
 STRIP = 1 << 20
 POSITION_BITS = 21
 CHUNK_ROWS = 1024
+CHUNK_BYTES = 6 << 20  # on average; a chunk is held in memory
 SAMPLES = 64  # splitter candidates for a bucket
+OF_ONE = 8  # of these from one document at most
 BATCH = 40_000  # rows sorted at a time, and those that share the last one's leading bytes
 RECORD = "bucket int, body binary, ahead int, least long, most long, chunk long, place int"
 WORDS = 12  # 64-bit letters of a record: 88 bytes, and its lengths
@@ -127,11 +130,6 @@ def _isin(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
-def lead_of(body: bytes, ahead: int) -> int:
-    """The first eight bytes of an anchor as a number in byte order, shifted into the range of a long."""
-    return int.from_bytes(body[ahead : ahead + 8], "big") - (1 << 63)
-
-
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of 64-bit letters, and the number of each ordered row's run of equal rows.
 
@@ -239,24 +237,30 @@ def _met_twice(batches):
 
 def _cut(batches, rows: int):
     """Tables of at least this many rows, in the order of ``lead`` and cut only where it changes."""
-    held = None
+    held, size, last = [], 0, b""
     for batch in batches:
-        new = pa.Table.from_batches([batch])
-        held = new if held is None else pa.concat_tables([held, new])
-        if len(held) < rows:
+        if not len(batch):
             continue
-        lead = np.frombuffer(b"".join(held.column("lead").to_pylist()), np.uint64)
-        change = np.flatnonzero(lead[1:] != lead[:-1])
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield held.slice(0, cut).combine_chunks()
-            held = held.slice(cut)
-    if held is not None and len(held):
-        yield held.combine_chunks()
+        if size >= rows:
+            lead = np.array([last, *batch.column("lead").to_pylist()], f"S{GRAM}")
+            change = np.flatnonzero(lead[1:] != lead[:-1])
+            if len(change):
+                cut = int(change[-1])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size, last = size + len(batch), batch.column("lead")[len(batch) - 1].as_py()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All rows and columns of ``df`` and ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (the bytes left)."""
+    return _removed(df, doc_id, text, chunk_rows, as_text=False)
+
+
+def _removed(df: DataFrame, doc_id: str, text: str, chunk_rows: int, as_text: bool) -> DataFrame:
+    """``remove_repeats``, or with ``as_text`` the rows of ``df`` with the rest of their text."""
     small_batches(df.sparkSession)
     names = df.columns
     inner = [f"_c{i}" for i in range(len(names))]
@@ -265,7 +269,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     if rows.schema[key].dataType != T.LongType():
         rows = rows.withColumn("_key", F.col(key).cast("long"))
         key = "_key"
-    chunks = max(1, -(-df.count() // chunk_rows))
+    without_id = rows.where(F.col(key).isNull())
+    rows = rows.where(F.col(key).isNotNull())
+    total = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("bytes")).head()
+    chunks = max(1, -(-total["rows"] // chunk_rows), -(-total["bytes"] // CHUNK_BYTES))
     rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(key, body, F.lit(11)), F.lit(chunks)))
     wide, number = rows.schema, partitions(df)
 
@@ -298,14 +305,17 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
 
     def leads(batches):
         for batch in batches:
-            chunk = Chunk(pa.Table.from_batches([batch]), key, body)
-            at, lo, hi, _ = chunk.anchors()
-            found = [lead_of(b, a) for a, b in chunk.bodies(at, lo, hi)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["lead"])
-
-    some = rows.where(F.col("_chunk") == 0).select(F.col(key), F.col(body))
-    sampled = some.mapInArrow(tidy(leads), "lead long").orderBy(F.xxhash64("lead")).limit(SAMPLES * number).collect()
-    lead = np.sort(np.array([r["lead"] for r in sampled], np.int64))
+            for i in range(len(batch)):
+                chunk = Chunk(pa.Table.from_batches([batch.slice(i, 1)]), key, body)
+                at, _, _, gram = chunk.anchors()
+                found = [chunk.bytes[a : a + GRAM] for a in at[np.argsort(gram)[:OF_ONE]].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["lead"])
+
+    # documents from all over the corpus, by hash: about twice as many as the splitters need
+    every = max(1, total["rows"] // max(1024, 2 * SAMPLES * number // OF_ONE))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(every)) == 0).select(F.col(key), F.col(body))
+    sampled = some.mapInArrow(tidy(leads), "lead binary").orderBy(F.xxhash64("lead")).limit(SAMPLES * number).collect()
+    lead = np.sort(np.array([bytes(r["lead"]) for r in sampled], f"S{GRAM}"))
     splitters = lead[(np.arange(1, number) * len(lead)) // number] if len(lead) else lead
 
     def records(table: pa.Table, shared: pa.Table) -> pa.Table:
@@ -327,7 +337,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
                     out[record] = [doc, doc, place]
                 else:
                     held[1] = doc  # ids ascend
-        lead = np.array([lead_of(b, a) for a, b in out], np.int64)
+        lead = np.array([b[a : a + GRAM] for a, b in out], f"S{GRAM}")
         values = list(out.values())
         number_of = table.column("_chunk")[0].as_py() if len(table) else 0
         return pa.table(
@@ -351,11 +361,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
 
     shared = twice.withColumn("copy", F.lit(None).cast("long")).unionByName(copies.withColumn("gram", F.lit(None).cast("long")))
     found = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(records, RECORD)
-    found = found.repartitionById(number, F.col("bucket")).withColumn("lead", F.expr("substring(body, ahead + 1, 8)")).sortWithinPartitions("lead")
+    found = found.repartitionById(number, F.col("bucket")).withColumn("lead", F.expr(f"substring(body, ahead + 1, {GRAM})")).sortWithinPartitions("lead")
     lowest = found.mapInArrow(tidy(ordered), "chunk long, place int, first int, last int, least long")
-    result = T.StructType(
-        [*wide.fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())]
-    )
+    added = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())]
+    result = T.StructType([*wide.fields, *([] if as_text else added)])
 
     def cut(table: pa.Table, least: pa.Table) -> pa.Table:
         chunk = Chunk(table, key, body, copied(least))
@@ -395,10 +404,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
         spans, kept = [], []
         a, b = np.searchsorted(begin, chunk.starts), np.searchsorted(begin, chunk.ends)
         for i, (start, end) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)):
-            spans.append([[int(x) - start, int(y) - start] for x, y in zip(begin[a[i] : b[i]], stop[a[i] : b[i]], strict=True)])
-            kept.append(data[start:end][~gone[start:end]].tobytes() if spans[-1] else chunk.bytes[start:end])
+            if not as_text:
+                spans.append([[int(x) - start, int(y) - start] for x, y in zip(begin[a[i] : b[i]], stop[a[i] : b[i]], strict=True)])
+            kept.append(data[start:end][~gone[start:end]].tobytes() if a[i] < b[i] else chunk.bytes[start:end])
+        text_at = table.schema.get_field_index(body)
         out = table.take(pa.array(chunk.order))
-        text_at = out.schema.get_field_index(body)
+        if as_text:
+            there = out.column(body).is_valid().to_pylist()
+            text = [k.decode("utf-8", "ignore") if t else None for k, t in zip(kept, there, strict=True)]
+            return out.set_column(text_at, body, pa.array(text, pa.string()))
         out = out.set_column(text_at, body, pa.array(unpacked(out.column(body)), pa.binary()).cast(pa.string()))
         out = out.append_column("n_bytes", pa.array(chunk.ends - chunk.starts))
         out = out.append_column("spans", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
@@ -406,24 +420,18 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
 
     back = lowest.withColumn("copy", F.lit(None).cast("long")).unionByName(copies, allowMissingColumns=True)
     done = by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(cut, result)
-    return done.select(*(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)), "n_bytes", "spans", "kept")
+    outer = [F.col(i).alias(n) for i, n in zip(inner, names, strict=True)]
+    if as_text:
+        return done.select(outer).union(without_id.select(outer))
+    whole = F.coalesce(F.col(body), F.lit("")).cast("binary")
+    spans = F.array().cast("array<array<bigint>>")
+    passed = without_id.select(*outer, F.length(whole).cast("long").alias("n_bytes"), spans.alias("spans"), whole.alias("kept"))
+    return done.select(*outer, "n_bytes", "spans", "kept").union(passed)
 
 
-def cut_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def cut_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The rows of ``df`` with repeated strings cut from their texts; a character that lost some of its bytes goes whole.
 
     A null text stays null, a text of which nothing is left becomes empty.
     """
-    names = df.columns
-    inner = [f"_t{i}" for i in range(len(names))]
-    body = inner[names.index(text)]
-    rows = remove_repeats(df.toDF(*inner), inner[names.index(doc_id)], body, **options).select(*inner, "kept")
-
-    def readable(batches):
-        for batch in batches:
-            old = batch.column(body)
-            new = [None if not o.is_valid else k.decode("utf-8", "ignore") for o, k in zip(old, batch.column("kept").to_pylist(), strict=True)]
-            at = batch.schema.get_field_index(body)
-            yield batch.set_column(at, body, pa.array(new, pa.string())).select(inner)
-
-    return rows.mapInArrow(tidy(readable), rows.select(*inner).schema).toDF(*names)
+    return _removed(df, doc_id, text, chunk_rows, as_text=True)

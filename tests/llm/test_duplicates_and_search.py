@@ -182,6 +182,24 @@ def test_cut_texts_drop_broken_characters(spark):
     assert got == {1: text, 2: "ab", 3: None, 4: ""}
 
 
+def test_repeats_with_many_equal_rows_and_one_common_beginning(spark, monkeypatch):
+    """A third of the rows without an id, a third equal in all, a third that begin alike; chunks bounded in bytes too."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 10)
+    start = "a common beginning of sixteen bytes and much more, "
+    rows = [(None, "n" * 60)] * 60 + [(7, "same text " * 8)] * 60
+    rows += [(100 + i, start + f"{i} " * (5 + i % 40) + "e" * 70 + "long " * (3000 * (i == 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    masks = removed({i: t.encode() for i, t in rows if i is not None})
+    found = suffix_dedup.remove_repeats(df).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        mask = masks.get(row["doc_id"], bytes(len(row["text"])))
+        assert bytes(row["kept"]) == bytes(b for b, m in zip(row["text"].encode(), mask) if not m)
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in suffix_dedup.cut_texts(df).collect())
+    assert texts == sorted((str(r["doc_id"]), bytes(r["kept"]).decode()) for r in found)
+
+
 def test_multikey_order_sorts_rows():
     r = np.random.default_rng(0)
     letters = r.integers(0, 3, (500, 4)).astype(np.uint64)
