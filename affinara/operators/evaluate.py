@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinara.functions.sums import exact_mean
 from affinara.functions.text import round_half_even
 
 # The confusion matrix covers the ratings 0 to 10.
@@ -22,7 +23,7 @@ def errors(pairs: DataFrame) -> DataFrame:
     """One row: ``n``, ``mse`` and ``rmse`` over the pairs that have both values."""
     squared = F.pow(F.col("predicted") - F.col("actual"), 2)
     return pairs.agg(
-        F.count(squared).alias("n"), F.avg(squared).alias("mse"), F.sqrt(F.avg(squared)).alias("rmse")
+        F.count(squared).alias("n"), exact_mean(squared).alias("mse"), F.sqrt(exact_mean(squared)).alias("rmse")
     )
 
 
@@ -42,7 +43,7 @@ def confusion_matrix(pairs: DataFrame) -> DataFrame:
 
 def mean_seconds(timed: DataFrame) -> DataFrame:
     """One row: mean of the recorded prediction times."""
-    return timed.agg(F.avg("seconds").alias("mean_seconds"))
+    return timed.agg(exact_mean(F.col("seconds")).alias("mean_seconds"))
 
 
 def evaluate(predictions: DataFrame, actuals: DataFrame) -> tuple[DataFrame, DataFrame]:

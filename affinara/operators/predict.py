@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from affinara import kernels
 from affinara.functions.similarity import Weights, attribute_score
+from affinara.functions.sums import exact_mean, exact_sum
 from affinara.functions.text import MISSING
 from affinara.operators.neighbours import k_nearest
 from affinara.shipping import written
@@ -119,7 +120,7 @@ def attribute_predict(catalog: DataFrame, queries: DataFrame, k: int = 50, **opt
     found = attribute_neighbours(catalog, queries.dropDuplicates(["qid"]), k, **options)
     weight = F.col("votes") * F.col("score")
     means = found.groupBy("qid").agg(
-        F.try_divide(F.sum(F.col("rating") * weight), F.sum(weight)).alias("predicted")
+        F.try_divide(exact_sum(F.col("rating") * weight), exact_sum(weight)).alias("predicted")
     )
     return for_every_query(queries, means)
 
@@ -141,9 +142,9 @@ def cosine_neighbours(
 def mean_rating(k: int, denominator: str = "found") -> Column:
     """Mean over the neighbours found, or their sum over k (``denominator="k"``)."""
     if denominator == "found":
-        return F.avg("rating")
+        return exact_mean(F.col("rating"))
     if denominator == "k":
-        return F.sum("rating") / F.lit(float(k))
+        return exact_sum(F.col("rating")) / F.lit(float(k))
     raise ValueError(f"unknown denominator: {denominator}")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinara.functions.sums import exact_mean, exact_sum
 from affinara.functions.text import join_list
 from affinara.operators.features import token_counts, top_tokens
 from affinara.operators.ranking import quantiles
@@ -19,8 +20,9 @@ def column_summary(
 ) -> DataFrame:
     """Per column: ``n, mean, max, min, std, q1, q2, q3``; nulls left out.
 
-    Exact by default. With an ``accuracy`` the quartiles come from ``percentile_approx``
-    (a rank error of at most 1/accuracy), in the same single pass as the rest.
+    Exact by default, to the same bits in whatever order rows come. With an ``accuracy``
+    the quartiles come from ``percentile_approx`` (a rank error of at most 1/accuracy) and
+    the deviation from running moments, in the same single pass as the rest.
     """
     cells = catalog.select(
         F.explode(
@@ -29,16 +31,20 @@ def column_summary(
     ).select("cell.column", "cell.value")
     basics = [
         F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
+        exact_mean(F.col("value")).alias("mean"),
         F.max("value").alias("max"),
         F.min("value").alias("min"),
-        F.stddev_samp("value").alias("std"),
     ]
     shares = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     if accuracy is not None:
         near = [F.percentile_approx("value", share, accuracy).alias(name) for name, share in shares.items()]
-        return cells.groupBy("column").agg(*basics, *near)
-    basic = cells.groupBy("column").agg(*basics)
+        return cells.groupBy("column").agg(*basics, F.stddev_samp("value").alias("std"), *near)
+    # one row for each named column
+    basic = F.broadcast(cells.groupBy("column").agg(*basics))
+    squares = exact_sum(F.pow(F.col("value") - F.col("mean"), 2))
+    basic = cells.join(basic, "column").groupBy("column", "n", "mean", "max", "min").agg(squares.alias("squares"))
+    deviation = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    basic = basic.select("column", "n", "mean", "max", "min", deviation.alias("std"))
     parts = (
         quantiles(catalog, columns, list(shares.values()))
         .groupBy("column")

@@ -633,7 +633,7 @@ def title_files(spark, sf) -> dict[str, str]:
         tid, kind.alias("titleType"), F.lit("x").alias("primaryTitle"), F.col("title").alias("originalTitle"), F.col("flag").alias("isAdult"),
         F.lit(2000).alias("startYear"), none.alias("endYear"), shown("runtime").alias("runtimeMinutes"), "genres",
     )
-    titles = rows.filter((F.col("id") % 16 == 0) & F.col("kind").startswith("ECONOMY"))
+    titles = rows.filter(F.col("kind").startswith("ECONOMY"))
     parts = {
         "basics": basics,
         "crew": rows.select(tid, "directors", "writers"),
