@@ -31,6 +31,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +40,13 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from affinara.llm.bpe import byte_letters
-from affinara.llm.common import blocks, partitions, picked, segments, shared, small_batches, texts_of, tidy
+from affinara.llm.common import blocks, partitions, picked, segments, shared, small_batches, tidy
 from affinara.shipping import broadcast_if_small, scratch_path, written
 
 TEXT_BYTES = 4 << 20
-KEPT_CHUNKS = 300_000
+KEPT_PIECES = 600_000
 BLOCK_IDS = 1 << 20
-LANES = 1024
+LANES = 2048
 EVERY = 256  # steps between checkpoints
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 WORD = np.uint64(32)
@@ -219,16 +220,43 @@ def crc_joined(first: int, second: int, length: int) -> int:
 
 # ---- tokens ---------------------------------------------------------------
 
-# Within these characters Unicode composition changes nothing and small letters are one to one.
-PLAIN = regex.compile(r"[\x21-\x7eÀ-įı-ſ‐-‧]+")
+# Outside these characters Unicode composition or small letters may need the library.
+ODD = regex.compile(r"[^\x21-\x7eÀ-įı-ſ‐-‧\n]")
+
+
+class Kept:
+    """Numbers strings in the order of their first use and keeps the ids of each, end to end."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts]
+        self.ids, self.counts = np.r_[self.ids, ids], np.r_[self.counts, counts]
+
+    def numbers(self, names: list[str], fresh) -> np.ndarray:
+        """The number of each name; ``fresh`` gives (ids, counts) of the names met for the first time."""
+        found = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unknown = list(dict.fromkeys(names[i] for i in new.tolist()))
+            self.add(unknown, *fresh(unknown))
+            found[new] = [self.number[names[i]] for i in new.tolist()]
+        return found
+
+    def gathered(self, number: np.ndarray) -> np.ndarray:
+        return self.ids[segments(self.starts[number], self.counts[number])]
 
 
 class Tokens:
     """Ids of whole texts as the tokenizers library gives them, with the ids of pieces between blanks kept.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are
-    those of its pieces, end to end. A piece met for the first time goes to the
-    library; common letters are cut into words here, which go to the library's model.
+    those of its pieces, end to end. Of pieces met for the first time those of common
+    letters are cut into words here, which go to the library's model; any other piece
+    goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -243,54 +271,56 @@ class Tokens:
         if kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
             raise ValueError(f"{path}: only a tokenizer that drops white space between words is supported")
         self.special = [t["content"] for t in file["added_tokens"]]
-        self.words = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.words = regex.compile(steps[0]["pattern"]["Regex"] + "|\n").findall
         self.letter = {b: c for c, b in byte_letters().items()}
-        self.clear()
+        self.pieces, self.of_words = Kept(), Kept()
 
-    def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.of_word: dict[str, list[int]] = {}
-        self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def word(self, word: str) -> list[int]:
-        ids = self.of_word.get(word)
-        if ids is None:
+    def modelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words; a line break, which stands between pieces, has none."""
+        tokenize, out = self.tokenizer.model.tokenize, []
+        for word in words:
             letters = word if word.isascii() else "".join(map(self.letter.__getitem__, word.encode()))
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
-            self.of_word[word] = ids
-        return ids
-
-    def piece(self, piece: str) -> list[int]:
-        if PLAIN.fullmatch(piece) and not any(s in piece for s in self.special):
-            words = self.words(piece.lower())
-            return self.word(words[0]) if len(words) == 1 else [i for w in words for i in self.word(w)]
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.known) > KEPT_CHUNKS:
-            self.clear()
-        known, new, numbers = self.known, [], []
-        for text in texts:
-            pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            number = np.fromiter(map(known.get, pieces, repeat(-1)), np.int32, len(pieces))
-            for at in np.flatnonzero(number < 0).tolist():
-                piece = pieces[at]
-                found = known.get(piece)
-                if found is None:
-                    found = known[piece] = len(known)
-                    new.append(self.piece(piece))
-                number[at] = found
-            numbers.append(number)
-        if new:
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
-            self.counts = np.r_[self.counts, sizes]
-            self.ids = np.r_[self.ids, np.array([i for ids in new for i in ids], np.uint32)]
-        return [self.gathered(number) for number in numbers]
-
-    def gathered(self, number: np.ndarray) -> np.ndarray:
-        return self.ids[segments(self.starts[number], self.counts[number])]
+            out.append([] if word == "\n" else [t.id for t in tokenize(letters)])
+        return np.array([i for ids in out for i in ids], np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+
+    def coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of pieces."""
+        joined = "\n".join(pieces)
+        if ODD.search(joined) or any(s in joined for s in self.special):
+            plain = [not ODD.search(p) and not any(s in p for s in self.special) for p in pieces]
+            out = [None if ok else self.tokenizer.encode(p, add_special_tokens=False).ids for p, ok in zip(pieces, plain, strict=True)]
+            ids, counts = self.coded_plain("\n".join(p for p, ok in zip(pieces, plain, strict=True) if ok))
+            ends = np.cumsum(counts)
+            own = iter(np.split(ids, ends[:-1]) if len(counts) else [])
+            parts = [np.array(x, np.uint32) if x is not None else next(own) for x in out]
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return self.coded_plain(joined)
+
+    def coded_plain(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of pieces of common letters, one a line."""
+        words = self.words(joined.lower())
+        number = self.of_words.numbers(words, self.modelled)
+        last = np.flatnonzero(number == self.of_words.number.get("\n", -1))
+        total = np.r_[0, np.cumsum(self.of_words.counts[number])]
+        return self.of_words.gathered(number), np.diff(total[np.r_[0, last, len(number)]])
+
+    def of(self, texts) -> list[np.ndarray]:
+        """The ids of each text of an Arrow column or a list."""
+        if len(self.pieces.number) > KEPT_PIECES:
+            self.pieces, self.of_words = Kept(), Kept()
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        column = pa.compute.fill_null(column, "")
+        for blank in "\n\t\r":
+            column = pa.compute.replace_substring(column, blank, " ")
+        split = pa.compute.split_pattern(column, " ")
+        sizes = pa.compute.list_value_length(split).to_numpy(zero_copy_only=False)
+        pieces = split.flatten().dictionary_encode()
+        number = self.pieces.numbers(pieces.dictionary.to_pylist(), self.coded)[pieces.indices.to_numpy()]
+        ids = self.pieces.gathered(number)
+        total = np.r_[0, np.cumsum(self.pieces.counts[number])]
+        ends = total[np.cumsum(sizes)]
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 def squeezed(ids: np.ndarray, squeeze) -> bytes:
@@ -316,7 +346,7 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.array([end_id], np.uint32)
         for block in blocks(batches, "text", TEXT_BYTES):
             encoder = encoder or Tokens(path)
-            ids = [np.r_[x, end] for x in encoder.of(texts_of(block.column("text")))]
+            ids = [np.r_[x, end] for x in encoder.of(block.column("text"))]
             data = pa.array([squeezed(x, squeeze) for x in ids], pa.binary())
             sizes = pa.array([len(x) for x in ids], pa.int64())
             yield from pa.table([block.column("doc_id"), data, sizes], ["doc_id", "ids", "n"]).combine_chunks().to_batches()
@@ -330,11 +360,10 @@ def counted(coded: DataFrame) -> DataFrame:
     def count(batches):
         expand = zstandard.ZstdDecompressor().decompress
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for data in batch.column("ids").to_pylist():
-                found = np.bincount(expanded(data, expand), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+        for block in blocks(batches, "ids", TEXT_BYTES):
+            found = np.bincount(np.concatenate([expanded(data, expand) for data in block.column("ids").to_pylist()]), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         present = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(total[present])], ["id", "n"])
 

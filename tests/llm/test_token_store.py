@@ -30,8 +30,8 @@ def odd_texts(n=600, seed=5):
 
 
 def test_ids_equal_the_tokenizers_library(tokenizer, monkeypatch):
-    for kept in (token_store.KEPT_CHUNKS, 5):
-        monkeypatch.setattr(token_store, "KEPT_CHUNKS", kept)
+    for kept in (token_store.KEPT_PIECES, 5):
+        monkeypatch.setattr(token_store, "KEPT_PIECES", kept)
         own, texts = token_store.Tokens(PATH), odd_texts()
         for i in range(0, len(texts), 50):
             for text, ids in zip(texts[i : i + 50], own.of(texts[i : i + 50]), strict=True):
