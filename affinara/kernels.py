@@ -6,6 +6,7 @@ keep the best few. Self-contained, because the module is pickled by value.
 """
 
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,49 @@ def plane_sides(count, seed):
     return sides
 
 
+def probe_order(count, bands, seed, most):
+    """For an Arrow UDF on (vector, band keys): the buckets to look into, nearest first, at most ``most`` of them.
+
+    A bucket is the query's own key with some planes' sides flipped; it is as far as
+    the query lies from these planes, taken together.
+    """
+    known = {}
+    length = -(-count // bands)
+
+    def order(vectors: pa.Array, keys: pa.Array) -> pa.Array:
+        m = matrix(vectors)
+        if m.shape[1] not in known:
+            known[m.shape[1]] = plane_matrix(count, m.shape[1], seed)
+        far = np.abs(m @ known[m.shape[1]].T)
+        rows = [nearest_flips(d, own, length, most) for d, own in zip(far, keys.to_pylist(), strict=True)]
+        return pa.array(rows, pa.list_(pa.struct([("band", pa.int32()), ("key", pa.int64())])))
+
+    return order
+
+
+def nearest_flips(far, own, length, most):
+    """The keys (band, key) in ascending order of the sum of the flipped planes' distances, ties by band and key."""
+    bands = []
+    for start in range(0, len(far), length):
+        part = far[start : start + length]
+        planes = np.argsort(part, kind="stable")
+        bands.append((part[planes].tolist(), [1 << (len(part) - 1 - int(p)) for p in planes]))
+    heap = [(0.0, band, key, -1, 0.0) for band, key in enumerate(own)]
+    heapq.heapify(heap)
+    out = []
+    while heap and len(out) < most:
+        cost, band, key, last, before = heapq.heappop(heap)
+        out.append({"band": band, "key": key})
+        near, bit = bands[band]
+        if last + 1 < len(near):
+            # one more plane, or the next plane in place of the last one
+            more = cost + near[last + 1]
+            heapq.heappush(heap, (more, band, key ^ bit[last + 1], last + 1, cost))
+            if last >= 0:
+                heapq.heappush(heap, (before + near[last + 1], band, key ^ bit[last] ^ bit[last + 1], last + 1, before))
+    return out
+
+
 # --- scorers: (queries, catalog rows) -> matrix of scores, HIDDEN where a pair is not compared ---
 
 
@@ -129,17 +173,18 @@ class MembershipScorer:
 class AttributeScorer:
     LISTS = ("genres", "writers", "directors")
 
-    def __init__(self, weights, overlap, missing):
-        self.weights, self.overlap, self.missing = weights, overlap, missing
+    def __init__(self, weights, overlap, missing, several_names=False):
+        """``several_names``: a catalog row without a name stands for titles of several names."""
+        self.weights, self.overlap, self.missing, self.several_names = weights, overlap, missing, several_names
 
     def prepare(self, table):
         values, at = np.unique(numbers(table), axis=0, return_inverse=True)
-        return {
-            "title": column(table, "title"),
-            "values": values,
-            "at": at.ravel(),
-            **{name: countable(column(table, name), self.missing) for name in self.LISTS},
-        }
+        lists = {name: countable(column(table, name), self.missing) for name in self.LISTS}
+        for name in self.LISTS:
+            # a list may hold a part of the items only; its whole length is then beside it
+            if f"{name}_size" in table.column_names:
+                lists[name]["size"] = column(table, f"{name}_size").to_numpy(zero_copy_only=False).astype(np.int64)
+        return {"title": column(table, "title"), "values": values, "at": at.ravel(), **lists}
 
     prepare_rows = prepare
 
@@ -157,7 +202,8 @@ class AttributeScorer:
         hide_equal(out, titles, rows["title"])
         # a title without a name is never compared
         out[~titles.is_valid().to_numpy(zero_copy_only=False), :] = HIDDEN
-        out[:, ~rows["title"].is_valid().to_numpy(zero_copy_only=False)] = HIDDEN
+        if not self.several_names:
+            out[:, ~rows["title"].is_valid().to_numpy(zero_copy_only=False)] = HIDDEN
         return out
 
 

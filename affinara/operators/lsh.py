@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinara import kernels
@@ -19,7 +20,7 @@ from affinara.operators.neighbours import (
     look_rows,
 )
 from affinara.operators.predict import for_every_query, mean_rating
-from affinara.shipping import join_spread, written
+from affinara.shipping import is_small, join_spread, written
 
 
 def lsh_index(
@@ -43,6 +44,17 @@ def lsh_index(
     return out if keep_signature else out.drop("signature")
 
 
+def with_probes(
+    queries: DataFrame, planes: int = 25, bands: int = 5, seed: str = "", most: int = 500
+) -> DataFrame:
+    """A batch that went through ``lsh_index`` with ``probes``: the ``most`` buckets nearest to each query.
+
+    A search then looks into these in their order until its ``budget`` of candidates is
+    spent, in place of the query's own bucket in every band. Use the index's own settings.
+    """
+    return queries.withColumn("probes", B.probes(F.col("vector"), F.col("band_keys"), planes, bands, most, seed))
+
+
 def in_bands(index: DataFrame) -> DataFrame:
     """The index with one row per title and band: ``(band, band_key, ...)``."""
     return index.select(F.posexplode("band_keys").alias("band", "band_key"), *index.columns)
@@ -59,22 +71,33 @@ def bucket_members(index: DataFrame) -> DataFrame:
 
 
 def looked_into(
-    index: DataFrame, queries: DataFrame, columns: Sequence[str], max_share: float, sizes: DataFrame | None
+    index: DataFrame,
+    queries: DataFrame,
+    columns: Sequence[str],
+    max_share: float,
+    sizes: DataFrame | None,
+    budget: float | None = None,
 ) -> DataFrame:
-    """``(qid, *columns, kept)``: the bands in which each query looks into its bucket, with the bucket's size.
+    """``(qid, *columns, kept)``: the buckets that each query looks into, with their sizes.
 
-    Buckets of more than ``floor(N * max_share)`` titles are left out; a query
+    With a ``budget`` (a share of all titles) the queries' ``probes`` are taken in their
+    order as long as the buckets' sizes together stay within it; the first that is not
+    empty is always taken. Else it is the query's own bucket in every band:
+    buckets of more than ``floor(N * max_share)`` titles are left out; a query
     that would lose all its buckets keeps the smallest (ties: lowest band).
     Queries that hit no bucket have no row. Written, because a search reads it
     several times.
     """
     sizes = written(bucket_sizes(index), "sizes") if sizes is None else sizes
     total = sizes.filter(F.col("band") == 0).agg(F.sum("size")).scalar()
+    if budget is not None:
+        kept = within_budget(queries, sizes, total * F.lit(budget))
+        return written(queries.select("qid", *columns).join(kept, "qid"), "looks")
     looks = in_bands(queries.select("qid", "band_keys"))
     hits = join_spread(looks, sizes, BLOCK_KEYS[:2], "qid").withColumn(
         "small", F.col("size") <= F.floor(total * F.lit(max_share))
     )
-    bucket = F.struct("band", "size")
+    bucket = F.struct("band", F.col("band_key").alias("key"), "size")
     kept = (
         hits.groupBy("qid")  # at most one row per band
         .agg(
@@ -86,11 +109,25 @@ def looked_into(
     return written(queries.select("qid", *columns).join(kept, "qid"), "looks")
 
 
+def within_budget(queries: DataFrame, sizes: DataFrame, budget: Column) -> DataFrame:
+    """``(qid, kept)``: of each query's probes the first ones whose buckets hold no more titles than the budget."""
+    probes = queries.select("qid", F.posexplode("probes").alias("place", "probe"))
+    probes = probes.select("qid", "place", "probe.band", F.col("probe.key").alias("band_key"))
+    hits = join_spread(probes, sizes, BLOCK_KEYS[:2], "qid")
+    # at most as many rows a query as it has probes
+    spent = F.sum("size").over(W.partitionBy("qid").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    first = F.row_number().over(W.partitionBy("qid").orderBy("place")) == 1
+    taken = hits.withColumn("spent", spent).withColumn("first", first).filter((F.col("spent") <= budget) | F.col("first"))
+    bucket = F.struct("band", F.col("band_key").alias("key"), "size")
+    return taken.groupBy("qid").agg(F.array_sort(F.collect_list(bucket)).alias("kept"))
+
+
 def lsh_candidates(
     index: DataFrame,
     queries: DataFrame,
     max_share: float = 0.5,
     sizes: DataFrame | None = None,
+    budget: float | None = None,
     form: str = "grid",
     catalog_block: int = CATALOG_BLOCK,
     query_block: int = QUERY_BLOCK,
@@ -99,21 +136,24 @@ def lsh_candidates(
 
     ``queries`` is a batch that went through ``lsh_index``; ``sizes`` are the
     index's bucket sizes, if they are at hand. ``form="grid"`` cuts hot buckets into
-    blocks on both sides; ``form="scan"`` sends the batch to every task, for batches
-    that the caller knows to be small. A pair that meets in
-    several kept buckets is emitted in the first of them only, so the pairs are
-    distinct without another shuffle.
+    blocks on both sides; ``form="scan"`` sends the batch to every task, and is refused
+    unless counting proves its rows to be few. A pair that meets in several kept buckets
+    is emitted in the first of them only, so the pairs are distinct without another shuffle.
+
+    The pairs are the result: with the default settings about 15 % of all pairs of
+    unrelated titles, at any size. Use ``lsh_neighbours`` where the k best are wanted.
     """
-    looks = looked_into(index, queries, ["band_keys"], max_share, sizes)
+    looks = looked_into(index, queries, [], max_share, sizes, budget)
     catalog = index.select("id", "band_keys")
     if form == "scan":
+        if not is_small(look_rows(looks)):
+            raise ValueError("the batch's buckets are too many for form='scan': use form='grid'")
         left, right, on = in_bands(catalog), F.broadcast(look_rows(looks)), BLOCK_KEYS[:2]
     else:
         left, right = bucket_blocks(catalog, looks, catalog_block, query_block)
         # the copies per block make this side larger than Spark's estimate: never broadcast it on that
         right, on = right.hint("merge"), BLOCK_KEYS
-    right = right.withColumnRenamed("band_keys", "q_keys")
-    met = F.filter("kept", lambda b: F.get("q_keys", b["band"]) == F.get("band_keys", b["band"]))
+    met = F.filter("kept", lambda b: b["key"] == F.get("band_keys", b["band"]))
     return (
         left.join(right, on)
         .filter(F.get(met, F.lit(0))["band"] == F.col("band"))
@@ -129,6 +169,7 @@ def lsh_neighbours(
     neighbour_order: str = "similarity",
     include_self: bool = False,
     sizes: DataFrame | None = None,
+    budget: float | None = None,
     **blocks,
 ) -> DataFrame:
     """The k best among each query's candidates: ``(qid, id, score, rating, rank)``.
@@ -139,11 +180,11 @@ def lsh_neighbours(
     if neighbour_order not in ("similarity", "id_desc"):
         raise ValueError(f"unknown neighbour order: {neighbour_order}")
     by_id = neighbour_order == "id_desc"
-    data = ["band_keys"] if by_id else ["band_keys", "vector"]
+    data = [] if by_id else ["vector"]
     scorer = (kernels.MembershipScorer if by_id else kernels.CosineScorer)(exclude_self=not include_self)
     return k_nearest(
-        index.select("id", *data, "rating"),
-        looked_into(index, queries, data, max_share, sizes),
+        index.select("id", "band_keys", *data, "rating"),
+        looked_into(index, queries, data, max_share, sizes, budget),
         scorer,
         k,
         carry=["rating"],

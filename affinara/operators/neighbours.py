@@ -52,9 +52,9 @@ def k_nearest(
     """``(qid, id, score, *carry, rank)``: the k best catalog rows of each query.
 
     ``catalog`` has ``id``, the scorer's columns and ``carry``; ``queries`` has
-    ``qid`` and the scorer's columns. With ``in_buckets`` both sides have
-    ``band_keys``, the queries also ``kept`` (bands and bucket sizes), and only
-    rows that share the key of a kept band meet.
+    ``qid`` and the scorer's columns. With ``in_buckets`` the catalog has ``band_keys``
+    and the queries ``kept`` (bands, keys and bucket sizes), and only rows of a kept
+    bucket meet.
     """
     by_value(kernels)
     schema = T.StructType(
@@ -75,7 +75,7 @@ def k_nearest(
     else:
         if in_buckets:
             left, right = bucket_blocks(catalog, queries, catalog_block, query_block)
-            left, right = left.drop("band_keys"), right.drop("band_keys", "kept")
+            left, right = left.drop("band_keys"), right.drop("kept")
             keys = BLOCK_KEYS
         else:
             left, right = table_blocks(catalog, queries, catalog_block, query_block)
@@ -140,7 +140,7 @@ def look_rows(queries: DataFrame) -> DataFrame:
     return (
         queries.withColumn("_look", F.explode("kept"))
         .withColumn("band", F.col("_look.band"))
-        .withColumn("band_key", F.get("band_keys", F.col("band")))
+        .withColumn("band_key", F.col("_look.key"))
         .withColumn("rows_c", F.col("_look.size"))
         .drop("_look")
     )

@@ -9,15 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinara import kernels
-from affinara.functions.similarity import Weights, attribute_score
+from affinara.functions.similarity import Weights, attribute_score, flag_similarity, runtime_similarity
 from affinara.functions.sums import exact_mean, exact_sum
 from affinara.functions.text import MISSING
 from affinara.operators.neighbours import k_nearest
-from affinara.shipping import written
+from affinara.shipping import broadcast_if_small, join_spread, written
 
 ATTRIBUTES = ["title", "flag", "runtime", "genres", "writers", "directors"]
-# What a pair scores by if it shares no person.
-GROUP = ["title", "flag", "runtime", "genres"]
+ROLES = ["writers", "directors"]
+# What a pair scores by if it shares no person, but for the names, which must differ.
+CELL = ["flag", "runtime", "genres"]
+# A person with more titles than this is scored in blocks, not through the index.
+HOT_TITLES = 100
 
 
 def attribute_neighbours(
@@ -27,28 +30,36 @@ def attribute_neighbours(
     weights: Weights = Weights(),
     overlap: str = "ratio",
     kinds: list[str] | None = None,
+    hot_titles: int = HOT_TITLES,
     **blocks,
 ) -> DataFrame:
     """The k titles most alike by weighted attributes: ``(qid, id, score, rank, rating, votes)``.
 
     A title of the query's own name is never its neighbour, nor is one without a name.
 
-    Not every title is scored with every query. A pair that shares no director and
-    no writer scores by name, flag, runtime and genres alone, so titles equal in
-    these are one group: groups are scored with groups, and only a group's k least
-    ids can be among the k best. Pairs that do share a person come from an inverted
-    index and are scored in full. A title's full score is never below its group's,
-    so the k best of both together are the k best of all.
+    Titles equal in flag, runtime, genres, hot people (those of more than ``hot_titles``
+    titles) and the lengths of their lists score alike with every query unless they
+    share one of the other, rare people: they are one cell, of which a few members can
+    be among the k best. Queries meet the cells in blocks, hot people included, so a
+    person with a third of all titles makes no pairs of titles.
+
+    Pairs that share rare people come from an inverted index, at most ``hot_titles``
+    for each person of a query. They carry ids and what bounds their score; only those
+    that may reach the query's k-th score among the cells are scored in full. A title's
+    full score is never below its cell's, so the k best of both are the k best of all.
     """
     if overlap not in ("ratio", "exact"):
         raise ValueError(f"unknown overlap mode: {overlap}")
     if kinds is not None:
         catalog = catalog.filter(F.col("kind").isin(*kinds))
     catalog = catalog.filter(F.col("title").isNotNull()).select("id", *ATTRIBUTES, "rating", "votes")
-    queries = queries.select("qid", *ATTRIBUTES)
-    near = best_of_groups(catalog, queries, k, weights, overlap, **blocks)
-    shared = with_shared_people(catalog, queries, weights, overlap)
-    both = near.unionByName(shared).groupBy("qid", "id")
+    queries = queries.filter(F.col("title").isNotNull()).select("qid", *ATTRIBUTES)
+    hot = written(hot_people(catalog, hot_titles), "hot-people")
+    titles, asked = with_hot_people(catalog, "id", hot), with_hot_people(queries, "qid", hot)
+    titles, asked = written(titles, "titles"), written(asked, "asked")
+    near = written(best_of_cells(titles, asked, k, weights, overlap, **blocks), "near")
+    rare = with_rare_people(titles, asked, hot, near, k, weights, overlap)
+    both = near.unionByName(rare).groupBy("qid", "id")
     best = both.agg(F.max("score").alias("score"), F.first("rating").alias("rating"), F.first("votes").alias("votes"))
     return k_first(best, "qid", k).select("qid", "id", "score", "rank", "rating", "votes")
 
@@ -58,58 +69,108 @@ def k_first(rows: DataFrame, owner: str, k: int) -> DataFrame:
     return rows.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def groups_of(rows: DataFrame, id_name: str, k: int, carry: list[str]) -> DataFrame:
-    """Titles equal in name, flag, runtime and genres: the group's least id, and its k least members."""
-    keyed = rows.withColumn("genres", F.array_sort("genres"))
-    place = F.row_number().over(W.partitionBy(*GROUP).orderBy(id_name))
-    first = keyed.select(id_name, *GROUP, *carry).withColumn("_place", place).filter(F.col("_place") <= k)
-    member = F.struct(id_name, *carry)
-    grouped = first.groupBy(*GROUP).agg(F.min(id_name).alias("group"), F.array_sort(F.collect_list(member)).alias("members"))
-    return written(grouped, "groups")
-
-
-def best_of_groups(catalog, queries, k, weights, overlap, **blocks) -> DataFrame:
-    """``(qid, id, score, rating, votes)``: each query's k best titles if nobody shared a person."""
-    titles, asked = groups_of(catalog, "id", k, ["rating", "votes"]), groups_of(queries, "qid", 1, [])
-    scorer = kernels.AttributeScorer({**asdict(weights), "total": weights.total}, overlap, MISSING)
-    nobody = {name: F.array().cast("array<string>") for name in ("writers", "directors")}
-    found = k_nearest(
-        titles.select(F.col("group").alias("id"), *GROUP).withColumns(nobody),
-        asked.select(F.col("group").alias("qid"), *GROUP).withColumns(nobody),
-        scorer,
-        k,
-        **blocks,
+def known_items(name: str) -> Column:
+    """A list's items; none if it is null or holds the missing mark."""
+    held = F.col(name).isNotNull() & ~F.array_contains(name, MISSING)
+    return F.when(held, F.col(name)).otherwise(F.array().cast("array<string>"))
+
+
+def people(rows: DataFrame, id_name: str, *carry: str) -> DataFrame:
+    """``(person, times, id, *carry)``: one row for each director and each writer of a title, and how often it is listed."""
+
+    def tagged(role):
+        items = known_items(role)
+        distinct = F.array_distinct(F.filter(items, lambda x: x.isNotNull()))
+        once = F.size(distinct) == F.size(items)
+        times = lambda x: F.when(once, 1).otherwise(F.size(F.filter(items, lambda y: y == x)))
+        return F.transform(distinct, lambda x: F.struct(F.struct(F.lit(role).alias("role"), x.alias("name")).alias("person"), times(x).alias("times")))
+
+    named = rows.select(id_name, *carry, F.explode(F.concat(*map(tagged, ROLES))).alias("_p"))
+    return named.select("_p.person", "_p.times", id_name, *carry)
+
+
+def hot_people(catalog: DataFrame, hot_titles: int) -> DataFrame:
+    """``(person)``: the people with more than this many titles."""
+    return people(catalog, "id").groupBy("person").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_titles).select("person")
+
+
+def with_hot_people(rows: DataFrame, id_name: str, hot: DataFrame) -> DataFrame:
+    """The rows with their hot people by role (``hot_writers``, ``hot_directors``, as often as listed) and the lists' lengths."""
+    held = join_spread(people(rows.dropDuplicates([id_name]), id_name), hot, ["person"], id_name)
+    repeated = F.explode(F.array_repeat(F.col("person.name"), F.col("times").cast("int"))).alias("name")
+    held = held.select(F.col(id_name).alias("_id"), F.col("person.role").alias("role"), repeated)
+    lists = held.groupBy("_id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("name")))).alias(f"hot_{role}") for role in ROLES]
     )
-    members = titles.select(F.col("group").alias("id"), "members")
-    rows = found.select("qid", "id", "score").join(members, "id").select("qid", "score", F.explode("members").alias("m"))
-    best = k_first(rows.select("qid", "score", "m.id", "m.rating", "m.votes"), "qid", k).drop("rank")
-    best = best.withColumnRenamed("qid", "group")
-    same = [F.array_sort(F.col("q.genres")).eqNullSafe(F.col("g.genres"))]
-    same += [F.col(f"q.{name}").eqNullSafe(F.col(f"g.{name}")) for name in GROUP if name != "genres"]
-    on = same[0] & same[1] & same[2] & same[3]
-    of_group = queries.alias("q").join(asked.alias("g"), on).select("q.qid", "g.group")
-    return of_group.join(best, "group").drop("group")
-
-
-def people(rows: DataFrame, id_name: str) -> DataFrame:
-    """``(person, id)``: one row for each director and each writer of a title, missing marks left out."""
-    named = [
-        F.transform(F.coalesce(F.col(role), F.array().cast("array<string>")), tagged(role))
-        for role in ("directors", "writers")
-    ]
-    out = rows.select(id_name, F.explode(F.array_distinct(F.concat(*named))).alias("person"))
-    return out.filter(F.col("person.name") != MISSING)
-
-
-def tagged(role: str):
-    return lambda name: F.struct(F.lit(role).alias("role"), name.alias("name"))
-
-
-def with_shared_people(catalog, queries, weights, overlap) -> DataFrame:
-    """``(qid, id, score, rating, votes)`` of all pairs of different names that share a director or a writer."""
-    pairs = people(queries, "qid").join(people(catalog, "id"), "person").select("qid", "id").distinct()
-    left = queries.select("qid", *[F.col(n).alias(f"q_{n}") for n in ATTRIBUTES])
-    rows = pairs.join(left, "qid").join(catalog, "id").filter(F.col("q_title") != F.col("title"))
+    out = rows.join(lists, rows[id_name] == lists["_id"], "left").drop("_id")
+    empty = F.array().cast("array<string>")
+    out = out.withColumns({f"hot_{role}": F.coalesce(f"hot_{role}", empty) for role in ROLES})
+    return out.withColumns({f"{role}_size": F.size(known_items(role)) for role in ROLES})
+
+
+def cells_of(titles: DataFrame, k: int) -> DataFrame:
+    """``(id, title, *CELL, people, members)``: least id, only name (null if there are several) and some members.
+
+    A cell is two rows: the titles named as its least id is, and the rest. Whatever name
+    is left out, the k least ids of the others are among the members: each name gives
+    its k least ids, and of these the 2 k least stay.
+    """
+    key = [*CELL, *(f"hot_{role}" for role in ROLES), *(f"{role}_size" for role in ROLES)]
+    keyed = titles.withColumn("genres", F.array_sort("genres")).select("id", "title", "rating", "votes", *key)
+    of_name = F.row_number().over(W.partitionBy(*key, "title").orderBy("id"))
+    of_cell = F.row_number().over(W.partitionBy(*key).orderBy("id"))
+    first = keyed.withColumn("_place", of_name).filter(F.col("_place") <= k)
+    first = first.withColumn("_place", of_cell).filter(F.col("_place") <= 2 * k)
+    members = F.array_sort(F.collect_list(F.struct("id", "title", "rating", "votes")))
+    whole = first.groupBy(*key).agg(members.alias("all"), F.min_by("title", "id").alias("name"))
+    named = F.filter("all", lambda m: m["title"] == F.col("name"))
+    rest = F.filter("all", lambda m: m["title"] != F.col("name"))
+    rows = whole.select(*key, F.explode(F.array(named, rest)).alias("members")).filter(F.size("members") > 0)
+    names = F.transform("members", lambda m: m["title"])
+    only = F.when(F.array_min(names) == F.array_max(names), F.array_min(names))
+    return rows.select(*key, F.element_at("members", 1)["id"].alias("id"), only.alias("title"), "members")
+
+
+def best_of_cells(titles, asked, k, weights, overlap, **blocks) -> DataFrame:
+    """``(qid, id, score, rating, votes)``: each query's k best titles if nobody shared a rare person."""
+    cells = written(cells_of(titles, k), "cells")
+    scorer = kernels.AttributeScorer({**asdict(weights), "total": weights.total}, overlap, MISSING, several_names=True)
+    columns = ["title", *CELL, *(F.col(f"hot_{role}").alias(role) for role in ROLES), *(f"{role}_size" for role in ROLES)]
+    # a row whose least id bears the query's name ranks too early, but only after the other row of its cell: 2 k rows hold k that do not
+    found = k_nearest(cells.select("id", *columns), asked.select("qid", *columns), scorer, 2 * k, **blocks)
+    members = cells.select(F.col("id").alias("cell"), "members")
+    rows = found.select("qid", "score", F.col("id").alias("cell")).join(members, "cell").join(asked.select("qid", "title").distinct(), "qid")
+    rows = rows.select("qid", "score", "title", F.explode("members").alias("m")).filter(F.col("m.title") != F.col("title"))
+    return k_first(rows.select("qid", "m.id", "score", "m.rating", "m.votes").distinct(), "qid", k).drop("rank")
+
+
+def with_rare_people(titles, asked, hot, near, k, weights, overlap) -> DataFrame:
+    """``(qid, id, score, rating, votes)`` of the pairs of different names that share a rare person and may be among the k best."""
+    carry = ["flag", "runtime", *(f"{role}_size" for role in ROLES), *(f"hot_{role}" for role in ROLES)]
+    for_join = [F.size(c).alias(c) if c.startswith("hot_") else F.col(c) for c in carry]
+
+    def postings(rows, id_name):
+        return people(rows, id_name, *carry).select("person", "times", id_name, *for_join)
+
+    theirs = postings(asked.dropDuplicates(["qid"]), "qid")
+    theirs = theirs.select("person", F.col("times").alias("q_times"), "qid", *[F.col(c).alias(f"q_{c}") for c in carry])
+    own = postings(titles, "id").join(broadcast_if_small(hot), "person", "left_anti")
+    pairs = theirs.join(own, "person")
+    shared = {role: F.sum(F.when(F.col("person.role") == role, F.least("times", "q_times")).otherwise(0)).alias(f"shared_{role}") for role in ROLES}
+    # everything but what is shared is the same in all rows of a pair
+    same = [F.first(c).alias(c) for c in [*carry, *(f"q_{c}" for c in carry)]]
+    pairs = pairs.groupBy("qid", "id").agg(*shared.values(), *same)
+    reach = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+    bound = weights.flag * flag_similarity(F.col("flag"), F.col("q_flag")) + weights.runtime * runtime_similarity(F.col("runtime"), F.col("q_runtime")) + weights.genres
+    for role in ROLES:
+        common = F.col(f"shared_{role}") + F.least(f"hot_{role}", f"q_hot_{role}")
+        share = F.least(F.lit(1.0), common / F.greatest(f"{role}_size", f"q_{role}_size", F.lit(1)))
+        bound = bound + getattr(weights, role) * share
+    # scores are compared as multiples of 1e-9
+    may = F.col("kth").isNull() | (bound / weights.total >= F.col("kth") - 1e-8)
+    pairs = pairs.join(reach, "qid", "left").filter(may).select("qid", "id")
+    left = asked.select("qid", *[F.col(n).alias(f"q_{n}") for n in ATTRIBUTES])
+    rows = pairs.join(left, "qid").join(titles.select("id", *ATTRIBUTES, "rating", "votes"), "id").filter(F.col("q_title") != F.col("title"))
     score = attribute_score(lambda n: F.col(n), lambda n: F.col(f"q_{n}"), weights, overlap)
     return rows.select("qid", "id", F.round(score, 9).alias("score"), "rating", "votes")
 

@@ -506,6 +506,52 @@ def recall(planes: int, per: int) -> str:
 
 
 SQL["lsh_recall"] = recall(25, 5) + " UNION ALL " + recall(60, 12)
+
+def probed(budget: float, body: str) -> str:
+    """Flips of every key's bits by the distances of the flipped planes, the first 2000, as long as the budget lasts."""
+    return sql(
+        "vectors split planes signs banded",
+        f""", far AS (
+                SELECT id AS qid, k // {{per}} AS band, list(abs(x) ORDER BY k) AS d
+                FROM (SELECT id, k, list_dot_product(v, p) AS x FROM vectors, planes WHERE id IN (SELECT qid FROM batch)) AS m
+                GROUP BY id, k // {{per}}),
+            flips AS (
+                SELECT qid, f.band, xor(band_key, flip) AS band_key,
+                       list_sum(list_transform(range({{per}}), lambda j: CASE WHEN (flip >> ({{per}} - 1 - j)) & 1 = 1
+                                               THEN d[j + 1] ELSE 0.0::DOUBLE END)) AS cost
+                FROM far AS f JOIN banded AS b ON b.id = f.qid AND b.band = f.band, range(1 << {{per}}) AS t(flip)),
+            probes AS (
+                SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cost, band, band_key) AS place FROM flips)
+                WHERE place <= 2000),
+            train_bands AS (SELECT id, band, band_key FROM banded WHERE id IN (SELECT id FROM train)),
+            sizes AS (SELECT band, band_key, count(*) AS size FROM train_bands GROUP BY band, band_key),
+            spent AS (
+                SELECT *, sum(size) OVER (PARTITION BY qid ORDER BY place) AS spent,
+                       row_number() OVER (PARTITION BY qid ORDER BY place) AS nth
+                FROM probes JOIN sizes USING (band, band_key)),
+            candidates AS (
+                SELECT DISTINCT qid, id AS cand_id FROM spent JOIN train_bands USING (band, band_key)
+                WHERE spent <= (SELECT count(*) FROM train) * {budget}::DOUBLE OR nth = 1)
+            {body}""",
+        planes=50,
+        per=10,
+    )
+
+
+def probe_recall(budget: float) -> str:
+    hits = sql("exact", "").strip().removeprefix("WITH")
+    return probed(
+        budget,
+        f""", {hits}
+            SELECT {budget}::DOUBLE AS budget,
+                   round((SELECT count(*) FROM ranked JOIN candidates ON cand_id = id AND candidates.qid = ranked.qid WHERE rank <= 10)
+                         / (SELECT count(*) FROM ranked WHERE rank <= 10), 6) AS recall,
+                   round((SELECT count(*) FROM candidates) / ((SELECT count(*) FROM train) * (SELECT count(*) FROM batch)), 6) AS pair_share""",
+    )
+
+
+SQL["lsh_probe_candidates"] = probed(0.05, "SELECT qid, cand_id FROM candidates")
+SQL["lsh_probe_recall"] = " UNION ALL ".join(f"SELECT * FROM ({probe_recall(b)})" for b in (0.05, 0.2, 0.6))
 SQL["shuffled_split"] = SQL["split_test"]
 SQL["title_text_join"] = sql(
     "catalog",

@@ -402,6 +402,46 @@ def lsh_recall(spark, sf):
     return out
 
 
+# Planes, bands and probes of the searches within a budget; shares of all titles that a query may look at.
+PROBED = {"planes": 50, "bands": 5}
+PROBES = 2000
+BUDGETS = (0.05, 0.2, 0.6)
+
+
+def probed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    index, batch = indexed(spark, sf, **PROBED)
+    return index, written(L.with_probes(batch, **PROBED, most=PROBES), "probes")
+
+
+@query
+def lsh_probe_candidates(spark, sf):
+    """Candidates from the nearest buckets of all bands, at most one in twenty of all titles."""
+    index, batch = probed(spark, sf)
+    return L.lsh_candidates(index, batch, budget=BUDGETS[0])
+
+
+@query
+def lsh_probe_recall(spark, sf):
+    """Share of the exact ten nearest found within each budget, and the share of all pairs that were looked at."""
+    train, batch = hold_out_vectors(spark, sf)
+    exact = written(P.cosine_neighbours(train, batch).select("qid", "id"), "exact")
+    index, looks = probed(spark, sf)
+    sizes = written(L.bucket_sizes(index), "sizes")
+    total = exact.select(F.count(F.lit(1))).scalar()
+    pairs = index.select(F.count(F.lit(1))).scalar() * looks.select(F.count(F.lit(1))).scalar()
+    out = None
+    for budget in BUDGETS:
+        met = L.lsh_candidates(index, looks, sizes=sizes, budget=budget).withColumnRenamed("cand_id", "id")
+        met = met.join(exact.withColumn("hit", F.lit(1)), ["qid", "id"], "left")
+        row = met.agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("met")).select(
+            F.lit(budget).alias("budget"),
+            F.round(F.col("hits") / total, 6).alias("recall"),
+            F.round(F.col("met") / pairs, 6).alias("pair_share"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def lsh_signature(spark, sf):
     index = L.lsh_index(standin.vectors(spark, sf), keep_signature=True)
