@@ -36,6 +36,7 @@ TOKEN = re.compile(
     r"|[^<]+|<",
     re.S | re.I,
 )
+TEXT = re.compile(r"[^<]+|<")
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # fixed values: HTML's elements by kind
 INLINE = frozenset("b i u s em strong span font small big mark sub sup abbr cite code q time kbd samp var tt ins del dfn bdi bdo wbr".split())
@@ -52,37 +53,81 @@ LEAST_TAG = -1.0
 NEVER_WORD, NEVER_TAG = -0.25, -0.05  # in elements that are left out anyway: what lies behind them may belong to the text
 
 
+def matches(page: str):
+    """The tokens' matches, each character looked at a bounded number of times.
+
+    Behind the last > there is no tag: nothing is searched for its end there, so that
+    many beginnings of tags without an end do not each look through the rest.
+    """
+    limit = page.rfind(">") + 1
+    last = None
+    for m in TOKEN.finditer(page, 0, limit):
+        if last is not None:
+            yield last
+        last = m
+    start = limit
+    if last is not None and not last.group().startswith("<"):
+        start = last.start()  # text that goes on
+    elif last is not None:
+        yield last
+        if not ended(last):
+            return
+    stop = page.find("<!--", limit)
+    yield from TEXT.finditer(page, start, len(page) if stop < 0 else stop)
+
+
+def ended(m: re.Match) -> bool:
+    """Whether a comment or an element of raw text has its end; anything else has."""
+    piece = m.group()
+    if piece.startswith("<!--"):
+        return piece.endswith("-->") and len(piece) > 6
+    if not m.group(1):
+        return True
+    inner = piece[piece.find(">") + 1 :]
+    return bool(re.fullmatch(rf"</{m.group(1)}\s*>", inner[inner.rfind("<") :], re.I)) if "<" in inner else False
+
+
 def tokens(page: str):
     """(kind, name, text) of a page in order: kind 0 is text inside element ``name``, 1 an opening and 2 a closing tag.
 
     Also whether the token lies in an element that is never article text, and whether in a marked content element.
+    An open element knows the nearest one around that is not inline, and each name its
+    open elements, so neither text nor a closing tag looks through all that are open.
     """
-    open_: list[tuple[str, str, bool, bool]] = []
-    for m in TOKEN.finditer(page):
-        name = m.group(3)
+    outside = ("", "", False, False)
+    open_: list[tuple[tuple[str, str, bool, bool], tuple[str, str, bool, bool]]] = []
+    places: dict[str, list[int]] = {}
+    for m in matches(page):
+        name = m.group(3) if m.re is TOKEN else None
         if name is None:
             piece = m.group()
-            if m.group(1) or piece.startswith(("<!", "<?")):
+            if m.re is TOKEN and (m.group(1) or piece.startswith(("<!", "<?"))):
                 continue
-            around = next((x for x in reversed(open_) if x[0] not in INLINE), ("", "", False, False))
+            around = open_[-1][1] if open_ else outside
             yield 0, around[1], piece, around[2], around[3]
             continue
         name = name.lower()
         if m.group(2):
-            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            mark = open_[at] if at is not None else (name, name, False, False)
-            if at is not None:
-                del open_[at:]
+            mark = (name, name, False, False)
+            if places.get(name):
+                at = places[name][-1]
+                mark = open_[at][0]
+                while len(open_) > at:
+                    places[open_.pop()[0][0]].pop()
             yield 2, "/" + mark[1], name, mark[2], mark[3]
             continue
-        kinds = " ".join(filter(None, (x for g in CLASS.findall(m.group(4)) for x in g)))
-        label = f"{name}.{kinds.split()[0].lower()}" if kinds else name
-        last = open_[-1] if open_ else ("", "", False, False)
+        kinds = " ".join(x for g in CLASS.findall(m.group(4)) for x in g if x)
+        words = kinds.split(None, 1)
+        label = f"{name}.{words[0].lower()}" if words else name
+        last = open_[-1][0] if open_ else outside
         content = last[3] or name in ("article", "main") or "articlebody" in m.group(4).lower()
         never = last[2] or name in NEVER or (name == "header" and not last[3]) or bool(kinds and name not in ("html", "body", "article", "main") and NEVER_CLASS.search(kinds))
         yield 1, label, name, never, content
         if name not in VOID and not m.group(4).endswith("/"):
-            open_.append((name, label, never, content))
+            own = (name, label, never, content)
+            around = own if name not in INLINE else open_[-1][1] if open_ else outside
+            places.setdefault(name, []).append(len(open_))
+            open_.append((own, around))
 
 
 def counts(page: str) -> Counter:

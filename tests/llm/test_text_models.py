@@ -288,3 +288,23 @@ def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "doc_id long").select("doc_id", is_held_out("doc_id").alias("h"))
     for row in df.collect():
         assert row["h"] == (row["doc_id"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 3 == 1)
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<p>a</q>", "<!x", "<script ", '<a "', "<?", "<p><b>x</i></q>", "</script ", "<p>a<!--"])
+def test_long_pages_of_broken_tags_take_linear_time(unit):
+    import time
+
+    seconds = []
+    for size in (250_000, 1_000_000):
+        page = unit * (size // len(unit))
+        start = time.process_time()
+        main_text.extract(page, {})
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 8 * seconds[0] + 0.2  # four times the page; quadratic would be sixteen
+
+
+def test_blank_class_and_text_behind_the_last_tag():
+    assert main_text.extract('<p class=" ">one two three four five six</p>', {}) == "one two three four five six"
+    assert main_text.extract("a > b and more words < here <x", {}) == "a > b and more words < here <x"
+    assert main_text.extract("words of text<!-- never ended > still", {}) == "words of text"
+    assert main_text.extract("words of text<script> x > y", {}) == "words of text"
