@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search in it.
 
-Equal vectors are one node. A first graph links nodes that share a cell of random
-hyperplane cuts. NN-descent then improves it: in Spark joins every node meets its
-neighbours and the nodes that name it as a neighbour, compares these with each
-other, and tells them of closer ones; each keeps its ``degree`` closest. Queries
-are nodes of the graph: a greedy search starts from a query's own list, expands
-the best nodes not yet expanded in every round, and the best of the pool are
-scored exactly on the original vectors at the end.
+Equal vectors are one node. A first graph links nodes that share a small cell of
+random hyperplane cuts, a few links a cell, at every size of the table. NN-descent
+then improves it: in Spark joins every node meets its neighbours and the nodes that
+name it as a neighbour, compares these with each other, and tells them of closer
+ones; each keeps its ``degree`` closest. It goes on until a round changes few
+entries. Queries are nodes of the graph: a greedy search starts from a query's own
+list and from entry nodes drawn by hash, expands the best nodes not yet expanded in
+every round, and the best of the pool are scored exactly on the original vectors.
 
 While the graph is built and searched, vectors travel as 8-bit numbers with one
 scale each. Lists are bounded by their degree, cells by their rows (a crowded cell
@@ -21,6 +22,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -34,6 +36,8 @@ from affinara.llm.top_k import finite, matrix
 from affinara.shipping import written
 
 LISTS = "node long, ids array<long>, scores array<float>"
+SALTS = 16  # parts of the query rows of one vector
+ENTRIES = 64  # nodes that every search starts from besides its own list
 MOST_TRIPLES = 1 << 20  # held by a task before it combines them
 
 
@@ -90,10 +94,15 @@ def merged(rows: DataFrame, most: int) -> DataFrame:
     return together.mapInArrow(joined, LISTS)
 
 
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, vector) of the rows that take part."""
+    rows = vectors.where(F.col(key).isNotNull() & finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False)))
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+
+
 def distinct_nodes(vectors: DataFrame, key: str, vector: str, most: int) -> DataFrame:
     """One row for each distinct vector: node (its least id), vector, its ``most`` least ids, and its code."""
-    rows = vectors.where(F.col(key).isNotNull() & finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False)))
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = usable(vectors, key, vector)
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 1
 
     def grouped(batches):
@@ -126,8 +135,8 @@ def distinct_nodes(vectors: DataFrame, key: str, vector: str, most: int) -> Data
     return written(groups.mapInArrow(with_code, "exact binary, ids array<long>, node long, code binary"), "nn-nodes")
 
 
-def first_graph(nodes: DataFrame, degree: int, trees: int, cell_rows: int, seed: int) -> DataFrame:
-    """Links among nodes that lie on the same sides of random hyperplanes."""
+def first_graph(nodes: DataFrame, degree: int, trees: int, cell_rows: int, links: int, seed: int) -> DataFrame:
+    """At most ``links`` links a cell for each node, among nodes on the same sides of random hyperplanes."""
     depth = max(0, math.ceil(math.log2(max(nodes.count(), 1) / cell_rows)))
     # the cuts are medians of a sample of at most 4,096 nodes
     sample = nodes.select("code").orderBy(F.xxhash64("node")).limit(4096).collect()
@@ -154,7 +163,7 @@ def first_graph(nodes: DataFrame, degree: int, trees: int, cell_rows: int, seed:
     def linked(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         v = decoded(table.column("code").to_pylist())
-        most = min(degree, len(node) - 1)
+        most = min(links, len(node) - 1)
         found = []
         for i in range(0, len(node), 512) if most > 0 else ():
             score = v[i : i + 512] @ v.T
@@ -209,26 +218,70 @@ def local_join(rows: DataFrame, degree: int, told: int) -> DataFrame:
     return rows.mapInArrow(compared, LISTS)
 
 
-def build(nodes: DataFrame, degree: int = 48, trees: int = 3, cell_rows: int = 4096, rounds: int = 2, told: int = 8, seed: int = 5) -> DataFrame:
-    """The neighbour graph: node, ids and scores, closest first."""
-    graph = written(first_graph(nodes, degree, trees, cell_rows, seed), "nn-graph")
-    for _ in range(rounds):
+def build(
+    nodes: DataFrame, degree: int = 48, trees: int = 16, cell_rows: int = 256, links: int = 12, settled: float = 0.1, most_rounds: int = 8, told: int = 8, seed: int = 5
+) -> DataFrame:
+    """The neighbour graph: node, ids and scores, closest first.
+
+    Rounds of NN-descent end when one has changed at most a share ``settled`` of all entries.
+    """
+    graph = written(first_graph(nodes, degree, trees, cell_rows, links, seed), "nn-graph")
+    for _ in range(most_rounds):
         news = local_join(members(graph, nodes, degree), degree, told)
-        graph = written(merged(graph.unionByName(news), degree), "nn-graph")
+        after = written(merged(graph.unionByName(news), degree), "nn-graph")
+        known = graph.select("node", F.col("ids").alias("known"))
+        changed = F.when(F.col("known").isNull(), F.size("ids")).otherwise(F.size(F.array_except("ids", "known")))
+        row = after.join(known, "node", "left").agg(F.sum(changed).alias("changed"), F.sum(F.size("ids")).alias("all")).first()
+        graph = after
+        if not row["all"] or row["changed"] <= settled * row["all"]:
+            break
     return graph
 
 
+def query_rows(vectors: DataFrame, nodes: DataFrame, key: str, vector: str) -> DataFrame:
+    """(query_id, node, code), a row for each query: rows of one vector, however many, are joined by its digest in salted parts."""
+    rows = usable(vectors, key, vector)
+    width = nodes.agg(F.max(F.length("exact"))).first()[0]
+    if not width:
+        return nodes.select(F.col("node").alias("query_id"), "node", "code").limit(0)
+
+    def digested(batches):
+        for batch in batches:
+            if len(batch):
+                full = matrix(pa.chunked_array([batch.column("vector")]), width // 8) + 0.0
+                found = [hashlib.sha256(v.tobytes()).digest() for v in full]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["query_id", "digest"])
+
+    asked = rows.mapInArrow(digested, "query_id long, digest binary").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
+    named = nodes.select(F.unhex(F.sha2("exact", 256)).alias("digest"), "node", "code")
+    named = named.join(asked.select("digest").distinct(), "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asked.join(named, ["digest", "salt"]).select("query_id", "node", "code").distinct()
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", pool: int = 256, beam: int = 64, rounds: int = 3, **graph_options) -> DataFrame:
     """The k nearest of all rows for the rows whose id (column ``id``) is a query: query_id, rank, vec_id, score."""
     nodes = distinct_nodes(vectors, key, vector, k + 1)
     graph = build(nodes, **graph_options)
     # a query's node is found by its vector, as a node lists only its least ids
-    wanted = distinct_nodes(vectors.where(is_query), key, vector, 1 << 30).select("exact", F.explode("ids").alias("query_id"))
-    queries = written(wanted.join(nodes.select("exact", "node", "code"), "exact").drop("exact").distinct(), "nn-queries")
+    queries = written(query_rows(vectors.where(is_query), nodes, key, vector), "nn-queries")
     starts = queries.select("node", "code").distinct()
+    entries = nodes.select("node", "code").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()
+    entry_ids, entry_codes = [r["node"] for r in entries], [bytes(r["code"]) for r in entries]
+
+    def entered(batches):
+        v, ids = (decoded(entry_codes), np.array(entry_ids)) if entries else (None, None)
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch.column("node").to_numpy()
+            value = decoded(batch.column("code").to_pylist()) @ v.T
+            row, column = np.nonzero(own[:, None] != ids[None, :])
+            yield lists(own[row], ids[column], value[row, column], pool)
+
+    starting = merged(starts.mapInArrow(entered, LISTS).unionByName(graph.join(starts.select("node"), "node", "left_semi")), pool)
     around = members(graph, nodes, graph_options.get("degree", 48)).select("node", "others", "codes")
     around = around.repartition(partitions(vectors), "node").persist()
-    held = written(starts.join(graph, "node", "left").select("node", "code", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("scores", F.array().cast("array<float>")).alias("scores"), F.array(F.col("node")).alias("seen")), "nn-pool")
+    held = written(starts.join(starting, "node", "left").select("node", "code", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("scores", F.array().cast("array<float>")).alias("scores"), F.array(F.col("node")).alias("seen")), "nn-pool")
 
     def next_beam(batches):
         for batch in batches:
@@ -274,7 +327,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("ids"), pa.array(value, pa.float64())], ["at", "ids", "score"])
 
     exact = near.select("at", "ids", "exact", "own").mapInArrow(scored, "at long, ids array<long>, score double")
-    pairs = queries.select("query_id", F.col("node").alias("at")).join(exact, "at").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    # a node's k + 1 best rows hold the k best for each of its queries
+    best = exact.select("at", "score", F.explode("ids").alias("vec_id"))
+    of_node = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "vec_id"))
+    best = best.withColumn("place", of_node).where(F.col("place") <= k + 1).groupBy("at").agg(F.collect_list(F.struct("score", "vec_id")).alias("best"))
+    pairs = queries.select("query_id", F.col("node").alias("at")).join(best, "at").select("query_id", F.explode("best").alias("b"))
+    pairs = pairs.select("query_id", "b.score", "b.vec_id").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     answer = written(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nn-answer")
     around.unpersist()

@@ -267,11 +267,12 @@ def test_neighbour_search_cases(spark):
     assert nn_descent.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_neighbour_search_recall_through_the_graph(spark):
-    """Cells far smaller than the table: most neighbours have to be found by the joins and the search."""
+@pytest.mark.parametrize("options", [{}, {"trees": 3, "cell_rows": 40}])
+def test_neighbour_search_recall_through_the_graph(spark, options):
+    """Production defaults, and few cells far smaller than the table: then the joins and the search have to find most."""
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(3).normal(size=(2500, 12)))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = nn_descent.search(df, F.col("vec_id") % 20 == 0, k=20, cell_rows=200).collect()
+    found = nn_descent.search(df, F.col("vec_id") % 20 == 0, k=20, **options).collect()
     got = collections.defaultdict(set)
     for r in found:
         got[r["query_id"]].add(r["vec_id"])
@@ -279,6 +280,21 @@ def test_neighbour_search_recall_through_the_graph(spark):
     assert np.mean([len(got[q] & set(e)) / 20 for q, e in expected.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("options", [{}, {"trees": 1, "cell_rows": 1}])
+def test_neighbours_of_one_vector_in_a_third_of_the_rows(spark, options):
+    """All its rows get an answer; where no cell gives a neighbour to any node, lists are full all the same."""
+    r = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 0.0] if i % 3 == 0 else [float(x) for x in r.normal(size=3)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nn_descent.search(df, F.col("vec_id") % 2 == 0, k=20, **options).collect()
+    got = collections.defaultdict(list)
+    for row in sorted(found, key=lambda r: r["rank"]):
+        got[row["query_id"]].append(row["vec_id"])
+    assert sorted(got) == list(range(0, 240, 2)) and all(len(x) == 20 for x in got.values())
+    expected = neighbours(rows, 2, 20)
+    assert options or np.mean([len(set(got[q]) & set(e)) / 20 for q, e in expected.items()]) >= 0.9
+
+
 def test_neighbours_and_top_k_of_the_table(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark, sf_dir, "embeddings").collect()]
     d = len(rows[0][1])
