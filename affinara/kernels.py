@@ -63,6 +63,28 @@ def unit_rows(m):
         return m / norm[:, None], norm > 0
 
 
+def flat_indices(vectors):
+    return pc.list_flatten(pc.struct_field(vectors, "indices")).to_numpy(zero_copy_only=False)
+
+
+def unit_matrix(vectors, positions):
+    """Vectors of length 1 at some positions (all, for dense vectors), and which have a length."""
+    if positions is None:
+        return unit_rows(matrix(vectors))
+    size, indices, values = (pc.struct_field(vectors, f) for f in ("size", "indices", "values"))
+    if len(pc.unique(size)) > 1:
+        raise ValueError(f"vectors of different length: {sorted(pc.unique(size).to_pylist())[:2]}")
+    row = pc.list_parent_indices(indices).to_numpy(zero_copy_only=False)
+    at, value = flat_indices(vectors), pc.list_flatten(values).to_numpy(zero_copy_only=False)
+    norm = np.sqrt(np.bincount(row, value * value, len(vectors)))
+    place = np.minimum(np.searchsorted(positions, at), max(len(positions) - 1, 0))
+    used = positions[place] == at if len(positions) else np.zeros(len(at), bool)
+    out = np.zeros((len(vectors), len(positions)))
+    out[row[used], place[used]] = value[used]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return out / norm[:, None], norm > 0
+
+
 def plane_matrix(count, length, seed):
     def sign(k, d):
         return 1.0 if hashlib.md5(f"{seed}{k}:{d}".encode()).hexdigest()[0] >= "8" else -1.0
@@ -135,11 +157,14 @@ class CosineScorer:
         self.exclude_self = exclude_self
 
     def prepare(self, queries):
-        unit, ok = unit_rows(matrix(queries.column("vector")))
+        vectors = column(queries, "vector")
+        # of sparse vectors only the positions that some query uses matter
+        self.positions = np.unique(flat_indices(vectors)) if pa.types.is_struct(vectors.type) else None
+        unit, ok = unit_matrix(vectors, self.positions)
         return {"unit": unit, "ok": ok, "qid": column(queries, "qid")}
 
     def prepare_rows(self, rows):
-        unit, ok = unit_rows(matrix(rows.column("vector")))
+        unit, ok = unit_matrix(column(rows, "vector"), self.positions)
         return {"unit": unit, "ok": ok, "id": column(rows, "id")}
 
     def score(self, queries, pick, rows):

@@ -13,6 +13,7 @@ from affinara.functions.similarity import Weights, attribute_score, flag_similar
 from affinara.functions.sums import exact_mean, exact_sum
 from affinara.functions.text import MISSING
 from affinara.operators.neighbours import k_nearest
+from affinara.operators.pruned import pruned_neighbours
 from affinara.shipping import broadcast_if_small, join_spread, written
 
 ATTRIBUTES = ["title", "flag", "runtime", "genres", "writers", "directors"]
@@ -187,15 +188,22 @@ def attribute_predict(catalog: DataFrame, queries: DataFrame, k: int = 50, **opt
 
 
 def cosine_neighbours(
-    features: DataFrame, queries: DataFrame, k: int = 10, include_self: bool = False, **blocks
+    features: DataFrame, queries: DataFrame, k: int = 10, include_self: bool = False, form: str = "grid", **blocks
 ) -> DataFrame:
-    """The k most similar titles by exact cosine: ``(qid, id, score, rank, rating)``."""
+    """The k most similar titles by exact cosine: ``(qid, id, score, rank, rating)``.
+
+    ``form="pruned"`` gives the same rows and skips blocks of titles that cannot hold one
+    of them (``operators.pruned``); it pays where few positions carry most of a vector.
+    """
+    if form == "pruned":
+        return pruned_neighbours(features, queries, k, include_self, **blocks)
     return k_nearest(
         features.select("id", "vector", "rating"),
         queries.select("qid", "vector"),
         kernels.CosineScorer(exclude_self=not include_self),
         k,
         carry=["rating"],
+        form=form,
         **blocks,
     )
 

@@ -474,6 +474,17 @@ SQL["cosine_hard"] = sql(
                  WHERE list_dot_product(batch.v, batch.v) > 0 AND list_dot_product(train.v, train.v) > 0) AS r
            WHERE rank <= 10 GROUP BY qid) AS m ON m.qid = batch.qid""",
 )
+SQL["cosine_top10_pruned"] = sql(
+    FEATURES + " feature_split",
+    # every title, also those that share no position with the query
+    """SELECT qid, id, rank::INTEGER AS rank, score FROM (
+           SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+           FROM (SELECT b.qid AS qid, t.id AS id, coalesce(s.score, 0.0) AS score
+                 FROM (SELECT qid FROM batch WHERE qid IN (SELECT id FROM norms WHERE norm > 0)) AS b,
+                      (SELECT id FROM train WHERE id IN (SELECT id FROM norms WHERE norm > 0)) AS t
+                 LEFT JOIN scored AS s ON s.qid = b.qid AND s.id = t.id) AS p) AS r
+       WHERE rank <= 10""",
+)
 SQL["attribute_predict_text"] = attribute_ranked(
     "ratio",
     "c.kind LIKE 'ECONOMY%'",

@@ -343,6 +343,15 @@ def cosine_predict_features(spark, sf):
     return rounded(P.cosine_predict(train, standin.as_batch(test)), "predicted")
 
 
+@query
+def cosine_top10_pruned(spark, sf):
+    """Feature vectors' exact neighbours through the inverted index with block bounds."""
+    features, _ = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
+    train, test = R.systematic_split(written(features, "features"))
+    found = P.cosine_neighbours(train, standin.as_batch(test), form="pruned", block_rows=256)
+    return found.select("qid", "id", "rank", "score")
+
+
 @query
 def cosine_hard(spark, sf):
     """With zero vectors in catalog and batch: these have no cosine, so such a query gets a null prediction."""
