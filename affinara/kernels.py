@@ -149,6 +149,16 @@ def nearest_flips(far, own, length, most):
     return out
 
 
+def pair_cosine(one: pa.Array, other: pa.Array) -> pa.Array:
+    """For an Arrow UDF: cosine of the vectors of each row; null where one has no length."""
+    positions = None
+    if pa.types.is_struct(one.type):
+        positions = np.unique(np.concatenate([flat_indices(one), flat_indices(other)]))
+    (a, a_ok), (b, b_ok) = unit_matrix(one, positions), unit_matrix(other, positions)
+    ok = a_ok & b_ok
+    return pa.array(np.where(ok, (a * b).sum(axis=1), 0.0), mask=~ok)
+
+
 # --- scorers: (queries, catalog rows) -> matrix of scores, HIDDEN where a pair is not compared ---
 
 

@@ -450,6 +450,8 @@ SQL["prediction_report"] = EVALUATED + """
     SELECT id::VARCHAR || chr(9) || 'actual ' || actual::VARCHAR || chr(9) || 'predicted '
            || coalesce(round(predicted, 6)::VARCHAR, 'NaN') AS value FROM pairs"""
 SQL["cosine_top10_blocks"] = SQL["cosine_top10"]
+SQL["lsh_store_predict"] = SQL["lsh_predict"]
+SQL["lsh_store_compacted"] = SQL["lsh_top10"]
 SQL["lsh_candidates_blocks"] = SQL["lsh_candidates"]
 SQL["lsh_predict_blocks"] = SQL["lsh_predict"]
 SQL["feature_tsv_roundtrip"] = SQL["feature_vector"].replace("SELECT id, (5", "SELECT id::VARCHAR AS id, (5")

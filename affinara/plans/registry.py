@@ -20,6 +20,7 @@ from affinara.operators import catalog as C
 from affinara.operators import evaluate as E
 from affinara.operators import features as Fe
 from affinara.operators import lsh as L
+from affinara.operators import lsh_store as Ls
 from affinara.operators import predict as P
 from affinara.operators import profile as Pr
 from affinara.operators import ranking as R
@@ -451,6 +452,30 @@ def lsh_probe_recall(spark, sf):
     return out
 
 
+def stored_index(spark, sf) -> tuple[str, DataFrame]:
+    """An index on disk: three quarters of the training vectors first, the others appended; and the hold-out."""
+    train, batch = hold_out_vectors(spark, sf)
+    path = scratch_path(spark, "lsh-store")
+    Ls.create(train.filter(F.col("id") % 4 != 3), path, files=8)
+    Ls.append(train.filter(F.col("id") % 4 == 3), path)
+    return path, batch
+
+
+@query
+def lsh_store_predict(spark, sf):
+    """From an index in two generations: the predictions of an index built at once."""
+    path, batch = stored_index(spark, sf)
+    return Ls.predict(batch, path)
+
+
+@query
+def lsh_store_compacted(spark, sf):
+    """The neighbours after compaction."""
+    path, batch = stored_index(spark, sf)
+    Ls.compact(spark, path)
+    return Ls.neighbours(batch, path).select("qid", "id", "rank", "score")
+
+
 @query
 def lsh_signature(spark, sf):
     index = L.lsh_index(standin.vectors(spark, sf), keep_signature=True)
