@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinara.functions.sums import exact_mean, exact_sum
 from affinara.functions.text import join_list
 from affinara.operators.features import token_counts, top_tokens
-from affinara.operators.ranking import quantiles
+from affinara.operators.ranking import quantiles, quantiles_of_counts
+from affinara.shipping import written
 
 NUMBERS = ["rating", "runtime", "votes"]
+LISTS = ["genres", "directors", "writers"]
+SHARES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
 
 def column_summary(
@@ -35,9 +38,8 @@ def column_summary(
         F.max("value").alias("max"),
         F.min("value").alias("min"),
     ]
-    shares = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     if accuracy is not None:
-        near = [F.percentile_approx("value", share, accuracy).alias(name) for name, share in shares.items()]
+        near = [F.percentile_approx("value", share, accuracy).alias(name) for name, share in SHARES.items()]
         return cells.groupBy("column").agg(*basics, F.stddev_samp("value").alias("std"), *near)
     # one row for each named column
     basic = F.broadcast(cells.groupBy("column").agg(*basics))
@@ -45,12 +47,11 @@ def column_summary(
     basic = cells.join(basic, "column").groupBy("column", "n", "mean", "max", "min").agg(squares.alias("squares"))
     deviation = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
     basic = basic.select("column", "n", "mean", "max", "min", deviation.alias("std"))
-    parts = (
-        quantiles(catalog, columns, list(shares.values()))
-        .groupBy("column")
-        .agg(*[F.max(F.when(F.col("share") == share, F.col("value"))).alias(name) for name, share in shares.items()])
-    )
-    return basic.join(parts, "column", "left")
+    return basic.join(quartile_columns(quantiles(catalog, columns, list(SHARES.values()))), "column", "left")
+
+
+def quartile_columns(found: DataFrame) -> DataFrame:
+    return found.groupBy("column").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(name) for name, s in SHARES.items()])
 
 
 def flagged_count(catalog: DataFrame) -> DataFrame:
@@ -80,9 +81,11 @@ def _tagged(name: str):
     return lambda t: F.struct(F.lit(name).alias("list"), t.alias("token"))
 
 
-def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
+def histogram(df: DataFrame, name: str, bins: int = 10, times: str | None = None) -> DataFrame:
     """``(bin, low, high, n)``: equal-width bins from min to max; the last bin is closed, empty bins stay.
 
+    A row counts once, or as often as its column ``times`` says.
+
     A value's bin is settled by comparing it with the bin edges, because
     one-decimal ratings lie on them and division alone may miss by one.
     """
@@ -103,12 +106,12 @@ def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
         .otherwise(guess)
     )
     counts = (
-        df.select(value.alias("value"))
+        df.select(value.alias("value"), (F.lit(1) if times is None else F.col(times)).alias("times"))
         .filter(F.col("value").isNotNull())
         .withColumn("bounds", bounds)
         .withColumn("guess", F.least(F.floor((F.col("value") - F.col("bounds.low")) / width).cast("int"), last))
         .groupBy(place.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("times").alias("n"))
     )
     frame = (
         df.sparkSession.range(bins)
@@ -142,16 +145,64 @@ def raw_list_ranks(catalog: DataFrame, name: str = "directors", first: int = 2,
     return counts.orderBy(F.desc("n"), "value").offset(first - 1).limit(last - first + 1)
 
 
+def profile_counts(catalog: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """``(source, name, number, token, n)``: how often each value occurs, for all summaries at once.
+
+    Each table is scanned once, and what repeats is added up before it is shuffled.
+    """
+    text, number = (lambda c: c.cast("string")), (lambda c: c.cast("double"))
+    none = F.lit(None)
+
+    def tagged(source, name, value=none, token=none):
+        return F.struct(F.lit(source).alias("source"), F.lit(name).alias("name"), number(value).alias("number"), text(token).alias("token"))
+
+    whole = [tagged("number", c, value=F.col(c)) for c in NUMBERS]
+    whole += [tagged("flag", "flag", value=F.when(F.col("flag") == 1, 1)), tagged("raw", "directors", token=join_list(F.col("directors")))]
+    def listed(name):
+        return F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda t: tagged("item", name, token=t))
+
+    items = [listed(c) for c in LISTS]
+    cells = catalog.select(F.explode(F.concat(F.array(*whole), *items)).alias("c"))
+    for source, rows in (("train", train), ("test", test)):
+        cells = cells.unionByName(rows.select(tagged(source, "rating", value=F.col("rating")).alias("c")))
+    known = F.col("number").isNotNull() | F.col("token").isNotNull() | (F.col("source") == "item")
+    return cells.select("c.*").filter(known).groupBy("source", "name", "number", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile(catalog: DataFrame, train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
-    """All summaries by name."""
+    """All summaries by name, from one table of counts of distinct values: each input is scanned once."""
+    counts = written(profile_counts(catalog, train, test), "profile-counts")
+    of = lambda source: counts.filter(F.col("source") == source)
+    numbers = of("number").select(F.col("name").alias("column"), F.col("number").alias("value"), "n")
+    listed = lambda name: of("item").filter(F.col("name") == name).select("token", "n")
+    ratings = {"all": numbers.filter(F.col("column") == "rating"), **{part: of(part).select(F.col("number").alias("value"), "n") for part in ("train", "test")}}
+    raw = of("raw").select(F.col("token").alias("value"), "n")
     return {
-        "summary": column_summary(catalog),
-        "flagged": flagged_count(catalog),
-        "distinct": distinct_counts(catalog),
-        "histogram_all": histogram(catalog, "rating"),
-        "histogram_train": histogram(train, "rating"),
-        "histogram_test": histogram(test, "rating"),
-        "genre_frequency": token_frequency(catalog, "genres"),
-        "top_directors": most_frequent(catalog),
-        "raw_directors": raw_list_ranks(catalog),
+        "summary": summary_of_counts(counts.sparkSession, numbers),
+        "flagged": of("flag").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("flagged")),
+        "distinct": of("item").groupBy(F.col("name").alias("list")).agg(F.count(F.lit(1)).alias("n_distinct")),
+        **{f"histogram_{part}": histogram(rows, "value", times="n") for part, rows in ratings.items()},
+        "genre_frequency": listed("genres"),
+        "top_directors": listed("directors").orderBy(F.desc("n"), "token").limit(20),
+        "raw_directors": raw.orderBy(F.desc("n"), "value").offset(1).limit(100),
     }
+
+
+def summary_of_counts(spark: SparkSession, numbers: DataFrame) -> DataFrame:
+    """``column_summary`` from ``(column, value, n)``; exact sums, so its bits are those of the rows' own summary."""
+    times = F.col("n").cast("decimal(10,0)")
+    total = F.sum(F.col("value").cast("decimal(26,12)") * times).cast("double")
+    basic = numbers.groupBy("column").agg(
+        F.sum("n").alias("n"), F.try_divide(total, F.sum("n")).alias("mean"), F.max("value").alias("max"), F.min("value").alias("min")
+    )
+    names = spark.createDataFrame([(c,) for c in NUMBERS], "column string")
+    # one row for each profiled column
+    basic = F.broadcast(names.join(basic, "column", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    square = F.pow(F.col("value") - F.col("mean"), 2)
+    squares = F.sum(square.cast("decimal(26,12)") * times).cast("double")
+    spread = numbers.withColumnRenamed("n", "times").join(basic.select("column", "mean"), "column").withColumnRenamed("times", "n")
+    spread = spread.groupBy("column").agg(squares.alias("squares"))
+    found = basic.join(spread, "column", "left")
+    deviation = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    found = found.select("column", "n", "mean", "max", "min", deviation.alias("std"))
+    return found.join(quartile_columns(quantiles_of_counts(numbers, list(SHARES.values()))), "column", "left")

@@ -84,7 +84,12 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (
 
     Works on the counts of distinct values, so repeated values cost one row.
     """
-    counts = (
+    return quantiles_of_counts(value_counts(df, columns), shares)
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, n)``: how often each column holds each number, nulls left out."""
+    return (
         df.select(
             F.explode(
                 F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
@@ -95,6 +100,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def quantiles_of_counts(counts: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """``(column, share, value)`` from ``(column, value, n)``."""
     upto = running_total(counts, ["column", "value"], "n", name="upto")
     # cumulative counts within a column: subtract what came before the column
     spans = upto.groupBy("column").agg(F.sum("n").alias("all"), F.min(F.col("upto") - F.col("n")).alias("base"))

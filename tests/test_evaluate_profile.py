@@ -1,7 +1,10 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from affinara.functions.sums import exact_mean, exact_sum
 from affinara.operators import evaluate as E
 from affinara.operators import profile as Pr
 
@@ -70,3 +73,43 @@ def test_approximate_profile(spark, sf_dir):
         other = full[r["column"]]
         assert r["n"] == other["n"] and r["mean"] == pytest.approx(other["mean"])
         assert other["q1"] <= r["q2"] <= other["q3"]
+
+
+def test_fused_profile_equals_the_single_summaries(spark, sf_dir):
+    """Each input is scanned once; the frames are those that the single operators give."""
+    from affinara.plans import standin
+
+    rows = standin.stored_catalog(spark, sf_dir, "id", "flag", *Pr.NUMBERS, *Pr.LISTS)
+    train, test = rows.filter("id % 4 > 0").select("rating"), rows.filter("id % 4 = 0").select("rating")
+    out = Pr.profile(rows, train, test)
+    single = {
+        "summary": Pr.column_summary(rows),
+        "flagged": Pr.flagged_count(rows),
+        "distinct": Pr.distinct_counts(rows),
+        "histogram_all": Pr.histogram(rows, "rating"),
+        "histogram_train": Pr.histogram(train, "rating"),
+        "histogram_test": Pr.histogram(test, "rating"),
+        "genre_frequency": Pr.token_frequency(rows),
+        "top_directors": Pr.most_frequent(rows),
+        "raw_directors": Pr.raw_list_ranks(rows),
+    }
+    assert list(out) == list(single)
+    near = lambda df: sorted([round(x, 9) if isinstance(x, float) else x for x in r] for r in df.select(sorted(df.columns)).collect())
+    for name, df in single.items():
+        assert near(out[name]) == near(df), name
+    counts = Pr.profile_counts(rows, train, test)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3
+
+
+@pytest.mark.parametrize("parts", [1, 4, 211])
+def test_sums_do_not_depend_on_the_order_of_rows(spark, parts):
+    rows = [(i, (0.1 * i) ** 3 - 7.3, i % 50, i % 9) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, rating double, runtime int, votes int").repartition(parts, F.rand(parts))
+    row = Pr.column_summary(df).filter("column = 'rating'").head()
+    exact = sum(Fraction(round(r[1], 12)).limit_denominator(10**12) for r in rows) / 1000
+    assert row["mean"] == float(exact)
+    one = Pr.column_summary(df.coalesce(1).orderBy("id")).filter("column = 'rating'").head()
+    assert (row["mean"], row["std"]) == (one["mean"], one["std"])
+    assert df.agg(exact_sum(F.col("rating"))).head()[0] == float(exact * 1000)
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double").agg(exact_sum(F.col("x")), exact_mean(F.col("x"))).head()
+    assert odd[0] != odd[0] and odd[1] != odd[1]
