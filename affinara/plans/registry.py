@@ -24,6 +24,7 @@ from affinara.operators import lsh_store as Ls
 from affinara.operators import predict as P
 from affinara.operators import profile as Pr
 from affinara.operators import ranking as R
+from affinara.operators import sketches as Sk
 from affinara.plans import standin
 from affinara.shipping import scratch_path, written
 from affinara.sources import predictions as Sp
@@ -684,6 +685,38 @@ def raw_maker_ranks(spark, sf):
     return Pr.raw_list_ranks(standin.catalog(spark, sf), "directors")
 
 
+def sketches_of_batches(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The catalog, and its sketches from three batches stored one after the other."""
+    rows = standin.stored_catalog(spark, sf, "id", *Pr.NUMBERS, *C.LISTS)
+    path, batches = scratch_path(spark, "sketches"), ["first", "second", "third"]
+    for i, batch in enumerate(batches):
+        Sk.store(rows.filter(F.pmod("id", F.lit(3)) == i), path, batch)
+    return rows, Sk.stored(spark, path, batches)
+
+
+@query
+def distinct_sketch(spark, sf):
+    """Exact distinct counts, and whether the merged sketches' estimates keep their stated error."""
+    rows, kept = sketches_of_batches(spark, sf)
+    near = Sk.distinct_estimates(kept).withColumnRenamed("n_distinct", "estimate")
+    both = Pr.distinct_counts(rows).join(near, "list")
+    within = F.abs(F.col("estimate") - F.col("n_distinct")) <= F.col("n_distinct") * Sk.DISTINCT_ERROR
+    return both.select("list", "n_distinct", within.alias("within"))
+
+
+@query
+def quantile_sketch(spark, sf):
+    """Whether the ranks of the merged sketches' quartiles keep their stated error."""
+    rows, kept = sketches_of_batches(spark, sf)
+    near = Sk.quantile_estimates(kept).withColumnRenamed("value", "estimate")
+    values = R.value_counts(rows, Pr.NUMBERS).join(F.broadcast(near), "column")  # three rows a column
+    value, estimate, n = F.col("value"), F.col("estimate"), F.col("n")
+    below, upto = F.sum(F.when(value < estimate, n).otherwise(0)), F.sum(F.when(value <= estimate, n).otherwise(0))
+    ranks = values.groupBy("column", "share").agg((below / F.sum(n)).alias("below"), (upto / F.sum(n)).alias("upto"))
+    within = (F.col("below") <= F.col("share") + Sk.RANK_ERROR) & (F.col("upto") >= F.col("share") - Sk.RANK_ERROR)
+    return ranks.select("column", "share", within.alias("within"))
+
+
 # --- text tables ---
 
 
