@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from affinara.llm import language, near_dedup, suffix_dedup, toxicity
 from affinara.llm.common import table
 from affinara.llm.queries import packed_pieces
-from affinara.shipping import written
+from affinara.shipping import scratch_of_job, scratch_path
 
 REJECTED_FROM = 0.7
 
@@ -68,5 +68,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scratch_of_job(spark):  # what a stage wrote for itself goes once its result is stored
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
