@@ -384,7 +384,8 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
 
     Rows with null ids stay. Of rows with equal ids one stays if any of their texts leads its class.
     """
-    decided = classes(df, doc_id, text, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    mark = "_" * (1 + max(map(len, df.columns)))  # no column's name
+    decided = classes(df, doc_id, text, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(mark)).distinct()
     named = df.where(F.col(doc_id).isNotNull())
-    kept = named.join(decided, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    kept = named.join(decided, F.col(doc_id) == F.col(mark), "left_semi").dropDuplicates([doc_id])
     return kept.unionByName(df.where(F.col(doc_id).isNull()))

@@ -336,3 +336,39 @@ def test_pipeline_runs(spark, sf_dir):
     for r in rows:
         total[r["doc_id"]] += r["length"]
     assert all(total[r["doc_id"]] == r["doc_tokens"] for r in rows)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows_and_on_none(spark, sf_dir, empty):
+    """Null and repeated ids, null and empty texts, copies, and extra columns named like the stages' own."""
+    text = "The quick brown fox jumps over the lazy dog and runs on to the river bank at night. "
+    rows = [(1, text), (2, text), (None, text), (None, "another text of its own, long enough to be kept as it is."), (3, None), (4, ""), (5, "12 34")]
+    rows += [(6, "a first text under one id"), (6, "a second and different text under the same id"), (7, "x" + text * 3)]
+    rows = [(i, t, "en", "s", len(t or ""), True, 9, 0.5, "k") for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _kept boolean, class_id int, score double, kept string"
+    docs = spark.createDataFrame([] if empty else rows, schema)
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        seen.append(sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    if empty:
+        assert seen == [[]] * 4 and pieces == []
+        return
+    assert [i for i, _ in seen[0]] == sorted(["1", "2", "None", "None", "6", "6", "7"])
+    assert [i for i, _ in seen[2]] == sorted(["1", "None", "None", "6", "7"])  # one of the copies, one row of an id
+    assert dict(seen[3])["7"] == "x" and dict(seen[3])["1"] == text
+    assert len({(r["doc_id"], r["start"], r["doc_tokens"]) for r in pieces}) >= 4
+
+
+def test_pipeline_leaves_only_its_stages_tables(spark, sf_dir):
+    """Run as a whole it deletes what a stage wrote for itself once the stage's result is stored."""
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    corpus_pipeline.run(spark, sf_dir).agg(F.count("*")).collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
+    assert left == {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES[:-1]}
