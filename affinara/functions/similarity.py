@@ -55,6 +55,19 @@ def _numbered(items: Column) -> Column:
     )
 
 
+def counted(items: Column) -> Column:
+    """Items as texts with their occurrence number: without repeats, and compared faster than ``_numbered`` ones."""
+    return F.transform(_numbered(items), lambda x: F.concat_ws(":", x["nth"].cast("string"), x["item"]))
+
+
+def counted_overlap(a: Column, b: Column, mode: str = "ratio") -> Column:
+    """``list_overlap`` of two lists that ``counted`` made of known items."""
+    common, longer = F.size(F.array_intersect(a, b)), F.greatest(F.size(a), F.size(b))
+    if mode == "exact":
+        return F.when((longer > 0) & (common == longer), 1.0).otherwise(0.0)
+    return F.coalesce(F.try_divide(common.cast("double"), longer.cast("double")), F.lit(0.0))
+
+
 def multiset_common(a: Column, b: Column) -> Column:
     """Number of items two lists share, counting repeats."""
     return F.size(F.array_intersect(_numbered(a), _numbered(b)))
@@ -83,12 +96,12 @@ def list_overlap(a: Column, b: Column, mode: str = "ratio") -> Column:
     return F.when(known, value).otherwise(0.0)
 
 
-def attribute_score(a, b, weights: Weights = Weights(), overlap: str = "ratio") -> Column:
+def attribute_score(a, b, weights: Weights = Weights(), overlap: str = "ratio", of_lists=list_overlap) -> Column:
     """Weighted attribute similarity in [0, 1]; ``a`` and ``b`` map an attribute name to its column."""
     return (
         weights.flag * flag_similarity(a("flag"), b("flag"))
         + weights.runtime * runtime_similarity(a("runtime"), b("runtime"))
-        + weights.genres * list_overlap(a("genres"), b("genres"), overlap)
-        + weights.writers * list_overlap(a("writers"), b("writers"), overlap)
-        + weights.directors * list_overlap(a("directors"), b("directors"), overlap)
+        + weights.genres * of_lists(a("genres"), b("genres"), overlap)
+        + weights.writers * of_lists(a("writers"), b("writers"), overlap)
+        + weights.directors * of_lists(a("directors"), b("directors"), overlap)
     ) / weights.total

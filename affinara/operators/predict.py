@@ -9,7 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinara import kernels
-from affinara.functions.similarity import Weights, attribute_score, flag_similarity, runtime_similarity
+from affinara.functions.similarity import (
+    Weights,
+    attribute_score,
+    counted,
+    counted_overlap,
+    flag_similarity,
+    runtime_similarity,
+)
 from affinara.functions.sums import exact_mean, exact_sum
 from affinara.functions.text import MISSING
 from affinara.operators.neighbours import k_nearest
@@ -18,6 +25,7 @@ from affinara.shipping import broadcast_if_small, join_spread, written
 
 ATTRIBUTES = ["title", "flag", "runtime", "genres", "writers", "directors"]
 ROLES = ["writers", "directors"]
+LISTS = ["genres", *ROLES]
 # What a pair scores by if it shares no person, but for the names, which must differ.
 CELL = ["flag", "runtime", "genres"]
 # A person with more titles than this is scored in blocks, not through the index.
@@ -106,7 +114,9 @@ def with_hot_people(rows: DataFrame, id_name: str, hot: DataFrame) -> DataFrame:
     out = rows.join(lists, rows[id_name] == lists["_id"], "left").drop("_id")
     empty = F.array().cast("array<string>")
     out = out.withColumns({f"hot_{role}": F.coalesce(f"hot_{role}", empty) for role in ROLES})
-    return out.withColumns({f"{role}_size": F.size(known_items(role)) for role in ROLES})
+    sizes = {f"{role}_size": F.size(known_items(role)) for role in ROLES}
+    # for the pairs scored in full: once a title, not once a pair
+    return out.withColumns({**sizes, **{f"{name}_counted": counted(known_items(name)) for name in LISTS}})
 
 
 def cells_of(titles: DataFrame, k: int) -> DataFrame:
@@ -149,31 +159,36 @@ def with_rare_people(titles, asked, hot, near, k, weights, overlap) -> DataFrame
     """``(qid, id, score, rating, votes)`` of the pairs of different names that share a rare person and may be among the k best."""
     carry = ["flag", "runtime", *(f"{role}_size" for role in ROLES), *(f"hot_{role}" for role in ROLES)]
     for_join = [F.size(c).alias(c) if c.startswith("hot_") else F.col(c) for c in carry]
+    person = ["role", "name"]
 
     def postings(rows, id_name):
-        return people(rows, id_name, *carry).select("person", "times", id_name, *for_join)
+        return people(rows, id_name, *carry).select("person.role", "person.name", "times", id_name, *for_join)
+
+    def share(role, common):
+        return getattr(weights, role) * common / F.greatest(f"{role}_size", f"q_{role}_size", F.lit(1))
 
     theirs = postings(asked.dropDuplicates(["qid"]), "qid")
-    theirs = theirs.select("person", F.col("times").alias("q_times"), "qid", *[F.col(c).alias(f"q_{c}") for c in carry])
-    own = postings(titles, "id").join(broadcast_if_small(hot), "person", "left_anti")
-    pairs = theirs.join(own, "person")
-    shared = {role: F.sum(F.when(F.col("person.role") == role, F.least("times", "q_times")).otherwise(0)).alias(f"shared_{role}") for role in ROLES}
-    # everything but what is shared is the same in all rows of a pair
-    same = [F.first(c).alias(c) for c in [*carry, *(f"q_{c}" for c in carry)]]
-    pairs = pairs.groupBy("qid", "id").agg(*shared.values(), *same)
-    reach = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-    bound = weights.flag * flag_similarity(F.col("flag"), F.col("q_flag")) + weights.runtime * runtime_similarity(F.col("runtime"), F.col("q_runtime")) + weights.genres
+    theirs = theirs.select(*person, F.col("times").alias("q_times"), "qid", *[F.col(c).alias(f"q_{c}") for c in carry])
+    own = postings(titles, "id").join(broadcast_if_small(hot.select("person.*")), person, "left_anti")
+    pairs = theirs.join(own, person)
+    # what a pair can score besides its rare people is the same in all its rows
+    besides = weights.flag * flag_similarity(F.col("flag"), F.col("q_flag")) + weights.runtime * runtime_similarity(F.col("runtime"), F.col("q_runtime")) + weights.genres
     for role in ROLES:
-        common = F.col(f"shared_{role}") + F.least(f"hot_{role}", f"q_hot_{role}")
-        share = F.least(F.lit(1.0), common / F.greatest(f"{role}_size", f"q_{role}_size", F.lit(1)))
-        bound = bound + getattr(weights, role) * share
+        besides = besides + share(role, F.least(f"hot_{role}", f"q_hot_{role}"))
+    shared = F.when(F.col("role") == ROLES[0], share(ROLES[0], F.least("times", "q_times"))).otherwise(share(ROLES[1], F.least("times", "q_times")))
+    pairs = pairs.select("qid", "id", besides.alias("besides"), shared.alias("shared"))
+    pairs = pairs.groupBy("qid", "id").agg((F.max("besides") + F.sum("shared")).alias("bound"))
+    reach = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     # scores are compared as multiples of 1e-9
-    may = F.col("kth").isNull() | (bound / weights.total >= F.col("kth") - 1e-8)
-    pairs = pairs.join(reach, "qid", "left").filter(may).select("qid", "id")
-    left = asked.select("qid", *[F.col(n).alias(f"q_{n}") for n in ATTRIBUTES])
-    rows = pairs.join(left, "qid").join(titles.select("id", *ATTRIBUTES, "rating", "votes"), "id").filter(F.col("q_title") != F.col("title"))
-    score = attribute_score(lambda n: F.col(n), lambda n: F.col(f"q_{n}"), weights, overlap)
-    return rows.select("qid", "id", F.round(score, 9).alias("score"), "rating", "votes")
+    may = F.col("kth").isNull() | (F.col("bound") / weights.total >= F.col("kth") - 1e-8)
+    pairs = pairs.join(reach, "qid", "left").filter(may).select("qid", "id", "kth")
+    compared = {n: f"{n}_counted" if n in LISTS else n for n in ATTRIBUTES}
+    left = asked.select("qid", *[F.col(c).alias(f"q_{n}") for n, c in compared.items()])
+    right = titles.select("id", *[F.col(c).alias(n) for n, c in compared.items()], "rating", "votes")
+    rows = pairs.join(left, "qid").join(right, "id").filter(F.col("q_title") != F.col("title"))
+    score = attribute_score(lambda n: F.col(n), lambda n: F.col(f"q_{n}"), weights, overlap, counted_overlap)
+    rows = rows.select("qid", "id", F.round(score, 9).alias("score"), "rating", "votes", "kth")
+    return rows.filter(F.col("kth").isNull() | (F.col("score") >= F.col("kth"))).drop("kth")
 
 
 def attribute_predict(catalog: DataFrame, queries: DataFrame, k: int = 50, **options) -> DataFrame:
