@@ -449,6 +449,11 @@ SQL["evaluate_saved_lines"] = SQL["rmse_mse"]
 SQL["prediction_report"] = EVALUATED + """
     SELECT id::VARCHAR || chr(9) || 'actual ' || actual::VARCHAR || chr(9) || 'predicted '
            || coalesce(round(predicted, 6)::VARCHAR, 'NaN') AS value FROM pairs"""
+SQL["array_report"] = EVALUATED + """
+    SELECT list, value, count(*) AS n FROM (
+        SELECT 'actual' AS list, actual::VARCHAR AS value FROM pairs
+        UNION ALL SELECT 'predicted', round(predicted, 6)::VARCHAR FROM pairs) AS v GROUP BY list, value"""
+SQL["tsv_one_file"] = SQL["tsv_roundtrip"]
 SQL["cosine_top10_blocks"] = SQL["cosine_top10"]
 SQL["distinct_sketch"] = SQL["distinct_counts"].replace("AS n_distinct FROM", "AS n_distinct, true AS within FROM")
 SQL["quantile_sketch"] = """SELECT c AS "column", share::DOUBLE AS share, true AS within

@@ -717,6 +717,15 @@ def quantile_sketch(spark, sf):
     return ranks.select("column", "share", within.alias("within"))
 
 
+@query
+def array_report(spark, sf):
+    """True and predicted ratings as two one-line ``Array(...)`` files in the order of ids; how often each holds a value."""
+    path = scratch_path(spark, "arrays")
+    Sp.write_array_report(rounded(predicted_pairs(spark, sf), "predicted"), path)
+    lists = [Sp.read_array(spark, f"{path}/{name}.txt").withColumn("list", F.lit(name)) for name in ("actual", "predicted")]
+    return lists[0].unionByName(lists[1]).groupBy("list", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- text tables ---
 
 
@@ -729,6 +738,15 @@ def tsv_roundtrip(spark, sf):
     return back.withColumns({name: X.join_list(F.col(name)) for name in C.LISTS})
 
 
+@query
+def tsv_one_file(spark, sf):
+    """Catalog written as one tab-separated file by many tasks, in the order of its ids, and read back."""
+    path = scratch_path(spark, "titles")
+    St.write_tsv(St.titles_out(standin.catalog(spark, sf)), path, single_file=True, order=["tconst"])
+    back = C.as_catalog(St.read_titles(spark, path))
+    return back.withColumns({name: X.join_list(F.col(name)) for name in C.LISTS})
+
+
 def title_files(spark, sf) -> dict[str, str]:
     """The part and lineitem tables as the text files a user starts from: basics, crew, ratings and query titles."""
     rows = standin.title_rows(spark, sf)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinara.functions.text import decimal_comma
+from affinara.sources.one_file import write_one_file
 
 # The two layouts' separators.
 LINE_SEPARATOR = ": "
@@ -72,11 +73,16 @@ def write_lines(text: DataFrame, path: str) -> None:
 def write_tuples(text: DataFrame, path: str) -> None:
     """Tuples in as many files as tasks, without brackets around them: ``read_tuples`` takes a whole folder.
 
-    A reader that expects all tuples of all files on one bracketed line does not read this variant.
+    A reader that expects all tuples on one bracketed line reads what ``write_one_line`` makes.
     """
     text.write.option("lineSep", TUPLE_SEPARATOR).text(path)
 
 
+def write_one_line(text: DataFrame, path: str, order: list[str], column: str = "value") -> None:
+    """All tuples in order on one bracketed line of one file: ``((a,7.0,2.0), (b,6.0,2.5))``."""
+    write_one_file(text, path, F.col(column), order, before="(", separator=TUPLE_SEPARATOR, after=")", closed=False)
+
+
 def report(pairs: DataFrame) -> DataFrame:
     """Report lines ``(id, actual, predicted)`` as text, one row per query; missing values as ``NaN``.
 
@@ -88,3 +94,25 @@ def report(pairs: DataFrame) -> DataFrame:
             shown("id"), F.lit("\tactual "), shown("actual"), F.lit("\tpredicted "), shown("predicted")
         ).alias("value")
     )
+
+
+def write_array(rows: DataFrame, path: str, value: str, order: list[str]) -> None:
+    """One file with all values on one line, ``Array(a, b, ...)``, in ``order``; missing values as ``NaN``."""
+    shown = F.coalesce(F.col(value).cast("string"), F.lit("NaN"))
+    write_one_file(rows, path, shown, order, before="Array(", separator=TUPLE_SEPARATOR, after=")\n", closed=False)
+
+
+def write_array_report(pairs: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A new folder with the true and the predicted ratings of ``(id, actual, predicted)``, one ``Array(...)`` file each.
+
+    Both are in the same order, so the n-th values of the two files belong together if the order is total.
+    """
+    for name in ("actual", "predicted"):
+        write_array(pairs, f"{path}/{name}.txt", name, order or ["id"])
+
+
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """``(value)``, one row for each value of an ``Array(...)`` file, in no order; ``NaN`` is null."""
+    items = spark.read.option("lineSep", TUPLE_SEPARATOR).text(path)
+    bare = F.regexp_replace("value", r"^\s*Array\(|\)\s*$", "")
+    return items.select(F.when(bare != "NaN", bare).alias("value")).filter((bare != "") | bare.isNull())

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from affinara.sources.one_file import shared_file, write_one_file
+
 # The columns of the title tables.
 RATINGS = "tconst STRING, averageRating DOUBLE, numVotes INT"
 BASICS = (
@@ -74,20 +78,32 @@ def read_features(spark: SparkSession, path: str, names: list[str]) -> DataFrame
     return read_tsv(spark, path, feature_schema(names))
 
 
+# Tab-separated text without quoting.
+PLAIN = {"sep": "\t", "quote": "", "escape": "", "emptyValue": ""}
+
+
 def write_tsv(
-    df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists", header: bool = True
+    df: DataFrame,
+    path: str,
+    single_file: bool = False,
+    mode: str = "errorifexists",
+    header: bool = True,
+    order: list[str] | None = None,
 ) -> None:
-    """Tab-separated text, one file per task; ``single_file`` is for small exports only."""
-    (
-        (df.coalesce(1) if single_file else df)
-        .write.mode(mode)
-        .option("sep", "\t")
-        .option("header", header)
-        .option("quote", "")
-        .option("escape", "")
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    """Tab-separated text, one file per task.
+
+    ``single_file`` makes a new folder with one file, header once, rows in ``order`` (all
+    columns by default), written by all tasks at once; it needs a mounted folder.
+    """
+    if not single_file:
+        df.write.mode(mode).options(**PLAIN, header=header).csv(path)
+        return
+    if mode != "errorifexists":
+        raise ValueError("a single file is only written to a new folder")
+    if os.path.exists(shared_file(df.sparkSession, path)):
+        raise FileExistsError(f"{path} already exists")
+    names = "\t".join(df.columns) + "\n" if header else ""
+    write_one_file(df, f"{path}/part-00000.csv", F.to_csv(F.struct("*"), PLAIN), order or df.columns, before=names)
 
 
 def titles_out(catalog: DataFrame) -> DataFrame:
