@@ -13,7 +13,7 @@ in it that hold enough of a template's word pairs are judged, the fullest first:
 so notices wrapped over lines, behind comment marks or inside other text are found.
 A run is at most ``STRETCH`` times as long as its template; what a line or a fuller
 run has reported is not reported again. A title ("MIT License") counts only as a
-whole line. A line or paragraph without a single word pair of the templates has no
+whole line that the classifier gives to the title's family. A line or paragraph without a single word pair of the templates has no
 evidence for any family; it is unknown without further work.
 
 ``paragraph`` is the number of the (first) line, ``statement`` the line, or the
@@ -38,6 +38,10 @@ from affinara.llm.common import picked, shared, small_batches, texts_of, tidy
 
 # fixed values: usual wordings of licence notices
 TEMPLATES = {
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Licensed under the Apache License, Version 2.0.",
@@ -52,11 +56,23 @@ TEMPLATES = {
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
         "Released under the MIT License.",
@@ -66,9 +82,16 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved.", "Copyright (c) 2020. All rights reserved.", "This document is proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
     "public-domain": ["This work has been dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain."],
+    "zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "SPDX-License-Identifier: Zlib",
+    ],
 }
 # bodies of licence texts, known as word pairs; the classifier learns from them too
 BODIES = {
+    "agpl": [
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
     "apache-2.0": [
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
@@ -81,20 +104,32 @@ BODIES = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ],
+    "lgpl": [
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
     "mit": [
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "mpl-2.0": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "public-domain": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    ],
 }
 # whole lines only: in other text a licence's name states nothing
 TITLES = {
+    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, Version 3", "GNU AGPL"],
     "apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0"],
     "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The BSD License"],
+    "epl": ["Eclipse Public License", "Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"],
     "gpl": ["GNU General Public License", "GNU General Public License, Version 2", "GNU General Public License, Version 3", "GNU GPL"],
+    "isc": ["ISC License", "The ISC License"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, Version 2.1", "GNU Lesser General Public License, Version 3", "GNU LGPL"],
     "mit": ["MIT License", "The MIT License", "The MIT License (MIT)"],
     "mpl-2.0": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License Version 2.0"],
+    "zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
 }
 UNKNOWN = "unknown"
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
@@ -106,6 +141,11 @@ def templates(family: str) -> list[str]:
     return TEMPLATES[family] + BODIES.get(family, [])
 
 
+def taught(family: str) -> list[str]:
+    """What the classifier learns a family from."""
+    return templates(family) + TITLES.get(family, [])
+
+
 def grams(text: str) -> list[str]:
     words = WORD.findall(text.lower())
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
@@ -152,11 +192,11 @@ def fit(unknown: list[str], seed: int = 9, varied: int = 60, steps: int = 300, r
     """Train on varied templates and on paragraphs that name no licence."""
     random = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
-    column = {g: i for i, g in enumerate(sorted({g for f in families for t in templates(f) for g in grams(t)}))}
+    column = {g: i for i, g in enumerate(sorted({g for f in families for t in taught(f) for g in grams(t)}))}
     model = Model(families, column, np.zeros((len(column) + 2, len(families) + 1)), 1.0, [[pairs(t) for t in templates(f)] for f in families])
     texts, labels = [], []
     for i, family in enumerate(families):
-        for template in templates(family):
+        for template in taught(family):
             words = template.split()
             for n in range(varied):
                 kept = [w for w in words if random.random() > 0.1] if n and len(words) > 6 else list(words)
@@ -297,8 +337,9 @@ def statements(whole: str, model: Model, runs: Runs, titles: dict[tuple[str, ...
             out.append((begin + i, family, score, similarity, text[left : len(text) - right]))
         for n in named:
             if not any(taken[starts[n - begin] : starts[n - begin + 1]]):
-                family = titles[tuple(words_of[n])]
-                out.append((n, family, float(model.chances(lines[n])[model.families.index(family)]), 1.0, lines[n]))
+                family, score, _ = model.predict(lines[n])
+                if family == titles[tuple(words_of[n])]:  # the comparison with whole titles confirms the classifier
+                    out.append((n, family, score, 1.0, lines[n]))
 
     begin = 0
     for n in range(len(lines) + 1):

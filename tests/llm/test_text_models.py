@@ -173,6 +173,87 @@ def test_toxicity_cases(spark):
     assert model.score(new.where("false")).count() == 0
 
 
+def term_set(text):
+    return {t for w in text.split() for t in toxicity.terms(toxicity.normal_form(w)[0])}
+
+
+def test_lexicon_equals_a_plain_count(spark):
+    r = random.Random(2)
+    words = ["vile", "gnarp", "blick", "gnarping", "lake", "calm", "day", "G.n.a.r.p!", "the"]
+    rows = []
+    for i in range(300):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(r.choice(words[:4] + words if toxic else words[4:7] + words[8:]) for _ in range(r.randint(0, 12))), int(toxic)))
+    rows += [(1000, None, 0), (1001, "", 1)]
+    got = toxicity.lexicon_of(spark.createDataFrame(rows, "doc_id long, text string, toxic int").where("text IS NOT NULL").repartition(5)).odds
+    kept = [(term_set(t), y) for _, t, y in rows if t is not None]
+    bad, good = 1.0 + sum(y for _, y in kept), 1.0 + sum(1 - y for _, y in kept)
+    expected = {}
+    for term in set().union(*(s for s, _ in kept)) - {""}:
+        t, c = (sum(term in s for s, y in kept if y == side) for side in (1, 0))
+        odds = np.log((t + 0.5) / bad) - np.log((c + 0.5) / good)
+        if t >= 3 and odds > 1 and odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) > 2:
+            expected[term] = odds
+    assert expected and got.keys() == expected.keys()
+    assert all(abs(got[t] - expected[t]) < 1e-9 for t in expected)
+
+
+def plain_features(text, lexicon):
+    """The 16 features by their definition, one word at a time."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * 16
+    n, odds, odd, you = len(words), [], [], []
+    for w in words:
+        plain, hidden = toxicity.normal_form(w)
+        odds.append(max([0.0] + [lexicon.odds.get(plain, 0.0)] + [lexicon.odds.get(plain[:k] + "*", 0.0) for k in (4, 5, 6) if len(plain) > k]))
+        odd.append(hidden)
+        you.append(plain in toxicity.SECOND_PERSON)
+    strong = [i for i in range(n) if odds[i] >= 3.5]
+    medium, mild = sum(2 <= o < 3.5 for o in odds), sum(0 < o < 2 for o in odds)
+    near = sum(any(you[j] for j in range(max(0, i - 4), min(n, i + 5))) for i in strong)
+    letters, upper = sum(c.isalpha() for c in text) or 1, sum(c.isupper() for c in text)
+    return [
+        len(strong), len(strong) / n, len({words[i].lower() for i in strong}), medium, medium / n, mild / n, max(odds), sum(odds), sum(odds) / n,
+        near, near / n, sum(you) / n, upper / letters, sum(c in "!?" for c in text) / n, sum(odd) / n, np.log(1 + n),
+    ]
+
+
+def test_features_equal_a_plain_count(spark):
+    lexicon = toxicity.Lexicon({"vile": 4.0, "gnar*": 3.6, "blick": 2.5, "day": 1.2})
+    r = random.Random(3)
+    words = ["vile", "gnarping", "gnar", "you", "YOUR", "blick", "B1ick!", "day", "lake", "?!", "2024", "é", "v.i.l.e", "dich"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(200)] + ["", None, "  ", "vile you " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    for row in toxicity.featured(df, lexicon).collect():
+        assert np.allclose(row["features"], plain_features(texts[row["id"]], lexicon), atol=1e-9), texts[row["id"]]
+
+
+def test_isotonic_step_is_the_least_squares_rising_fit(spark):
+    """The isotonic step against the max-min formula; the operator's scores rise with the trees' chance."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import IsotonicRegression
+
+    r = random.Random(4)
+    rows = [(float(r.random() < x / 9), x / 9) for x in (r.randint(0, 9) for _ in range(200))]
+    frame = spark.createDataFrame(rows, "label double, raw double")
+    fitted = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(frame)
+    xs = sorted({x for _, x in rows})
+    total = [(sum(y for y, v in rows if v == x), sum(v == x for _, v in rows)) for x in xs]
+    mean = lambda i, j: sum(t for t, _ in total[i : j + 1]) / sum(n for _, n in total[i : j + 1])
+    expected = {x: max(min(mean(i, j) for j in range(k, len(xs))) for i in range(k + 1)) for k, x in enumerate(xs)}
+    for row in fitted.transform(spark.createDataFrame([(x,) for x in xs], "raw double")).collect():
+        assert abs(row["calibrated"] - expected[row["raw"]]) < 1e-9
+    # the operator's own scores rise with the trees' chance
+    docs = spark.createDataFrame([(i, ("you vile gnarp" if i % 2 else "a calm day") + f" w{i}") for i in range(80)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 2)) for i in range(80)], "doc_id long, toxic int"))
+    features = toxicity.featured(docs, model.lexicon).withColumn("features", array_to_vector("features"))
+    raw = {x["doc_id"]: float(x["probability"][1]) for x in model.trees.transform(features).collect()}
+    score = {x["doc_id"]: x["score"] for x in model.score(docs).collect()}
+    order = sorted(raw, key=lambda i: raw[i])
+    assert all(score[a] <= score[b] + 1e-12 for a, b in zip(order, order[1:], strict=False))
+
+
 def test_obfuscated_words_are_read():
     assert toxicity.normal_form("M0r0n!") == ("moron", True)
     assert toxicity.normal_form("s.c.u.m") == ("scum", True)
@@ -238,6 +319,16 @@ def test_licence_cases(spark):
     assert licences.scan(df.where("false"), model).count() == 0
 
 
+def test_every_template_and_title_is_given_to_its_own_family(spark):
+    model = licences.fit(["the cat sat on the mat in the sun", "terms of the public were free to use"] * 20)
+    rows = [(t, f) for f in licences.TEMPLATES for t in licences.taught(f)]
+    df = spark.createDataFrame([(i, f"Some text before.\n\n{t}\n\nSome text after.") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in licences.scan(df, model).collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+    assert {rows[i]: got.get(i) for i in range(len(rows))} == {row: {row[1]} for row in rows}
+
+
 NOTICES = {"mit": licences.TEMPLATES["mit"][0], "bsd": licences.TEMPLATES["bsd"][0], "gpl": licences.TEMPLATES["gpl"][0], "apache-2.0": licences.TEMPLATES["apache-2.0"][0]}
 
 
