@@ -52,12 +52,12 @@ def predict_by_attributes(
 
 
 def prepare_features(
-    spark: SparkSession, titles: str, out: str, every: int = 4, wide_text: bool = False, **options
+    spark: SparkSession, titles: str, out: str, every: int = 4, wide_text: bool = False, most_columns: int = 20_000, **options
 ) -> tuple[DataFrame, DataFrame]:
     """From the joined TSV: write ``features``, ``vocabulary``, ``train`` and ``test`` below ``out``.
 
     Parquet with sparse vectors; ``wide_text`` also writes train and test as TSV
-    with one column per position.
+    with one column per position, refused for more than ``most_columns`` of them.
     """
     with scratch_of_job(spark):
         catalog = written(C.as_catalog(St.read_titles(spark, titles)), "catalog")
@@ -71,7 +71,9 @@ def prepare_features(
     train, test = spark.read.parquet(f"{out}/train"), spark.read.parquet(f"{out}/test")
     if wide_text:
         # as many names as a row has columns
-        rows = spark.read.parquet(f"{out}/vocabulary").orderBy("pos").collect()
+        rows = spark.read.parquet(f"{out}/vocabulary").orderBy("pos").limit(most_columns + 1).collect()
+        if len(rows) > most_columns:
+            raise ValueError(f"more than {most_columns} positions are too wide for text with one column each")
         names = Fe.column_names([row["name"] for row in rows])
         St.write_tsv(Fe.wide_features(train, names), f"{out}/train_text")
         St.write_tsv(Fe.wide_features(test, names), f"{out}/test_text")

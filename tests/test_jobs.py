@@ -43,6 +43,9 @@ def test_chain(spark, inputs):
     train, test = jobs.prepare_features(spark, titles, f"{inputs}/prepared", wide_text=True)
     assert test.count() == n // 4 and train.count() == n - n // 4
 
+    with pytest.raises(ValueError, match="too wide"):
+        jobs.prepare_features(spark, titles, f"{inputs}/narrow", wide_text=True, most_columns=3)
+
     exact = jobs.predict_by_vectors(train, test, f"{inputs}/exact", method="exact")
     lsh = jobs.predict_by_vectors(train, test, f"{inputs}/lsh")
     assert exact.count() == lsh.count() == n // 4
