@@ -73,3 +73,28 @@ def test_a_person_with_a_third_of_all_titles_makes_no_pairs(spark):
         cells = P.cells_of(P.with_hot_people(catalog, "id", hot), 5)
         assert cells.agg(F.max(F.size("members"))).head()[0] <= 10
     assert counts[1] < 6 * counts[0]  # in proportion to the rows (4 times), not to their square (16 times)
+
+
+@pytest.mark.parametrize("overlap, most", [("ratio", 6), ("exact", 0)])
+def test_measured_bound_gives_the_same_as_every_pair(spark, monkeypatch, overlap, most):
+    """The bound is measured, and queries that are alike in all that the cells compare meet them once."""
+    monkeypatch.setattr(P, "HOT_TITLES", 2)
+    monkeypatch.setattr(P, "PAIRS_PER_QUERY", most)
+    rows = titles(160, 0.35, names=5)
+    catalog = spark.createDataFrame(rows, SCHEMA)
+    queries = spark.createDataFrame(rows[:60], SCHEMA).withColumnRenamed("id", "qid")
+    columns = ["qid", "id", "rank", "score"]
+    got = sorted(tuple(r) for r in P.attribute_neighbours(catalog, queries, 7, overlap=overlap).select(columns).collect())
+    assert got == sorted(tuple(r) for r in every_pair(catalog, queries, 7, overlap).select(columns).collect())
+
+
+def test_cells_do_not_grow_with_the_titles_where_all_people_have_many(spark):
+    """150 titles a person at both sizes: the index takes them, and titles equal but for their people are one cell."""
+    counts = []
+    for n in (1500, 6000):
+        rows = [(i, f"t{i % 9}", 0, 60 + i % 5, ["a"], [f"w{i // 150}"] * (1 + i % 3), [f"d{i % (n // 150)}"], 1.0, 1) for i in range(n)]
+        catalog = spark.createDataFrame(rows, SCHEMA)
+        hot_titles = P.measured_hot_titles(catalog, catalog.filter("id % 4 = 0").withColumnRenamed("id", "qid"))
+        assert 150 <= hot_titles < 300
+        counts.append(P.cells_of(P.with_hot_people(catalog, "id", P.hot_people(catalog, hot_titles)), 5).count())
+    assert counts == [10, 10]
