@@ -44,13 +44,6 @@ def signature(vector: Column, id_col: Column, count: int = 25, seed: str = "") -
     )
 
 
-def probes(vector: Column, band_keys: Column, count: int, bands: int, most: int, seed: str = "") -> Column:
-    """``ARRAY<STRUCT<band, key>>``: the buckets around a query, nearest first; its own come first of all."""
-    by_value(kernels)
-    kind = T.ArrayType(T.StructType([T.StructField("band", T.IntegerType()), T.StructField("key", T.LongType())]))
-    return F.arrow_udf(kernels.probe_order(count, bands, seed, most), kind)(vector, band_keys)
-
-
 def split_bands(sig: Column, count: int, bands: int) -> Column:
     """Signature of ``count`` values cut into at most ``bands`` runs of equal length; the last may be short."""
     length = -(-count // bands)

@@ -106,24 +106,34 @@ def plane_sides(count, seed):
     return sides
 
 
-def probe_order(count, bands, seed, most):
-    """For an Arrow UDF on (vector, band keys): the buckets to look into, nearest first, at most ``most`` of them.
+# Queries whose probes are held at a time.
+PROBE_ROWS = 128
+
+
+def probe_adder(count, bands, seed, most):
+    """For ``mapInArrow`` on rows with ``vector`` and ``band_keys``: adds ``probes``, the ``most`` buckets to look into, nearest first.
 
     A bucket is the query's own key with some planes' sides flipped; it is as far as
-    the query lies from these planes, taken together.
+    the query lies from these planes, taken together. Goes on a few queries at a time.
     """
-    known = {}
     length = -(-count // bands)
 
-    def order(vectors: pa.Array, keys: pa.Array) -> pa.Array:
-        m = matrix(vectors)
-        if m.shape[1] not in known:
-            known[m.shape[1]] = plane_matrix(count, m.shape[1], seed)
-        far = np.abs(m @ known[m.shape[1]].T)
-        rows = [nearest_flips(d, own, length, most) for d, own in zip(far, keys.to_pylist(), strict=True)]
-        return pa.array(rows, pa.list_(pa.struct([("band", pa.int32()), ("key", pa.int64())])))
+    def run(batches):
+        known = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, PROBE_ROWS):
+                batch = whole.slice(start, PROBE_ROWS)
+                m = matrix(batch.column("vector"))
+                if m.shape[1] not in known:
+                    known[m.shape[1]] = plane_matrix(count, m.shape[1], seed)
+                far = np.abs(m @ known[m.shape[1]].T)
+                found = [nearest_flips(d, own, length, most) for d, own in zip(far, batch.column("band_keys").to_pylist(), strict=True)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                flat = np.array([x for row in found for x in row], dtype=np.int64).reshape(-1, 2)
+                pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1])], ["band", "key"])
+                yield batch.append_column("probes", pa.ListArray.from_arrays(pa.array(ends), pairs))
 
-    return order
+    return run
 
 
 def nearest_flips(far, own, length, most):
@@ -138,7 +148,7 @@ def nearest_flips(far, own, length, most):
     out = []
     while heap and len(out) < most:
         cost, band, key, last, before = heapq.heappop(heap)
-        out.append({"band": band, "key": key})
+        out.append((band, key))
         near, bit = bands[band]
         if last + 1 < len(near):
             # one more plane, or the next plane in place of the last one
@@ -149,22 +159,13 @@ def nearest_flips(far, own, length, most):
     return out
 
 
-def pair_cosine(one: pa.Array, other: pa.Array) -> pa.Array:
-    """For an Arrow UDF: cosine of the vectors of each row; null where one has no length."""
-    positions = None
-    if pa.types.is_struct(one.type):
-        positions = np.unique(np.concatenate([flat_indices(one), flat_indices(other)]))
-    (a, a_ok), (b, b_ok) = unit_matrix(one, positions), unit_matrix(other, positions)
-    ok = a_ok & b_ok
-    return pa.array(np.where(ok, (a * b).sum(axis=1), 0.0), mask=~ok)
-
-
 # --- scorers: (queries, catalog rows) -> matrix of scores, HIDDEN where a pair is not compared ---
 
 
 class CosineScorer:
-    def __init__(self, exclude_self=True):
-        self.exclude_self = exclude_self
+    def __init__(self, exclude_self=True, null_is_self=False):
+        """``null_is_self``: a row without an id is the own row of a query without one."""
+        self.exclude_self, self.null_is_self = exclude_self, null_is_self
 
     def prepare(self, queries):
         vectors = column(queries, "vector")
@@ -182,7 +183,10 @@ class CosineScorer:
         out[~queries["ok"][pick], :] = HIDDEN
         out[:, ~rows["ok"]] = HIDDEN
         if self.exclude_self:
-            hide_equal(out, queries["qid"].take(pa.array(pick)), rows["id"])
+            theirs = queries["qid"].take(pa.array(pick))
+            hide_equal(out, theirs, rows["id"])
+            if self.null_is_self and theirs.null_count and rows["id"].null_count:
+                out[np.ix_(*[np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)) for ids in (theirs, rows["id"])])] = HIDDEN
         return out
 
 
@@ -435,17 +439,124 @@ def scan_scorer(queries, scorer, k, carry, id_desc=False):
     return run
 
 
-def block_scorer(schema, scorer, k, carry, id_desc=False):
-    """For a cogrouped ``applyInArrow``: one block of catalog rows against one block of queries."""
+def block_scorer(schema, scorer, k, carry, id_desc=False, catalog_block=None, query_block=None):
+    """For a cogrouped ``applyInArrow``: catalog rows against queries, all at once or in blocks of these sides."""
 
     def run(catalog, queries):
-        out = None
-        if catalog.num_rows and queries.num_rows:
-            best = Best(queries, scorer, k, carry, id_desc)
-            best.add(catalog)
+        found = []
+        step, side = query_block or queries.num_rows, catalog_block or catalog.num_rows
+        for start in range(0, queries.num_rows if catalog.num_rows else 0, step):
+            best = Best(queries.slice(start, step), scorer, k, carry, id_desc)
+            for first in range(0, catalog.num_rows, side):
+                best.add(catalog.slice(first, side))
             out = best.table()
-        if out is None:
+            if out is not None:
+                found.append(out.select(["qid", "id", "score", *carry]).cast(schema))
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    return run
+
+
+# Queries of a cell that are held with their k best at a time.
+CELL_QUERIES = 4096
+
+
+def cell_scorer(schema, scorer, k, carry, bucket):
+    """For a cogrouped ``applyInArrow``: the catalog rows of a cell against its queries, where both name the same bucket.
+
+    A cell is a hash, so that two buckets may share one.
+    """
+
+    def run(catalog, queries):
+        found = []
+        for key in queries.select(bucket).group_by(bucket).aggregate([]).to_pylist() if catalog.num_rows else []:
+            own, theirs = (t.filter(pc.and_(*[pc.equal(t.column(n), key[n]) for n in bucket])) for t in (catalog, queries))
+            for start in range(0, theirs.num_rows if own.num_rows else 0, CELL_QUERIES):
+                best = Best(theirs.slice(start, CELL_QUERIES), scorer, k, carry)
+                best.add(own)
+                out = best.table()
+                if out is not None:
+                    found.append(out.select(["qid", "id", "score", *carry]).cast(schema))
+        return pa.concat_tables(found) if found else schema.empty_table()
+
+    return run
+
+
+def bucket_pairs(schema, marks):
+    """For a cogrouped ``applyInArrow``: the pairs of catalog rows and queries that share a kept bucket, each once.
+
+    ``marks``, if given, is a list column of the queries; ``marked`` is how often the row's id stands in it.
+    """
+
+    def run(catalog, queries):
+        if not catalog.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        ids, own = column(catalog, "id"), column(catalog, "band_keys")
+        keys = pc.list_flatten(own).to_numpy(zero_copy_only=False).reshape(len(own), -1)
+        bands = [np.unique(keys[:, b], return_inverse=True) for b in range(keys.shape[1])]
+        kept = column(queries, "kept")
+        ends = kept.offsets.to_numpy(zero_copy_only=False) - kept.offsets[0].as_py()
+        flat = kept.flatten()
+        band, key = (pc.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in ("band", "key"))
+        at, rows, marked = [], [], []
+        for q in range(len(kept)):
+            # a bucket that is listed twice counts twice
+            times = np.zeros(len(ids), dtype=np.int32)
+            for b, (names, code) in enumerate(bands):
+                looked = key[ends[q] : ends[q + 1]][band[ends[q] : ends[q + 1]] == b]
+                if len(looked):
+                    place = np.minimum(np.searchsorted(names, looked), len(names) - 1)
+                    n = np.bincount(place[names[place] == looked], minlength=len(names)).astype(np.int32)[code]
+                    np.copyto(times, n, where=times == 0)
+            row = np.flatnonzero(times)
+            if len(row) and times.max() > 1:
+                row = np.repeat(row, times[row])
+            at.append(np.full(len(row), q))
+            rows.append(row)
+            if marks is not None:
+                listed = queries.column(marks)[q].values
+                n = np.zeros(len(ids), dtype=np.int64)
+                for x in listed if listed is not None else []:
+                    n += pc.fill_null(pc.equal(ids, x), False).to_numpy(zero_copy_only=False)
+                marked.append(n[row])
+        out = {"qid": column(queries, "qid").take(pa.array(np.concatenate(at))), "cand_id": ids.take(pa.array(np.concatenate(rows)))}
+        if marks is not None:
+            out["marked"] = pa.array(np.concatenate(marked))
+        return pa.table(out).cast(schema)
+
+    return run
+
+
+def bound_finder(schema, slack=None):
+    """For a cogrouped ``applyInArrow``: blocks' greatest and least weights against queries.
+
+    Without ``slack`` each query's block of the highest bound (ties: the first), else all
+    whose bound reaches the query's ``kth`` less the slack, or all if it has none.
+    """
+
+    def run(blocks, queries):
+        if not blocks.num_rows or not queries.num_rows:
             return schema.empty_table()
-        return out.select(["qid", "id", "score", *carry]).cast(schema)
+        vectors, cells = column(queries, "vector"), column(blocks, "cells")
+        row = pc.list_parent_indices(cells).to_numpy(zero_copy_only=False)
+        pos, high, low = (pc.struct_field(pc.list_flatten(cells), n).to_numpy(zero_copy_only=False) for n in ("pos", "high", "low"))
+        positions = np.unique(flat_indices(vectors)) if pa.types.is_struct(vectors.type) else None
+        unit, _ = unit_matrix(vectors, positions)
+        named = np.arange(unit.shape[1]) if positions is None else positions
+        place = np.minimum(np.searchsorted(named, pos), max(len(named) - 1, 0))
+        used = named[place] == pos if len(named) else np.zeros(len(pos), bool)
+        most, least = np.zeros((len(cells), len(named))), np.zeros((len(cells), len(named)))
+        most[row[used], place[used]], least[row[used], place[used]] = high[used], low[used]
+        bound = np.maximum(unit, 0.0) @ most.T + np.minimum(unit, 0.0) @ least.T
+        number, qid = column(blocks, "id").to_numpy(zero_copy_only=False), column(queries, "qid")
+        if slack is None:
+            order = np.argsort(number, kind="stable")
+            at = order[np.argmax(bound[:, order], axis=1)]
+            out = {"qid": qid, "block": pa.array(number[at]), "bound": pa.array(bound[np.arange(len(at)), at])}
+        else:
+            kth = pc.fill_null(column(queries, "kth"), -np.inf).to_numpy(zero_copy_only=False)
+            q, at = np.nonzero(bound >= kth[:, None] - slack)
+            out = {"qid": qid.take(pa.array(q)), "block": pa.array(number[at])}
+        return pa.table(out).cast(schema)
 
     return run

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from affinara import kernels
 from affinara.functions import bands as B
@@ -15,12 +17,19 @@ from affinara.operators.neighbours import (
     BLOCK_KEYS,
     CATALOG_BLOCK,
     QUERY_BLOCK,
+    blocks,
     bucket_blocks,
+    grid,
     k_nearest,
     look_rows,
+    shuffle_partitions,
 )
 from affinara.operators.predict import for_every_query, mean_rating
-from affinara.shipping import is_small, join_spread, written
+from affinara.shipping import by_value, is_small, join_spread, written
+
+# Sides of the blocks in which a batch with budgets meets the titles: a query's list of buckets is long, a title's keys are few.
+PAIRS_CATALOG = 65_536
+PAIRS_QUERIES = 256
 
 
 def lsh_index(
@@ -52,7 +61,10 @@ def with_probes(
     A search then looks into these in their order until its ``budget`` of candidates is
     spent, in place of the query's own bucket in every band. Use the index's own settings.
     """
-    return queries.withColumn("probes", B.probes(F.col("vector"), F.col("band_keys"), planes, bands, most, seed))
+    by_value(kernels)
+    bucket = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("key", T.LongType())])
+    schema = T.StructType([*queries.schema.fields, T.StructField("probes", T.ArrayType(bucket))])
+    return queries.mapInArrow(kernels.probe_adder(planes, bands, seed, most), schema)
 
 
 def in_bands(index: DataFrame) -> DataFrame:
@@ -131,6 +143,7 @@ def lsh_candidates(
     form: str = "grid",
     catalog_block: int = CATALOG_BLOCK,
     query_block: int = QUERY_BLOCK,
+    marks: str | None = None,
 ) -> DataFrame:
     """``(qid, cand_id)``: titles that share a kept bucket with the query, each once.
 
@@ -140,10 +153,18 @@ def lsh_candidates(
     unless counting proves its rows to be few. A pair that meets in several kept buckets
     is emitted in the first of them only, so the pairs are distinct without another shuffle.
 
+    Within a ``budget`` a query looks into many buckets: whole tables then meet in blocks,
+    where each pair is found once. ``marks``, a list column of the queries, adds
+    ``marked``: how often the title stands in its query's list.
+
     The pairs are the result: with the default settings about 15 % of all pairs of
     unrelated titles, at any size. Use ``lsh_neighbours`` where the k best are wanted.
     """
-    looks = looked_into(index, queries, [], max_share, sizes, budget)
+    if marks is not None and budget is None:
+        raise ValueError("marks need a budget")
+    looks = looked_into(index, queries, [] if marks is None else [marks], max_share, sizes, budget)
+    if budget is not None and form == "grid":
+        return pairs_in_blocks(index, looks, marks)
     catalog = index.select("id", "band_keys")
     if form == "scan":
         if not is_small(look_rows(looks)):
@@ -161,6 +182,22 @@ def lsh_candidates(
     )
 
 
+def pairs_in_blocks(index: DataFrame, looks: DataFrame, marks: str | None = None) -> DataFrame:
+    """``(qid, cand_id)``, and ``marked`` if asked for: titles and queries meet once, in blocks that hold few queries with long lists."""
+    by_value(kernels)
+    n_c = blocks(index.select(F.count(F.lit(1))).scalar(), PAIRS_CATALOG)
+    n_q = blocks(looks.select(F.count(F.lit(1))).scalar(), PAIRS_QUERIES)
+    kept = F.transform("kept", lambda b: F.struct(b["band"].alias("band"), b["key"].alias("key"))).alias("kept")
+    own, asked = index.select("id", "band_keys"), looks.select("qid", kept, *([] if marks is None else [marks]))
+    left, right = grid(own, asked.select([F.col(name).alias(name) for name in asked.columns]), n_c, n_q)
+    parts, keys = shuffle_partitions(index), BLOCK_KEYS[2:]
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
+    pair = [T.StructField("qid", looks.schema["qid"].dataType), T.StructField("cand_id", index.schema["id"].dataType)]
+    schema = T.StructType(pair if marks is None else [*pair, T.StructField("marked", T.LongType())])
+    run = kernels.bucket_pairs(to_arrow_schema(schema), marks)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def lsh_neighbours(
     index: DataFrame,
     queries: DataFrame,
@@ -170,7 +207,7 @@ def lsh_neighbours(
     include_self: bool = False,
     sizes: DataFrame | None = None,
     budget: float | None = None,
-    **blocks,
+    **block_sides,
 ) -> DataFrame:
     """The k best among each query's candidates: ``(qid, id, score, rating, rank)``.
 
@@ -190,7 +227,7 @@ def lsh_neighbours(
         carry=["rating"],
         in_buckets=True,
         id_desc=by_id,
-        **blocks,
+        **block_sides,
     )
 
 

@@ -20,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from affinara import kernels
 from affinara.functions.text import round_half_up
@@ -116,24 +117,31 @@ def neighbours(queries: DataFrame, path: str, k: int = 10, max_share: float = 0.
     looks = L.look_rows(L.looked_into(None, batch, ["vector"], max_share, total)).drop("kept", "rows_c")
     found = None
     for row in known:
-        met = _met(looks, table(spark, path, row), sizes_of(spark, path, row), include_self)
+        met = _met(looks, table(spark, path, row), sizes_of(spark, path, row), k, include_self)
         found = met if found is None else found.unionByName(met)
     # a pair that was met in several buckets counts once
     found = found.groupBy("qid", "id").agg(F.max("score").alias("score"), F.first("rating").alias("rating"))
     return k_first(found, "qid", k)
 
 
-def _met(looks: DataFrame, titles: DataFrame, sizes: DataFrame, include_self: bool) -> DataFrame:
-    """``(qid, id, score, rating)``: queries and titles that share a bucket, joined on the files' own key."""
+def _met(looks: DataFrame, titles: DataFrame, sizes: DataFrame, k: int, include_self: bool) -> DataFrame:
+    """``(qid, id, score, rating)``: each query's k best titles of every cell it looks into; cells are dealt as the files are."""
     parts = join_spread(looks, sizes.select("band", "band_key", "parts"), L.BLOCK_KEYS[:2], "qid")
     parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("cell", cell())
-    asked = parts.select("cell", "qid", F.col("vector").alias("q_vector"), F.col("band").alias("q_band"), F.col("band_key").alias("q_key"))
-    pairs = titles.drop("band_keys").join(asked.hint("merge"), "cell")
-    # cells are hashes; a difference is no join key, so the layout by cell alone serves the join
-    same = (F.col("band") - F.col("q_band") == 0) & (F.col("band_key").bitwiseXOR(F.col("q_key")) == 0)
-    pairs = pairs.filter(same if include_self else same & ~F.col("id").eqNullSafe(F.col("qid")))
-    cosine = F.arrow_udf(kernels.pair_cosine, T.DoubleType())(F.col("vector"), F.col("q_vector"))
-    return pairs.select("qid", "id", F.round(cosine, 9).alias("score"), "rating").filter(F.col("score").isNotNull())
+    asked = parts.select("cell", "band", "band_key", "qid", "vector")
+    # only the cells that the batch looks into go to Python, each vector once
+    wanted = asked.select("cell").distinct()
+    own = titles.select("cell", "band", "band_key", "id", "vector", "rating").join(wanted.hint("merge"), "cell")
+    schema = T.StructType(
+        [
+            T.StructField("qid", looks.schema["qid"].dataType),
+            T.StructField("id", titles.schema["id"].dataType),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("rating", titles.schema["rating"].dataType),
+        ]
+    )
+    run = kernels.cell_scorer(to_arrow_schema(schema), kernels.CosineScorer(not include_self, null_is_self=True), k, ("rating",), L.BLOCK_KEYS[:2])
+    return own.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(run, schema)
 
 
 def predict(queries: DataFrame, path: str, k: int = 10, denominator: str = "found", **options) -> DataFrame:

@@ -437,14 +437,16 @@ def lsh_probe_recall(spark, sf):
     train, batch = hold_out_vectors(spark, sf)
     exact = written(P.cosine_neighbours(train, batch).select("qid", "id"), "exact")
     index, looks = probed(spark, sf)
+    nearest = exact.groupBy("qid").agg(F.collect_list("id").alias("nearest"))
+    looks = written(looks.join(nearest, "qid", "left"), "marked")
     sizes = written(L.bucket_sizes(index), "sizes")
     total = exact.select(F.count(F.lit(1))).scalar()
     pairs = index.select(F.count(F.lit(1))).scalar() * looks.select(F.count(F.lit(1))).scalar()
     out = None
     for budget in BUDGETS:
-        met = L.lsh_candidates(index, looks, sizes=sizes, budget=budget).withColumnRenamed("cand_id", "id")
-        met = met.join(exact.withColumn("hit", F.lit(1)), ["qid", "id"], "left")
-        row = met.agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("met")).select(
+        # hits are marked where a pair is met: the pairs are counted, never shuffled
+        met = L.lsh_candidates(index, looks, sizes=sizes, budget=budget, marks="nearest")
+        row = met.agg(F.sum("marked").alias("hits"), F.sum(F.greatest("marked", F.lit(1))).alias("met")).select(
             F.lit(budget).alias("budget"),
             F.round(F.col("hits") / total, 6).alias("recall"),
             F.round(F.col("met") / pairs, 6).alias("pair_share"),
