@@ -7,7 +7,8 @@ the caller picks:
 * ``form="grid"`` (the default): catalog and queries meet in a grid of blocks
   (every catalog row is copied once per query block of its bucket, every query
   once per catalog block). Block sides are bounded and ids are spread by hash, so
-  a bucket holding a third of all rows is simply many blocks.
+  a bucket holding a third of all rows is simply many blocks. Blocks of whole tables
+  are shuffled in units of up to ``UNIT_ROWS`` rows a side and cut inside the task.
 * ``form="scan"``: the query batch goes to every task and the catalog is scanned
   where it lies, without a shuffle. For batches of at most ``scan_bytes``, which
   is measured in Spark before the batch is read; a larger one is refused.
@@ -33,6 +34,8 @@ SCAN_BYTES = 64 * 1024 * 1024
 CATALOG_BLOCK = 4096
 QUERY_BLOCK = 4096
 LEAST_BLOCK = 256
+# Rows of a side that are shuffled together: several blocks, so that a small block does not multiply the rows that move.
+UNIT_ROWS = 8192
 BLOCK_KEYS = ["band", "band_key", "block_c", "block_q"]
 
 
@@ -78,14 +81,14 @@ def k_nearest(
             left, right = left.drop("band_keys"), right.drop("kept")
             keys = BLOCK_KEYS
         else:
-            left, right = table_blocks(catalog, queries, catalog_block, query_block)
+            left, right = table_blocks(catalog, queries, max(catalog_block, UNIT_ROWS), max(query_block, UNIT_ROWS))
             keys = BLOCK_KEYS[2:]
         # both sides may come from one table: give the query side's columns their own identity
         right = right.select([F.col(name).alias(name) for name in right.columns])
         # by number, so that few bytes with much work are not merged into few tasks
         parts = shuffle_partitions(catalog)
         left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
-        run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), id_desc)
+        run = kernels.block_scorer(to_arrow_schema(schema), scorer, k, tuple(carry), id_desc, catalog_block, query_block)
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
     if in_buckets:
         # a pair that was met in several buckets counts once, whatever the last bits of its scores
