@@ -19,13 +19,17 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from affinara import kernels
-from affinara.operators.neighbours import QUERY_BLOCK, every, part_of, shuffle_partitions
+from affinara.operators.neighbours import BLOCK_KEYS, QUERY_BLOCK, every, grid, part_of, shuffle_partitions
+from affinara.operators.neighbours import blocks as blocks_of
 from affinara.operators.ranking import global_row_number
 from affinara.shipping import broadcast_if_small, by_value, written
 
 BLOCK_ROWS = 1024
 # scores are compared as multiples of 1e-9; a bound is a sum of rounded products
 SLACK = 1e-8
+# Blocks whose bounds a task holds, and parts of the queries if their number allows.
+BOUND_BLOCKS = 1024
+BOUND_PARTS = 64
 
 
 def norm(vector, kind: T.DataType):
@@ -78,13 +82,21 @@ def block_bounds(blocks: DataFrame) -> DataFrame:
     )
 
 
-def query_bounds(asked: DataFrame, bounds: DataFrame, n_blocks: int) -> DataFrame:
-    """``(qid, block, bound)`` for all blocks: no title of the block has a higher cosine with the query."""
-    cells = weights(asked, "qid")
-    most = F.greatest(F.col("weight") * F.col("high"), F.col("weight") * F.col("low"))
-    touched = cells.join(bounds, "pos").groupBy("qid", "block").agg(F.sum(most).alias("bound"))
-    all_blocks = asked.select("qid", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    return all_blocks.join(touched, ["qid", "block"], "left").select("qid", "block", F.coalesce("bound", F.lit(0.0)).alias("bound"))
+def bounded(asked: DataFrame, bounds: DataFrame, n_blocks: int, slack: float | None = None) -> DataFrame:
+    """``(qid, block, bound)``, the highest bound of each query and part of the blocks; with ``slack`` ``(qid, block)``, all that reach ``kth``.
+
+    No title of a block has a higher cosine with the query than the bound. Queries and
+    blocks meet in a grid, so that only what is asked for becomes rows.
+    """
+    by_value(kernels)
+    per_block = bounds.groupBy(F.col("block").alias("id")).agg(F.collect_list(F.struct("pos", "high", "low")).alias("cells"))
+    rows = asked.select("qid", "vector", *([] if slack is None else ["kth"]))
+    left, right = grid(per_block, rows, blocks_of(F.lit(n_blocks), BOUND_BLOCKS), blocks_of(asked.select(F.count(F.lit(1))).scalar(), QUERY_BLOCK, BOUND_PARTS))
+    right, keys, parts = right.select([F.col(name).alias(name) for name in right.columns]), BLOCK_KEYS[2:], shuffle_partitions(asked)
+    found = [T.StructField("qid", asked.schema["qid"].dataType), T.StructField("block", T.IntegerType())]
+    schema = T.StructType([*found, T.StructField("bound", T.DoubleType())] if slack is None else found)
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernels.bound_finder(to_arrow_schema(schema), slack), schema)
 
 
 def met(blocks: DataFrame, asked: DataFrame, wanted: DataFrame, k: int, include_self: bool, query_block: int) -> DataFrame:
@@ -121,13 +133,13 @@ def pruned_neighbours(
     blocks = written(in_blocks(features.select("id", "vector", "rating"), block_rows), "cosine-blocks")
     asked = written(with_lengths(queries.select("qid", "vector")), "cosine-queries")
     n_blocks = max(1, ceil(blocks.count() / block_rows))
-    bounds = written(query_bounds(asked, block_bounds(blocks), n_blocks), "cosine-bounds")
-    first = bounds.groupBy("qid").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("block"))
+    bounds = written(block_bounds(blocks), "cosine-bounds")
+    first = bounded(asked, bounds, n_blocks).groupBy("qid").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("block"))
     first = written(first, "first-blocks")
     found = written(met(blocks, asked, first, k, include_self, query_block), "first-found")
     reach = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-    more = bounds.join(reach, "qid", "left").filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - SLACK))
-    more = written(more.select("qid", "block").join(first, ["qid", "block"], "left_anti"), "more-blocks")
+    more = bounded(asked.join(reach, "qid", "left"), bounds, n_blocks, SLACK).distinct()
+    more = written(more.join(first, ["qid", "block"], "left_anti"), "more-blocks")
     if report is not None:
         sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
         pairs = first.unionByName(more).join(sizes, "block").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).head()["n"]
