@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from affinara import kernels
 from affinara.functions import bands as B
 from affinara.functions.text import round_half_up
+from affinara.operators.alike import lsh_by_class
 from affinara.operators.neighbours import (
     BLOCK_KEYS,
     CATALOG_BLOCK,
@@ -207,16 +208,23 @@ def lsh_neighbours(
     include_self: bool = False,
     sizes: DataFrame | None = None,
     budget: float | None = None,
+    form: str = "grid",
     **block_sides,
 ) -> DataFrame:
     """The k best among each query's candidates: ``(qid, id, score, rating, rank)``.
 
     Similarity is computed bucket by bucket; candidate pairs are never written out.
     ``neighbour_order="id_desc"`` takes the k largest ids instead of the most similar.
+    ``form="classes"`` gives the same rows and scores equal vectors of a bucket once
+    (``operators.alike``).
     """
     if neighbour_order not in ("similarity", "id_desc"):
         raise ValueError(f"unknown neighbour order: {neighbour_order}")
     by_id = neighbour_order == "id_desc"
+    if form == "classes":
+        if by_id:
+            raise ValueError("form='classes' is for the most similar")
+        return lsh_by_class(index, looked_into(index, queries, ["vector"], max_share, sizes, budget), k, include_self, **block_sides)
     data = [] if by_id else ["vector"]
     scorer = (kernels.MembershipScorer if by_id else kernels.CosineScorer)(exclude_self=not include_self)
     return k_nearest(
@@ -227,6 +235,7 @@ def lsh_neighbours(
         carry=["rating"],
         in_buckets=True,
         id_desc=by_id,
+        form=form,
         **block_sides,
     )
 

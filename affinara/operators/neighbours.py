@@ -56,7 +56,7 @@ def k_nearest(
 
     ``catalog`` has ``id``, the scorer's columns and ``carry``; ``queries`` has
     ``qid`` and the scorer's columns. With ``in_buckets`` the catalog has ``band_keys``
-    and the queries ``kept`` (bands, keys and bucket sizes), and only rows of a kept
+    (or ``band`` and ``band_key``, one row per bucket) and the queries ``kept`` (bands, keys and bucket sizes), and only rows of a kept
     bucket meet.
     """
     by_value(kernels)
@@ -124,7 +124,7 @@ def bucket_blocks(
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides once per band and bucket they share, with block numbers inside the bucket."""
     on = BLOCK_KEYS[:2]
-    rows = catalog.select(F.posexplode("band_keys").alias(*on), *catalog.columns)
+    rows = catalog if "band" in catalog.columns else catalog.select(F.posexplode("band_keys").alias(*on), *catalog.columns)
     looks = look_rows(queries)
     # one row per bucket that is looked into: far fewer than either side's rows
     sizes = looks.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_q"), F.max("rows_c").alias("rows_c"))

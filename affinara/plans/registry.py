@@ -370,7 +370,7 @@ def lsh_predict_features(spark, sf):
     features, _ = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
     train, test = R.systematic_split(written(features, "features"))
     index = written(L.lsh_index(train), "index")
-    return L.lsh_predict(index, written(L.lsh_index(standin.as_batch(test), id_name="qid"), "batch"))
+    return L.lsh_predict(index, written(L.lsh_index(standin.as_batch(test), id_name="qid"), "batch"), form="classes")
 
 
 def indexed(spark, sf, planes: int = 25, bands: int = 5) -> tuple[DataFrame, DataFrame]:
