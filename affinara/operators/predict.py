@@ -17,6 +17,7 @@ from affinara.functions.similarity import (
 )
 from affinara.functions.sums import exact_mean, exact_sum
 from affinara.functions.text import MISSING
+from affinara.operators.alike import cosine_by_class
 from affinara.operators.neighbours import k_nearest, shuffle_partitions
 from affinara.operators.pruned import pruned_neighbours
 from affinara.shipping import broadcast_if_small, join_spread, written
@@ -252,7 +253,10 @@ def cosine_neighbours(
 
     ``form="pruned"`` gives the same rows and skips blocks of titles that cannot hold one
     of them (``operators.pruned``); it pays where few positions carry most of a vector.
+    ``form="classes"`` gives them too and scores equal vectors once (``operators.alike``).
     """
+    if form == "classes":
+        return cosine_by_class(features, queries, k, include_self, **blocks)
     if form == "pruned":
         return pruned_neighbours(features, queries, k, include_self, **blocks)
     return k_nearest(

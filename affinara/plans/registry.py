@@ -342,7 +342,7 @@ def cosine_predict_features(spark, sf):
     """Whole pipeline: catalog, feature vectors, split, exact cosine prediction."""
     features, _ = Fe.build_features(standin.stored_catalog(spark, sf, *FEATURE_COLUMNS), KINDS)
     train, test = R.systematic_split(written(features, "features"))
-    return rounded(P.cosine_predict(train, standin.as_batch(test)), "predicted")
+    return rounded(P.cosine_predict(train, standin.as_batch(test), form="classes"), "predicted")
 
 
 @query

@@ -43,6 +43,33 @@ def scored(found):
     return sorted(map(tuple, found.select("qid", "id", "rank", "score").collect()))
 
 
+@pytest.mark.parametrize("include_self", [False, True])
+def test_cosine_rows_are_those_of_the_full_search(spark, include_self):
+    features = spark.createDataFrame(sparse_rows(240), SPARSE)
+    for k in (1, 5, 100):
+        full = P.cosine_neighbours(features, batch_of(features), k, include_self)
+        found = P.cosine_neighbours(features, batch_of(features), k, include_self, form="classes")
+        assert found.columns == full.columns and listed(found) == listed(full) != []
+
+
+def test_cosine_rows_with_repeated_ids(spark):
+    features = odd(spark, sparse_rows(200))
+    full = P.cosine_neighbours(features, batch_of(features), 6)
+    found = P.cosine_neighbours(features, batch_of(features), 6, form="classes")
+    assert scored(found) == scored(full)
+
+
+def test_dense_vectors_names_and_no_rows(spark):
+    r = random.Random(1)
+    rows = [(f"t{i}", [r.choice([0.0, -1.0, 2.0]) for _ in range(3)], 1.0) for i in range(90)] + [(None, [1.0, 1.0, 1.0], 2.0)]
+    features = spark.createDataFrame(rows, "id string, vector array<double>, rating double")
+    queries = features.withColumnRenamed("id", "qid")
+    listed = lambda found: sorted((str(r["qid"]), str(r["id"]), r["score"]) for r in found.collect())
+    assert listed(P.cosine_neighbours(features, queries, 200, form="classes")) == listed(P.cosine_neighbours(features, queries, 200))
+    for a, b in ((features.filter("false"), queries), (features, queries.filter("false"))):
+        assert P.cosine_neighbours(a, b, form="classes").count() == 0
+
+
 @pytest.mark.parametrize("options", [{}, {"max_share": 1.0}, {"max_share": 0.02}, {"include_self": True, "max_share": 1.0}])
 def test_lsh_rows_are_those_of_the_full_search(spark, options):
     """Many of these vectors lie on planes, so that equal vectors fall into different buckets by their ids."""
@@ -64,7 +91,14 @@ def test_lsh_prediction_with_repeated_ids(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, full.collect()))
 
 
-@pytest.mark.parametrize("search", ["lsh"])
+def test_class_of_many_queries_takes_its_list_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(alike, "CLASS_QUERIES", 4)
+    features = spark.createDataFrame(sparse_rows(120), SPARSE)
+    found = P.cosine_neighbours(features, batch_of(features), 5, form="classes")
+    assert listed(found) == listed(P.cosine_neighbours(features, batch_of(features), 5))
+
+
+@pytest.mark.parametrize("search", ["cosine", "lsh"])
 def test_rows_that_meet_do_not_grow_with_copies_of_vectors(spark, monkeypatch, search):
     """Six times the titles of the same vectors: the search meets as many rows."""
     met, k_nearest = [], alike.k_nearest
