@@ -170,11 +170,20 @@ def lsh_candidates(
     if form == "scan":
         if not is_small(look_rows(looks)):
             raise ValueError("the batch's buckets are too many for form='scan': use form='grid'")
-        left, right, on = in_bands(catalog), F.broadcast(look_rows(looks)), BLOCK_KEYS[:2]
-    else:
-        left, right = bucket_blocks(catalog, looks, catalog_block, query_block)
-        # the copies per block make this side larger than Spark's estimate: never broadcast it on that
-        right, on = right.hint("merge"), BLOCK_KEYS
+        return listed_pairs(in_bands(catalog), F.broadcast(look_rows(looks)), BLOCK_KEYS[:2])
+    one_key = F.size(F.array_distinct(F.transform("kept", lambda b: F.struct(b["band"], b["key"])))) == F.size(
+        F.array_distinct(F.transform("kept", lambda b: b["band"]))
+    )
+    last = F.max(F.array_max(F.transform("kept", lambda b: b["band"])))
+    facts = looks.agg(F.coalesce(last, F.lit(0)).alias("last"), F.count_if(~one_key).alias("several")).head()
+    left, right = bucket_blocks(catalog, looks, catalog_block, query_block)
+    found = first_pairs(left, right.filter(one_key) if facts["several"] else right, facts["last"])
+    # an id with several rows of different vectors looks into several buckets of a band
+    return found.unionByName(listed_pairs(left, right.filter(~one_key).hint("merge"), BLOCK_KEYS)) if facts["several"] else found
+
+
+def listed_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``(qid, cand_id)`` of rows that meet, if their bucket is the first of the query's list that holds the title."""
     met = F.filter("kept", lambda b: b["key"] == F.get("band_keys", b["band"]))
     return (
         left.join(right, on)
@@ -183,6 +192,22 @@ def lsh_candidates(
     )
 
 
+def first_pairs(left: DataFrame, right: DataFrame, last: int) -> DataFrame:
+    """The same for queries with one kept bucket a band: keys of the bands before ``last`` are plain columns, so a pair costs a few comparisons and no list."""
+
+    def kept_key(band: int) -> Column:
+        bucket = F.get(F.filter("kept", lambda b: b["band"] == band), F.lit(0))
+        return F.when(F.col("band") > band, bucket["key"])
+
+    rows = left.select(*BLOCK_KEYS, "id", *[F.get("band_keys", F.lit(b)).alias(f"_own_{b}") for b in range(last)])
+    looks = right.select(*BLOCK_KEYS, "qid", *[kept_key(b).alias(f"_kept_{b}") for b in range(last)])
+    before = F.lit(False)
+    for b in range(last):
+        before = before | F.coalesce(F.col(f"_own_{b}") == F.col(f"_kept_{b}"), F.lit(False))
+    # the copies per block make the looks larger than Spark's estimate: never broadcast them on that
+    return rows.join(looks.hint("merge"), BLOCK_KEYS).filter(~before).select("qid", F.col("id").alias("cand_id"))
+
+
 def pairs_in_blocks(index: DataFrame, looks: DataFrame, marks: str | None = None) -> DataFrame:
     """``(qid, cand_id)``, and ``marked`` if asked for: titles and queries meet once, in blocks that hold few queries with long lists."""
     by_value(kernels)

@@ -214,6 +214,24 @@ def test_lsh_candidates(frames, max_share, blocks):
     assert set(got) == candidates_by_hand(by_hand, max_share)
 
 
+def test_pairs_are_told_apart_by_plain_columns(frames):
+    """No list is searched for each pair that meets."""
+    features, batch = frames
+    found = L.lsh_candidates(L.lsh_index(features), L.lsh_index(batch, id_name="qid"))
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+    assert joins and not any("lambda" in line for line in joins)
+
+
+@pytest.mark.parametrize("blocks", [{}, {"catalog_block": 7, "query_block": 3}])
+def test_candidates_of_ids_with_several_vectors(spark, blocks):
+    """Such a query looks into several buckets of a band; others beside it into one of each."""
+    keys = [(i, [i % 2, i % 3, i % 5]) for i in range(30)]
+    index = spark.createDataFrame(keys, "id long, band_keys array<long>")
+    looks = spark.createDataFrame([*keys[:9], (2, [1, 0, 4]), (3, keys[3][1]), (None, [0, 0, 0])], "qid long, band_keys array<long>")
+    rows = lambda **form: sorted(map(tuple, L.lsh_candidates(index, looks, 1.0, **form).collect()))
+    assert rows(**blocks) == rows(form="scan") != []
+
+
 @BUCKETS
 @pytest.mark.parametrize("max_share", [0.5, 0.02])
 @pytest.mark.parametrize("order", ["similarity", "id_desc"])
