@@ -214,10 +214,11 @@ def test_lsh_candidates(frames, max_share, blocks):
     assert set(got) == candidates_by_hand(by_hand, max_share)
 
 
-def test_pairs_are_told_apart_by_plain_columns(frames):
+@pytest.mark.parametrize("blocks", [{}, {"catalog_block": 512, "query_block": 128}])
+def test_pairs_are_told_apart_by_plain_columns(frames, blocks):
     """No list is searched for each pair that meets."""
     features, batch = frames
-    found = L.lsh_candidates(L.lsh_index(features), L.lsh_index(batch, id_name="qid"))
+    found = L.lsh_candidates(L.lsh_index(features), L.lsh_index(batch, id_name="qid"), **blocks)
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
     assert joins and not any("lambda" in line for line in joins)
 
