@@ -127,15 +127,55 @@ def probe_adder(count, bands, seed, most):
                 if m.shape[1] not in known:
                     known[m.shape[1]] = plane_matrix(count, m.shape[1], seed)
                 far = np.abs(m @ known[m.shape[1]].T)
-                found = [nearest_flips(d, own, length, most) for d, own in zip(far, batch.column("band_keys").to_pylist(), strict=True)]
+                found = all_nearest_flips(far, batch.column("band_keys").to_pylist(), length, most)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = np.array([x for row in found for x in row], dtype=np.int64).reshape(-1, 2)
+                flat = np.concatenate([np.zeros((0, 2), np.int64), *found])
                 pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1])], ["band", "key"])
                 yield batch.append_column("probes", pa.ListArray.from_arrays(pa.array(ends), pairs))
 
     return run
 
 
+# Buckets of a query that are all put in order, for each one wanted; where there are more, they are found one after the other.
+FLIPS_SORTED = 16
+
+
+def all_nearest_flips(far, own, length, most):
+    """``nearest_flips`` of some queries, each as an array; all buckets of a query are sorted at once if they are few.
+
+    Their distances are summed in the order in which ``nearest_flips`` sums them. Queries with buckets equally far are
+    left to it.
+    """
+    starts = range(0, far.shape[1], length)
+    few = length < 32 and sum(1 << min(length, far.shape[1] - start) for start in starts) <= FLIPS_SORTED * most
+    if not few or most <= len(starts) or any(keys is None or len(keys) != len(starts) for keys in own):
+        return [np.array(nearest_flips(d, keys, length, most), np.int64).reshape(-1, 2) for d, keys in zip(far, own, strict=True)]
+    costs, keys, bands = [], [], []
+    for band, start in enumerate(starts):
+        part = far[:, start : start + length]
+        planes = np.argsort(part, axis=1, kind="stable")
+        near = np.take_along_axis(part, planes, axis=1)
+        cost, key = np.zeros((len(far), 1)), np.array([k[band] for k in own], np.int64)[:, None]
+        for i in range(part.shape[1]):
+            bit = np.int64(1) << (part.shape[1] - 1 - planes[:, i]).astype(np.int64)
+            cost, key = np.hstack([cost, cost + near[:, i : i + 1]]), np.hstack([key, key ^ bit[:, None]])
+        costs.append(cost)
+        keys.append(key)
+        bands.append(np.full(cost.shape[1], band))
+    costs, keys, bands = np.hstack(costs), np.hstack(keys), np.concatenate(bands)
+    order = np.argsort(costs, axis=1)[:, : most + 1]
+    # the own buckets of all bands come first, equally far
+    own_first = order[:, : len(starts)]
+    own_first.sort(axis=1)
+    far_apart = np.diff(np.take_along_axis(costs, order[:, len(starts) - 1 :], axis=1), axis=1) > 0
+    sure = far_apart.all(axis=1) & (np.take_along_axis(costs, own_first, axis=1) == 0).all(axis=1)
+    order = order[:, :most]
+    return [
+        np.stack([bands[at], k[at]], axis=1) if ok else np.array(nearest_flips(d, theirs, length, most), np.int64).reshape(-1, 2)
+        for at, k, ok, d, theirs in zip(order, keys, sure, far, own, strict=True)
+    ]
+
+
 def nearest_flips(far, own, length, most):
     """The keys (band, key) in ascending order of the sum of the flipped planes' distances, ties by band and key."""
     bands = []
@@ -372,19 +412,27 @@ class Best:
     def add_tile(self, piece, prepared, place, pick):
         n = len(place)
         both = self.scorer.score(self.prepared, pick, prepared)
-        # score and id in one whole number: no ties, so exactly k per query can stay
-        both *= SCORE_UNIT
-        np.rint(both, out=both)
-        both *= n
-        both += place
-        bar = np.maximum(self.floor[pick], HIDDEN * SCORE_UNIT / 2) * n
-        keep = both >= bar[:, None]
-        if n > self.k and np.count_nonzero(keep) > 2 * self.k * len(pick):
-            keep &= both >= np.partition(both, n - self.k, axis=1)[:, n - self.k][:, None]
-        q, r = np.nonzero(keep)
+        least = np.maximum(self.floor[pick], HIDDEN * SCORE_UNIT / 2)
+        # what may round to the least score at most
+        near = both >= ((least - 1) / SCORE_UNIT)[:, None]
+        if n > self.k and np.count_nonzero(near) > 2 * self.k * len(pick):
+            # score and id in one whole number: no ties, so exactly k per query can stay
+            both *= SCORE_UNIT
+            np.rint(both, out=both)
+            both *= n
+            both += place
+            keep = both >= (least * n)[:, None]
+            if np.count_nonzero(keep) > 2 * self.k * len(pick):
+                keep &= both >= np.partition(both, n - self.k, axis=1)[:, n - self.k][:, None]
+            q, r = np.nonzero(keep)
+            score = np.floor_divide(both[q, r], n)
+        else:
+            q, r = np.divmod(np.flatnonzero(near), n)
+            score = np.rint(both[q, r] * SCORE_UNIT)
+            keep = score >= least[q]
+            q, r, score = q[keep], r[keep], score[keep]
         if not len(q):
             return
-        score = np.floor_divide(both[q, r], n)
         self.parts.append((pick[q], score, piece.select(["id", *self.carry]).take(pa.array(r))))
         self.held += len(q)
         unset = n > self.k and self.floor[pick].min() == -np.inf
@@ -482,10 +530,16 @@ def cell_scorer(schema, scorer, k, carry, bucket):
     return run
 
 
-def bucket_pairs(schema, marks):
+# Queries whose kept buckets are the bits of one number.
+MASK_QUERIES = 64
+
+
+def bucket_pairs(schema, marks, counts=False):
     """For a cogrouped ``applyInArrow``: the pairs of catalog rows and queries that share a kept bucket, each once.
 
-    ``marks``, if given, is a list column of the queries; ``marked`` is how often the row's id stands in it.
+    ``marks``, if given, is a list column of the queries; ``marked`` is how often the row's id stands in it. With ``counts``
+    each query that meets a row gives the sum of ``marked`` over its pairs, ``hits``, and ``met``, the pairs, of which a
+    marked one counts as often as it is marked.
     """
 
     def run(catalog, queries):
@@ -495,31 +549,38 @@ def bucket_pairs(schema, marks):
         keys = pc.list_flatten(own).to_numpy(zero_copy_only=False).reshape(len(own), -1)
         bands = [np.unique(keys[:, b], return_inverse=True) for b in range(keys.shape[1])]
         kept = column(queries, "kept")
-        ends = kept.offsets.to_numpy(zero_copy_only=False) - kept.offsets[0].as_py()
-        flat = kept.flatten()
+        looked = [[] for _ in bands]
+        asker, flat = pc.list_parent_indices(kept).to_numpy(zero_copy_only=False), pc.list_flatten(kept)
         band, key = (pc.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in ("band", "key"))
-        at, rows, marked = [], [], []
-        for q in range(len(kept)):
-            # a bucket that is listed twice counts twice
-            times = np.zeros(len(ids), dtype=np.int32)
-            for b, (names, code) in enumerate(bands):
-                looked = key[ends[q] : ends[q + 1]][band[ends[q] : ends[q + 1]] == b]
-                if len(looked):
-                    place = np.minimum(np.searchsorted(names, looked), len(names) - 1)
-                    n = np.bincount(place[names[place] == looked], minlength=len(names)).astype(np.int32)[code]
-                    np.copyto(times, n, where=times == 0)
-            row = np.flatnonzero(times)
-            if len(row) and times.max() > 1:
-                row = np.repeat(row, times[row])
-            at.append(np.full(len(row), q))
-            rows.append(row)
-            if marks is not None:
-                listed = queries.column(marks)[q].values
-                n = np.zeros(len(ids), dtype=np.int64)
-                for x in listed if listed is not None else []:
-                    n += pc.fill_null(pc.equal(ids, x), False).to_numpy(zero_copy_only=False)
-                marked.append(n[row])
-        out = {"qid": column(queries, "qid").take(pa.array(np.concatenate(at))), "cand_id": ids.take(pa.array(np.concatenate(rows)))}
+        for b, (names, _) in enumerate(bands):
+            mine = np.flatnonzero(band == b)
+            place = np.minimum(np.searchsorted(names, key[mine]), len(names) - 1)
+            hit = names[place] == key[mine]
+            looked[b] = asker[mine][hit], place[hit]
+        listed = None if marks is None else marked_rows(ids, column(queries, marks))
+        at, rows, marked, out = [], [], [], []
+        for q, times in meetings_of(bands, looked, len(kept), len(ids)):
+            if listed is not None:
+                row, n = (x[listed[0][q] : listed[0][q + 1]] for x in listed[1:])
+            if counts:
+                met = times[row].astype(np.int64)
+                whole = np.count_nonzero(times) if times.dtype == bool else times.sum(dtype=np.int64)
+                out.append((q, (met * n).sum(), whole + (met * (n - 1)).sum()))
+                continue
+            found = np.flatnonzero(times)
+            if len(found) and times.dtype != bool and times.max() > 1:
+                found = np.repeat(found, times[found])
+            at.append(np.full(len(found), q))
+            rows.append(found)
+            if listed is not None:
+                full = np.zeros(len(ids), dtype=np.int64)
+                full[row] = n
+                marked.append(full[found])
+        qid = column(queries, "qid")
+        if counts:
+            q, hits, met = np.array(out, np.int64).reshape(-1, 3)[[x[2] > 0 for x in out]].T
+            return pa.table({"qid": qid.take(pa.array(q)), "hits": pa.array(hits), "met": pa.array(met)}).cast(schema)
+        out = {"qid": qid.take(pa.array(np.concatenate(at))), "cand_id": ids.take(pa.array(np.concatenate(rows)))}
         if marks is not None:
             out["marked"] = pa.array(np.concatenate(marked))
         return pa.table(out).cast(schema)
@@ -527,6 +588,88 @@ def bucket_pairs(schema, marks):
     return run
 
 
+def meetings_of(bands, looked, n_queries, n_rows):
+    """``(query, times)`` in order: how often each row is met, for which the first band counts in which it is; whether, if no bucket is listed twice.
+
+    ``looked`` has the queries and the places of their buckets for each band. Some queries at a time are the bits of
+    one number, so that a row finds in which buckets of a band it stands by one look for all of them.
+    """
+    twice = any(len(np.unique(q * len(names) + place)) < len(q) for (names, _), (q, place) in zip(bands, looked, strict=True))
+    for start in range(0, n_queries, MASK_QUERIES):
+        stop = min(start + MASK_QUERIES, n_queries)
+        parts = [(q[i], place[i]) for q, place in looked for i in [slice(*np.searchsorted(q, [start, stop]))]]
+        if twice:
+            for query in range(start, stop):
+                times = np.zeros(n_rows, dtype=np.int32)
+                for (names, code), (q, place) in zip(bands, parts, strict=True):
+                    n = np.bincount(place[q == query], minlength=len(names)).astype(np.int32)[code]
+                    np.copyto(times, n, where=times == 0)
+                yield query, times
+            continue
+        mask = np.zeros(n_rows, dtype="<u8")
+        for (names, code), (q, place) in zip(bands, parts, strict=True):
+            held = np.zeros((len(names), MASK_QUERIES), dtype=bool)
+            held[place, q - start] = True
+            mask |= np.packbits(held, axis=1, bitorder="little").view("<u8").ravel()[code]
+        for query in range(start, stop):
+            yield query, (mask & np.uint64(1 << (query - start))) != 0
+
+
+def marked_rows(ids, lists):
+    """``(ends, row, n)``: for each list the rows whose id stands in it, and how often."""
+    known = pc.unique(ids).drop_null()
+    theirs, own = codes(pc.list_flatten(lists), known), codes(ids, known)
+    asker = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    entry, held = np.flatnonzero(theirs >= 0), np.flatnonzero(own >= 0)
+    entry, row = meetings(entry, theirs[entry], held, own[held])
+    cell, n = np.unique(asker[entry].astype(np.int64) * len(ids) + row, return_counts=True)
+    return np.searchsorted(cell, np.arange(len(lists) + 1) * len(ids)), cell % max(len(ids), 1), n
+
+
+def budget_taker(schema, budget, columns):
+    """For a cogrouped ``applyInArrow``: all bucket sizes against queries: of the probes of a ``qid`` the first ones within the budget.
+
+    Adds ``kept`` to the queries; those of no id or without a bucket that is not empty have no row.
+    """
+
+    def run(sizes, queries):
+        if not sizes.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        sizes = sizes.sort_by([("band", "ascending"), ("band_key", "ascending")])
+        band, key, size = (column(sizes, n).to_numpy(zero_copy_only=False) for n in ("band", "band_key", "size"))
+        most = size[band == 0].sum() * budget
+        probes, qid = column(queries, "probes"), column(queries, "qid")
+        code = pc.fill_null(qid.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        asker, flat = pc.list_parent_indices(probes).to_numpy(zero_copy_only=False), pc.list_flatten(probes)
+        theirs, wanted = (pc.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in ("band", "key"))
+        # place of each probe's bucket among the sizes, -1 for an empty bucket
+        bucket = np.full(len(flat), -1)
+        for b in np.unique(band):
+            mine, own = np.flatnonzero(theirs == b), slice(*np.searchsorted(band, [b, b + 1]))
+            at = np.minimum(np.searchsorted(key[own], wanted[mine]), own.stop - own.start - 1)
+            bucket[mine] = np.where(key[own][at] == wanted[mine], own.start + at, -1)
+        place = np.arange(len(flat)) - np.searchsorted(asker, asker)
+        hit = np.flatnonzero((bucket >= 0) & (code[asker] >= 0))
+        owner, bucket = code[asker[hit]], bucket[hit]
+        if (np.diff(owner) < 0).any() or len(np.unique(code)) < len(code):
+            order = np.lexsort((place[hit], owner))
+            owner, bucket = owner[order], bucket[order]
+        spent = np.cumsum(size[bucket])
+        start = np.searchsorted(owner, owner)
+        spent = spent - spent[start] + size[bucket[start]] if len(owner) else spent
+        taken = (spent <= most) | (np.arange(len(owner)) == start)
+        cell = np.sort(owner[taken] * len(size) + bucket[taken])
+        owner, bucket = cell // len(size), cell % len(size)
+        ends = np.searchsorted(owner, np.arange(code.max() + 2 if len(code) else 1)).astype(np.int32)
+        bands = pa.StructArray.from_arrays([pa.array(band[bucket].astype(np.int32)), pa.array(key[bucket]), pa.array(size[bucket])], ["band", "key", "size"])
+        answered = np.flatnonzero((code >= 0) & (np.diff(ends)[np.maximum(code, 0)] > 0) if len(ends) > 1 else np.zeros(len(code), bool))
+        kept = pa.ListArray.from_arrays(pa.array(ends), bands).take(pa.array(code[answered]))
+        out = queries.select(["qid", *columns]).take(pa.array(answered)).append_column("kept", kept)
+        return out.cast(schema)
+
+    return run
+
+
 def bound_finder(schema, slack=None):
     """For a cogrouped ``applyInArrow``: blocks' greatest and least weights against queries.
 

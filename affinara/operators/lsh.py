@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,17 +21,23 @@ from affinara.operators.neighbours import (
     QUERY_BLOCK,
     blocks,
     bucket_blocks,
+    every,
     grid,
     k_nearest,
     look_rows,
+    part_of,
     shuffle_partitions,
 )
 from affinara.operators.predict import for_every_query, mean_rating
 from affinara.shipping import by_value, is_small, join_spread, written
 
+# Queries whose probes a task holds beside the sizes of all buckets.
+BUDGET_QUERIES = 1024
 # Sides of the blocks in which a batch with budgets meets the titles: a query's list of buckets is long, a title's keys are few.
 PAIRS_CATALOG = 65_536
 PAIRS_QUERIES = 256
+# The queries' side where pairs are only counted.
+COUNTED_QUERIES = 2048
 
 
 def lsh_index(
@@ -102,6 +109,8 @@ def looked_into(
     several times.
     """
     sizes = written(bucket_sizes(index), "sizes") if sizes is None else sizes
+    if budget is not None and is_small(sizes):
+        return written(within_budget_by_blocks(queries, sizes, budget, columns), "looks")
     total = sizes.filter(F.col("band") == 0).agg(F.sum("size")).scalar()
     if budget is not None:
         kept = within_budget(queries, sizes, total * F.lit(budget))
@@ -122,6 +131,20 @@ def looked_into(
     return written(queries.select("qid", *columns).join(kept, "qid"), "looks")
 
 
+def within_budget_by_blocks(queries: DataFrame, sizes: DataFrame, budget: float, columns: Sequence[str]) -> DataFrame:
+    """``(qid, *columns, kept)`` where the sizes of all buckets fit beside a block of queries: probes are not made rows."""
+    by_value(kernels)
+    rows = queries.select("qid", *columns, "probes")
+    n_q = blocks(rows.select(F.count(F.lit(1))).scalar(), BUDGET_QUERIES, 4 * shuffle_partitions(queries))
+    left, right = sizes.withColumn("block_q", every(n_q)), rows.withColumn("block_q", part_of("qid", n_q))
+    right, parts = right.select([F.col(name).alias(name) for name in right.columns]), shuffle_partitions(queries)
+    left, right = left.repartition(parts, "block_q"), right.repartition(parts, "block_q")
+    bucket = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("size", T.LongType())])
+    schema = T.StructType([*rows.drop("probes").schema.fields, T.StructField("kept", T.ArrayType(bucket))])
+    run = kernels.budget_taker(to_arrow_schema(schema), budget, tuple(columns))
+    return left.groupBy("block_q").cogroup(right.groupBy("block_q")).applyInArrow(run, schema)
+
+
 def within_budget(queries: DataFrame, sizes: DataFrame, budget: Column) -> DataFrame:
     """``(qid, kept)``: of each query's probes the first ones whose buckets hold no more titles than the budget."""
     probes = queries.select("qid", F.posexplode("probes").alias("place", "probe"))
@@ -145,6 +168,7 @@ def lsh_candidates(
     catalog_block: int = CATALOG_BLOCK,
     query_block: int = QUERY_BLOCK,
     marks: str | None = None,
+    counts: bool = False,
 ) -> DataFrame:
     """``(qid, cand_id)``: titles that share a kept bucket with the query, each once.
 
@@ -156,16 +180,20 @@ def lsh_candidates(
 
     Within a ``budget`` a query looks into many buckets: whole tables then meet in blocks,
     where each pair is found once. ``marks``, a list column of the queries, adds
-    ``marked``: how often the title stands in its query's list.
+    ``marked``: how often the title stands in its query's list. With ``counts`` the pairs are counted where they
+    meet, ``(qid, hits, met)``: the sum of ``marked`` and the pairs, a marked one as often as it is marked; a query
+    has a row for each block in which it meets a title.
 
     The pairs are the result: with the default settings about 15 % of all pairs of
     unrelated titles, at any size. Use ``lsh_neighbours`` where the k best are wanted.
     """
     if marks is not None and budget is None:
         raise ValueError("marks need a budget")
+    if counts and (marks is None or form != "grid"):
+        raise ValueError("counts need marks and form='grid'")
     looks = looked_into(index, queries, [] if marks is None else [marks], max_share, sizes, budget)
     if budget is not None and form == "grid":
-        return pairs_in_blocks(index, looks, marks)
+        return pairs_in_blocks(index, looks, marks, counts)
     catalog = index.select("id", "band_keys")
     if form == "scan":
         if not is_small(look_rows(looks)):
@@ -208,11 +236,13 @@ def first_pairs(left: DataFrame, right: DataFrame, last: int) -> DataFrame:
     return rows.join(looks.hint("merge"), BLOCK_KEYS).filter(~before).select("qid", F.col("id").alias("cand_id"))
 
 
-def pairs_in_blocks(index: DataFrame, looks: DataFrame, marks: str | None = None) -> DataFrame:
-    """``(qid, cand_id)``, and ``marked`` if asked for: titles and queries meet once, in blocks that hold few queries with long lists."""
+def pairs_in_blocks(index: DataFrame, looks: DataFrame, marks: str | None = None, counts: bool = False) -> DataFrame:
+    """``(qid, cand_id)``, and ``marked`` if asked for, or their counts: titles and queries meet once, in blocks that hold few queries with long lists."""
     by_value(kernels)
     n_c = blocks(index.select(F.count(F.lit(1))).scalar(), PAIRS_CATALOG)
     n_q = blocks(looks.select(F.count(F.lit(1))).scalar(), PAIRS_QUERIES)
+    if counts:
+        n_q = blocks(looks.select(F.count(F.lit(1))).scalar(), COUNTED_QUERIES, ceil(sqrt(4 * shuffle_partitions(index))))
     kept = F.transform("kept", lambda b: F.struct(b["band"].alias("band"), b["key"].alias("key"))).alias("kept")
     own, asked = index.select("id", "band_keys"), looks.select("qid", kept, *([] if marks is None else [marks]))
     left, right = grid(own, asked.select([F.col(name).alias(name) for name in asked.columns]), n_c, n_q)
@@ -220,7 +250,9 @@ def pairs_in_blocks(index: DataFrame, looks: DataFrame, marks: str | None = None
     left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     pair = [T.StructField("qid", looks.schema["qid"].dataType), T.StructField("cand_id", index.schema["id"].dataType)]
     schema = T.StructType(pair if marks is None else [*pair, T.StructField("marked", T.LongType())])
-    run = kernels.bucket_pairs(to_arrow_schema(schema), marks)
+    if counts:
+        schema = T.StructType([pair[0], T.StructField("hits", T.LongType()), T.StructField("met", T.LongType())])
+    run = kernels.bucket_pairs(to_arrow_schema(schema), marks, counts)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 

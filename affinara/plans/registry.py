@@ -444,9 +444,9 @@ def lsh_probe_recall(spark, sf):
     pairs = index.select(F.count(F.lit(1))).scalar() * looks.select(F.count(F.lit(1))).scalar()
     out = None
     for budget in BUDGETS:
-        # hits are marked where a pair is met: the pairs are counted, never shuffled
-        met = L.lsh_candidates(index, looks, sizes=sizes, budget=budget, marks="nearest")
-        row = met.agg(F.sum("marked").alias("hits"), F.sum(F.greatest("marked", F.lit(1))).alias("met")).select(
+        # hits are marked and pairs counted where a pair is met: they never become rows
+        met = L.lsh_candidates(index, looks, sizes=sizes, budget=budget, marks="nearest", counts=True)
+        row = met.agg(F.sum("hits").alias("hits"), F.sum("met").alias("met")).select(
             F.lit(budget).alias("budget"),
             F.round(F.col("hits") / total, 6).alias("recall"),
             F.round(F.col("met") / pairs, 6).alias("pair_share"),

@@ -10,7 +10,7 @@ from affinara.operators import lsh_store as S
 from affinara.operators import neighbours as N
 from affinara.operators import predict as P
 from affinara.operators import pruned
-from affinara.shipping import scratch_path
+from affinara.shipping import scratch_path, written
 
 
 def test_probes_are_made_a_few_queries_at_a_time():
@@ -34,6 +34,56 @@ def test_pairs_within_a_budget_are_found_once_and_marked():
     assert [tuple(row.values()) for row in rows] == expected
 
 
+def test_all_buckets_of_some_queries_are_put_in_order_at_once(monkeypatch):
+    r = np.random.default_rng(3)
+    one_by_one, asked = kernels.nearest_flips, []
+    for far in (r.random((9, 7)), r.integers(0, 3, (9, 7)).astype(float)):
+        own = [[int(x) for x in r.integers(8, 16, 3)] for _ in far]
+        expected = [one_by_one(d, keys, 3, 11) for d, keys in zip(far, own, strict=True)]
+        monkeypatch.setattr(kernels, "nearest_flips", lambda *args: asked.append(args) or one_by_one(*args))
+        found = kernels.all_nearest_flips(far, own, 3, 11)
+        assert [[tuple(x) for x in row.tolist()] for row in found] == expected
+        # only queries with buckets equally far go one by one
+        assert bool(asked) == (far.max() >= 1)
+
+
+def probed_tables(spark, most=6):
+    """An index and a batch with probes and marks; one id stands in two rows of the batch, one row has none."""
+    r = np.random.default_rng(2)
+    features = spark.createDataFrame([(i, r.normal(size=3).tolist()) for i in range(70)], "id long, vector array<double>")
+    batch = features.filter("id < 20").withColumnRenamed("id", "qid")
+    batch = batch.unionByName(batch.filter("qid = 4")).unionByName(batch.filter("qid = 5").withColumn("qid", F.lit(None).cast("long")))
+    looks = L.with_probes(L.lsh_index(batch, 6, 2, id_name="qid"), 6, 2, most=most)
+    looks = looks.withColumn("nearest", F.array(F.col("qid"), F.col("qid") + 1, F.col("qid") + 1))
+    return written(L.lsh_index(features, 6, 2), "index"), written(looks, "looks")
+
+
+def test_budgets_are_taken_without_a_row_for_each_probe(spark):
+    index, looks = probed_tables(spark)
+    sizes = written(L.bucket_sizes(index), "sizes")
+    for budget in (0.0, 0.2, 0.7):
+        found = L.within_budget_by_blocks(looks, sizes, budget, ["nearest"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "posexplode" not in plan
+        kept = L.within_budget(looks, sizes, F.lit(70) * F.lit(budget))
+        expected = looks.select("qid", "nearest").join(kept, "qid")
+        rows = lambda df: sorted(map(str, df.select("qid", "nearest", "kept").collect()))
+        assert rows(found) == rows(expected) != []
+
+
+def test_counted_pairs_are_those_that_are_met(spark):
+    index, looks = probed_tables(spark)
+    for budget in (0.1, 0.6):
+        pairs = L.lsh_candidates(index, looks, budget=budget, marks="nearest")
+        met = F.sum(F.greatest("marked", F.lit(1))).alias("met")
+        expected = pairs.groupBy("qid").agg(F.sum("marked").alias("hits"), met).collect()
+        counted = L.lsh_candidates(index, looks, budget=budget, marks="nearest", counts=True)
+        found = counted.groupBy("qid").agg(F.sum("hits"), F.sum("met")).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, expected)) != []
+        # a row a query and block, not one a pair
+        assert counted.count() <= looks.count() < pairs.count()
+
+
 def test_small_blocks_do_not_multiply_the_rows_that_move(spark, monkeypatch):
     """Blocks of 4 x 2 rows: each row moves a few times, as with blocks of any size."""
     rows = [(i, [float(i % 7), float(i % 5), 1.0], 1.0) for i in range(200)]
