@@ -104,17 +104,22 @@ def of_every_query(lists: DataFrame, asked: DataFrame, again: DataFrame | None,
     return ranked if rest is None else ranked.unionByName(rest)
 
 
-def cosine_by_class(features: DataFrame, queries: DataFrame, k: int, include_self: bool = False, **blocks) -> DataFrame:
-    """The k most similar titles by exact cosine, each pair of distinct vectors scored once."""
+def nearest_of_all(rows: DataFrame, asked: DataFrame, k: int, include_self: bool, **blocks) -> DataFrame:
+    return k_nearest(rows, asked, kernels.CosineScorer(exclude_self=not include_self), k, carry=["rating"], **blocks)
+
+
+def cosine_by_class(features: DataFrame, queries: DataFrame, k: int, include_self: bool = False, nearest=nearest_of_all, **blocks) -> DataFrame:
+    """The k most similar titles by exact cosine, each pair of distinct vectors scored once, by the search ``nearest``."""
     rows = features.select("id", "vector", "rating")
     classes = numbered(least_members(rows, ["vector"], k + 1), ["vector"])
     asked = written(queries.select("qid", "vector", digest("vector").alias("alike")), "asked")
     kinds = written(asked.select(F.col("alike").alias("qid"), "vector").dropDuplicates(["qid"]), "kinds")
     # each class has a title of its own, and at most one of them is the query
-    found = k_nearest(classes.select("id", "vector"), kinds, kernels.CosineScorer(exclude_self=False), k + 1, **blocks)
+    kept = classes.select("id", "vector", F.element_at("members", 1)["rating"].alias("rating"))
+    found = nearest(kept, kinds, k + 1, True, **blocks)
 
     def search(some):
-        return k_nearest(rows, some.select("qid", "vector"), kernels.CosineScorer(not include_self), k, carry=["rating"], **blocks)
+        return nearest(rows, some.select("qid", "vector"), k, include_self, **blocks)
 
     lists = class_lists(found, classes, k, False)
     return of_every_query(lists, asked, repeated_ids(rows), search, k, include_self, False)

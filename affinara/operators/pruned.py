@@ -6,6 +6,7 @@ weight there; the sum over a query's positions bounds its cosine with every titl
 a block. Each query first meets the block of its highest bound, which gives it k
 scores to beat; then only the blocks whose bound reaches its k-th score. What is
 skipped cannot hold one of the k best, so the rows are those of the full search.
+Equal vectors score alike and are one row on each side (``operators.alike``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from affinara import kernels
+from affinara.operators.alike import cosine_by_class
 from affinara.operators.neighbours import BLOCK_KEYS, QUERY_BLOCK, every, grid, part_of, shuffle_partitions
 from affinara.operators.neighbours import blocks as blocks_of
 from affinara.operators.ranking import global_row_number
@@ -70,8 +72,7 @@ def in_blocks(features: DataFrame, block_rows: int) -> DataFrame:
 def block_bounds(blocks: DataFrame) -> DataFrame:
     """``(pos, block, high, low)``: greatest and least weight of a position in each block that uses it."""
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
-    cells = blocks.select("id", "block").join(weights(blocks, "id"), "id")
-    used = cells.groupBy("pos", "block").agg(F.max("weight").alias("high"), F.min("weight").alias("low"), F.count(F.lit(1)).alias("n"))
+    used = weights(blocks, "block").groupBy("pos", "block").agg(F.max("weight").alias("high"), F.min("weight").alias("low"), F.count(F.lit(1)).alias("n"))
     all_use = F.col("n") == F.col("rows")
     used = used.join(sizes, "block")
     return used.select(
@@ -127,9 +128,18 @@ def pruned_neighbours(
 ) -> DataFrame:
     """The k most similar titles by exact cosine: ``(qid, id, score, rank, rating)``, from the blocks that may hold them.
 
-    ``report``, if given, gets the number of pairs of queries and titles in the blocks that
-    were met, and of all pairs. Zero vectors have no cosine: they are neither found nor answered.
+    ``report``, if given, gets the number of pairs of distinct vectors in the blocks that were met, and of
+    all of them. Zero vectors have no cosine: they are neither found nor answered, nor are rows without an id.
     """
+    titles, asked = features.filter(F.col("id").isNotNull()), queries.filter(F.col("qid").isNotNull())
+    options = {"block_rows": block_rows, "query_block": query_block, "report": report}
+    return cosine_by_class(titles, asked, k, include_self, nearest=nearest_by_blocks, **options)
+
+
+def nearest_by_blocks(
+    features: DataFrame, queries: DataFrame, k: int, include_self: bool, block_rows: int, query_block: int, report: list | None = None
+) -> DataFrame:
+    """``pruned_neighbours`` of every row, also where vectors are equal."""
     blocks = written(in_blocks(features.select("id", "vector", "rating"), block_rows), "cosine-blocks")
     asked = written(with_lengths(queries.select("qid", "vector")), "cosine-queries")
     n_blocks = max(1, ceil(blocks.count() / block_rows))

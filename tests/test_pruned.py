@@ -55,3 +55,40 @@ def test_share_of_pairs_scored_falls_as_tables_grow(spark):
         pruned.pruned_neighbours(features, queries, 5, block_rows=50, report=report).agg(F.count("*")).collect()
         shares.append(report[0][0] / report[0][1])
     assert shares[1] < 0.8 * shares[0] and shares[1] < 0.5
+
+
+def test_pairs_do_not_grow_with_copies_of_vectors(spark):
+    """Six times the titles of the same vectors: as many pairs are met."""
+    reports = []
+    for copies in (1, 6):
+        rows = [(i + 1000 * c, vector, rating) for c in range(copies) for i, vector, rating in sparse_rows(150, 12)]
+        features = spark.createDataFrame(rows, SPARSE)
+        report = []
+        queries = features.filter("id % 5 = 0").withColumnRenamed("id", "qid")
+        pruned.pruned_neighbours(features, queries, 5, block_rows=20, report=report).agg(F.count("*")).collect()
+        reports.append(report)
+    assert reports[0] == reports[1] and reports[0][0][0] > 0
+
+
+def test_copies_of_vectors_give_the_rows_of_the_full_search(spark):
+    rows = [(i + 100 * c, vector, rating + c) for c in range(4) for i, vector, rating in sparse_rows(60, 9)]
+    features = spark.createDataFrame(rows, SPARSE)
+    same(spark, features, features.filter("id % 3 = 0").withColumnRenamed("id", "qid"), block_rows=7)
+
+
+def test_rows_without_an_id_are_neither_found_nor_answered(spark):
+    rows = sparse_rows(80, 9)
+    features = spark.createDataFrame([*rows, *[(None, vector, rating) for _, vector, rating in rows[:9]]], SPARSE)
+    found = P.cosine_neighbours(features, features.withColumnRenamed("id", "qid"), 6, form="pruned", block_rows=7)
+    named = features.filter("id is not null")
+    expected = P.cosine_neighbours(named, named.withColumnRenamed("id", "qid"), 6)
+    columns = ["qid", "id", "rank", "score"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+
+
+def test_bounds_hold_where_an_id_has_several_rows(spark):
+    """Two rows of one id among four of a block: the position that only they use may also be 0 there."""
+    rows = [(1, (3, [0], [-2.0]), 1.0), (1, (3, [0], [-2.0]), 1.0), (2, (3, [1], [1.0]), 1.0), (3, (3, [1], [3.0]), 1.0)]
+    blocks = pruned.with_lengths(spark.createDataFrame(rows, SPARSE)).withColumn("block", F.lit(0))
+    bounds = {r["pos"]: (r["high"], r["low"]) for r in pruned.block_bounds(blocks).collect()}
+    assert bounds == {0: (0.0, -1.0), 1: (1.0, 0.0)}
